@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, quality, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +15,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-SQL: dict[str, str] = {}
+def op4_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.compression_bands(_documents(spark, sf_dir))
+
+
+def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contamination(_documents(spark, sf_dir), benchmark).drop("items")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op4_compression": op4_compression, "op5_wu_manber": op5_wu_manber}
+SQL: dict[str, str] = {"op5_wu_manber": decontaminate.SQL}
