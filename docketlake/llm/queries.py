@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, simhash
+from . import decontaminate, packing, quality, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +24,19 @@ def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_documents(spark, sf_dir), benchmark).drop("items")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_compression": op4_compression, "op5_wu_manber": op5_wu_manber}
+def _word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), _word_bpe())
+
+
+def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_matrices(_documents(spark, sf_dir), _word_bpe())
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_best_fit": op2_best_fit, "op4_compression": op4_compression, "op5_wu_manber": op5_wu_manber, "op7_token_matrices": op7_token_matrices}
 SQL: dict[str, str] = {"op5_wu_manber": decontaminate.SQL}
