@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, simhash
+from . import content, decontaminate, packing, quality, sharding, simhash, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -38,5 +42,20 @@ def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_matrices(_documents(spark, sf_dir), _word_bpe())
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_best_fit": op2_best_fit, "op4_compression": op4_compression, "op5_wu_manber": op5_wu_manber, "op7_token_matrices": op7_token_matrices}
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(_pages(spark, sf_dir)))
+
+
+def op8_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(_documents(spark, sf_dir))
+
+
+def op10_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.extract(_pages(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash, "op2_best_fit": op2_best_fit, "op4_compression": op4_compression, "op5_wu_manber": op5_wu_manber, "op6_warc_derivatives": op6_warc_derivatives, "op7_token_matrices": op7_token_matrices,
+    "op8_kd_tree": op8_kd_tree, "op10_tree_model": op10_tree_model,
+}
 SQL: dict[str, str] = {"op5_wu_manber": decontaminate.SQL}
