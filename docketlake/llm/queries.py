@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content, decontaminate, packing, quality, sharding, simhash, warc
+from . import content, decontaminate, packing, quality, sharding, simhash, substring, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op3_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeated(_documents(spark, sf_dir))
+
+
 def op4_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_bands(_documents(spark, sf_dir))
 
@@ -55,7 +59,7 @@ def op10_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_simhash": op1_simhash, "op2_best_fit": op2_best_fit, "op4_compression": op4_compression, "op5_wu_manber": op5_wu_manber, "op6_warc_derivatives": op6_warc_derivatives, "op7_token_matrices": op7_token_matrices,
+    "op1_simhash": op1_simhash, "op2_best_fit": op2_best_fit, "op3_count_min": op3_count_min, "op4_compression": op4_compression, "op5_wu_manber": op5_wu_manber, "op6_warc_derivatives": op6_warc_derivatives, "op7_token_matrices": op7_token_matrices,
     "op8_kd_tree": op8_kd_tree, "op10_tree_model": op10_tree_model,
 }
-SQL: dict[str, str] = {"op5_wu_manber": decontaminate.SQL}
+SQL: dict[str, str] = {"op3_count_min": substring.SQL, "op5_wu_manber": decontaminate.SQL}
