@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +35,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str
 ) -> DataFrame:
     """Apply ``fn`` to every Arrow batch of ``df``; batches for which it returns None give no rows."""
 

@@ -14,6 +14,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,6 +130,15 @@ def _judge(batch: pa.RecordBatch, patterns: Patterns) -> pa.RecordBatch:
     )
 
 
+def _shared_patterns(benchmark: DataFrame, width: int, max_bytes: int):
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_bytes:
+        raise ValueError(f"the benchmark has {size} bytes of text, more than max_bytes={max_bytes}")
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null").collect()
+    return spark.sparkContext.broadcast(Patterns([(r[0], r[1]) for r in rows], width))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_bytes: int = 256 << 20) -> DataFrame:
     """How far each row of ``docs`` (doc_id, text) repeats ``width``-word windows of ``benchmark`` (item_id, text).
 
@@ -138,18 +148,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_by
     further columns are ignored; empty tables give no rows, or no hits. The windows go to every executor with the task:
     a benchmark of more than ``max_bytes`` of text is refused, so split it into parts and combine their results.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_bytes:
-        raise ValueError(f"the benchmark has {size} bytes of text, more than max_bytes={max_bytes}")
-    spark = docs.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null").collect()
-    shared = spark.sparkContext.broadcast(Patterns([(r[0], r[1]) for r in rows], width))
+    shared = _shared_patterns(benchmark, width, max_bytes)
     return map_arrow(
         text_table(docs), lambda batch: _judge(batch, shared.value),
         "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>",
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_bytes: int = 256 << 20) -> DataFrame:
+    """The rows of ``docs`` in which no window of ``benchmark`` occurs, with all their columns."""
+    shared = _shared_patterns(benchmark, width, max_bytes)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.compute.invert(_judge(batch, shared.value).column("contaminated")))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 SQL = """
 with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
 b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),

@@ -32,18 +32,19 @@ def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_documents(spark, sf_dir), benchmark).drop("items")
 
 
-def _word_bpe() -> str:
+def word_bpe() -> str:
+    """The vocabulary file that the queries pack with."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir), _word_bpe())
+    return packing.pack(_documents(spark, sf_dir), word_bpe())
 
 
 def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_matrices(_documents(spark, sf_dir), _word_bpe())
+    return packing.packed_matrices(_documents(spark, sf_dir), word_bpe())
 
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ anchor is estimated repeated, with 128-bit digests of all their words, and group
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -214,54 +215,88 @@ def candidates(docs: DataFrame, bits: np.ndarray, window: int, gram: int, depth:
     return map_arrow(docs, run, SPOTS)
 
 
-def _removal(text: str | None, starts: np.ndarray, window: int) -> tuple[int, int, str]:
-    words = text.encode().split() if text else []
-    if not len(starts):
-        return len(words), 0, b" ".join(words)
-    edges = np.zeros(len(words) + 1, np.int32)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + window, -1)
-    gone = np.cumsum(edges[:-1]) > 0
-    kept = [w for w, g in zip(words, gone.tolist()) if not g]
-    return len(words), int(gone.sum()), b" ".join(kept)
+def repeated_starts(docs: DataFrame, window: int, gram: int, depth: int, sketch_bytes: int) -> DataFrame:
+    """(_doc, _own, starts, runs) for each text (``_own``: 31 bits of its hash) with windows to remove."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = sketch_width(size, depth, sketch_bytes)
+    bits = sketch(docs, window, gram, depth, width)
+    found = candidates(docs, bits, window, gram, depth, width)
+    same = Window.partitionBy("w1", "w2")
+    late = found.withColumn("first", F.min("doc_id").over(same)).where("runs is not null or doc_id > first")
+    return late.groupBy("doc_id", F.shiftright("spot", 32).alias("own")).agg(
+        F.collect_list(F.expr("if(runs is null, cast(spot & 2147483647 as int), null)")).alias("_starts"), F.collect_list("runs").alias("_runs")
+    ).select(F.col("doc_id").alias("_doc"), F.col("own").alias("_own"), "_starts", "_runs")
+
+
+def _with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    last = F.lit((1 << 63) - 1)
+    on = (F.coalesce(docs["doc_id"], last) == F.col("_doc")) & (F.shiftrightunsigned(F.xxhash64(docs["text"]), 33) == F.col("_own"))
+    return docs.join(marks, on, "left").select(*[docs[c] for c in docs.columns], "_starts", "_runs")
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+class _Removal:
+    """A text's words and which of them go."""
+
+    def __init__(self, text: str | None, starts: list[int] | None, runs: list[bytes] | None, window: int) -> None:
+        self.raw = text.encode() if text else b""
+        self.words = self.raw.split()
+        edges = np.zeros(len(self.words) + 1, np.int32)
+        for at in (np.array(starts or [], np.int64), *(np.frombuffer(r, "<i4") for r in runs or [])):
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + window, -1)
+        self.gone = np.cumsum(edges[:-1]) > 0
+
+    def kept_words(self) -> bytes:
+        return b" ".join([w for w, g in zip(self.words, self.gone.tolist()) if not g])
 
+    def kept_text(self) -> bytes:
+        """The text as it was but for the words that go and the white space around them."""
+        if not self.gone.any():
+            return self.raw
+        spans = [m.span() for m in _WORD.finditer(self.raw)]
+        edges = np.nonzero(np.diff(np.concatenate(([True], self.gone, [True]))))[0].tolist()
+        return b" ".join(self.raw[spans[a][0] : spans[b - 1][1]] for a, b in zip(edges[::2], edges[1::2]))
 
-def remove_repeated(docs: DataFrame, window: int = 50, gram: int = 20, depth: int = 2, sketch_bytes: int = 128 << 20, keep_text: bool = False) -> DataFrame:
-    """Remove the words covered by a window of ``window`` words that also starts in a document of smaller doc_id.
 
-    One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one
-    space), and with ``keep_text`` also text (the kept words; null where the text was null). Null and empty texts have no
-    words. Rows of one doc_id never remove each other's words; rows without doc_id count as the last of all and lose
-    what any other document has; repeated rows each give a row; an empty table gives none; further columns are ignored.
-    ``sketch_bytes`` bounds the sketch that is sent to every executor: beyond about 5 GB of text for each 8 MB of it the
-    prefilter lets more windows through to the exact pass, which stays right.
+def remove_repeated(docs: DataFrame, window: int = 50, gram: int = 20, depth: int = 2, sketch_bytes: int = 128 << 20) -> DataFrame:
+    """Count the words covered by a window of ``window`` words that also starts in a document of smaller doc_id.
+
+    One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 (of the words that stay, joined
+    by one space). Null and empty texts have no words. Rows of one doc_id never remove each other's words; rows without
+    doc_id count as the last of all and lose what any other document has; repeated rows each give a row; an empty table
+    gives none; further columns are ignored. ``sketch_bytes`` bounds the sketch that is sent to every executor: beyond
+    about 5 GB of text for each 50 MB of it the prefilter lets more windows through to the exact pass, which stays right.
     """
     table = text_table(docs)
-    size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = sketch_width(size, depth, sketch_bytes)
-    bits = sketch(table, window, gram, depth, width)
-    found = candidates(table, bits, window, gram, depth, width)
-    same = Window.partitionBy("w1", "w2")
-    late = found.withColumn("first", F.min("doc_id").over(same)).where("runs is not null or doc_id > first")
-    marks = late.groupBy("doc_id", F.shiftright("spot", 32).alias("own")).agg(
-        F.collect_list(F.expr("if(runs is null, cast(spot & 2147483647 as int), null)")).alias("starts"), F.collect_list("runs").alias("runs")
-    ).select(F.col("doc_id").alias("_doc"), F.col("own").alias("_own"), "starts", "runs")
-    last = F.lit((1 << 63) - 1)
-    on = (F.coalesce("doc_id", last) == F.col("_doc")) & (F.shiftrightunsigned(F.xxhash64("text"), 33) == F.col("_own"))
-    joined = table.join(marks, on, "left").select("doc_id", "text", "starts", "runs")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        columns = (batch.column(n).to_pylist() for n in ("doc_id", "text", "starts", "runs"))
+        columns = (batch.column(n).to_pylist() for n in ("doc_id", "text", "_starts", "_runs"))
         for doc_id, text, starts, runs in zip(*columns):
-            pieces = [np.array(starts or [], np.int64), *(np.frombuffer(r, "<i4").astype(np.int64) for r in runs or [])]
-            n, gone, kept = _removal(text, np.concatenate(pieces), window)
-            out.append((doc_id, n, gone, hashlib.sha256(kept).hexdigest(), None if text is None else kept.decode()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        arrays = [pa.array(list(x), k) for x, k in zip(zip(*out), kinds)]
-        return pa.RecordBatch.from_arrays(arrays[: 4 + keep_text], ["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 4 + keep_text])
-
-    return map_arrow(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text)
+            own = _Removal(text, starts, runs, window)
+            out.append((doc_id, len(own.words), int(own.gone.sum()), hashlib.sha256(own.kept_words()).hexdigest()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out), kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    marks = repeated_starts(table, window, gram, depth, sketch_bytes)
+    return map_arrow(_with_marks(table, marks), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def strip_repeated(docs: DataFrame, window: int = 50, gram: int = 20, depth: int = 2, sketch_bytes: int = 128 << 20) -> DataFrame:
+    """``docs`` without the words that ``remove_repeated`` counts; text (and n_chars, if there) change, all rows stay."""
+    names = docs.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = (batch.column(n).to_pylist() for n in ("text", "_starts", "_runs"))
+        texts = [None if t is None else _Removal(t, s, r, window).kept_text().decode() for t, s, r in zip(*columns)]
+        new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+        return pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) if n in new else batch.column(n) for n in names], names)
+
+    marks = repeated_starts(text_table(docs), window, gram, depth, sketch_bytes)
+    return map_arrow(_with_marks(docs, marks), run, docs.schema)
 
 
 SQL = """
