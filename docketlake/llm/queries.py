@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content, decontaminate, packing, quality, sharding, simhash, substring, warc
+from . import content, decontaminate, packing, quality, sharding, simhash, substring, suffixes, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +55,16 @@ def op8_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(_documents(spark, sf_dir))
 
 
+def op9_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(_documents(spark, sf_dir))
+
+
 def op10_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.extract(_pages(spark, sf_dir))
 
 
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_best_fit": op2_best_fit, "op3_count_min": op3_count_min, "op4_compression": op4_compression, "op5_wu_manber": op5_wu_manber, "op6_warc_derivatives": op6_warc_derivatives, "op7_token_matrices": op7_token_matrices,
-    "op8_kd_tree": op8_kd_tree, "op10_tree_model": op10_tree_model,
+    "op8_kd_tree": op8_kd_tree, "op9_suffix_family": op9_suffix_family, "op10_tree_model": op10_tree_model,
 }
 SQL: dict[str, str] = {"op3_count_min": substring.SQL, "op5_wu_manber": decontaminate.SQL}

@@ -131,6 +131,12 @@ def sketch(docs: DataFrame, window: int, gram: int, depth: int, width: int) -> n
             return None
         return pa.RecordBatch.from_arrays([pa.array(stretch, pa.int32()), pa.array(cells, pa.binary())], ["stretch", "cells"])
 
+    return add_cells(map_arrow(docs.select("text"), count, "stretch int, cells binary"), depth, width, 2)
+
+
+def add_cells(touched: DataFrame, depth: int, width: int, least: int) -> np.ndarray:
+    """Add up the tasks' cells stretch by stretch: one bit a cell, packed, set where it was touched ``least`` times."""
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -140,10 +146,9 @@ def sketch(docs: DataFrame, window: int, gram: int, depth: int, width: int) -> n
                 np.add.at(own, at, 1)
                 own[at] = np.minimum(own[at], 2)
         if sums:
-            bits = [np.packbits(x > 1, bitorder="little").tobytes() for x in sums.values()]
+            bits = [np.packbits(x >= least, bitorder="little").tobytes() for x in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], ["stretch", "bits"])
 
-    touched = map_arrow(docs.select("text"), count, "stretch int, cells binary")
     tasks = max(1, min(depth * width // STRETCH, 512))
     out = np.zeros(depth * width // 8, np.uint8)
     for r in touched.repartition(tasks, "stretch").mapInArrow(add, "stretch int, bits binary").toLocalIterator():
