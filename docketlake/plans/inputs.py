@@ -81,7 +81,7 @@ RUNS = f"""
 select event_id as k, 'source-' || cast(user_id % 40 as string) as source, ts as started_at,
   case event_type when 'error' then 'error' when 'signup' then 'http_error' else 'ok' end as status,
   cast(case event_type when 'error' then 0 when 'signup' then 503 else 200 end as int) as http_status,
-  md5(cast(floor(value) % 5 as string)) as content_hash, cast(event_id % 4 as int) as item_count, cast(event_id % 3 as int) as new_items,
+  md5(cast(cast(floor(value) as bigint) % 5 as string)) as content_hash, cast(event_id % 4 as int) as item_count, cast(event_id % 3 as int) as new_items,
   'https://h' || cast(user_id % 17 as string) || '.example.org/p/' || cast(event_id % 50 as string) as url, event_id, user_id, event_type, value, ts
 from events
 """
