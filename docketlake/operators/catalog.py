@@ -184,3 +184,24 @@ def normalize_law_row(rows: DataFrame) -> DataFrame:
         "k", pick("Untitled", "name", "title").alias("name"), pick("", "country").alias("country"), pick("Federal", "level").alias("level"), pick("", "level_detail", "levelDetail").alias("level_detail"),
         pick("", "law_area", "lawArea").alias("law_area"), pick("", "link", "url").alias("link"), pick("source", "source").alias("source"),
     )
+
+
+def match_authority_by_name(hints: DataFrame, registry: DataFrame) -> DataFrame:
+    """(k, name, url, jurisdiction, region) of the first registry row whose name contains a hint, or lies in it.
+
+    hints (k, hint, country); hints of under four characters match nothing, and a row's country must be blank, equal or
+    contain the hint's, if that has one. A text that lies in another has its first four characters there, so equal
+    four-character pieces (shorter ones for shorter names) find the candidates, and no pair is tried without one.
+    """
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(n)))
+    names = registry.where((F.trim("authority") != "") & F.trim("url").startswith("http")).select(
+        F.col("k").alias("rk"), F.trim("authority").alias("name"), F.lower(F.trim("authority")).alias("nl"), F.trim("url").alias("url"), "jurisdiction", "region", F.lower(C.parse_jurisdiction(F.col("jurisdiction"))["country"]).alias("jc"),
+    )
+    asked = hints.select("k", F.lower(F.trim(C.text_or_blank(F.col("hint")))).alias("hl"), F.lower(C.text_or_blank(F.col("country"))).alias("cl")).where(F.length("hl") >= 4)
+    distinct = asked.select("hl").distinct()
+    in_hint = distinct.select("hl", F.explode(F.array_distinct(F.flatten(F.array(*[pieces("hl", n) for n in (1, 2, 3, 4)])))).alias("piece")).join(names.select("nl", F.substring("nl", 1, 4).alias("piece")).distinct(), "piece")
+    in_name = names.select("nl").distinct().select("nl", F.explode(F.array_distinct(pieces("nl", 4))).alias("piece")).join(distinct.withColumn("piece", F.substring("hl", 1, 4)), "piece")
+    pairs = in_hint.select("hl", "nl").unionByName(in_name.select("hl", "nl")).where(F.contains("hl", "nl") | F.contains("nl", "hl")).distinct()
+    found = asked.join(pairs, "hl").join(names, "nl").where("cl = '' or jc = '' or jc = cl or contains(jc, cl)")
+    best = found.groupBy("k").agg(F.min_by(F.struct("name", "url", "jurisdiction", "region"), "rk").alias("a"))
+    return best.select("k", "a.*")

@@ -300,3 +300,15 @@ def _(spark, sf):
     d = load(spark, sf, "downloads")
     new = d.where("k % 5 = 0").select("k", F.expr("case when k % 3 = 0 then 'done' end").alias("status"), F.concat(F.lit("New "), F.col("k").cast("string")).alias("title"))
     return K.upsert(d.where("k % 2 = 0").select("k", "status", "title"), new, "k")
+
+_hint = "split_part('Bank of ~the Tax Agency FRANCE desk~Ministry GERMANY~xyz office~ab~data office', '~', cast(k % 6 as int) + 1)"
+
+
+@register(
+    "j2_match_authority_by_name",
+    f"with {place_cte('registry', 'jurisdiction', chr(39) * 2, 'rp')}, h as (select k, lower(trim({_hint})) as hl, lower(country) as cl from updates), n as (select k as rk, trim(authority) as name, trim(url) as url, jurisdiction, region, lower(country_) as jc from rp where trim(authority) <> '' and starts_with(trim(url), 'http')),"
+    " m as (select h.k, n.*, row_number() over (partition by h.k order by rk) as r from h join n on (contains(hl, lower(name)) or contains(lower(name), hl)) and (cl = '' or jc = '' or jc = cl or contains(jc, cl)) where length(hl) >= 4) select k, name, url, jurisdiction, region from m where r = 1",
+    "updates", "registry",
+)
+def _(spark, sf):
+    return K.match_authority_by_name(load(spark, sf, "updates").selectExpr("k", f"{_hint} as hint", "country"), load(spark, sf, "registry"))
