@@ -11,18 +11,16 @@ from ..operators import rank as R
 from ..operators import retrieval as Q
 from ..sources import io as S
 from . import sqlx as X
-from .inputs import load
+from .inputs import load, with_bigints, with_inputs
 
 QUERIES, SQL = {}, {}
 
 
 def register(name: str, oracle: str | None, *tables: str):
-    from .inputs import with_inputs
-
     def keep(fn):
         QUERIES[name] = fn
         if oracle:
-            SQL[name] = with_inputs(oracle, *tables) if tables else oracle
+            SQL[name] = with_bigints(with_inputs(oracle, *tables) if tables else oracle)
         return fn
 
     return keep

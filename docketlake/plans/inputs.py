@@ -5,6 +5,8 @@ Each derived table is one SELECT that Spark and DuckDB both run, so a query and
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,3 +127,8 @@ def projection(queries: dict, sql: dict):
         sql[name] = with_inputs(f"select k, {', '.join(f'{e} as {n}' for n, e in oracle.items())} from {table}", table)
 
     return register
+
+
+def with_bigints(sql: str) -> str:
+    """``sql`` with its named counts and sums as 64-bit integers, as Spark has them."""
+    return re.sub(r"\b(count_if|sum)\(((?:[^()]|\([^()]*\))*)\) as (?!bigint)", r"cast(\1(\2) as bigint) as ", sql)

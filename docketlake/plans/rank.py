@@ -10,7 +10,7 @@ from ..operators import catalog as K
 from ..operators import rank as R
 from . import sqlx as X
 from .classify import ENRICHED
-from .inputs import load, with_inputs
+from .inputs import load, with_bigints, with_inputs
 
 QUERIES, SQL = {}, {}
 STATUSES = ["to_download", "downloaded", "download_failed", "scanned_pdf"]
@@ -19,7 +19,7 @@ STATUSES = ["to_download", "downloaded", "download_failed", "scanned_pdf"]
 def register(name: str, oracle: str, *tables: str):
     def keep(fn):
         QUERIES[name] = fn
-        SQL[name] = with_inputs(oracle, *tables) if tables else oracle
+        SQL[name] = with_bigints(with_inputs(oracle, *tables) if tables else oracle)
         return fn
 
     return keep
@@ -35,7 +35,7 @@ def _(spark, sf):
     return R.counts_by(load(spark, sf, "downloads"), "jurisdiction", 40)
 
 
-@register("a3_registry_profile", "select count(*) as n, count_if(trim(authority) <> '') as with_authority, count_if(length(topics) > 5) as with_topics, count_if(contains(lower(jurisdiction), 'federal')) as federal from registry", "registry")
+@register("a3_registry_profile", "select count(*) as n, count_if(trim(authority) <> '') as with_authority, count_if(length(topics) > 5) as with_topics, cast(count_if(contains(lower(jurisdiction), 'federal')) as bigint) as federal from registry", "registry")
 def _(spark, sf):
     return load(spark, sf, "registry").agg(F.count("*").alias("n"), F.count_if(F.trim("authority") != "").alias("with_authority"), F.count_if(F.length("topics") > 5).alias("with_topics"), F.count_if(F.lower("jurisdiction").contains("federal")).alias("federal"))
 
