@@ -205,3 +205,33 @@ def match_authority_by_name(hints: DataFrame, registry: DataFrame) -> DataFrame:
     found = asked.join(pairs, "hl").join(names, "nl").where("cl = '' or jc = '' or jc = cl or contains(jc, cl)")
     best = found.groupBy("k").agg(F.min_by(F.struct("name", "url", "jurisdiction", "region"), "rk").alias("a"))
     return best.select("k", "a.*")
+
+
+def legacy_laws(updates: DataFrame, tracking: DataFrame, registry: DataFrame) -> DataFrame:
+    """The client's own merge of the three tables: plain summaries, no matching; the earlier table wins a link."""
+    blank = C.text_or_blank
+    joined = lambda *cs: F.concat_ws(" · ", *[F.when(blank(c) != "", c) for c in cs])
+    country = lambda c: F.trim(F.regexp_replace(blank(c), r"(?i)\s*[-–—]\s*federal$", ""))
+    first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
+    u, t, s = F.col, F.col, F.col
+    none = F.lit("")
+    unit = first(t("federal_or_state"), F.lit("Federal"))
+    topics = F.filter(F.split("topics", ","), lambda x: x != "")
+    shown = F.array_join(F.slice(topics, 1, 4), ", ")
+
+    def rows(table: DataFrame, source: str, **made: Column) -> DataFrame:
+        return table.select("k", *[c.alias(n) for n, c in made.items()], F.lit(source).alias("source"))
+
+    tables = [
+        rows(updates, "collector", name=first(u("title"), F.lit("Update")), summary=joined(u("topical_relevance"), u("law_area")), country=country(u("country")), level=F.lit("Federal"), level_detail=F.lit("Federal"), law_area=blank(u("law_area")), link=blank(u("link")), authority=blank(u("authority"))),
+        rows(tracking, "tracking", name=first(t("remarks"), t("topical_relevance"), F.lit("Tracked")), summary=joined(t("remarks"), t("topical_relevance"), t("law_area")), country=blank(t("country")), level=F.when(F.lower(unit) == "federal", "Federal").otherwise("State"), level_detail=unit, law_area=blank(t("law_area")), link=blank(t("link")), authority=none),
+        rows(registry.where("authority <> '' and url <> ''"), "source", name=s("authority"), summary=joined(s("segment"), shown), country=country(s("jurisdiction")), level=F.when(s("jurisdiction").rlike("(?i)federal"), "Federal").otherwise("State"), level_detail=blank(s("jurisdiction")), law_area=blank(s("segment")), link=s("url"), authority=s("authority")),
+    ]
+    return union_by_precedence(tables, F.lower(F.when(F.col("link") != "", F.col("link")).otherwise(F.col("name"))))
+
+
+def laws_order(newest_first: bool = True) -> list[Column]:
+    """Sort keys of the laws catalog: collector, tracking, sources; dated rows first, by date, then country and name."""
+    rank = F.when(F.col("source") == "collector", 0).when(F.col("source") == "tracking", 1).otherwise(2)
+    date = C.text_or_blank(F.col("date"))
+    return [rank, F.when(date == "", 1).otherwise(0), F.desc(date) if newest_first else F.asc(date), F.asc(C.text_or_blank(F.col("country"))), F.asc(C.text_or_blank(F.col("name"))), F.asc("k")]

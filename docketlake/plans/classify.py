@@ -312,3 +312,35 @@ _hint = "split_part('Bank of ~the Tax Agency FRANCE desk~Ministry GERMANY~xyz of
 )
 def _(spark, sf):
     return K.match_authority_by_name(load(spark, sf, "updates").selectExpr("k", f"{_hint} as hint", "country"), load(spark, sf, "registry"))
+
+
+def _said(*columns: str) -> str:
+    return "concat_ws(' · ', " + ", ".join(f"nullif({c}, '')" for c in columns) + ")"
+
+
+_topics4 = "array_to_string(list_filter(string_split(topics, ','), lambda x: x <> '')[1:4], ', ')"
+_bare = "trim(regexp_replace({}, '(?i)\\s*[-–—]\\s*federal$', ''))"
+
+
+@register(
+    "c16_legacy_laws",
+    f"""with r as (select 0 as rank, k, coalesce(nullif(title, ''), 'Update') as name, {_said('topical_relevance', 'law_area')} as summary, {_bare.format('country')} as country, 'Federal' as level, 'Federal' as level_detail, law_area, link, authority, 'collector' as source from updates
+    union all select 1, k, coalesce(nullif(remarks, ''), nullif(topical_relevance, ''), 'Tracked'), {_said('remarks', 'topical_relevance', 'law_area')}, country, case when lower(coalesce(nullif(federal_or_state, ''), 'Federal')) = 'federal' then 'Federal' else 'State' end, coalesce(nullif(federal_or_state, ''), 'Federal'), law_area, link, '', 'tracking' from tracking
+    union all select 2, k, authority, {_said('segment', _topics4)}, {_bare.format('jurisdiction')}, case when regexp_matches(jurisdiction, '(?i)federal') then 'Federal' else 'State' end, jurisdiction, segment, url, authority, 'source' from registry where authority <> '' and url <> '')
+    select * exclude (rank, n) from (select *, row_number() over (partition by lower(case when link <> '' then link else name end) order by rank, k) as n from r) where n = 1""",
+    "updates", "tracking", "registry",
+)
+def _(spark, sf):
+    return K.legacy_laws(load(spark, sf, "updates"), load(spark, sf, "tracking"), load(spark, sf, "registry"))
+
+
+@register(
+    "w9_laws_sort",
+    f"with {TRACKING_LAWS} select k, row_number() over (order by case when date = '' then 1 else 0 end, date desc, country, name, k) as place from tlaws order by place limit 300",
+    "tracking", "registry",
+)
+def _(spark, sf):
+    from ..operators.rank import keep_top
+
+    laws = K.law_rows_from_tracking(load(spark, sf, "tracking"), load(spark, sf, "registry"))
+    return keep_top(laws, [], 300, *K.laws_order(), name="place").select("k", "place")
