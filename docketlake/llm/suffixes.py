@@ -16,6 +16,7 @@ Entries are only made for anchors that a count-min sketch estimates repeated, an
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -184,6 +185,57 @@ def entries(docs: DataFrame, bits: np.ndarray, length: int, gram: int, depth: in
     return map_arrow(docs, run, ENTRY)
 
 
+CONTEXT = "a long, b long, doc_id long, spot long, n int, seen boolean, text binary"
+
+
+def partial_contexts(docs: DataFrame, bits: np.ndarray, length: int, gram: int, depth: int, width: int) -> DataFrame:
+    """The stretches whose key is in ``bits``, with their bytes; one of each ctx a part."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+        out: list[tuple] = []
+        for part in stretches(texts, length, gram):
+            part = part.take(np.nonzero(_repeated(shared.value, part.key, depth, width))[0])
+            if not len(part.rows):
+                continue
+            ctx = part.contexts()
+            first, equals = _twins(part.key, ctx)
+            own = part.take(np.nonzero(first)[0])
+            raw = {r: texts[r].encode() for r in set(own.rows.tolist())}
+            cut = [raw[r][lo : lo + n + length - 1] for r, lo, n in zip(own.rows.tolist(), own.lo.tolist(), own.n.tolist())]
+            upper = _uppers(texts, own.rows)
+            out.append((own.key.view(np.int64), ctx[first].view(np.int64), ids[own.rows], upper[own.rows] | own.lo, own.n, equals[first] > 1, cut))
+        if not out:
+            return None
+        return _rows(out).rename_columns(["a", "b", "doc_id", "spot", "n", "seen", "text"])
+
+    return map_arrow(docs, run, CONTEXT)
+
+
+def compare_contexts(contexts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, own, runs): repeated starts of contexts that occur once, among the few contexts of their key."""
+    one = contexts.repartition("a").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("seen").alias("seen"), F.min_by(F.struct("doc_id", "spot", "n", "text"), F.struct("doc_id", "spot")).alias("r"))
+    lists = one.groupBy("a").agg(F.collect_list(F.struct((F.col("seen") | (F.col("c") > 1)).alias("known"), "r.*")).alias("l")).where(F.size("l") > 1).select("l")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids, owns, runs = [], [], []
+        for contexts in batch.column("l").to_pylist():
+            strings = [[c["text"][t : t + length] for t in range(c["n"])] for c in contexts]
+            seen = Counter(x for own in strings for x in own)
+            for c, own in zip(contexts, strings):
+                if not c["known"] and (hits := [t for t, x in enumerate(own) if seen[x] > 1]):
+                    ids.append(c["doc_id"])
+                    owns.append(c["spot"] >> 32)
+                    starts = np.array(hits) + (c["spot"] & ((1 << 31) - 1))
+                    runs.append(np.stack((starts, np.ones(len(starts), np.int64)), 1).astype("<i4").tobytes())
+        if not ids:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owns, pa.int64()), pa.array(runs, pa.binary())], ["doc_id", "own", "runs"])
+
+    return map_arrow(lists, run, "doc_id long, own long, runs binary")
+
+
 def partial_strings(docs: DataFrame, bits: np.ndarray, length: int, gram: int, depth: int, width: int) -> DataFrame:
     """Single strings (a, b: their digest) of the stretches whose key is in ``bits``, one stretch of each ctx a part."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -209,8 +261,8 @@ class IndexFamily:
 
     levels: list[tuple[int, DataFrame]] = field(default_factory=list)
 
-    def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Insert a batch: (entries that it shows repeated, old and new; keys that it shows partially matched).
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Insert a batch; returns the entries that it shows repeated, old and new.
 
         Levels of the batch's size merge with it, one after another, in this very scan; larger ones are only scanned.
         """
@@ -225,10 +277,13 @@ class IndexFamily:
             .withColumn("nth", F.row_number().over(same.orderBy(F.desc("old"), "doc_id", "spot")))
         )
         found = scan.where("more or seen").select("doc_id", "spot", "n")
-        partial = scan.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where("x < y").select("a")
         kept = scan.where("not old and nth = 1").withColumn("seen", F.col("seen") | F.col("more")).drop("old", "more", "nth")
         self.levels.append((size, kept))
-        return found, partial
+        return found
+
+    def partial(self) -> DataFrame:
+        """(a, n): keys with more than one ctx, and how many; a ctx is in one level only."""
+        return _union([t for _, t in self.levels]).groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -249,14 +304,15 @@ def key_bits(keys: DataFrame, depth: int, width: int) -> np.ndarray:
     return add_cells(map_arrow(keys, run, "stretch int, cells binary"), depth, width, 1)
 
 
-def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64, batches: int = 4, depth: int = 2, sketch_bytes: int = 128 << 20) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64, batches: int = 4, depth: int = 2, sketch_bytes: int = 128 << 20, few: int = 64) -> DataFrame:
     """Remove the bytes covered by a ``length``-byte string that also starts anywhere else, in the same text or another.
 
     One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
     Null and empty texts have no bytes; strings never cross texts; repeated rows, and rows without doc_id, are texts of
     their own, so copies remove each other whole (from ``length`` bytes on); an empty table gives no rows; further columns
     are ignored. The table enters the index family in ``batches`` parts by a hash of doc_id. ``sketch_bytes`` bounds the
-    sketches sent to every executor: beyond, they let more through to the exact steps, which stay right.
+    sketches sent to every executor: beyond, they let more through to the exact steps, which stay right. Keys of up to
+    ``few`` contexts bring their bytes together; fuller ones are resolved string by string across tasks.
     """
     table = text_table(docs)
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -265,19 +321,21 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64, batches:
         width *= 2
     bits = sketch(table, length, gram, depth, width)
     made = saved(entries(table, bits, length, gram, depth, width))
-    family, found, partial = IndexFamily(), [], []
+    family, found = IndexFamily(), []
     suffixes = made.where("runs is null").drop("runs")
     for i in range(batches):
-        whole, parted = family.add(suffixes.where(F.pmod(F.xxhash64("doc_id", F.shiftright("spot", 32)), F.lit(batches)) == i))
-        found.append(whole)
-        partial.append(parted)
-    edge = saved(partial_strings(table, key_bits(_union(partial).distinct(), depth, width), length, gram, depth, width))
+        found.append(family.add(suffixes.where(F.pmod(F.xxhash64("doc_id", F.shiftright("spot", 32)), F.lit(batches)) == i)))
+    partial = saved(family.partial())
+    some, many = (key_bits(partial.where(test).select("a"), depth, width) for test in (F.col("n") <= few, F.col("n") > few))
+    near = compare_contexts(partial_contexts(table, some, length, gram, depth, width), length)
+    edge = saved(partial_strings(table, many, length, gram, depth, width))
     same = Window.partitionBy("a", "b")
-    single = edge.where("runs is null").select("a", "b", "doc_id", "spot", "n").withColumn("m", F.count("*").over(same)).where("m > 1")
+    single = edge.where("runs is null").select("a", "b", "doc_id", "spot", "n", "seen").withColumn("m", F.count("*").over(same)).where("m > 1")
     starts = _union([*found, single.select("doc_id", "spot", "n")]).select(
         "doc_id", F.shiftright("spot", 32).alias("own"), (F.col("spot").bitwiseAND(F.lit((1 << 31) - 1)) * F.lit(1 << 31) + F.col("n")).alias("start"), F.lit(None).cast("binary").alias("runs")
     )
     runs = _union([made, edge]).where("runs is not null").select("doc_id", F.shiftright("spot", 32).alias("own"), F.lit(None).cast("long").alias("start"), "runs")
+    runs = runs.unionByName(near.select("doc_id", "own", F.lit(None).cast("long").alias("start"), "runs"))
     marks = starts.unionByName(runs).groupBy("doc_id", "own").agg(F.collect_list("start").alias("_starts"), F.collect_list("runs").alias("_runs"))
     marks = marks.select(F.col("doc_id").alias("_doc"), F.col("own").alias("_own"), "_starts", "_runs")
     on = (F.coalesce("doc_id", F.lit(-1)) == F.col("_doc")) & (F.shiftrightunsigned(F.xxhash64("text"), 33) == F.col("_own"))

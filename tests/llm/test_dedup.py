@@ -149,9 +149,9 @@ def brute_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 5])
-def test_repeated_bytes(docs, corpus, batches):
-    rows = suffixes.repeated_bytes(docs, batches=batches).collect()
+@pytest.mark.parametrize(("batches", "few"), [(1, 64), (5, 1)])
+def test_repeated_bytes(docs, corpus, batches, few):
+    rows = suffixes.repeated_bytes(docs, batches=batches, few=few).collect()
     assert Counter(tuple(r) for r in rows) == brute_bytes(corpus, 200)
 
 
@@ -176,9 +176,8 @@ def test_index_family_levels(spark):
     found = Counter()
     for i in range(4):
         rows = [(1, 1, i, 7, 3, False), (2, i, i, 8, 3, False), (10 + i, 1, i, 9, 3, False)]
-        hits, partial = family.add(spark.createDataFrame(rows, schema))
-        found.update(r.doc_id for r in hits.collect())
-        assert [r.a for r in partial.collect()] == ([2] if i else [])
+        found.update(r.doc_id for r in family.add(spark.createDataFrame(rows, schema)).collect())
+        assert [(r.a, r.n) for r in family.partial().collect()] == ([(2, i + 1)] if i else [])
     assert [size for size, _ in family.levels] == [4]
     assert set(found) == {0, 1, 2, 3}
     assert family.levels[0][1].count() == 1 + 4 + 4
