@@ -181,11 +181,14 @@ def example_pages(n: int = 240, seed: int = 7) -> list[tuple[Page, list[bool]]]:
 
 
 def train(pages: DataFrame, sample: int = 400) -> Model:
-    """Fit on layouts written by rule and on at most ``sample`` rows of ``pages`` that name their own article in markup.
+    """Fit on layouts written by rule and on at most ``sample`` different pages that name their own article in markup.
 
-    The sample is the rows of the smallest hashes of their html, so it does not depend on how the table is dealt out.
+    The sample is the pages of the smallest hashes of their html, so it does not depend on how the table is dealt out.
+    The hashes alone find its limit; then one page of each hash up to it is fetched.
     """
-    rows = pages.where("html is not null").select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(sample).select("html").collect()
+    hashed = pages.where("html is not null").select("html", F.xxhash64("html").alias("h"))
+    limit = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = hashed.where(F.col("h") <= limit).groupBy("h").agg(F.first("html").alias("html")).orderBy("h").select("html").collect() if limit is not None else []
     marked = [(page, labels) for page in (parse(r[0]) for r in rows) if (labels := label_by_markup(page))]
     return fit(example_pages() + marked)
 
