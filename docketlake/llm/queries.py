@@ -67,4 +67,4 @@ QUERIES = {
     "op1_simhash": op1_simhash, "op2_best_fit": op2_best_fit, "op3_count_min": op3_count_min, "op4_compression": op4_compression, "op5_wu_manber": op5_wu_manber, "op6_warc_derivatives": op6_warc_derivatives, "op7_token_matrices": op7_token_matrices,
     "op8_kd_tree": op8_kd_tree, "op9_suffix_family": op9_suffix_family, "op10_tree_model": op10_tree_model,
 }
-SQL: dict[str, str] = {"op3_count_min": substring.SQL, "op5_wu_manber": decontaminate.SQL}
+SQL: dict[str, str] = {"op3_count_min": substring.SQL, "op5_wu_manber": decontaminate.SQL, "op9_suffix_family": suffixes.SQL}

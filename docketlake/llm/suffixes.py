@@ -363,3 +363,17 @@ def _gone(size: int, starts: list[int] | None, runs: list[bytes] | None, length:
         np.add.at(edges, p[:, 0], 1)
         np.add.at(edges, p[:, 0] + p[:, 1] - 1 + length, -1)
     return np.cumsum(edges[:-1]) > 0
+
+
+SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select doc_id, j, substr(h, 2 * j + 1, 1198) as q from (select doc_id, h, unnest(range(0, length(h) // 2 - 199, 400)) as j from d where length(h) >= 400)),
+w as (select doc_id, j + i as i, md5(substr(q, 2 * i + 1, 400)) as m from (select doc_id, j, q, unnest(range(length(q) // 2 - 199)) as i from p)),
+dup as (select doc_id, i from (select doc_id, i, count(*) over (partition by m) as c from w) where c > 1),
+cut as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 200 then 0 else 1 end as s from dup),
+spans as (select doc_id, min(i) as a, max(i) + 200 as b from (select doc_id, i, sum(s) over (partition by doc_id order by i) as g from cut) group by doc_id, g),
+total as (select d.doc_id, length(h) // 2 as n, coalesce(sum(b - a), 0) as gone, count(a) as k, coalesce(max(b), 0) as e from d left join spans on d.doc_id = spans.doc_id group by d.doc_id, h),
+pieces as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as f, a as t from spans union all select doc_id, e, n from total),
+kept as (select pieces.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' order by f) as x from pieces join d on d.doc_id = pieces.doc_id group by pieces.doc_id)
+select total.doc_id, cast(n as bigint) as n_bytes, cast(gone as bigint) as n_removed, cast(k as bigint) as n_spans, sha256(unhex(coalesce(x, ''))) as kept_sha256 from total join kept on total.doc_id = kept.doc_id
+"""
