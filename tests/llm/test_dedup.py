@@ -194,3 +194,64 @@ def test_gapless(spark):
     out = gapless(rows, ["g"], [F.col("id")], "slot", 7).collect()
     for g in (0, None):
         assert sorted(r.slot for r in out if r.g == g) == list(range(sum(r.g == g for r in out)))
+
+
+def jaccard(a, b, width=5):
+    one, two = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (folded(a).split(), folded(b).split()))
+    return len(one & two) / len(one | two)
+
+
+def test_keep_first_near_copies(spark):
+    """Planted copies at 0.8 to 0.95 go, those below stay; a crowd of near copies and a chain keep one each."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    texts, gone, stay = [], set(), set()
+    for k in range(120):
+        n = (200, 1000)[k % 2]
+        words = fresh(n)
+        texts.append(" ".join(words))
+        for changed in ((1, 2, 4, 6), (5, 10, 20, 40))[k % 2]:
+            other = list(words)
+            for at in np.linspace(10, n - 10, changed).astype(int):
+                other[at] = fresh(1)[0].upper()
+            j = jaccard(" ".join(words), " ".join(other))
+            if k // 2 % 4 == (1, 2, 4, 6, 5, 10, 20, 40).index(changed) % 4:
+                (gone if j >= 0.8 else stay).add(len(texts))
+                texts.append(" ".join(other))
+    assert len(gone) == 90 and len(stay) == 30
+    base, crowd = fresh(400), len(texts)
+    for _ in range(150):
+        other = list(base)
+        for at in rng.integers(0, 400, 4):
+            other[at] = fresh(1)[0]
+        texts.append(" ".join(other))
+    rows = [(i, t, None, None, len(t)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in simhash.keep_first(table).collect()}
+    assert kept == set(range(crowd + 1)) - gone
+
+
+def test_crowded_cells_lose_no_link(spark):
+    """Blocks of two leave most pairs of a crowd to the pass over mixed cells."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 300)]
+    texts = []
+    for _ in range(60):
+        other = list(base)
+        for at in rng.integers(0, 300, int(rng.integers(1, 12))):
+            other[at] = f"w{rng.integers(0, 1 << 40)}"
+        texts.append(" ".join(other))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8 and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    table = simhash.banded(docs)
+    got = {r.node: r.root for r in simhash.similar_links(table, dense=2).collect()}
+    keys = {r.doc_id: r.key for r in table.select("doc_id", "key").collect()}
+    groups = defaultdict(set)
+    for i, k in keys.items():
+        groups[got.get(k, k)].add(i)
+    assert 1 < len(set(root)) < 60
+    assert {min(g) for g in groups.values()} == set(root)
