@@ -41,6 +41,21 @@ def test_bands_reject_repetitive_and_incompressible():
     assert letters and not judge.row(None)[-1]
 
 
+def test_bands_judge_the_tail():
+    """Noise after the last full chunk counts; clean prose of the same length stays, and 4096 bytes are one chunk."""
+    rng = __import__("random").Random(8)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    prose = " ".join(rng.choice(words) for _ in range(4000)).encode()
+    noise = __import__("base64").b64encode(rng.randbytes(4095))[:4095]
+    judge = quality._Judge(quality.Bands())
+    for tail in (4095, 2500):
+        ratio, share, within = judge.verdict(prose[:4096] + noise[:tail])
+        assert ratio < 0.68 and share == 0.5 and not within
+        assert judge.verdict(prose[: 4096 + tail])[1:] == (0.0, True)
+    assert judge.verdict(noise + b"x")[1] == 1.0 and judge.verdict(prose[:4096])[1:] == (0.0, True)
+    assert judge.verdict(prose[:12288])[1:] == (0.0, True)
+
+
 def test_quality_keep(docs):
     out = quality.keep_good(docs)
     assert out.columns == docs.columns
