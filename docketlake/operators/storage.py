@@ -12,20 +12,34 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """Folder that all executors see: spark.checkpoint.dir. Where it is unset a local master gets a temporary one (tests), any other an error."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-ckpt-")
         atexit.register(shutil.rmtree, named, True)
-        spark.sparkContext.setCheckpointDir(named)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
     return named
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` wrote and nothing will read again, such as the last round of a loop."""
+    for table in tables:
+        if path := getattr(table, "_saved_at", None):
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
