@@ -87,11 +87,15 @@ def test_embedding_bounds_hamming(spark):
         assert [e >> 4 * i & 15 for i in range(16)] == [(fp % (1 << 64) >> 4 * i & 15).bit_count() for i in range(16)]
 
 
-def test_keep_first(docs):
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert 3 in ids and 68 not in ids and 69 not in ids
+def test_keep_first(docs, corpus, none):
+    """Copies go, repeated rows of a kept doc_id and rows without doc_id stay; clashing columns pass through."""
+    clash = docs.withColumns({"_keep": F.lit(1), "key": F.lit("k"), "gone": F.lit(2), "fp": F.lit(0), "root": F.lit(None).cast("string")})
+    kept = simhash.keep_first(clash)
+    assert kept.schema == clash.schema
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert ids[3] == 1 and not ids[68] and not ids[69] and ids[5] == 2 and ids[None] == 1
+    assert len([i for i in ids if i is not None and not (corpus[i][1] or "").split()]) == 1  # empty texts are copies of each other
+    assert simhash.keep_first(none).count() == 0
 
 
 def brute_windows(rows, width=50):
@@ -232,7 +236,7 @@ def test_keep_first_near_copies(spark):
 
 
 def test_crowded_cells_lose_no_link(spark):
-    """Blocks of two leave most pairs of a crowd to the pass over mixed cells."""
+    """A crowd whose members are mostly less alike than 0.8: buckets of three against blocks of four find every component."""
     rng = np.random.default_rng(4)
     base = [f"w{x}" for x in rng.integers(0, 1 << 40, 300)]
     texts = []
@@ -248,7 +252,8 @@ def test_crowded_cells_lose_no_link(spark):
             if jaccard(texts[i], texts[j]) >= 0.8 and root[i] != root[j]:
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     table = simhash.banded(docs)
-    got = {r.node: r.root for r in simhash.similar_links(table, dense=2).collect()}
+    reps = table.withColumn("first_id", F.col("doc_id"))
+    got = {r.node: r.root for r in simhash.similar_links(reps, docs, probes=3, block=4).collect()}
     keys = {r.doc_id: r.key for r in table.select("doc_id", "key").collect()}
     groups = defaultdict(set)
     for i, k in keys.items():
