@@ -19,15 +19,23 @@ MIME_TYPES = {
     "application/vnd.openxmlformats-officedocument.presentationml.presentation": "PPTX", "text/csv": "CSV", "application/rtf": "RTF",
     "application/vnd.oasis.opendocument.text": "ODT", "application/vnd.oasis.opendocument.spreadsheet": "ODS", "text/plain": "TXT",
 }
-DOC_EXTENSIONS = r"\.(pdf|doc|docx|xls|xlsx|ppt|pptx|csv)$"
+DOC_EXTENSIONS = r"\.(?:pdf|doc|docx|xls|xlsx|ppt|pptx|csv)$"
 PDF_LINK = r"(?i)\.pdf(\.aspx)?($|\?|#|;)"
 ATTACHMENT = r"(?i)/getattachment/.*\.pdf"
 FILE_ENDPOINT = r"(?i)/(websitefile|sharedfile|downloadfile|getfile|filedownload|download\.ashx)(/|$|\?)"
 #: Path markers of pages that are visited first and second.
 FIRST_PAGES = "knowledgecenter|researchlibrary|/documents|regulations|policies|mediacenter|datasource|_api/|newsletter|ruleslibrary|docscenter|websitefile|sharedfile|legislation|/doc/|infocenter"
 SECOND_PAGES = "/about|/sectors|/research|eparticipation|informationcenter"
-JUNK_PATH = r"(?i)/news(/|$)|/media(/|$)|/press|/events?(/|$)|/careers?|/jobs|/tenders?(/|$)|/procurement|/gallery|/videos?|/blog|/social|/about(-us)?(/|$)|/contact|/faq|/training|/workshop|/conference|portalindicators|/researchs/portal"
-LEGAL_PATH = r"(?i)/laws?(/|$)|/legislation|/regulations?|/legal|/circulars?|/decrees?|/policies|/policy|/rules|/bylaws?|/compliance|/licensing|/systems?(/|$)|/statutes?|/documents?/legal|/docslibrary|/library/laws|/e-services/regulations|نظام|لائحة|تشريع|قانون|تعميم|قرار|ضوابط|اشتراطات|%D9%86%D8%B8%D8%A7%D9%85|%D9%84%D8%A7%D8%A6%D8%AD%D8%A9"
+JUNK_PATH = r"(?i)(?:/news(?:/|$)|/media(?:/|$)|/press|/events?(?:/|$)|/careers?|/jobs|/tenders?(?:/|$)|/procurement|/gallery|/videos?|/blog|/social|/about(?:-us)?(?:/|$)|/contact|/faq|/training|/workshop|/conference|portalindicators|/researchs/portal)"
+LEGAL_PATH = r"(?i)(?:/laws?(?:/|$)|/legislation|/regulations?|/legal|/circulars?|/decrees?|/policies|/policy|/rules|/bylaws?|/compliance|/licensing|/systems?(?:/|$)|/statutes?|/documents?/legal|/docslibrary|/library/laws|/e-services/regulations|نظام|لائحة|تشريع|قانون|تعميم|قرار|ضوابط|اشتراطات|%D9%86%D8%B8%D8%A7%D9%85|%D9%84%D8%A7%D8%A6%D8%AD%D8%A9)"
+#: Companion hosts that count as one site.
+COMPANIONS = (
+    ("sama.gov.sa", "rulebook.sama.gov.sa"),
+    ("moj.gov.sa", "laws.moj.gov.sa"),
+    ("cma.org.sa", "cma.gov.sa"),
+    ("gosi.gov.sa", "cmsgosi.gosi.gov.sa"),
+    ("sdaia.gov.sa", "dgp.sdaia.gov.sa", "ndmo.sdaia.gov.sa"),
+)
 
 
 def scheme(url: Column) -> Column:
@@ -107,11 +115,24 @@ def _folded(url: Column) -> Column:
     return F.concat(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1), F.lit("/"), F.array_join(kept, "/"), closed, F.regexp_extract(url, r"^[^?#]*(.*)$", 1))
 
 
-def is_same_site(host: Column, seed: Column, one_way: bool = False) -> Column:
-    """Equal hosts, or ``host`` below ``seed``; unless ``one_way``, also ``seed`` below ``host``. Blank hosts never match."""
+def is_same_site(host: Column, seed: Column, one_way: bool = False, exact: bool = False, companions=COMPANIONS) -> Column:
+    """Equal hosts, ``host`` below ``seed``, ``seed`` below ``host`` or both of one group of ``companions``. Blank hosts never match.
+
+    ``one_way`` leaves out hosts above the seed and companions; ``exact`` asks for equal hosts but for www.
+    """
+    bare = lambda h: F.regexp_replace(F.lower(F.coalesce(h, F.lit(""))), r"^www\.", "")
+    host, seed = bare(host), bare(seed)
+    known = (host != "") & (seed != "")
+    if exact:
+        return known & (host == seed)
     below = F.concat(F.lit("."), host).endswith(F.concat(F.lit("."), seed))
+    if one_way:
+        return known & below
     above = F.concat(F.lit("."), seed).endswith(F.concat(F.lit("."), host))
-    return (host != "") & (seed != "") & (below if one_way else below | above)
+    group = F.lit(False)
+    for hosts in companions:
+        group = group | (host.isin(*hosts) & seed.isin(*hosts))
+    return known & (below | above | group)
 
 
 def looks_like_doc(url: Column) -> Column:

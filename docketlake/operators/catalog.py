@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import urls as U
 
-FULL_DUMP_KINDS = ("site", "full", "custom", "all_pdfs")
-
 
 def split_regulatory(docs: DataFrame, min_score: int = 15) -> tuple[DataFrame, DataFrame]:
     """(kept, rejected), both with score; docs (url, title, ...)."""
@@ -158,8 +156,9 @@ def _law_columns(rows: DataFrame) -> DataFrame:
 def union_by_precedence(tables: list[DataFrame], key: Column, order: str = "k") -> DataFrame:
     """All rows of the tables, but of one ``key`` only the first row of the first table that has it."""
     ranked = reduce(lambda a, b: a.unionByName(b), [t.withColumn("_rank", F.lit(i)) for i, t in enumerate(tables)])
-    window = Window.partitionBy(key).orderBy("_rank", order)
-    return ranked.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n", "_rank")
+    row = F.struct(*[F.col(f"`{c}`") for c in tables[0].columns])
+    first = ranked.groupBy(key.alias("_key")).agg(F.min_by(row, F.struct("_rank", order)).alias("_first"))
+    return first.select(*[F.col(f"_first.`{c}`").alias(c) for c in tables[0].columns])
 
 
 def laws_catalog(updates: DataFrame, tracking: DataFrame, registry: DataFrame) -> DataFrame:

@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from .harvest import anchors
-from .storage import saved
+from .harvest import anchors, api_hints, document_urls, embeds
+from .rank import empty_streaks
+from .storage import numbered, saved
+
+
+#: How links are found, the first counts where one is found in several ways.
+METHODS = ("href", "embed", "embedded-url", "getattachment", "quoted-path", "script", "api")
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, kind): document, same_site or off_site, for every link of every page."""
-    rows = pages.select("page_id", F.col("url").alias("src")).join(anchors(pages), "page_id")
-    kind = F.when(U.looks_like_doc(F.col("url")), "document").when(U.is_same_site(U.host_of(F.col("url")), U.host_of(F.col("src"))), "same_site").otherwise("off_site")
-    return rows.select("src", F.col("url").alias("dst"), kind.alias("kind")).distinct()
+    """(src, dst, kind, method, text): every link of every page, by anchors, embedded media, named documents and API paths.
 
+    kind is document, same_site or off_site; a link that a page has twice keeps its first method and, of that, its text.
+    """
+    blank = F.lit("")
+    apis = pages.select("page_id", F.col("url").alias("base"), F.explode(api_hints(F.col("html"), 40)).alias("path"))
+    found = (
+        anchors(pages).select("page_id", "url", F.lit("href").alias("method"), F.substring("text", 1, 300).alias("text"))
+        .union(embeds(pages).select("page_id", "url", F.lit("embed"), blank))
+        .union(document_urls(pages).select("page_id", "url", "method", blank))
+        .union(apis.select("page_id", U.resolve_url(F.col("base"), F.col("path")), F.lit("api"), blank))
+    )
+    order = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method"))
+    rows = pages.select("page_id", F.col("url").alias("src")).join(found, "page_id").where(F.col("url").rlike("(?i)^https?://"))
+    kept = rows.groupBy("src", F.col("url").alias("dst")).agg(F.min(F.struct(order.alias("o"), "method", "text")).alias("m")).select("src", "dst", "m.method", "m.text")
+    kind = F.when(U.looks_like_doc(F.col("dst")), "document").when(U.is_same_site(U.host_of(F.col("dst")), U.host_of(F.col("src"))), "same_site").otherwise("off_site")
+    return kept.select("src", "dst", kind.alias("kind"), "method", "text")
 
-def crawl_closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 20, max_pages: int | None = None, focused: bool = False) -> DataFrame:
+
+def crawl_closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_pages: int | None = None, focused: bool = False) -> DataFrame:
     """(url, depth): what a crawl from the seeds (url) visits over the edges (src, dst).
 
-    Breadth first, a round a depth; each round is written before the next. With ``max_pages`` the last round takes pages
-    by priority and then URL up to the budget exactly; ``focused`` never visits junk pages. Without a budget only the set
-    reached is meaningful, which no order changes.
+    Breadth first, a round a depth, until nothing new is reached or ``max_depth`` is; edges and rounds are written once
+    each. With ``max_pages`` the last round takes pages by priority and then URL up to the budget exactly; ``focused``
+    never visits junk pages. Without a budget only the set reached is meaningful, which no order changes.
     """
+    edges = saved(edges.select(F.col("src").alias("url"), "dst").distinct())
     frontier = saved(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    visited, total = frontier, frontier.count()
-    for depth in range(1, max_depth + 1):
-        reached = frontier.join(edges.select(F.col("src").alias("url"), "dst"), "url").select(F.col("dst").alias("url")).distinct()
+    visited, total, depth = frontier, frontier.count(), 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        reached = frontier.join(edges, "url").select(F.col("dst").alias("url")).distinct()
         if focused:
             reached = reached.where(~U.is_junk_page(F.col("url")))
         new = reached.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
@@ -43,16 +63,41 @@ def crawl_closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 20, max_p
     return visited
 
 
+def crawl_documents(visited: DataFrame, edges: DataFrame) -> DataFrame:
+    """(url, source_page, text, method): the documents that visited pages (url, depth) link to, as first found.
+
+    First is the page of the least depth, then of the smallest URL.
+    """
+    links = edges.where("kind = 'document'").select("src", "dst", "method", "text").join(visited.select(F.col("url").alias("page"), "depth"), F.col("src") == F.col("page"))
+    first = links.groupBy("dst").agg(F.min_by(F.struct("src", "text", "method"), F.struct("depth", "src")).alias("f"))
+    return first.select(F.col("dst").alias("url"), F.col("f.src").alias("source_page"), "f.text", "f.method")
+
+
 def frontier_order(urls: DataFrame, focused: bool = False) -> DataFrame:
-    """(k, url, place) in visiting order: legal pages first, then by priority; junk pages last, or not at all if ``focused``."""
+    """(k, url, queue, priority, place) in visiting order: legal pages first, then by priority; junk pages last, or not at all if ``focused``.
+
+    ``place`` counts within a queue. The whole frontier is numbered by ranges and each queue's start is taken off, so no
+    queue is one task's.
+    """
     queue = F.when(U.is_legal_priority_page(F.col("url")), 0).when(U.is_junk_page(F.col("url")), 2).otherwise(1)
     rows = urls.select("k", "url", queue.alias("queue"), U.page_priority(F.col("url")).alias("priority"))
-    rows = rows.where("queue < 2") if focused else rows
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("queue").orderBy("priority", "url", "k")))
+    rows = numbered(rows.where("queue < 2") if focused else rows, "_at", F.col("queue"), F.col("priority"), F.col("url"), F.col("k"))
+    starts = rows.groupBy("queue").agg(F.min("_at").alias("_start"))
+    return rows.join(F.broadcast(starts), "queue").withColumn("place", (F.col("_at") - F.col("_start") + 1).cast("int")).select("k", "url", "queue", "priority", "place")
+
 
+def site_reports(edges: DataFrame, visits: DataFrame, streak: int = 8) -> DataFrame:
+    """Report on each site: pages visited, documents, links by kind, errors and whether a streak of empty pages warns of blocking.
 
-def site_reports(edges: DataFrame) -> DataFrame:
-    """(site, pages, documents, same_site, off_site) of each source host."""
-    return edges.groupBy(U.host_of(F.col("src")).alias("site")).agg(
-        F.countDistinct("src").alias("pages"), *[F.count_if(F.col("kind") == k).alias(f"{k}_links") for k in ("document", "same_site", "off_site")]
+    edges (src, dst, kind), visits (url, seq, status, links): every fetch of a page in order, with how many links it gave.
+    """
+    site = lambda c: U.host_of(F.col(c)).alias("site")
+    linked = edges.groupBy(site("src")).agg(
+        F.count_distinct(F.when(F.col("kind") == "document", F.col("dst"))).alias("documents"), *[F.count_if(F.col("kind") == k).alias(f"{k}_links") for k in ("document", "same_site", "off_site")]
     )
+    rows = visits.select(site("url"), "url", "seq", "status", "links")
+    seen = rows.groupBy("site").agg(F.count_distinct("url").alias("pages"), F.count_if(F.col("status") != "ok").alias("errors"))
+    empty = empty_streaks(rows.where("status = 'ok'"), "site", "seq", "links", streak).select("site").distinct().withColumn("empty_streak", F.lit(True))
+    out = seen.join(linked, "site", "full").join(empty, "site", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("site", *[zero(c) for c in ("pages", "errors", "documents", "document_links", "same_site_links", "off_site_links")], F.coalesce("empty_streak", F.lit(False)).alias("empty_streak"))

@@ -7,15 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import numbered
+
 
 def dedupe_first(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key by ``order``."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
+    """The first row of each key by ``order``, ascending: an aggregate, so a key that a third of the rows share is reduced where they are read."""
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*order)).alias("_first"))
+    return first.select(*[F.col(f"_first.`{c}`").alias(c) for c in rows.columns])
 
 
 def keep_top(rows: DataFrame, groups: list[str], n: int, *order: Column, name: str = "rank") -> DataFrame:
-    """The first ``n`` rows of each group by ``order``, with their rank; without groups, of the whole table."""
+    """The first ``n`` rows of each group by ``order``, with their rank; without groups, of the whole table.
+
+    Spark limits each partition to ``n`` rows a group before it shuffles, so a group's size does not matter.
+    """
     if not groups:
         rows = rows.orderBy(*order).limit(n)
         return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
@@ -23,11 +28,14 @@ def keep_top(rows: DataFrame, groups: list[str], n: int, *order: Column, name: s
 
 
 def relative_cutoff(scored: DataFrame, group: str, k: int, share: float = 0.35, from_best: int = 6, least: float = 1.0, *order: Column) -> DataFrame:
-    """Of each group the first ``k`` rows whose score reaches ``share`` of the best, once the best is ``from_best``; never less than ``least``."""
+    """Of each group the first ``k`` rows whose score reaches ``share`` of the best, once the best is ``from_best``; never less than ``least``.
+
+    The cut is taken among the first ``k``: it is a bound on the score, so both orders give the same rows.
+    """
+    top = keep_top(scored, [group], k, F.desc("score"), *order)
     best = F.max("score").over(Window.partitionBy(group))
     floor = F.when(best >= from_best, F.greatest(F.lit(least), best * share)).otherwise(F.lit(least))
-    kept = scored.withColumn("_floor", floor).where(F.col("score") >= F.col("_floor")).drop("_floor")
-    return keep_top(kept, [group], k, F.desc("score"), *order)
+    return top.withColumn("_floor", floor).where(F.col("score") >= F.col("_floor")).drop("_floor")
 
 
 def empty_streaks(visits: DataFrame, source: str, order: str, links: str, least: int = 8) -> DataFrame:
@@ -38,11 +46,24 @@ def empty_streaks(visits: DataFrame, source: str, order: str, links: str, least:
     return runs.groupBy(source, "_island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("_island")
 
 
+def failed_runs(visits: DataFrame, source: str, order: str, error: str, documents: str, errors: int = 20, pages: int = 12) -> DataFrame:
+    """(source, at): where a crawl gives up: the first visit by ``order`` that ends ``errors`` errors in a row while no
+    document was found (``documents``: found by the visit) and ``pages`` pages were visited.
+    """
+    so_far = Window.partitionBy(source).orderBy(order)
+    bad = F.col(error).cast("int")
+    marked = visits.withColumn("_island", F.sum(1 - bad).over(so_far)).withColumn("_found", F.sum(documents).over(so_far)).withColumn("_seen", F.row_number().over(so_far))
+    marked = marked.withColumn("_run", F.sum(bad).over(Window.partitionBy(source, "_island").orderBy(order)))
+    return marked.where((F.col("_run") >= errors) & (F.col("_found") == 0) & (F.col("_seen") >= pages)).groupBy(source).agg(F.min(order).alias("at"))
+
+
 def disambiguate(rows: DataFrame, name: str, order: str, mark: Column) -> DataFrame:
     """Names made unique: all but the first row of a name get ``_`` and ``mark`` before the extension."""
-    nth = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(order))
+    key = F.lower(F.col(name))
+    first = rows.groupBy(key.alias("_key")).agg(F.min(order).alias("_first"))
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return rows.withColumn(name, F.when(nth > 1, F.concat(stem, F.lit("_"), mark, ext)).otherwise(F.col(name)))
+    joined = rows.join(first, key == F.col("_key"), "left")
+    return joined.withColumn(name, F.when(F.col(order) > F.col("_first"), F.concat(stem, F.lit("_"), mark, ext)).otherwise(F.col(name))).drop("_key", "_first")
 
 
 def counts_by(rows: DataFrame, column: str, top: int | None = None) -> DataFrame:
@@ -69,19 +90,136 @@ def facet_values(rows: DataFrame, column: str, lists: bool = False) -> DataFrame
     return values.select(F.trim("value").alias("value")).where("value <> ''").distinct()
 
 
-def coverage(registry: DataFrame, catalog: DataFrame, expected: list[str], few: int = 3) -> DataFrame:
-    """For each jurisdiction of the registry: documents, kinds present and missing, years, and zero, partial or ok."""
-    have = catalog.groupBy("jurisdiction").agg(
-        F.count("*").alias("n"), F.sort_array(F.collect_set("source_kind")).alias("kinds"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.sort_array(F.collect_set("law_type")).alias("law_types"),
+#: The kinds of source that a registry row can ask for, by column.
+EXPECTED_KINDS = ("parliamentary_bills", "official_gazette")
+
+
+def coverage(gazette: DataFrame, catalog: DataFrame, few: int = 3) -> DataFrame:
+    """For each row of ``gazette`` (jurisdiction, parliamentary_bills, official_gazette): what the catalog has of it.
+
+    documents, kinds present, expected (those whose cell is filled) and missing, years (latest first), law types, and the
+    state: zero, partial (under ``few`` documents or a kind missing) or ok. Blank jurisdictions are Unknown on both sides.
+    """
+    known = lambda c: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("Unknown"))
+    some = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.col(c))
+    have = catalog.groupBy(known("jurisdiction").alias("_j")).agg(
+        F.count("*").alias("n"), F.sort_array(F.collect_set(some("source_kind"))).alias("kinds"), F.sort_array(F.collect_set("year"), asc=False).alias("years"), F.sort_array(F.collect_set(some("law_type"))).alias("law_types"),
     )
-    wanted = F.array(*[F.lit(k) for k in expected])
-    out = registry.select("jurisdiction").where("jurisdiction <> ''").distinct().join(have, "jurisdiction", "left")
+    expected = F.array_compact(F.array(*[F.when(F.trim(F.coalesce(F.col(k), F.lit(""))) != "", F.lit(k)) for k in EXPECTED_KINDS]))
+    out = gazette.select(known("jurisdiction").alias("jurisdiction"), expected.alias("expected")).join(have, F.col("jurisdiction") == F.col("_j"), "left").drop("_j")
     none = F.array().cast("array<string>")
-    out = out.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("kinds", F.coalesce("kinds", none)).withColumn("law_types", F.coalesce("law_types", none))
-    out = out.withColumn("missing", F.array_except(wanted, F.col("kinds")))
+    out = out.withColumns({"n": F.coalesce("n", F.lit(0)), "kinds": F.coalesce("kinds", none), "law_types": F.coalesce("law_types", none), "years": F.coalesce("years", F.array().cast("array<int>"))})
+    out = out.withColumn("missing", F.array_except("expected", "kinds"))
     return out.withColumn("state", F.when(F.col("n") == 0, "zero").when((F.col("n") < few) | (F.size("missing") > 0), "partial").otherwise("ok"))
 
 
+def laws_profile(laws: DataFrame, countries: int = 15) -> DataFrame:
+    """(metric, value, n) of a laws catalog: rows, those with an authority and with a summary of over 20 characters, rows of
+    each level, and of the ``countries`` most frequent countries (blank: ?)."""
+    named = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("?"))
+    total = laws.agg(F.count("*").alias("laws"), F.count_if(F.coalesce("authority", F.lit("")) != "").alias("with_authority"), F.count_if(F.length("summary") > 20).alias("with_summary"))
+    rows = total.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.lit("").alias("value"), F.col(c).alias("n")) for c in ("laws", "with_authority", "with_summary")])).alias("r")).select("r.*")
+    levels = laws.groupBy(named("level").alias("value")).agg(F.count("*").alias("n")).select(F.lit("level").alias("metric"), "value", "n")
+    most = laws.groupBy(named("country").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(countries).select(F.lit("country").alias("metric"), "value", "n")
+    return rows.unionByName(levels).unionByName(most)
+
+
+def run_stats(runs: DataFrame) -> DataFrame:
+    """One row: attempted, ok, failed, new_items of fetch runs."""
+    ok = F.col("status") == "ok"
+    return runs.agg(F.count("*").alias("attempted"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.sum("new_items").alias("new_items"))
+
+
+def source_reports(runs: DataFrame) -> DataFrame:
+    """Pages, candidates, kept items, errors and HTTP errors of each source."""
+    return runs.groupBy("source").agg(
+        F.count("*").alias("pages"), F.sum("item_count").alias("candidates"), F.sum("new_items").alias("kept"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status") == "http_error").alias("http_errors")
+    )
+
+
+def language_histogram(docs: DataFrame, least: int = 40) -> DataFrame:
+    """Documents of each language, those with ``least`` characters of text, and all characters."""
+    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.length("text") >= least).alias("with_text"), F.sum(F.length("text")).alias("chars"))
+
+
+def fewest_first(sources: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """(key, n, place): the sources in the order of how many documents each has, fewest first."""
+    n = documents.groupBy(key).agg(F.count("*").alias("n"))
+    counted = sources.select(key).distinct().join(n, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return numbered(counted, "place", F.col("n"), F.col(key))
+
+
+def blocked_hosts(runs: DataFrame, most: int = 50) -> DataFrame:
+    """(source, hosts): the first ``most`` hosts by name at which each source was blocked."""
+    from ..functions.urls import host_of
+
+    blocked = runs.where("http_status in (403, 429) or http_status >= 500").select("source", host_of(F.col("url")).alias("host")).distinct()
+    top = keep_top(blocked, ["source"], most, F.col("host"))
+    return top.groupBy("source").agg(F.sort_array(F.collect_list("host")).alias("hosts"))
+
+
+def distinct_sets(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    """The distinct non-null values of each column in each group, sorted."""
+    return rows.groupBy(group).agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns])
+
+
+def cap_per_source(rows: DataFrame, source: str, n: int) -> DataFrame:
+    """(source, kept, capped): how many rows of each source stay when it may have ``n`` (0: all), and how many do not."""
+    count = F.count("*")
+    kept = F.least(count, F.lit(n)) if n else count
+    return rows.groupBy(source).agg(kept.cast("long").alias("kept"), (count - kept).cast("long").alias("capped"))
+
+
+def number_citations(hits: DataFrame, group: str, label: str, n: int, *order: Column) -> DataFrame:
+    """(group, citations): the first ``n`` hits of each group as '[1] label [2] label ...'."""
+    top = keep_top(hits, [group], n, *order, name="_n")
+    line = F.concat(F.lit("["), F.col("_n").cast("string"), F.lit("] "), F.col(label).cast("string"))
+    return top.groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", line.alias("t")))), lambda x: x["t"]), " ").alias("citations"))
+
+
+def display_cap(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows by ``order``, each with the ``total`` of rows there are."""
+    return rows.orderBy(*order).limit(n).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
+
+
+def first_per_host(rows: DataFrame, order: str = "k") -> DataFrame:
+    """(host, first): the first row by ``order`` of each host, of rows with an http address and an authority."""
+    from ..functions.urls import host_of
+
+    hosts = rows.where(F.col("url").startswith("http") & (F.trim("authority") != "")).select(order, host_of(F.col("url")).alias("host")).where("host <> ''")
+    return hosts.groupBy("host").agg(F.min(order).alias(order))
+
+
+def kept_and_rejected(rows: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that pass ``test``, and all others (those for which it is null too)."""
+    sure = F.coalesce(test, F.lit(False))
+    return rows.where(sure), rows.where(~sure)
+
+
+def token_sets(one: Column, two: Column) -> dict[str, Column]:
+    """Columns that compare two sets of tokens: both, only_first, either."""
+    return {"both": F.array_intersect(one, two), "only_first": F.array_except(one, two), "either": F.array_union(one, two)}
+
+
+def site_of(hosts: DataFrame, companions: DataFrame) -> DataFrame:
+    """``hosts`` (.., host) with site: the group that ``companions`` (host, site) puts the host in, else the host itself."""
+    named = companions.select(F.col("host").alias("_h"), F.col("site").alias("_s"))
+    return hosts.join(named, F.col("host") == F.col("_h"), "left").withColumn("site", F.coalesce("_s", "host")).drop("_h", "_s")
+
+
+def latest_of(rows: DataFrame, key: str, stamp: str, *columns: str, tie: str = "k") -> DataFrame:
+    """Of each key the newest ``stamp`` and the ``columns`` of that row; ties by the greatest ``tie``."""
+    last = F.max_by(F.struct(*columns), F.struct(stamp, tie)).alias("_l")
+    return rows.groupBy(key).agg(F.max(stamp).alias(stamp), last).select(key, stamp, *[F.col(f"_l.{c}").alias(c) for c in columns])
+
+
+def page_changes(runs: DataFrame) -> DataFrame:
+    """(source, k, content_hash): successful runs without items whose page differs from the source's successful run before."""
+    before = F.lag("content_hash").over(Window.partitionBy("source").orderBy("k"))
+    ok = runs.where("http_status > 0 and http_status < 400").select("source", "k", "content_hash", "item_count", before.alias("_before"))
+    return ok.where("item_count = 0 and _before <> content_hash").select("source", "k", "content_hash")
+
+
 def new_items(items: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:
     """Items whose keys are not among the seen ones."""
     return items.join(seen.select(*keys).distinct(), list(keys), "left_anti")
@@ -100,6 +238,27 @@ def merge_manifest(existing: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select("url", F.coalesce("nj", "jurisdiction").alias("jurisdiction"), F.coalesce("nk", "source_kind").alias("source_kind"), F.when(F.col("nj").isNull(), "kept").when(F.col("jurisdiction").isNull(), "added").otherwise("relabelled").alias("change"))
 
 
+def merge_artifacts_into(existing: DataFrame, new: DataFrame, prefix: str) -> DataFrame:
+    """Rows (url, jurisdiction, source_kind, change) of a manifest after an artifact's rows (.., dry_run) are merged in.
+
+    Dry runs and rows without URL are left out, of rows of one URL the first by jurisdiction counts. A new URL is added; a
+    known one takes the new jurisdiction only where that starts with ``prefix`` and differs, and then the new kind, else
+    its own, else 'ministry'.
+    """
+    new = new.where(~F.coalesce("dry_run", F.lit(False)) & (F.coalesce("url", F.lit("")) != ""))
+    new = new.groupBy("url").agg(F.min(F.struct("jurisdiction", "source_kind")).alias("n"))
+    joined = existing.select("url", "jurisdiction", "source_kind", F.lit(True).alias("_old")).join(new, "url", "full")
+    label = F.coalesce("n.jurisdiction", F.lit(""))
+    added = F.col("_old").isNull()
+    better = ~added & label.startswith(prefix) & (label != F.coalesce("jurisdiction", F.lit("")))
+    kind = F.coalesce(F.nullif("n.source_kind", F.lit("")), F.nullif("source_kind", F.lit("")), F.lit("ministry"))
+    return joined.select(
+        "url", F.when(added | better, F.col("n.jurisdiction")).otherwise(F.col("jurisdiction")).alias("jurisdiction"),
+        F.when(added, F.col("n.source_kind")).when(better, kind).otherwise(F.col("source_kind")).alias("source_kind"),
+        F.when(added, "added").when(better, "relabelled").otherwise("kept").alias("change"),
+    )
+
+
 def relabel_by_host(docs: DataFrame, owners: DataFrame) -> DataFrame:
     """docs (k, host, jurisdiction) with the label of the owner (host, label) of their host or its longest parent."""
     from ..functions.urls import host_suffixes
@@ -117,8 +276,9 @@ def authority_documents(owners: DataFrame, docs: DataFrame, most: int = 12) -> D
     tails = docs.select("k", F.explode(host_suffixes(F.col("host"), 1)).alias("suffix"))
     by_host = owners.join(tails, owners["host"] == tails["suffix"]).select("code", "k")
     pairs = by_name.unionByName(by_host).distinct()
-    ranked = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("code").orderBy("k")))
-    return ranked.groupBy("code").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("_n") <= most, F.col("k")))), ",").alias("first_ids"))
+    counts = pairs.groupBy("code").agg(F.count("*").alias("n"))
+    first = keep_top(pairs, ["code"], most, F.col("k")).groupBy("code").agg(F.array_join(F.sort_array(F.collect_list("k")), ",").alias("first_ids"))
+    return counts.join(first, "code")
 
 
 def catalog_with_summaries(catalog: DataFrame, summaries: DataFrame) -> DataFrame:

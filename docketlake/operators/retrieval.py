@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rank import keep_top, relative_cutoff, topic_terms
+from .storage import numbered, saved
 
 #: Words that no question or document is found by.
 STOP = (
-    "the and for are you your what when where which who how does did with from that this have has was were will can could would should about into "
-    "more any all our its not but also than then them they there these those please tell give show read reading pdf pdfs document documents file files"
-).split()
+    "the", "and", "for", "are", "you", "your", "what", "when", "where", "which", "who", "how", "does", "did", "with", "from", "that", "this", "have", "has",
+    "was", "were", "will", "can", "could", "would", "should", "about", "into", "more", "any", "all", "our", "its", "not", "but", "also", "than", "then",
+    "them", "they", "there", "these", "those", "please", "tell", "give", "show", "read", "reading", "pdf", "pdfs", "document", "documents", "file", "files",
+)
 #: Words of legal sentences.
-LEGAL_WORDS = "shall regulation amend act bill article section authority ministry license compliance tax bank cyber data privacy insurance securities competition".split()
+LEGAL_WORDS = (
+    "shall", "regulation", "amend", "act", "bill", "article", "section", "authority", "ministry", "license", "compliance", "tax", "bank",
+    "cyber", "data", "privacy", "insurance", "securities", "competition",
+)
+#: Runs of characters that tokens are made of; whatever contains a token contains it in one of these.
+RUN = r"[a-z0-9]+|[\x{0600}-\x{06FF}]+"
 
 
 def tokens(text: Column) -> Column:
@@ -23,34 +30,61 @@ def tokens(text: Column) -> Column:
     return F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in STOP]))
 
 
+def _grams(text: Column, n: Column) -> Column:
+    """The distinct ``n``-character pieces of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, n)))
+
+
+def _gram_size(word: Column) -> Column:
+    """Length of the pieces that tokens of a word's script are found by: that of the shortest token."""
+    return F.when(word.rlike("^[a-z0-9]"), 3).otherwise(2)
+
+
 def retrieve(questions: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
     """(qid, id, score, rank): the documents that answer each question best.
 
     questions (qid, question), corpus (id, title, jurisdiction, summary). A document scores a point for each token it
     shares, four more where the title has it, two where its jurisdiction contains it, and for tokens of four letters two
     where the title and one where the summary contains them; six where the title contains the question's first forty
-    characters. Candidates are found by equal tokens, so the work follows the matches and not questions x documents;
-    documents that only contain a token inside a longer word are not candidates.
+    characters (of six or more).
+
+    All scoring documents are found, those too that only contain a token inside a longer word: each different word of the
+    corpus is matched once with the tokens that it contains, by way of their first characters, and a document's points
+    for a token come from the words that it holds. Points are added up by question and document; texts never meet. An
+    empty question or corpus gives no rows; null texts are empty.
     """
-    q = questions.select("qid", F.lower(F.trim("question")).alias("raw"), tokens(F.col("question")).alias("qt"))
-    terms = q.select("qid", F.explode("qt").alias("t"))
-    blob = F.concat_ws(" ", "title", "jurisdiction", "summary")
-    docs = corpus.select("id", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("jurisdiction", F.lit(""))).alias("place"), F.lower(F.coalesce("summary", F.lit(""))).alias("summary"), tokens(blob).alias("dt"), tokens(F.col("title")).alias("tt"))
-    hits = terms.join(docs.select("id", F.explode("dt").alias("t")), "t").select("qid", "id").distinct()
-    pairs = hits.join(q, "qid").join(docs, "id")
-    inside = lambda column, points, least: F.aggregate("qt", F.lit(0), lambda acc, t: acc + F.when((F.length(t) >= least) & F.contains(F.col(column), t), points).otherwise(0))
-    score = (
-        F.size(F.array_intersect("qt", "dt")) + 4 * F.size(F.array_intersect("qt", "tt")) + inside("place", 2, 0) + inside("title", 2, 4) + inside("summary", 1, 4)
-        + F.when((F.length("raw") >= 6) & F.contains(F.col("title"), F.substring("raw", 1, 40)), 6).otherwise(0)
+    q = questions.select("qid", F.lower(F.trim(F.coalesce("question", F.lit("")))).alias("raw"), tokens(F.col("question")).alias("qt"))
+    terms = saved(q.select("qid", F.explode("qt").alias("t")))
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    docs = corpus.select("id", low("title").alias("title"), low("jurisdiction").alias("place"), low("summary").alias("summary"))
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(RUN), 0))
+    held = docs.select("id", runs("title").alias("tw"), runs("place").alias("pw"), runs("summary").alias("sw"))
+    words = held.select("id", F.explode(F.array_union(F.array_union("tw", "pw"), "sw")).alias("w"), "tw", "pw", "sw")
+    words = saved(words.select("id", "w", F.array_contains("tw", F.col("w")).alias("in_title"), F.array_contains("pw", F.col("w")).alias("in_place"), F.array_contains("sw", F.col("w")).alias("in_summary")))
+    wanted = terms.select("t").distinct().withColumn("g", F.substr("t", F.lit(1), _gram_size(F.col("t"))))
+    vocabulary = words.select("w").distinct().select("w", F.explode(_grams(F.col("w"), _gram_size(F.col("w")))).alias("g"))
+    matched = vocabulary.join(wanted, "g").where(F.contains("w", "t")).select(F.col("w").alias("word"), "t").distinct()
+    postings = words.join(matched, F.col("w") == F.col("word")).groupBy("id", "t").agg(
+        F.max(F.col("w") == F.col("t")).alias("shared"), F.max((F.col("w") == F.col("t")) & F.col("in_title")).alias("headed"),
+        F.max("in_place").alias("in_place"), F.max("in_title").alias("in_title"), F.max("in_summary").alias("in_summary"),
     )
-    scored = pairs.select("qid", "id", score.alias("score")).where("score >= 1")
+    n = lambda test, points: F.when(test, points).otherwise(0)
+    long = F.length("t") >= 4
+    points = n(F.col("shared"), 1) + n(F.col("headed"), 4) + n(F.col("in_place"), 2) + n(long & F.col("in_title"), 2) + n(long & F.col("in_summary"), 1)
+    by_token = terms.join(postings.select("id", "t", points.alias("points")), "t").select("qid", "id", "points")
+    heads = q.where("length(raw) >= 6").select("qid", F.substring("raw", 1, 40).alias("head"), F.substring("raw", 1, 6).alias("g6"))
+    titles = docs.where("length(title) >= 6").select("id", "title", F.explode(_grams(F.col("title"), F.lit(6))).alias("g6"))
+    by_head = titles.join(heads, "g6").where(F.contains("title", "head")).select("qid", "id", F.lit(6).alias("points")).distinct()
+    scored = by_token.unionByName(by_head).groupBy("qid", "id").agg(F.sum("points").cast("int").alias("score")).where("score >= 1")
     return relative_cutoff(scored, "qid", k, 0.35, 6, 1.0, F.col("id"))
 
 
-def passages(hits: DataFrame, questions: DataFrame, texts: DataFrame, step: int = 500, width: int = 650, top: int = 3, docs: int = 3, least: int = 50) -> DataFrame:
-    """(qid, id, passage, score, start): the best windows of each question's best documents.
+def passages(hits: DataFrame, questions: DataFrame, texts: DataFrame, step: int = 500, width: int = 650, top: int = 3, docs: int = 3, least: int = 50, once: int | None = None) -> DataFrame:
+    """(qid, id, passage, score, start, nth): the best windows of each question's best documents.
 
-    hits (qid, id, rank), texts (id, text). Windows start every ``step`` characters of the whole text.
+    hits (qid, id, rank), texts (id, text). Windows start every ``step`` characters of the whole text. Of passages that
+    start with the same ``once`` characters the best counts alone. The client's profile is step 400, width 550, least 40,
+    once 80.
     """
     wanted = hits.where(F.col("rank") <= docs).select("qid", "id")
     q = questions.select("qid", tokens(F.col("question")).alias("qt"))
@@ -59,6 +93,9 @@ def passages(hits: DataFrame, questions: DataFrame, texts: DataFrame, step: int
     windows = cut.select("id", "text", F.explode(starts).alias("start")).select("id", "start", F.trim(F.substr("text", F.col("start") + 1, F.lit(width))).alias("passage")).where(F.length("passage") >= least)
     windows = windows.withColumn("wt", tokens(F.col("passage")))
     scored = wanted.join(windows, "id").join(q, "qid").withColumn("score", F.size(F.array_intersect("qt", "wt"))).where("score >= 1")
+    if once:
+        first = F.min_by(F.struct("passage", "score", "start"), F.struct(-F.col("score"), F.col("start"))).alias("p")
+        scored = scored.groupBy("qid", "id", F.substring("passage", 1, once)).agg(first).select("qid", "id", "p.*")
     return keep_top(scored.select("qid", "id", "passage", "score", "start"), ["qid", "id"], top, F.desc("score"), F.col("start"), name="nth")
 
 
@@ -89,22 +126,46 @@ def extractive_summaries(docs: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
-def answers(questions: DataFrame, hits: DataFrame, corpus: DataFrame, most: int = 6) -> DataFrame:
-    """(qid, answer, n): for each question the first words of its best documents' summaries, then the references."""
-    cited = hits.join(corpus.select("id", "title", "url", "summary"), "id")
-    line = F.concat(F.lit("• ["), F.col("rank").cast("string"), F.lit("] "), F.substring("summary", 1, 260))
-    ref = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"), F.lit(" — "), F.col("url"))
-    parts = cited.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line"), ref.alias("ref")))).alias("c"))
-    text = F.concat_ws("\n", F.lit("Answer:"), F.array_join(F.transform(F.slice("c", 1, most), lambda x: x["line"]), "\n"), F.lit("References:"), F.array_join(F.transform("c", lambda x: x["ref"]), "\n"))
-    found = parts.select("qid", text.alias("answer"), F.size("c").alias("n"))
+def answers(questions: DataFrame, hits: DataFrame, corpus: DataFrame, most: int = 6, points: int = 2) -> DataFrame:
+    """(qid, answer, n): an answer to each question from its best documents, with references to all of them.
+
+    hits (qid, id, rank, and passage, its best window, which may be null), corpus (id, title, url, summary, key_points).
+    Each of the first ``most`` documents gives its first ``points`` key points, or 260 characters of its summary if it has
+    none, and then 280 of its passage.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    cited = hits.join(corpus.select("id", "title", "url", "summary", "key_points"), "id")
+    mark = F.concat(F.lit("• ["), F.col("rank").cast("string"), F.lit("] "))
+    said = F.when(F.coalesce(F.size("key_points"), F.lit(0)) > 0, F.slice("key_points", 1, points)).otherwise(F.array(F.substring(text("summary"), 1, 260)))
+    lines = F.concat(F.transform(said, lambda p: F.concat(mark, p)), F.when(text("passage") != "", F.array(F.concat(F.lit("  “"), F.substring("passage", 1, 280), F.lit("”")))).otherwise(F.array().cast("array<string>")))
+    ref = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), text("title"), F.lit(" — "), text("url"))
+    parts = cited.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", F.array_join(lines, "\n").alias("line"), ref.alias("ref")))).alias("c"))
+    body = F.concat_ws("\n", F.lit("Answer:"), F.array_join(F.transform(F.slice("c", 1, most), lambda x: x["line"]), "\n"), F.lit("\nReferences:"), F.array_join(F.transform("c", lambda x: x["ref"]), "\n"))
+    found = parts.select("qid", body.alias("answer"), F.size("c").alias("n"))
     none = F.lit("I could not find relevant summaries for that question yet.")
     return questions.select("qid").join(found, "qid", "left").select("qid", F.coalesce("answer", none).alias("answer"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def corpus_listing(corpus: DataFrame, *order: Column) -> DataFrame:
+    """(n, id, title, jurisdiction, url, line): every document of the corpus as a numbered citation, the answer to a request for the list.
+
+    The list has a row a document and is numbered by ranges of ``order``, so it is never one value or one task's.
+    """
+    some = lambda c, otherwise: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(otherwise))
+    rows = numbered(corpus.select("id", some("title", "Untitled").alias("title"), some("jurisdiction", "—").alias("jurisdiction"), some("url", "").alias("url")), "n", *order)
+    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), "title", F.lit(" ("), "jurisdiction", F.lit(")"))
+    return rows.select("n", "id", "title", "jurisdiction", "url", line.alias("line"))
+
+
+def corpus_status(corpus: DataFrame) -> DataFrame:
+    """(jurisdiction, n, with_summary, first_url): what the corpus holds, the answer to a question about its state."""
+    return corpus.groupBy("jurisdiction").agg(F.count("*").alias("n"), F.count_if(F.length("summary") > 20).alias("with_summary"), F.min("url").alias("first_url"))
+
+
 def chunk_text(docs: DataFrame, size: int = 900) -> DataFrame:
     """(id, n, chunk): texts cut at the last blank before ``size`` characters, else at a line end, else hard.
 
-    Each cut depends on the one before, so a text is cut in one pass inside its task.
+    Each cut depends on the one before, so this is sequential by nature and a text is cut in one pass inside its task.
     """
     import pyarrow as pa
 

@@ -67,8 +67,7 @@ _blob = "title || ' ' || filename || ' ' || url"
 _type = cases(_blob, C.LAW_TYPES, values(C.KIND_TYPES, "source_kind", "'other'"))
 _years = f"list_reverse_sort(list_distinct(list_filter(list_transform(regexp_extract_all({_blob}, '(?:19|20)[0-9]{{2}}'), lambda y: cast(y as int)), lambda y: y between 1990 and 2035)))"
 _years = f"case when len({_years}) > 0 then {_years} else [cast(downloaded_at[1:4] as int)] end"
-_langs = {j: lang for lang, names in C.LANGUAGE_JURISDICTIONS.items() for j in names.split(",")}
-_lang = cases("lower(title || ' ' || filename)", C.NAME_LANGUAGES, values(_langs, "jurisdiction", "'und'"))
+_lang = cases("lower(title || ' ' || filename)", C.NAME_LANGUAGES, values(C.JURISDICTION_LANGUAGES, "jurisdiction", "'und'"))
 _tags = "list_filter([" + ", ".join(f"case when {X.matches('filename', p)} then '{t}' end" for p, t in C.NAME_TAGS) + "], lambda x: x is not null)"
 query("c5_law_type", "downloads", lambda url, title: {"law_type": C.law_type(title, F.col("filename"), url, F.col("source_kind"))}, {"law_type": _type})
 query(
@@ -91,7 +90,7 @@ def country(x: str) -> str:
     return values(C.ALIASES, f"lower(trim({x}))", f"trim({x})")
 
 
-_units = {u: c for c, names in C.UNITS.items() for u in names.split(",")}
+_units = {u: c for c, names in C.UNITS.items() for u in names}
 _unit_list = ", ".join(f"'{u}'" for u in _units)
 
 
@@ -208,18 +207,32 @@ _UT = UPDATES_LAWS + ", " + TRACKING_LAWS.replace("links as (select k, link from
 _TM = MATCH.replace("hosts_", "thosts_").replace("usable_", "tusable_").replace("first_", "tfirst_").replace("best_", "tbest_").replace("matched as", "tmatched as").replace("from links", "from tlinks")
 
 
+_LAW_CTES = f"tlinks as (select k, link from tracking), {_TM}, {_UT}, {SOURCE_LAWS}, everything as (select 0 as rank, * from ulaws union all select 1, * from tlaws union all select 2, * from slaws)"
+_LAW_ROWS = "select * exclude (rank, n) from (select *, row_number() over (partition by lower(case when link <> '' then link else name end) order by rank, k) as n from everything) where n = 1"
+LAWS = f"{_LAW_CTES}, laws as ({_LAW_ROWS})"
+
+
 @register(
     "x1_laws_catalog",
-    f"with tlinks as (select k, link from tracking), {_TM}, {_UT}, {SOURCE_LAWS}, everything as (select 0 as rank, * from ulaws union all select 1, * from tlaws union all select 2, * from slaws) select * exclude (rank, n) from (select *, row_number() over (partition by lower(case when link <> '' then link else name end) order by rank, k) as n from everything) where n = 1",
+    f"with {_LAW_CTES} {_LAW_ROWS}",
     "updates", "tracking", "registry",
 )
 def _(spark, sf):
     return K.laws_catalog(load(spark, sf, "updates"), load(spark, sf, "tracking"), load(spark, sf, "registry"))
 
 
-@register("c17_allowed_rows", "select k, case when contains(lower(t), 'alpha.gov') or contains(t, 'Data Office') then 'national' else null end as label from (select k, url || ' ' || authority || ' ' || jurisdiction as t from registry)", "registry")
+# rows of which some name a published ministry, by host in any case or by label as written
+MINISTRIES = "select k, case k % 9 when 0 then 'https://SDAIA.gov.sa/' when 1 then 'https://www.mc.gov.sa/x' when 2 then 'https://tga.gov.example' when 3 then 'https://mewa.gov.sa' else url end as url, case k % 7 when 0 then 'Saudi Arabia - MC' when 1 then 'ministry of commerce' when 2 then 'Transport General Authority' when 3 then '' else jurisdiction end as jurisdiction, case when k % 4 = 0 then null else 'h' end as host from registry"
+
+
+@register("c17_allowed_rows", f"""select k, contains(b, 'sdaia.gov.sa') or contains(b, 'dgp.sdaia') or contains(b, 'tga.gov.sa') or contains(b, 'mc.gov.sa') or contains(b, 'mewa.gov.sa') or regexp_matches(t, 'SDAIA|TGA|MEWA|Ministry of Commerce|Transport General|Environment, Water|Saudi Arabia - MC') as allowed,
+  case when contains(b, 'sdaia') then 'Saudi Arabia - SDAIA' when contains(b, 'tga.gov') or contains(b, 'saudi arabia - tga') then 'Saudi Arabia - TGA' when contains(b, 'mewa.gov') or contains(b, 'saudi arabia - mewa') then 'Saudi Arabia - MEWA' when contains(b, 'mc.gov') or contains(b, 'saudi arabia - mc') or contains(b, 'ministry of commerce') then 'Saudi Arabia - MC' when trim(jurisdiction) = '' then 'Saudi Arabia' else trim(jurisdiction) end as label
+  from (select k, jurisdiction, t, lower(t) as b from (select k, jurisdiction, jurisdiction || ' ' || coalesce(host, '') || ' ' || url as t from ({MINISTRIES})))""", "registry")
 def _(spark, sf):
-    return load(spark, sf, "registry").select("k", F.when(C.allowed(F.concat_ws(" ", "url", "authority", "jurisdiction"), ["alpha.gov"], ["Data Office"]), F.lit("national")).alias("label"))
+    load(spark, sf, "registry").createOrReplaceTempView("registry")
+    none = F.lit(None).cast("string")
+    text = C.ministry_text(F.col("jurisdiction"), F.col("host"), F.col("url"), none, none)
+    return spark.sql(MINISTRIES).select("k", C.allowed(text).alias("allowed"), C.ministry_label(text, F.col("jurisdiction")).alias("label"))
 
 
 @register("c18_source_status", "select k, case when trim(url) = '' then 'missing_url' when contains(lower(link_nature), 'not working') then 'broken' else 'active' end as status from registry", "registry")
@@ -240,21 +253,31 @@ _scripts = (("ar", "[\\x{0600}-\\x{06FF}]"), ("zh-CN", "[\\x{4E00}-\\x{9FFF}]"),
 _total = " + ".join(_count(p) for _, p in (*_scripts, ("", "[A-Za-z]")))
 
 
-@register("c20_script_language", "select doc_id, case " + " ".join(f"when ({_total}) > 0 and 4 * {_count(p)} > ({_total}) then '{v}'" for v, p in _scripts) + " else 'en' end as language from (select doc_id, text[1:200] || case doc_id % 5 when 0 then repeat('نظام ', 60) when 1 then repeat('закон', 30) when 2 then repeat('हि法', 60) else '' end as text from documents)")
+@register("c20_script_language", "select doc_id, case " + " ".join(f"when ({_total}) > 0 and 4 * {_count(p)} > ({_total}) then '{v}'" for v, p in _scripts) + " else 'en' end as language from (select doc_id, text || case doc_id % 5 when 0 then repeat('نظام ', length(text)) when 1 then repeat('закон', length(text)) when 2 then repeat('हि法', length(text)) else '' end as text from documents)")
 def _(spark, sf):
-    tail = F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("نظام "), 60)).when(F.col("doc_id") % 5 == 1, F.repeat(F.lit("закон"), 30)).when(F.col("doc_id") % 5 == 2, F.repeat(F.lit("हि法"), 60)).otherwise(F.lit(""))
-    return load(spark, sf, "documents").select("doc_id", C.script_language(F.concat(F.substring("text", 1, 200), tail)).alias("language"))
-
-
-_ask = "['How many PDFs do you have?', 'list the documents please', 'who are you', 'Hello!', 'will you read more files', 'what is the rule on ', 'give me a list', 'still working?', 'progress on ', '']"
-_any = lambda rules: " or ".join(X.matches("q", p) for p in rules)
-
-
-@register("c21_route_question", f"select conv_id, turn, case when q = '' then 'content' when {_any(C.IDENTITY_RULES)} then 'identity' when {_any(C.LIST_RULES)} then 'list' when {_any(C.STATUS_RULES)} or ({X.matches('q', chr(92) + 'b(will|are|do|can|could|would)' + chr(92) + 's+you' + chr(92) + 'b')} and {X.matches('q', C.PROCESS)}) then 'status' else 'content' end as route from (select conv_id, turn, trim(lower({_ask}[(conv_id + turn) % 10 + 1] || case when (conv_id + turn) % 3 = 0 then ' ' || text[1:20] else '' end)) as q from conversations)")
+    tail = F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("نظام "), F.length("text"))).when(F.col("doc_id") % 5 == 1, F.repeat(F.lit("закон"), F.length("text"))).when(F.col("doc_id") % 5 == 2, F.repeat(F.lit("हि法"), F.length("text"))).otherwise(F.lit(""))
+    return load(spark, sf, "documents").select("doc_id", C.script_language(F.concat("text", tail)).alias("language"))
+
+
+ASKED = ("How many PDFs do you have?", "list the documents please", "who are you", "Hello!", "will you read more files", "what is the rule on ", "give me a list", "still working?", "progress on ", "", "are there any new data to index", "what is eva", "display\nthose files", "keep  reading", "do you crawl", "I’ve an update", "what penalties apply")
+_asked = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in ASKED) + "]"
+_process = r"regexp_matches(q, '(read|reading|extract|extracting|index|indexing|process|processing|summariz(?:e|ing)?|crawl(?:ing)?|download(?:ing)?|fetch(?:ing)?)')"
+_says = lambda p: rf"regexp_matches(q, '{p}')"
+_inventory = _says(r"\b(list|show|display|name)\b") + " and " + _says(r"\b(pdfs?|summaries|documents?|files?|them|those|index)\b")
+_service = " or ".join((
+    _says(r"^(status|progress|update|hello|hi|hey|thanks|thank you)[\s?!.,]*$"), _says(r"\b(will|are|do|can|could|would)\s+you\b") + " and " + _process,
+    _process + " and " + _says(r"\b(more|additional|new|further)\b") + " and " + _says(r"\b(pdfs?|documents?|files?|summaries|data)\b"), _says(r"\b(more|additional)\s+(pdfs?|documents?|files?)\b"),
+    _says(r"\bhow many\b") + " and " + _says(r"\b(pdfs?|summaries|documents?)\b"), _says(r"\b(are you|do you)\b") + " and " + _process, _says(r"\bhave you (read|finished|done|indexed|extracted)\b"),
+    _inventory, _says(r"\bgive me (a |the )?list\b"), _says(r"\b(still )?(working|running|crawling|indexing|extracting)\b"), _says(r"\b(progress|update me|status|coverage)\b"),
+    _says(r"\b(who are you|what (can|do) you do|what is eva)\b"), _says(r"\bknowledge base\b"), _says(r"\b(keep|continue)\s+(reading|extracting|indexing)\b"),
+))
+
+
+@register("c21_route_question", f"""select conv_id, turn, case when q = '' or not ({_service}) then 'content' when regexp_matches(low, 'who are you|what (can|do) you do|hello|hi\\b|hey\\b') then 'identity' when {_inventory.replace('(q,', '(low,')} or regexp_matches(low, '\\bgive me (a |the )?list\\b') then 'list' else 'status' end as route
+  from (select conv_id, turn, low, replace(trim(low), '’', chr(39)) as q from (select conv_id, turn, lower({_asked}[(conv_id + turn) % {len(ASKED)} + 1] || case when (conv_id + turn) % 3 = 0 then ' ' || text else '' end) as low from conversations))""")
 def _(spark, sf):
-    asks = F.array(*[F.lit(x) for x in ("How many PDFs do you have?", "list the documents please", "who are you", "Hello!", "will you read more files", "what is the rule on ", "give me a list", "still working?", "progress on ", "")])
     n = F.col("conv_id") + F.col("turn")
-    q = F.concat(F.element_at(asks, (n % 10 + 1).cast("int")), F.when(n % 3 == 0, F.concat(F.lit(" "), F.substring("text", 1, 20))).otherwise(F.lit("")))
+    q = F.concat(F.element_at(F.array(*[F.lit(x) for x in ASKED]), (n % len(ASKED) + 1).cast("int")), F.when(n % 3 == 0, F.concat(F.lit(" "), "text")).otherwise(F.lit("")))
     return load(spark, sf, "conversations").select("conv_id", "turn", C.route_question(q).alias("route"))
 
 
@@ -263,10 +286,10 @@ def _(spark, sf):
     return K.filter_rows(K.enrich(load(spark, sf, "downloads")), {"jurisdiction": "UK", "source_kind": "official_gazette", "year": None}, "Law", ["title", "filename", "host", "law_type"]).select("k")
 
 
-@register("c23_filter_laws", f"with {TRACKING_LAWS} select k from tlaws where level = 'State' and list_contains(list_transform(string_split(lower(law_area), ','), lambda x: trim(x)), 'capital') and contains(lower(concat_ws(' ', name, country, level_detail)), 'a')", "tracking", "registry")
+@register("c23_filter_laws", f"with {TRACKING_LAWS} select k from tlaws where level = 'State' and list_contains(list_transform(string_split(lower(law_area), ','), lambda x: trim(x)), 'tax') and contains(lower(concat_ws(' ', name, country, level_detail)), 'a')", "tracking", "registry")
 def _(spark, sf):
     laws = K.law_rows_from_tracking(load(spark, sf, "tracking"), load(spark, sf, "registry"))
-    return K.filter_rows(laws, {"level": "State"}, "a", ["name", "country", "level_detail"]).where(K.in_area("CAPITAL")).select("k")
+    return K.filter_rows(laws, {"level": "State"}, "a", ["name", "country", "level_detail"]).where(K.in_area("TAX")).select("k")
 
 
 @register("c24_filter_any_column", "select k from registry where contains(lower(concat_ws(' ', authority, url, jurisdiction, status)), 'beta')", "registry")
@@ -290,9 +313,10 @@ def _(spark, sf):
     return K.normalize_law_row(load(spark, sf, "updates"))
 
 
-@register("c28_run_mode", "select k, case when source_kind in ('site', 'full', 'custom', 'all_pdfs') then false else true end as regulatory_only from downloads", "downloads")
+@register("c28_run_mode", "select k, (k % 2 = 0 or kind = 'ministry') and kind not in ('site', 'full', 'custom', 'all_pdfs') as regulatory_only from (select k, case when k % 10 = 3 then 'ministry' else source_kind end as kind from downloads)", "downloads")
 def _(spark, sf):
-    return load(spark, sf, "downloads").select("k", (~F.col("source_kind").isin(*K.FULL_DUMP_KINDS)).alias("regulatory_only"))
+    d = load(spark, sf, "downloads").select("k", F.when(F.col("k") % 10 == 3, "ministry").otherwise(F.col("source_kind")).alias("kind"))
+    return d.select("k", C.filters_regulatory(F.col("kind"), F.col("k") % 2 == 0).alias("regulatory_only"))
 
 
 @register("s13_upsert", "select coalesce(t.k, u.k) as k, coalesce(u.status, t.status) as status, coalesce(u.title, t.title) as title from (select k, status, title from downloads where k % 2 = 0) t full join (select k, case when k % 3 = 0 then 'done' end as status, 'New ' || k as title from downloads where k % 5 = 0) u on t.k = u.k", "downloads")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -9,6 +11,7 @@ from ..operators import graph as G
 from ..operators import harvest as H
 from ..operators import rank as R
 from ..operators import retrieval as Q
+from ..operators.storage import saved, shared_dir
 from ..sources import io as S
 from . import sqlx as X
 from .inputs import load, with_bigints, with_inputs
@@ -27,15 +30,35 @@ def register(name: str, oracle: str | None, *tables: str):
 
 
 _site = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
-ANCHORS = f"""a0 as (select page_id, url as base, {_site} as site, regexp_extract_all(html, '{X.quoted(H.ANCHOR)}', 1) as hs, regexp_extract_all(html, '{X.quoted(H.ANCHOR)}', 2) as ts from pages),
-  a1 as (select page_id, base, site, unnest(hs) as href, unnest(ts) as inner_, unnest(range(len(hs))) as pos from a0),
-  a2 as (select page_id, pos, trim(href) as href, trim(regexp_replace(regexp_replace(inner_, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as text, regexp_replace(case when starts_with(trim(href), 'http') then trim(href) when starts_with(trim(href), '/') then site || trim(href) else site || '/' || trim(href) end, '#.*$', '') as url from a1),
-  anchors as (select page_id, url, min(pos) as pos, arg_min(href, pos) as href, arg_min(text, pos) as text from a2 group by 1, 2)"""
 
 
-@register("e1_extract_anchors", f"with {ANCHORS} select * from anchors")
+def absolute(h: str) -> str:
+    """SQL: ``h`` resolved against ``site``, without fragment. The pages' links have no dot segments."""
+    return f"regexp_replace(case when regexp_matches({h}, '^[A-Za-z][A-Za-z0-9+.-]*:') then {h} when starts_with({h}, '//') then regexp_extract(site, '^[A-Za-z]+:') || {h} when starts_with({h}, '/') then site || {h} else site || '/' || {h} end, '#.*$', '')"
+
+
+def decoded(x: str) -> str:
+    return f"replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+
+
+_anchor = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))[^>]*>(.*?)</a>"""
+
+
+def anchor_ctes(pages: str = "pages") -> str:
+    """SQL: anchor_rows (every link) and anchors (the first of a URL and page)."""
+    groups = ", ".join(f"regexp_extract_all(html, '{_anchor}', {i}) as h{i}" for i in (1, 2, 3, 4))
+    return f"""a0 as (select page_id, {_site} as site, {groups} from {pages}), a1 as (select *, unnest(range(len(h4))) as pos from a0),
+  a2 as (select page_id, site, pos, trim({decoded("coalesce(h1[pos + 1], '') || coalesce(h2[pos + 1], '') || coalesce(h3[pos + 1], '')")}) as href, trim(regexp_replace({decoded("regexp_replace(h4[pos + 1], '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) as text from a1),
+  anchor_rows as (select page_id, pos, href, text, {absolute('href')} as url from a2 where href <> '' and not regexp_matches(href, '(?i)^\\s*(?:javascript|mailto|tel|data|blob):|^\\s*#')),
+  anchors as (select page_id, url, min(pos) as pos, arg_min(href, pos) as href, arg_min(text, pos) as text from anchor_rows where regexp_matches(url, '(?i)^https?://') group by 1, 2)"""
+
+
+ANCHORS = anchor_ctes()
+
+
+@register("e1_extract_anchors", f"with {anchor_ctes('plain')} select * from anchors".replace("with a0", "with plain as (select page_id, url, html || '<a title=\"x\" href=/un/quoted?a=1&amp;b=2>Un &amp; <b>quoted</b></a>' as html from pages), a0"))
 def _(spark, sf):
-    return H.anchors(load(spark, sf, "pages"))
+    return H.anchors(load(spark, sf, "pages").selectExpr("page_id", "url", "html || '<a title=\"x\" href=/un/quoted?a=1&amp;b=2>Un &amp; <b>quoted</b></a>' as html"))
 
 
 @register("entry_links_per_host", f"with {ANCHORS} select {X.host('url')} as host, count(distinct url) as n_links, count(distinct page_id) as n_pages from anchors group by 1")
@@ -44,7 +67,7 @@ def links_per_host(spark, sf):
     return links.groupBy("host").agg(F.countDistinct("link").alias("n_links"), F.countDistinct("page_id").alias("n_pages"))
 
 
-RICH = """html || '<iframe src="/emb/' || page_id || '.pdf"></iframe><div data-url="/d/' || page_id % 7 || '"></div><script>var x = {"FileRef": "/sites/f' || page_id || '.docx"}; go("/api/v1/p' || page_id || '"); q = "/files/q' || page_id % 9 || '.pdf?a=1&amp;b=2"; u = ' || chr(39) || 'https://cdn.example.org/z' || page_id || '.pdf' || chr(39) || '</script>'"""
+RICH = """html || '<iframe src="/emb/' || page_id || '.pdf"></iframe><div data-url="/d/' || page_id % 7 || '"></div><script>var x = {"FileRef": "/sites/f' || page_id || '.docx"}; go("/api/v1/p' || page_id || '"); q = "/files/q' || page_id % 9 || '.pdf?a=1&amp;b=2"; u = ' || chr(39) || 'https://cdn.example.org/z' || page_id || '.pdf' || chr(39) || '</script><script>Path=/lib/one/p' || page_id % 11 || '.pdf;url: docs/rel' || page_id || '.pdf; see /deep/er/r' || page_id || '.pdf, https://cdn.example.org/t/' || page_id % 5 || '.pdf.aspx?v=2 or https://cdn.example.org/getattachment/ab/g' || page_id || '.pdf/x and https://cdn.example.org/s' || page_id || '.pptx#top</script>'"""
 
 
 def _rich(spark, sf):
@@ -52,23 +75,45 @@ def _rich(spark, sf):
 
 
 _rich_sql = f"rich as (select page_id, url, {RICH} as html, {_site} as site from pages)"
-_abs = "regexp_replace(case when regexp_matches(h, '^[A-Za-z]+:') then h when starts_with(h, '/') then site || h else site || '/' || h end, '#.*$', '')"
+EMBEDS = f"""embeds as (select distinct page_id, {absolute('h')} as url from (select page_id, site, unnest(regexp_extract_all(html, '(?is)<(?:iframe|embed|object|source)\\b[^>]*?\\b(?:src|data|data-src|href)\\s*=\\s*["'']([^"'']+)["'']', 1)
+  || regexp_extract_all(html, '(?is)\\bdata-(?:url|href)\\s*=\\s*["'']([^"'']+)["'']', 1)) as h from rich) where not regexp_matches(h, '(?i)^\\s*(?:javascript|mailto|tel|data|blob):|^\\s*#'))"""
 
 
-@register("e2_extract_embeds", f"with {_rich_sql} select distinct page_id, {_abs} as url from (select page_id, site, unnest(regexp_extract_all(html, '{X.quoted(H.EMBED)}', 1) || regexp_extract_all(html, '{X.quoted(H.DATA_LINK)}', 1)) as h from rich)")
+@register("e2_extract_embeds", f"with {_rich_sql}, {EMBEDS} select * from embeds")
 def _(spark, sf):
     return H.embeds(_rich(spark, sf))
 
 
-_docs = [rf"(?i)(https?://[^\s\"'<>]+{H.DOC_END}[^\s\"'<>]*)", r"(?i)[\"']([^\"'<>\s]+\.pdf(?:\?[^\"'<>\s]*)?)[\"']", r"(?i)(/getattachment/[^\s\"'<>]+)", rf"(?i)(?:FileRef|ServerRelativeUrl|EncodedAbsUrl|downloadUrl)[\"']?\s*[:=]\s*[\"']([^\"']+{H.DOC_END}[^\"']*)[\"']"]
-_found = " union all ".join(f"select page_id, site, {i} as i, '{m}' as method, unnest(regexp_extract_all(replace(html, '&amp;', '&'), '{X.quoted(p)}', 1)) as h from rich" for i, (m, p) in enumerate(zip(("embedded-url", "quoted-path", "getattachment", "script"), _docs)))
+_named = (
+    ("embedded-url", r"(?i)(https?://[^\s\"''<>]+?\.(?:pdf|docx?|xlsx?|csv)(?:\.aspx)?(?:\?[^\s\"''<>]*)?)", ""),
+    ("getattachment", r"(?i)(https?://[^\s\"''<>]*?/getattachment/[^\s\"''<>]+?\.pdf[^\s\"''<>]*)", ""),
+    ("quoted-path", r"(?i)[\"'']([^\"'']+\.pdf(?:\.aspx)?(?:\?[^\"'']*)?)[\"'']", ""),
+    ("script", r"(?i)(https?://[^\s\"''<>]+?\.(?:pdf|docx?|xlsx?|pptx?)(?:\.aspx)?(?:\?[^\s\"''<>]*)?)", ""),
+    ("script", r"(?i)(?:href|src|url|FileRef|ServerRelativeUrl|EncodedAbsUrl|Path)\s*[=:]\s*[\"'']?([^\s\"''<>]+\.pdf[^\s\"''<>]*)", "where regexp_matches(h, '(?i)^/|^https?://')"),
+    ("script", r"(?i)(/[^\s\"''<>]*?/[^\s\"''<>]*?\.pdf)", ""),
+)
+
+
+def _documents_sql(methods, label: str = "") -> str:
+    found = " union all ".join(f"select * from (select page_id, site, {i} as i, '{label or m}' as method, unnest(regexp_extract_all(html, '{p}', 1)) as h from rich) {w}" for i, (m, p, w) in enumerate(_named) if m in methods)
+    return f"select page_id, url, arg_min(method, i) as method from (select page_id, {absolute(chr(104) + '2')} as url, i, method from (select *, trim(replace(h, '&amp;', '&')) as h2 from ({found}))) where regexp_matches(url, '(?i)^https?://') group by 1, 2"
 
 
-@register("e3_harvest_document_urls", f"with {_rich_sql} select page_id, url, arg_min(method, i) as method from (select page_id, {_abs} as url, i, method from ({_found})) group by 1, 2")
+@register("e3_harvest_document_urls", f"with {_rich_sql} {_documents_sql(('embedded-url', 'getattachment', 'quoted-path', 'script'))}")
 def _(spark, sf):
     return H.document_urls(_rich(spark, sf))
 
 
+@register("e3_datasource_urls", f"with {_rich_sql} {_documents_sql(('quoted-path', 'script'), 'datasource')}")
+def _(spark, sf):
+    return H.document_urls(_rich(spark, sf), data_source=True)
+
+
+@register("e3_script_documents", f"""with {_rich_sql} select distinct page_id, regexp_replace(u, '#.*$', '') as url from (select page_id, unnest(regexp_extract_all(s, '(?i)(https?://[^\\s"''\\\\]+\\.(?:pdf|docx?|xlsx?|pptx?|csv|rtf|odt|ods)(?:[?#][^\\s"''\\\\]*)?)', 1)) as u from (select page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1)[1:8]) as s from rich))""")
+def _(spark, sf):
+    return H.script_documents(_rich(spark, sf))
+
+
 JSON = """'{"items":[{"url":"https://h' || event_id % 9 || '.example.org/a","title":"T"},{"path":"/docs/' || event_id % 11 || '/x.pdf"},{"link":"/api/v2/' || event_id % 5 || '"},{"img":"/s/' || event_id || '.png"},{"href":"/deep/page/' || event_id % 3 || '"}],"n":' || event_id || '}'"""
 
 
@@ -88,56 +133,82 @@ def _(spark, sf):
     return _rich(spark, sf).select("page_id", F.array_join(H.api_hints(F.col("html")), " ").alias("hints"))
 
 
-MAP = """'<urlset><url><loc>https://a.example.org/p' || o_orderkey || '</loc></url><loc> https://a.example.org/f' || o_orderkey % 13 || '.pdf </loc><loc>https://a.example.org/sitemap-' || o_orderkey % 3 || '.xml</loc></urlset>' || chr(10) || 'Sitemap: https://b.example.org/sitemap_index.xml' || chr(10) || 'Disallow: /private/' || o_orderkey % 7 || chr(10) || 'disallow: /tmp'"""
-_is_doc = f"({X.matches(f'lower({X.path(chr(117) + chr(114) + chr(108))})', U.DOC_EXTENSIONS)} or {X.matches('url', U.PDF_LINK)})"
+MAP = """'<urlset><url><loc>https://a.example.org/p' || o_orderkey || '</loc></url><loc> https://a.example.org/f' || o_orderkey % 13 || '.pdf </loc><loc>https://a.example.org/sitemap-' || o_orderkey % 3 || '.xml</loc></urlset> see https://c.example.org/bare/' || o_orderkey || ' or https://b.example.org/d' || o_orderkey % 17 || '.docx' || chr(10) || 'Sitemap: https://b.example.org/index' || o_orderkey % 4 || '.gz' || chr(10) || '  Disallow: /private/' || o_orderkey % 7 || chr(10) || 'disallow: /open' || chr(10) || 'Disallow: /tmp'"""
+_low_path = "lower(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', ''))"
+_is_doc = rf"(regexp_matches({_low_path}, '\.(?:pdf|doc|docx|xls|xlsx|ppt|pptx|csv)$') or regexp_matches(url, '(?i)\.pdf(\.aspx)?($|\?|#|;)') or regexp_matches(url, '(?i)/getattachment/.*\.pdf') or regexp_matches(url, '(?i)/(websitefile|sharedfile|downloadfile|getfile|filedownload|download\.ashx)(/|$|\?)') or (contains(lower(url), '.pdf') and regexp_matches(lower(url), '/wps/wcm/|getattachment')))"
+_sitemap = rf"""m as (select o_orderkey as id, {MAP} as body from orders),
+  u as (select distinct id, url, case when {_is_doc} then 'document' when contains(lower(url), 'sitemap') then 'sitemap' else 'page' end as kind from (select id, unnest(regexp_extract_all(body, '(?i)<loc>\s*([^<\s]+)\s*</loc>', 1) || regexp_extract_all(body, 'https?://[^\s"''<>]+')) as url from m)
+    union all select id, unnest(regexp_extract_all(body, '(?im)^[ \t]*sitemap:[ \t]*(\S+)', 1)), 'sitemap' from m),
+  k as (select id, url, max(kind) as kind from u group by 1, 2)"""
 
 
-@register("e6_parse_sitemap", f"""select distinct id, url, case when {_is_doc} then 'document' when regexp_matches(lower(url), 'sitemap|\\.xml(\\.gz)?$') then 'sitemap' else 'page' end as kind
-  from (select o_orderkey as id, unnest(regexp_extract_all({MAP}, '(?is)<loc>\\s*([^<\\s]+)\\s*</loc>', 1) || regexp_extract_all({MAP}, '(?im)^sitemap:\\s*(\\S+)', 1)) as url from orders)""")
+@register("e6_parse_sitemap", f"with {_sitemap} select * from k")
 def _(spark, sf):
     return H.sitemap(load(spark, sf, "orders").selectExpr("o_orderkey as id", f"{MAP} as body"))
 
 
-@register("e7_robots_blocked", f"""with b as (select distinct 'h' || o_orderkey % 5 as host, unnest(regexp_extract_all({MAP}, '(?im)^disallow:[ \\t]*(\\S+)', 1)) as prefix from orders where o_orderkey < 40),
-  u as (select p_partkey as k, 'h' || p_partkey % 6 as host, case p_partkey % 4 when 0 then '/private/' || p_partkey % 11 || '/x' when 1 then '/tmp/' || p_partkey when 2 then '/tm' else '/open' end as path from part)
-  select distinct k from u join b on u.host = b.host and starts_with(u.path, b.prefix)""")
+@register("e6_sitemap_of_site", rf"with {_sitemap} select * from k where kind = 'document' or regexp_extract(url, '^https?://([^/]*)', 1) in ('a.example.org')")
+def _(spark, sf):
+    return H.sitemap(load(spark, sf, "orders").selectExpr("o_orderkey as id", f"{MAP} as body"), site="a.example.org")
+
+
+_paths = "select p_partkey as k, 'h' || p_partkey % 6 as host, case p_partkey % 4 when 0 then '/private/' || p_partkey % 11 || '/x' when 1 then '/tmp/' || p_partkey when 2 then '/tm' else '/open' end as path from part"
+
+
+@register("e7_robots_blocked", rf"with b as (select distinct 'h' || o_orderkey % 5 as host, unnest(regexp_extract_all({MAP}, '(?m)^[ \t]*Disallow:[ \t]*(\S+)', 1)) as prefix from orders), u as ({_paths}) select distinct k from u join b on u.host = b.host and starts_with(u.path, b.prefix)")
 def _(spark, sf):
-    rules = H.robots_rules(load(spark, sf, "orders").where("o_orderkey < 40").selectExpr("concat('h', o_orderkey % 5) as host", f"{MAP} as body"))
-    paths = load(spark, sf, "part").selectExpr("p_partkey as k", "concat('h', p_partkey % 6) as host", "case p_partkey % 4 when 0 then concat('/private/', p_partkey % 11, '/x') when 1 then concat('/tmp/', p_partkey) when 2 then '/tm' else '/open' end as path")
-    return H.robots_blocked(paths, rules)
+    rules = H.robots_rules(load(spark, sf, "orders").selectExpr("'h' || o_orderkey % 5 as host", f"{MAP} as body"))
+    load(spark, sf, "part").createOrReplaceTempView("part")
+    return H.robots_blocked(spark.sql(_paths), rules)
 
 
-_sp = """html || case when page_id % 3 = 0 then '<script>s = "/x/_vti_bin/y.asmx"; t = "/q/_api/web"</script>' else '' end"""
+SP = """html || case page_id % 4 when 0 then '<script>s = "/x/_vti_bin/y.asmx"; t = "/q/_api/web/lists?a=1&amp;b=2"; d = "/p/DataSources/z.aspx"</script>' when 1 then '<a href="/_layouts/15/x.aspx">in</a>{"ServerRelativeUrl" : "/Shared Documents"},{"ServerRelativeUrl":"/style"}' when 2 then '<script>s = "/x/_vti_bin/y.asmx"</script>' else '' end"""
+_folder_names = " or ".join(f"contains(lower(f), '{w}')" for w in ("document", "media", "library", "pdf", "file", "knowledge", "research", "publication", "newsletter", "sdaia", "sector"))
+_data = " || ".join(f"regexp_extract_all(h, '(?i)[\"'']({p})[\"'']', 1)" for p in ("[^\"'']*DataSources/[^\"'']+\\.aspx[^\"'']*", "[^\"'']*_vti_bin/[^\"'']+", "[^\"'']*_api/web/[^\"'']+", "[^\"'']*_api/search/[^\"'']+", "[^\"'']*listdata\\.svc[^\"'']*"))
 
 
-@register("e8_sharepoint", f"select page_id, regexp_matches(substr(h, 1, 12000), '(?i)_vti_bin|_layouts/|sharepoint|_spPageContextInfo') as is_sharepoint, array_to_string(list_distinct(regexp_extract_all(h, '(?i)[\"'']([^\"''\\s]*(?:DataSources|_vti_bin|_api/|listdata\\.svc)[^\"''\\s]*)[\"'']', 1)), ' ') is not null as some, len(list_distinct(regexp_extract_all(h, '(?i)[\"'']([^\"''\\s]*(?:DataSources|_vti_bin|_api/|listdata\\.svc)[^\"''\\s]*)[\"'']', 1))) as n from (select page_id, {_sp} as h from pages)")
+@register("e8_sharepoint", f"""select page_id, contains(head, 'sharepoint') or contains(head, '_api/web') or contains(head, '_layouts/15') or contains(head, 'microsoftsharepoint') or page_id % 5 = 0 as is_sharepoint, array_to_string(list_transform({_data}, lambda u: replace(u, '&amp;', '&')), ' ') as data,
+  array_to_string(list_filter(regexp_extract_all(h, '"ServerRelativeUrl"\\s*:\\s*"([^"]+)"', 1), lambda f: {_folder_names}), ' ') as folders from (select page_id, h, lower(substr(h, 1, 12000)) as head from (select page_id, {SP} as h from pages))""")
 def _(spark, sf):
-    p = load(spark, sf, "pages").selectExpr("page_id", f"{_sp} as h")
-    found = H.sharepoint_endpoints(F.col("h"))
-    return p.select("page_id", H.looks_sharepoint(F.col("h")).alias("is_sharepoint"), F.lit(True).alias("some"), F.size(found).alias("n"))
+    p = load(spark, sf, "pages").selectExpr("page_id", f"{SP} as h", "case when page_id % 5 = 0 then 'SPRequestGuid: 1' end as headers")
+    return p.select("page_id", H.looks_sharepoint(F.col("h"), F.col("headers")).alias("is_sharepoint"), F.array_join(H.sharepoint_endpoints(F.col("h")), " ").alias("data"), F.array_join(H.sharepoint_folders(F.col("h")), " ").alias("folders"))
+
 
+SHELLS = """case page_id % 8 when 0 then null when 1 then '<div ID="root"></div>' || repeat('x', 1600) when 2 then repeat('z', 2500) || '<p ng-version="1">' || '<A href="/x">x</a>' when 3 then html || '<div id="__nuxt"></div>' when 4 then regexp_replace(html, '<a ', '<b ') || repeat('y', 9000) when 5 then repeat('k', 3000) || '<a href="/q">q</a>' when 6 then 'Request Rejected ' || repeat('id="app" ', 300) else html end"""
+_shell_url = "case when page_id % 16 = 5 then 'https://x.example/KnowledgeCenter/' else url end"
+_n = "len(regexp_extract_all(low, '<a '))"
+_four = "(contains(low, 'id=\"root\"') or contains(low, 'id=\"app\"') or contains(low, 'id=\"__next\"') or contains(low, 'ng-version'))"
+_shells = f"""select page_id, html is null as gone, length(html) < 1500 or (({_four} or contains(low, 'id="__nuxt"')) and {_n} = 0 and not contains(low, '<a' || chr(10))) or (length(html) > 8000 and {_n} < 3) as site,
+  length(html) < 2000 or (not contains(low, 'request rejected') and ((contains(u, 'knowledgecenter') and {_n} < 8 and not contains(low, '.pdf')) or ({_four} and {_n} < 5))) as pipeline, length(html) < 1500 or ({_four} and {_n} = 0) as script, {_n} < 3 as few
+  from (select page_id, html, lower(html) as low, lower(u) as u from (select page_id, {SHELLS.replace("regexp_replace(html, '<a ', '<b ')", "regexp_replace(html, '<a ', '<b ', 'g')")} as html, {_shell_url} as u from pages))"""
 
-@register("e9_shell_pages", "select page_id, length(html) < 1500 or (regexp_matches(html, '(?i)id=[\"''](root|app|__next)[\"'']') and len(regexp_extract_all(html, '(?i)<a\\b')) < 3) or (length(html) > 8000 and len(regexp_extract_all(html, '(?i)<a\\b')) < 3) as shell from pages")
+
+@register("e9_shell_pages", f"select page_id, coalesce(site, true) as site, coalesce(pipeline, true) as pipeline, coalesce(script, true) as script, gone or site or few as fallback from ({_shells})")
 def _(spark, sf):
-    return load(spark, sf, "pages").select("page_id", H.looks_like_shell(F.col("html")).alias("shell"))
+    h = F.col("html")
+    return load(spark, sf, "pages").selectExpr("page_id", f"{SHELLS} as html", f"{_shell_url} as u").select(
+        "page_id", H.looks_like_shell(h).alias("site"), H.looks_like_shell(h, F.col("u"), "pipeline").alias("pipeline"), H.looks_like_shell(h, profile="script").alias("script"), H.needs_fallback(h).alias("fallback")
+    )
 
 
-_blocked = " or ".join(f"contains(lower(substr(b, 1, 4000)), '{m}')" for m in H.BLOCK_MARKERS)
+BODIES = """case k % 8 when 0 then 'Access Denied' when 1 then 'Just a moment... Checking your browser' when 2 then 'An article on forbidden cloudflare robots' when 3 then repeat('x', 4000) || 'captcha' when 4 then '<html>Your support ID is: 5</html>' when 5 then '<html>it was rejected</html>' when 6 then '<html>403 Forbidden</html>' else null end"""
+_blocked = " or ".join(f"contains(head, '{m}')" for m in ("cf-challenge", "just a moment", "attention required", "access denied", "enable javascript and cookies", "verify you are human", "checking your browser", "captcha", "ddos protection", "403 forbidden"))
 
 
-@register("e10_looks_blocked", f"select k, http_status in (403, 429) or http_status >= 500 or {_blocked} as blocked from (select k, http_status, case k % 6 when 0 then 'Access Denied' when 1 then 'Support ID: 5' else 'fine' end as b from runs)", "runs")
+@register("e10_looks_blocked", f"select k, http_status in (403, 429) or http_status >= 500 or {_blocked} as blocked, contains(b[1:400], 'Request Rejected') or contains(b[1:400], 'support ID is') or (http_status = 200 and length(b) < 400 and contains(lower(b), '<html>') and contains(lower(b), 'rejected')) as rejected from (select k, http_status, b, lower(b[1:4000]) as head from (select k, http_status, coalesce({BODIES}, '') as b from runs))", "runs")
 def _(spark, sf):
-    body = F.when(F.col("k") % 6 == 0, "Access Denied").when(F.col("k") % 6 == 1, "Support ID: 5").otherwise("fine")
-    return load(spark, sf, "runs").select("k", H.looks_blocked(F.col("http_status"), body).alias("blocked"))
+    rows = load(spark, sf, "runs").selectExpr("k", "http_status", f"{BODIES} as b")
+    return rows.select("k", H.looks_blocked(F.col("http_status"), F.col("b")).alias("blocked"), H.is_rejected(F.col("http_status"), F.col("b")).alias("rejected"))
 
 
-NEWS = """html || '<a href="/news/' || page_id || '/2024/">Press release number ' || page_id || '</a><a href="/2023/x' || page_id % 5 || '">A plain page of that year</a><a href="/n' || page_id || '">Consultation on the new bill and notice</a><a href="/home">home</a><a href="mailto:x@y.z">Press update by mail list</a>'"""
-_news_score = " + ".join(f"case when contains(p, '{w}') or contains(lower(text), '{w}') then 1 else 0 end" for w in H.NEWS_WORDS)
+NEWS = """html || '<a href="/news/' || page_id || '/2024/">Press release number ' || page_id || '</a><a href="/2023/x' || page_id % 5 || '">A plain page of that year</a><a href="/n' || page_id || '">Consultation on the new bill and notice</a><a href="/home">home</a><a href="mailto:x@y.z">Press update by mail list</a><a href="/late#a">More</a><a href="/late#b">Bulletin on the &quot;late&quot; regulation</a><a href="/late">Second bulletin on the late bill</a>'"""
+_news_score = " + ".join(f"case when contains(p, '{w}') or contains(lower(text), '{w}') then 1 else 0 end" for w in ("news", "press", "update", "circular", "consultation", "bulletin", "release", "gazette", "bill", "regulation", "notice"))
 
 
-@register("e11_score_news_items", f"""with pages0 as (select page_id, url, {NEWS} as html from pages), {ANCHORS.replace('from pages)', 'from pages0)')},
-  s as (select *, {_news_score} as score from (select *, lower({X.path('url')}) as p from anchors where not regexp_matches(href, '{H.SKIPPED}')) where length(text) between 12 and 220 and lower(text) not in ('login', 'cookie', 'privacy policy', 'contact us', 'home', 'skip to')),
-  f as (select *, row_number() over (partition by page_id order by pos) as nth from s where score > 0 or regexp_matches(p, '/[0-9]{{4}}/'))
+@register("e11_score_news_items", f"""with pages0 as (select page_id, url, {NEWS} as html from pages), {anchor_ctes('pages0')},
+  s as (select *, {_news_score} as score from (select *, lower({X.path('url')}) as p from anchor_rows where regexp_matches(url, '(?i)^https?://')) where length(text) between 12 and 220 and lower(text) not in ('login', 'cookie', 'privacy policy', 'contact us', 'home', 'skip to')),
+  o as (select page_id, url, min(pos) as pos, arg_min(text, pos) as text, arg_min(score, pos) as score from s where score > 0 or regexp_matches(p, '/[0-9]{{4}}/') group by 1, 2),
+  f as (select *, row_number() over (partition by page_id order by pos) as nth from o)
   select page_id, url, text, score, rank from (select *, row_number() over (partition by page_id order by score desc, pos) as rank from f where nth <= 75) where rank <= 25""")
 def _(spark, sf):
     return H.news_items(load(spark, sf, "pages").selectExpr("page_id", "url", f"{NEWS} as html"))
@@ -164,39 +235,42 @@ def _(spark, sf):
     return H.route_seeds(load(spark, sf, "registry"), spark.createDataFrame(RULES, "marker string, path string"))
 
 
-@register("e14_clean_text", r"select id, trim(regexp_replace(regexp_replace(string_agg(text, chr(10) || chr(10) order by page), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))[1:40000] as text from (select floor(doc_id / 4)::bigint as id, doc_id % 4 as page, replace(text, '. ', '.   ' || chr(10) || chr(10) || chr(10)) as text from documents) group by id")
+@register("e14_clean_text", r"select id, trim(regexp_replace(regexp_replace(string_agg(text, chr(10) || chr(10) order by page), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) as text from (select floor(doc_id / 4)::bigint as id, doc_id % 4 as page, replace(text, '. ', '.   ' || chr(10) || chr(10) || chr(10)) as text from documents) group by id")
 def _(spark, sf):
     pages = load(spark, sf, "documents").selectExpr("cast(floor(doc_id / 4) as bigint) as id", "doc_id % 4 as page", "replace(text, '. ', concat('.   ', char(10), char(10), char(10))) as text")
-    return H.clean_text(pages)
+    return H.clean_text(pages, None, None)
+
+
+_ascii = r"regexp_replace(text, '[^\x01-\x7E]', '{}', 'g')"
 
 
-@register("e15_decode_text", r"select doc_id, case doc_id % 3 when 0 then regexp_replace(regexp_replace('{\rtf1\ansi ' || text || '}', '\\[a-z]+-?[0-9]* ?', '', 'g'), '[{}]', '', 'g') when 1 then regexp_replace('<p>' || text || '</p>', '<[^>]+>', ' ', 'g') else text end[1:20000] as text from documents")
+@register("e15_decode_text", rf"""select doc_id, case doc_id % 5 when 0 then regexp_replace('{{\rtf1\ansi ' || a || '}}', '\\[a-z]+-?[0-9]* ?', ' ', 'g') || '“' when 1 then regexp_replace('<p>' || text || '</p>', '<[^>]+>', ' ', 'g') when 2 then a || '“q”€' when 3 then a || chr(129) || chr(147) else text end as text
+  from (select doc_id, text, {_ascii.format('')} as a from documents)""")
 def _(spark, sf):
-    kind = F.when(F.col("doc_id") % 3 == 0, "RTF").when(F.col("doc_id") % 3 == 1, "ODT").otherwise("TXT")
-    raw = F.when(kind == "RTF", F.concat(F.lit("{\\rtf1\\ansi "), "text", F.lit("}"))).when(kind == "ODT", F.concat(F.lit("<p>"), "text", F.lit("</p>"))).otherwise(F.col("text"))
-    return load(spark, sf, "documents").select("doc_id", H.decode_text(F.encode(raw, "UTF-8"), kind).alias("text"))
+    kind = F.when(F.col("doc_id") % 5 == 0, "RTF").when(F.col("doc_id") % 5 == 1, "ODT").otherwise("TXT")
+    ascii_part = "encode(regexp_replace(text, '[^\\\\x01-\\\\x7E]', ''), 'UTF-8')"
+    body = f"""case doc_id % 5 when 0 then encode('{{\\\\rtf1\\\\ansi ', 'UTF-8') || {ascii_part} || encode('}}', 'UTF-8') || X'8193' when 1 then encode('<p>' || text || '</p>', 'UTF-8') when 2 then {ascii_part} || X'93719480' when 3 then {ascii_part} || X'8193' else encode(text, 'UTF-8') end"""
+    return load(spark, sf, "documents").select("doc_id", H.decode_text(F.expr(body), kind, None).alias("text"))
 
 
-@register("e16_scanned", "select doc_id, doc_id % 2 = 0 and length(trim(text)) < 40 as scanned from (select doc_id, text[1:doc_id % 80] as text from documents)")
+@register("e16_scanned", "select doc_id, doc_id % 2 = 0 and length(trim(text)) < 40 as scanned from documents")
 def _(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", F.expr("substring(text, 1, cast(doc_id % 80 as int))").alias("text"))
-    return d.select("doc_id", H.is_scanned(F.when(F.col("doc_id") % 2 == 0, "PDF").otherwise("TXT"), F.col("text")).alias("scanned"))
+    return load(spark, sf, "documents").select("doc_id", H.is_scanned(F.when(F.col("doc_id") % 2 == 0, "PDF").otherwise("TXT"), F.col("text")).alias("scanned"))
 
 
-@register("e17_classify_responses", "select k, url, case when status >= 400 then 'http_' || status when body = '' then 'empty' when contains(ct, 'html') then 'not_pdf' when body[1:4] <> '%PDF' then 'missing_magic' when row_number() over (partition by body order by k) > 1 then 'duplicate' else 'ok' end as outcome from (select k, url, http_status + case when k % 13 = 0 then 404 else 0 end as status, case when k % 7 = 0 then 'text/html' else 'application/pdf' end as ct, case k % 5 when 0 then '' when 1 then 'oops' else '%PDF-' || k % 400 end as body from runs)", "runs")
+@register("e17_classify_responses", "with r as (select k, url, http_status + case when k % 13 = 0 then 404 else 0 end as status, case when k % 7 = 0 then 'text/html' else 'application/pdf' end as ct, case k % 5 when 0 then '' when 1 then 'oops' else '%PDF-' || k % 400 end as body from runs), o as (select *, case when status >= 400 then 'http_' || status when body = '' then 'empty' when contains(ct, 'html') then 'not_pdf' when body[1:4] <> '%PDF' then 'missing_magic' else 'ok' end as outcome from r) select k, url, case when outcome = 'ok' and row_number() over (partition by outcome, body order by k) > 1 then 'duplicate' else outcome end as outcome from o", "runs")
 def _(spark, sf):
     rows = load(spark, sf, "runs").selectExpr("k", "url", "http_status + case when k % 13 = 0 then 404 else 0 end as status", "case when k % 7 = 0 then 'text/html' else 'application/pdf' end as content_type", "cast(case k % 5 when 0 then '' when 1 then 'oops' else concat('%PDF-', k % 400) end as binary) as body")
     return H.classify_responses(rows)
 
 
-REPLY = """case k % 4 when 0 then '```json' || chr(10) || '{"summary":"S' || k || '","key_points":["a","b"]}' || chr(10) || '```' when 1 then 'Sure: {"summary":"S' || k || '"} ok' when 2 then '{"summary":"S' || k || '"}' else 'no object' end"""
+REPLY = """case k % 4 when 0 then '```json' || chr(10) || '{"summary":" S' || k || '","key_points":["a"," ","b","c","d","e","f","g","h","i","j","k","l"],"document_type":" Bill "}' || chr(10) || '```' when 1 then 'Sure: {"summary":"S' || k || '","topics":["1","2","3","4","5","6","7","8","9"]} ok' when 2 then '{"summary":"S' || k || '"}' else 'no object' end"""
 
 
-@register("e18_fenced_json", "select k, case when k % 4 < 3 then 'S' || k end as summary, case when k % 4 = 0 then 2 end as n_points from runs", "runs")
+@register("e18_fenced_json", "select k, case when k % 4 < 3 then 'S' || k end as summary, case k % 4 when 0 then 'a b c d e f g h i j' when 3 then null else '' end as points, case k % 4 when 1 then '12345678' when 3 then null else '' end as topics, case k % 4 when 0 then 'bill' when 3 then null else 'other' end as kind from runs", "runs")
 def _(spark, sf):
-    rows = load(spark, sf, "runs").selectExpr("k", f"{REPLY.replace('chr(10)', 'char(10)')} as reply").select("k", H.fenced_json(F.col("reply")).alias("o"))
-    o = F.from_json("o", "struct<summary:string,key_points:array<string>>")
-    return rows.select("k", o["summary"].alias("summary"), F.nullif(F.size(F.coalesce(F.slice(o["key_points"], 1, 10), F.array().cast("array<string>"))), F.lit(0)).alias("n_points"))
+    rows = load(spark, sf, "runs").selectExpr("k", f"{REPLY.replace('chr(10)', 'char(10)')} as reply").select("k", H.coerced_reply(F.col("reply")).alias("o"))
+    return rows.select("k", F.col("o.summary").alias("summary"), F.array_join("o.key_points", " ").alias("points"), F.array_join("o.topics", "").alias("topics"), F.col("o.document_type").alias("kind"))
 
 
 _stop = "[" + ", ".join(f"'{w}'" for w in Q.STOP) + "]"
@@ -209,13 +283,13 @@ def _(spark, sf):
 
 
 def _questions(spark, sf):
-    return load(spark, sf, "benchmark").selectExpr("item_id as qid", "substr(text, 1, 60) as question")
+    return load(spark, sf, "benchmark").selectExpr("item_id as qid", "text as question")
 
 
-_retrieved = f"""q as (select item_id as qid, lower(trim(text[1:60])) as raw, {_tok('text[1:60]')} as qt from benchmark), d as (select id, lower(title) as title, lower(jurisdiction) as place, lower(summary) as summary, {_tok("title || ' ' || jurisdiction || ' ' || summary")} as dt, {_tok('title')} as tt from corpus),
-  p as (select q.*, d.* from q join d on len(list_intersect(qt, dt)) > 0),
-  s as (select qid, id, len(list_intersect(qt, dt)) + 4 * len(list_intersect(qt, tt)) + 2 * len(list_filter(qt, lambda t: contains(place, t))) + 2 * len(list_filter(qt, lambda t: length(t) >= 4 and contains(title, t))) + len(list_filter(qt, lambda t: length(t) >= 4 and contains(summary, t))) + case when length(raw) >= 6 and contains(title, raw[1:40]) then 6 else 0 end as score from p),
-  c as (select *, max(score) over (partition by qid) as best from s), hits as (select qid, id, score, rank from (select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank from c where score >= case when best >= 6 then greatest(1, best * 0.35) else 1 end) where rank <= 8)"""
+# every question against every document, each point by its own test
+_retrieved = f"""q as (select item_id as qid, lower(trim(text)) as raw, {_tok('text')} as qt from benchmark), d as (select id, lower(title) as title, lower(jurisdiction) as place, lower(summary) as summary, {_tok("title || ' ' || jurisdiction || ' ' || summary")} as dt, {_tok('title')} as tt from corpus),
+  s as (select qid, id, len(list_intersect(qt, dt)) + 4 * len(list_intersect(qt, tt)) + 2 * len(list_filter(qt, lambda t: contains(place, t))) + 2 * len(list_filter(qt, lambda t: length(t) >= 4 and contains(title, t))) + len(list_filter(qt, lambda t: length(t) >= 4 and contains(summary, t))) + case when length(raw) >= 6 and contains(title, raw[1:40]) then 6 else 0 end as score from q, d),
+  c as (select *, max(score) over (partition by qid) as best from s where score >= 1), hits as (select qid, id, score, rank from (select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank from c where score >= case when best >= 6 then greatest(1, best * 0.35) else 1 end) where rank <= 8)"""
 
 
 @register("r2_retrieve", f"with {_retrieved} select * from hits", "corpus")
@@ -223,30 +297,54 @@ def _(spark, sf):
     return Q.retrieve(_questions(spark, sf), load(spark, sf, "corpus"))
 
 
-@register("r3_passages", f"""with {_retrieved}, w as (select h.qid, h.id, s as start, trim(text[s + 1:s + 650]) as passage from (select qid, h.id, text, unnest(range(0, greatest(length(text) - 1, 0) + 1, 500)) as s from hits h join documents on doc_id = h.id where rank <= 3) h),
-  g as (select w.qid, w.id, passage, start, len(list_intersect(qt, {_tok('passage')})) as score from w join q on q.qid = w.qid where length(passage) >= 50) select qid, id, passage, score, start, nth from (select *, row_number() over (partition by qid, id order by score desc, start) as nth from g where score >= 1) where nth <= 3""", "corpus")
+def _passages_sql(step: int, width: int, least: int, once: int | None = None) -> str:
+    """CTE passages."""
+    from_ = "g" if once is None else f"(select * from (select *, row_number() over (partition by qid, id, passage[1:{once}] order by score desc, start) as same from g) where same = 1)"
+    return f"""w as (select h.qid, h.id, s as start, trim(text[s + 1:s + {width}]) as passage from (select qid, h.id, text, unnest(range(0, greatest(length(text) - 1, 0) + 1, {step})) as s from hits h join documents on doc_id = h.id where rank <= 3) h),
+  g as (select * from (select w.qid, w.id, passage, start, len(list_intersect(qt, {_tok('passage')})) as score from w join q on q.qid = w.qid where length(passage) >= {least}) where score >= 1),
+  passages as (select qid, id, passage, score, start, nth from (select *, row_number() over (partition by qid, id order by score desc, start) as nth from {from_}) where nth <= 3)"""
+
+
+@register("r3_passages", f"with {_retrieved}, {_passages_sql(500, 650, 50)} select * from passages", "corpus")
 def _(spark, sf):
     corpus, questions = load(spark, sf, "corpus"), _questions(spark, sf)
     return Q.passages(Q.retrieve(questions, corpus), questions, corpus)
 
 
+@register("r3_passages_client", f"with {_retrieved}, {_passages_sql(400, 550, 40, 80)} select * from passages", "corpus")
+def _(spark, sf):
+    corpus, questions = load(spark, sf, "corpus"), _questions(spark, sf)
+    return Q.passages(Q.retrieve(questions, corpus), questions, corpus, 400, 550, least=40, once=80)
+
+
 _points = " + ".join(f"case when contains(lower(x), '{w}') then 1 else 0 end" for w in Q.LEGAL_WORDS)
 _topics = f"tw as (select id, unnest(l) as word, unnest(range(len(l))) as pos from (select id, regexp_extract_all(lower(text), '[a-z]{{5,}}') as l from corpus)), tc as (select id, word, count(*) as c, min(pos) as p from tw where word not in ({', '.join(chr(39) + w + chr(39) for w in R.TOPIC_STOP)}) group by 1, 2), tt as (select id, string_agg(word, ',' order by r) as topics from (select *, row_number() over (partition by id order by c desc, p) as r from tc) where r <= 6 group by id)"
 
 
-@register("r4_extractive_summary", f"""with {_topics}, s as (select id, unnest(l) as x0, unnest(range(len(l))) as pos from (select id, regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') as l from corpus)), c as (select id, pos, trim(x0) as x from s where length(trim(x0)) between 40 and 400),
-  r as (select id, x, row_number() over (partition by id order by {_points} desc, length(x) desc, pos) as r from c), k as (select id, list(x order by r) as kp from r where r <= 5 group by id),
-  j as (select corpus.id, title, text, coalesce(kp, [text[1:500]]) as kp, coalesce(topics, '') as topics from corpus left join k on corpus.id = k.id left join tt on corpus.id = tt.id)
-  select id, case when trim(text) = '' then 'No extractable text (may be scanned/image-only PDF).' else trim(case when title <> '' then title || '. ' else '' end || array_to_string(kp, ' ')[1:1200]) end as summary, case when trim(text) = '' then '' else array_to_string(kp, '|') end as key_points, case when trim(text) = '' then '' else topics end as topics, case when trim(text) = '' then 'empty' else 'extractive' end as method from j""", "corpus")
+_summarised = f"""{_topics}, s4 as (select id, unnest(l) as x0, unnest(range(len(l))) as pos from (select id, regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') as l from corpus)), c4 as (select id, pos, trim(x0) as x from s4 where length(trim(x0)) between 40 and 400),
+  r4 as (select id, x, row_number() over (partition by id order by {_points} desc, length(x) desc, pos) as r from c4), k4 as (select id, list(x order by r) as kp from r4 where r <= 5 group by id),
+  j4 as (select corpus.id, title, text, coalesce(kp, [text[1:500]]) as kp, coalesce(topics, '') as topics from corpus left join k4 on corpus.id = k4.id left join tt on corpus.id = tt.id)"""
+
+
+@register("r4_extractive_summary", f"""with {_summarised}
+  select id, case when trim(text) = '' then 'No extractable text (may be scanned/image-only PDF).' else trim(case when title <> '' then title || '. ' else '' end || array_to_string(kp, ' ')[1:1200]) end as summary, case when trim(text) = '' then '' else array_to_string(kp, '|') end as key_points, case when trim(text) = '' then '' else topics end as topics, case when trim(text) = '' then 'empty' else 'extractive' end as method from j4""", "corpus")
 def _(spark, sf):
     return Q.extractive_summaries(load(spark, sf, "corpus")).withColumn("key_points", F.array_join("key_points", "|"))
 
 
-@register("r5_answers", f"""with {_retrieved}, a as (select qid, string_agg('• [' || rank || '] ' || summary[1:260], chr(10) order by rank) filter (rank <= 6) as ls, string_agg('[' || rank || '] ' || title || ' — ' || url, chr(10) order by rank) as refs, count(*) as n from hits h join corpus c on c.id = h.id group by qid)
-  select q.qid, case when n is null then 'I could not find relevant summaries for that question yet.' else 'Answer:' || chr(10) || ls || chr(10) || 'References:' || chr(10) || refs end as answer, coalesce(n, 0) as n from q left join a on a.qid = q.qid""", "corpus")
+# documents of every third id have no key points
+@register("r5_answers", f"""with {_retrieved}, {_passages_sql(500, 650, 50)}, {_summarised.replace('tt as', 'tt5 as').replace('join tt on corpus.id = tt.id', 'join tt5 on corpus.id = tt5.id')},
+  l as (select h.qid, h.rank, case when h.id % 3 > 0 then array_to_string(list_transform(kp[1:2], lambda p: '• [' || h.rank || '] ' || p), chr(10)) else '• [' || h.rank || '] ' || c.summary[1:260] end || case when p.passage is not null then chr(10) || '  “' || p.passage[1:280] || '”' else '' end as line, '[' || h.rank || '] ' || c.title || ' — ' || c.url as ref
+    from hits h join corpus c on c.id = h.id join j4 on j4.id = h.id left join passages p on p.qid = h.qid and p.id = h.id and p.nth = 1),
+  a as (select qid, string_agg(line, chr(10) order by rank) filter (rank <= 6) as ls, string_agg(ref, chr(10) order by rank) as refs, count(*) as n from l group by qid)
+  select q.qid, case when n is null then 'I could not find relevant summaries for that question yet.' else 'Answer:' || chr(10) || ls || chr(10) || chr(10) || 'References:' || chr(10) || refs end as answer, coalesce(n, 0) as n from q left join a on a.qid = q.qid""", "corpus")
 def _(spark, sf):
     corpus, questions = load(spark, sf, "corpus"), _questions(spark, sf)
-    return Q.answers(questions, Q.retrieve(questions, corpus), corpus)
+    hits = saved(Q.retrieve(questions, corpus))
+    best = Q.passages(hits, questions, corpus, top=1).select("qid", "id", "passage")
+    wanted = corpus.join(hits.select("id").distinct(), "id", "left_semi")
+    points = Q.extractive_summaries(wanted).select("id", F.when(F.col("id") % 3 > 0, F.col("key_points")).alias("key_points"))
+    return Q.answers(questions, hits.join(best, ["qid", "id"], "left"), wanted.join(points, "id", "left"))
 
 
 @register("r6_publish_summaries", "select id, jurisdiction, source_kind, url, length(summary) as chars, summarized_at from corpus order by summarized_at desc, id limit 5000", "corpus")
@@ -256,30 +354,51 @@ def _(spark, sf):
 
 @register("r7_corpus_answer", "select jurisdiction, count(*) as n, count_if(length(summary) > 20) as with_summary, min(url) as first_url from corpus group by 1", "corpus")
 def _(spark, sf):
-    return load(spark, sf, "corpus").groupBy("jurisdiction").agg(F.count("*").alias("n"), F.count_if(F.length("summary") > 20).alias("with_summary"), F.min("url").alias("first_url"))
+    return Q.corpus_status(load(spark, sf, "corpus"))
 
 
-@register("r8_chunk_text", None)
+@register("r7_corpus_listing", "select n, id, title, jurisdiction, url, '[' || n || '] ' || title || ' (' || jurisdiction || ')' as line from (select row_number() over (order by id) as n, id, case when title = '' then 'Untitled' else title end as title, jurisdiction, url from corpus)", "corpus")
+def _(spark, sf):
+    return Q.corpus_listing(load(spark, sf, "corpus"), F.col("id"))
+
+
+# one cut after another, by recursion over the rest of each text
+@register("r8_chunk_text", r"""with recursive c as (select doc_id as id, -1 as n, cast(null as varchar) as chunk, coalesce(text, '') as rest from documents union all
+  select id, n + 1, case when length(rest) <= 900 then rest else trim(rest[1:at], e' \t\n\r\x0b\x0c') end, case when length(rest) <= 900 then '' else trim(rest[at + 1:], e' \t\n\r\x0b\x0c') end from (select *, case when sp >= 360 then sp when nl >= 360 then nl else 900 end as at from (select *, 900 - strpos(reverse(rest[1:900]), ' ') - case when strpos(reverse(rest[1:900]), ' ') = 0 then 901 else 0 end as sp, 900 - strpos(reverse(rest[1:900]), chr(10)) - case when strpos(reverse(rest[1:900]), chr(10)) = 0 then 901 else 0 end as nl from c where rest <> '')))
+  select id, n, chunk from c where n >= 0""")
 def _(spark, sf):
     return Q.chunk_text(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-_edges = f"edges as (select distinct p.url as src, a.url as dst, case when {X.matches('lower(' + X.path('a.url') + ')', U.DOC_EXTENSIONS)} then 'document' when {X.host('a.url')} = {X.host('p.url')} then 'same_site' else 'off_site' end as kind from pages p join anchors a on a.page_id = p.page_id)"
+_apis = f"apis as (select distinct page_id, site || p as url from (select page_id, site, unnest(list_distinct(regexp_extract_all(html, '[\"''](/_?api/[^\"''\\s]+)[\"'']', 1))[1:40]) as p from rich))"
+_methods = "['href', 'embed', 'embedded-url', 'getattachment', 'quoted-path', 'script', 'api']"
+EDGES = f"""{_rich_sql}, {anchor_ctes('rich')}, {EMBEDS}, named as ({_documents_sql(('embedded-url', 'getattachment', 'quoted-path', 'script'))}), {_apis},
+  f as (select page_id, url, 'href' as method, text[1:300] as text from anchors union all select page_id, url, 'embed', '' from embeds union all select page_id, url, method, '' from named union all select page_id, url, 'api', '' from apis),
+  g as (select p.url as src, f.url as dst, list_position({_methods}, method) as o, method, text from f join pages p on p.page_id = f.page_id where regexp_matches(f.url, '(?i)^https?://')),
+  h as (select src, dst, arg_min(method, o) as method, min(text) filter (o = m) as text from (select *, min(o) over (partition by src, dst) as m from g) group by 1, 2),
+  edges as (select src, dst, case when {_is_doc.replace('url', 'dst')} then 'document' when {X.host('dst')} = {X.host('src')} or ends_with({X.host('dst')}, '.' || {X.host('src')}) or ends_with({X.host('src')}, '.' || {X.host('dst')}) then 'same_site' else 'off_site' end as kind, method, text from h)"""
 
 
-@register("g1_link_edges", f"with {ANCHORS}, {_edges} select * from edges")
+@register("g1_link_edges", f"with {EDGES} select * from edges")
 def _(spark, sf):
-    return G.link_edges(load(spark, sf, "pages"))
+    return G.link_edges(_rich(spark, sf))
+
 
+# customers lead to the next of the orders that they placed, in five rings that do not meet
+ORDER_EDGES = "select distinct 'https://s.example.org/' || (o_custkey % 5) || '/laws/' || (o_custkey % 5 + 5 * (o_custkey * 7 % 200)) as src, 'https://s.example.org/' || (o_custkey % 5) || '/laws/' || (o_custkey % 5 + 5 * ((o_custkey * 7 + 1 + o_orderkey % 2) % 200)) as dst from orders"
 
-_order_edges = "select distinct 'https://s.example.org/' || o_custkey % 500 as src, 'https://s.example.org/' || (o_custkey * 7 + o_orderkey) % 500 as dst from orders where o_orderkey % 40 = 0"
+
+@register("g2_crawl_closure", f"with recursive e as ({ORDER_EDGES}), c as (select 'https://s.example.org/1/laws/1' as url union select 'https://s.example.org/2/laws/2' union select dst from e join c on e.src = c.url) select url from c")
+def _(spark, sf):
+    load(spark, sf, "orders").createOrReplaceTempView("orders")
+    seeds = spark.createDataFrame([("https://s.example.org/1/laws/1",), ("https://s.example.org/2/laws/2",)], "url string")
+    return G.crawl_closure(spark.sql(ORDER_EDGES), seeds).select("url")
 
 
-@register("g2_crawl_closure", f"with recursive e as ({_order_edges}), c as (select 'https://s.example.org/1' as url union select 'https://s.example.org/2' union select dst from e join c on e.src = c.url) select url from c")
+@register("g2_crawl_documents", f"with {EDGES}, v as (select distinct url, 0 as depth from pages), d as (select dst, src, text, method, row_number() over (partition by dst order by depth, src) as r from edges join v on v.url = src where kind = 'document') select dst as url, src as source_page, text, method from d where r = 1")
 def _(spark, sf):
-    edges = load(spark, sf, "orders").where("o_orderkey % 40 = 0").selectExpr("concat('https://s.example.org/', o_custkey % 500) as src", "concat('https://s.example.org/', (o_custkey * 7 + o_orderkey) % 500) as dst").distinct()
-    seeds = spark.createDataFrame([("https://s.example.org/1",), ("https://s.example.org/2",)], "url string")
-    return G.crawl_closure(edges, seeds, max_depth=500).select("url")
+    edges = saved(G.link_edges(_rich(spark, sf)))
+    return G.crawl_documents(G.crawl_closure(edges, load(spark, sf, "pages").select("url"), max_depth=0), edges)
 
 
 @register("g3_frontier_order", f"select *, row_number() over (partition by queue order by priority, url, k) as place from (select k, url, case when {X.matches(X.path('url'), U.LEGAL_PATH)} or {X.matches('url', U.LEGAL_PATH)} then 0 when {X.matches(X.path('url'), U.JUNK_PATH)} then 2 else 1 end as queue, case when regexp_matches(lower(url), '{U.FIRST_PAGES}') then 0 when regexp_matches(lower(url), '{U.SECOND_PAGES}') then 1 else 2 end as priority from downloads)", "downloads")
@@ -287,15 +406,133 @@ def _(spark, sf):
     return G.frontier_order(load(spark, sf, "downloads"))
 
 
-@register("g4_site_reports", f"with {ANCHORS}, {_edges} select {X.host('src')} as site, count(distinct src) as pages, count_if(kind = 'document') as document_links, count_if(kind = 'same_site') as same_site_links, count_if(kind = 'off_site') as off_site_links from edges group by 1")
+VISITS = "select url, page_id as seq, case when page_id % 9 = 0 then 'error' else 'ok' end as status, case when page_id % 7 = 3 then 4 else 0 end as links from pages"
+
+
+@register("g4_site_reports", f"""with {EDGES}, v as (select {X.host('url')} as site, * from ({VISITS})), l as (select {X.host('src')} as site, count(distinct dst) filter (kind = 'document') as documents, count_if(kind = 'document') as document_links, count_if(kind = 'same_site') as same_site_links, count_if(kind = 'off_site') as off_site_links from edges group by 1),
+  p as (select site, count(distinct url) as pages, count_if(status <> 'ok') as errors from v group by 1), e as (select distinct site from (select site, sum(case when links > 0 then 1 else 0 end) over (partition by site order by seq) as i, links from v where status = 'ok') where links = 0 group by site, i having count(*) >= 2)
+  select coalesce(p.site, l.site) as site, coalesce(pages, 0) as pages, coalesce(errors, 0) as errors, coalesce(documents, 0) as documents, coalesce(document_links, 0) as document_links, coalesce(same_site_links, 0) as same_site_links, coalesce(off_site_links, 0) as off_site_links, e.site is not null as empty_streak
+  from p full join l on p.site = l.site left join e on e.site = coalesce(p.site, l.site)""")
+def _(spark, sf):
+    load(spark, sf, "pages").createOrReplaceTempView("pages")
+    return G.site_reports(G.link_edges(_rich(spark, sf)), spark.sql(VISITS), 2)
+
+
+def _written(spark, write) -> str:
+    """A new path in the shared folder, after ``write`` (path) has filled it."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
+@register("s1_read_json_table", "select k, nullif(trim(title), '') as title, nullif(trim(jurisdiction), '') as jurisdiction, bytes from downloads union all select -1, null, null, count(*) from downloads where false", "downloads")
+def _(spark, sf):
+    """A JSON array for every thousand downloads, read back together; a missing file is an empty table."""
+    d = load(spark, sf, "downloads").select("k", F.to_json(F.struct("k", "title", "jurisdiction", "bytes")).alias("j"))
+    arrays = d.groupBy(F.floor(F.col("k") / 1000)).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value")).select("value")
+    path = _written(spark, lambda p: arrays.repartition(4).write.option("lineSep", "\n").text(p))
+    schema = "k long, title string, jurisdiction string, bytes long"
+    missing = S.read_json_table(spark, f"{path}-not-there", schema)
+    return S.read_json_table(spark, path, schema).where("k is not null").unionByName(missing).unionByName(missing.agg(F.count("*").alias("bytes")).selectExpr("cast(-1 as bigint) as k", "cast(null as string) as title", "cast(null as string) as jurisdiction", "bytes"))
+
+
+@register("s2_read_jsonl_latest", "select id, summary, summarized_at from (select *, row_number() over (partition by id order by summarized_at desc) as r from (select k % 300 as id, case when k % 11 = 0 then '  ' else 'Summary ' || k end as summary, '2024-' || lpad(cast(k as varchar), 9, '0') as summarized_at from downloads where k % 13 <> 5)) where r = 1 and trim(summary) <> ''", "downloads")
+def _(spark, sf):
+    """Lines are appended in two batches; every thirteenth is malformed."""
+    d = load(spark, sf, "downloads").select("k", (F.col("k") % 300).alias("id"), F.when(F.col("k") % 11 == 0, "  ").otherwise(F.concat(F.lit("Summary "), F.col("k").cast("string"))).alias("summary"), F.concat(F.lit("2024-"), F.lpad(F.col("k").cast("string"), 9, "0")).alias("summarized_at"))
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    S.append_jsonl(d.where("k % 2 = 0 and k % 13 <> 5").drop("k"), path)
+    S.append_jsonl(d.where("k % 2 = 1 and k % 13 <> 5").drop("k"), path)
+    d.where("k % 13 = 5").select(F.concat(F.lit('{"id": '), F.col("k").cast("string"), F.lit(', "summary": "cut')).alias("value")).write.mode("append").text(path)
+    return S.read_jsonl_latest(spark, path, "id long, summary string, summarized_at string")
+
+
+def _manifest(spark, sf):
+    """The downloads as nested manifests of a thousand rows, so that their number grows and not their size."""
+    d = load(spark, sf, "downloads")
+    row = lambda test, *c: F.collect_list(F.when(test, F.struct(*c)))
+    return d.groupBy(F.floor(F.col("k") / 1000).alias("part")).agg(
+        row(F.lit(True), "k", "url", "bytes", (F.col("k") % 10 == 0).alias("dry_run")).alias("downloads"), row(F.col("status") == "download_failed", "k", "url", "status").alias("errors"),
+        row(F.col("discovery_method") == "sitemap", "k", "url", "discovery_method").alias("discovered"), row(F.col("k") % 100 == 0, "k", "jurisdiction", "source_kind").alias("source_reports"),
+    )
+
+
+@register("s3_explode_manifest", "select 'downloads' as part, k, url as value from downloads where k % 10 <> 0 union all select 'errors', k, url from downloads where status = 'download_failed' union all select 'discovered', k, url from downloads where discovery_method = 'sitemap' union all select 'source_reports', k, source_kind from downloads where k % 100 = 0", "downloads")
+def _(spark, sf):
+    parts = S.explode_manifest(saved(_manifest(spark, sf)))
+    one = lambda n, c: parts[n].select(F.lit(n).alias("part"), "k", F.col(c).alias("value"))
+    return one("downloads", "url").unionByName(one("errors", "url")).unionByName(one("discovered", "url")).unionByName(one("source_reports", "source_kind"))
+
+
+@register("s5_records_from_sheet", "select cast(k as varchar) as Key, nullif(trim(title), '') as Title, cast(bytes as varchar) as Title_1, cast(2000 + k % 30 as varchar) || '-01-05' as \"Publication date\", nullif(trim(jurisdiction), '') as col_4 from downloads where k % 17 > 0", "downloads")
+def _(spark, sf):
+    """A grid with a header in its second row: a name with a line end, one twice, one blank; blank rows; numbers, dates with times."""
+    some = lambda c: F.when(F.col("k") % 17 > 0, c)
+    d = load(spark, sf, "downloads")
+    body = d.select((F.col("k") + 10).alias("row"), some(F.concat(F.col("k").cast("string"), F.lit(".0"))).alias("c0"), some(F.concat(F.lit(" "), "title")).alias("c1"), some(F.col("bytes").cast("string")).alias("c2"), some(F.concat((2000 + F.col("k") % 30).cast("string"), F.lit("-01-05 00:00:00"))).alias("c3"), some(F.col("jurisdiction")).alias("c4"))
+    head = spark.createDataFrame([(0, "a note", None, None, None, None), (1, "Key", "Title", "Title", "Publication\ndate", None)], "row long, c0 string, c1 string, c2 string, c3 string, c4 string")
+    return S.records_from_sheet(head.unionByName(body), 1).drop("row")
+
+
+@register("s6_seed_sources", "select region, jurisdiction, nullif(authority, '') as authority, url, array_to_string(list_filter([nullif(topics, ''), nullif(segment, '')], lambda x: x is not null), '|') as topics, coalesce(nullif(frequency, ''), 'Monthly') as frequency, case when trim(url) = '' then 'missing_url' when contains(lower(link_nature), 'not working') then 'broken' else 'active' end as status from registry", "registry")
+def _(spark, sf):
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    sheet = load(spark, sf, "registry").select(F.col("region").alias("Region"), F.col("jurisdiction").alias("Jurisdiction"), some("authority").alias("Authority"), F.col("url").alias("URL"), F.col("link_nature").alias("Link Nature"), some("topics").alias("Topic 1"), some("segment").alias("Sub Category (main)"), some("frequency").alias("Frequency"), F.lit("Monthly").alias("Frequency (old)"))
+    return S.seed_sources(sheet).select("region", "jurisdiction", "authority", "url", F.array_join("topics", "|").alias("topics"), "frequency", "status")
+
+
+@register("s7_read_pages", f"with {ANCHORS} select page_id, count(*) as n_links from anchors group by 1")
+def _(spark, sf):
+    """The pages are written with a column more and read back, and only what harvesting needs is read."""
+    path = _written(spark, lambda p: load(spark, sf, "pages").withColumn("fetched_at", F.lit("2024-01-01")).write.parquet(p))
+    return H.anchors(S.read_pages(spark, path)).groupBy("page_id").agg(F.count("*").alias("n_links"))
+
+
+@register("s8_scan_binary_documents", "select sha256(body)[1:16] as key, octet_length(encode(body)) as bytes, starts_with(body, '%PDF') as is_pdf, count(*) as n from (select string_agg(line, chr(10) order by k) || chr(10) as body from (select k, floor(k / 100) as f, case when k % 200 = 0 then '%PDF-1.7 ' else '' end || url as line from downloads) group by f) group by 1, 2, 3", "downloads")
+def _(spark, sf):
+    """A file for every hundred downloads, every second of them a PDF by its first bytes."""
+    d = load(spark, sf, "downloads").select("k", F.floor(F.col("k") / 100).alias("f"), F.concat(F.when(F.col("k") % 200 == 0, "%PDF-1.7 ").otherwise(""), "url").alias("line"))
+    body = d.groupBy("f").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    path = _written(spark, lambda p: body.write.partitionBy("f").text(p))
+    return S.scan_binary_documents(spark, path, "*.txt").groupBy("key", "bytes", "is_pdf").agg(F.count("*").alias("n"))
+
+
+@register("s9_merge_artifact_dir", "select k, url, jurisdiction from downloads where k % 7 > 0", "downloads")
+def _(spark, sf):
+    """Artifact files in folders, every second one a bare list and the others objects with downloads."""
+    d = load(spark, sf, "downloads").where("k % 7 > 0").select(F.floor(F.col("k") / 500).alias("f"), F.struct("k", "url", "jurisdiction").alias("r"))
+    rows = d.groupBy("f").agg(F.to_json(F.collect_list("r")).alias("j"))
+    body = rows.select("f", F.when(F.col("f") % 2 == 0, F.col("j")).otherwise(F.concat(F.lit('{"downloads": '), "j", F.lit("}"))).alias("value"))
+
+    def write(path):
+        body.where("f % 2 = 0").write.partitionBy("f").option("compression", "none").text(f"{path}/lists")
+        body.where("f % 2 = 1").write.partitionBy("f").text(f"{path}/objects")
+
+    return S.merge_artifacts(spark, _written(spark, write), "k long, url string, jurisdiction string", "*.txt")
+
+
+@register("s10_write_json_table", "select 2 as targets, k, url, bytes from downloads", "downloads")
+def _(spark, sf):
+    """Two targets, overwritten once, hold the same rows."""
+    d, root = load(spark, sf, "downloads").select("k", "url", "bytes"), f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    S.write_tables(d.limit(1), f"{root}/a", f"{root}/b")
+    S.write_tables(d, f"{root}/a", f"{root}/b")
+    both = [spark.read.schema("k long, url string, bytes long").json(f"{root}/{t}") for t in "ab"]
+    return both[0].unionByName(both[1]).groupBy("k", "url", "bytes").agg(F.count("*").cast("int").alias("targets"))
+
+
+@register("s11_write_csv_index", "select cast(k as varchar) as k, nullif(trim(title), '') as title, nullif(url, '') as url from downloads where status = 'downloaded'", "downloads")
 def _(spark, sf):
-    return G.site_reports(G.link_edges(load(spark, sf, "pages")))
+    path = _written(spark, lambda p: S.write_csv_index(load(spark, sf, "downloads").where("status = 'downloaded'"), p, ["k", "title", "url"]))
+    return spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
 
 
-@register("s3_explode_manifest", "select k, url, bytes from downloads where k % 10 <> 0", "downloads")
+@register("s12_append_jsonl", "select k, url from downloads where k % 3 = 0 union all select k, url from downloads where k % 2 = 0", "downloads")
 def _(spark, sf):
-    rows = load(spark, sf, "downloads").groupBy((F.col("k") % 50).alias("part")).agg(F.collect_list(F.struct("k", "url", "bytes", (F.col("k") % 10 == 0).alias("dry_run"))).alias("downloads"), F.collect_list(F.struct("k", "status")).alias("errors"))
-    return S.explode_manifest(rows)["downloads"].select("k", "url", "bytes")
+    d, path = load(spark, sf, "downloads").select("k", "url"), f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    S.append_jsonl(d.where("k % 3 = 0"), path)
+    S.append_jsonl(d.where("k % 2 = 0"), path)
+    return spark.read.schema("k long, url string").json(path)
 
 
 _line = "case k % 5 when 0 then '# note' when 1 then url when 2 then jurisdiction || ' | ' || url when 3 then jurisdiction || '|' || source_kind || '| ' || url else jurisdiction || '||' || url end"

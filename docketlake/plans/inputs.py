@@ -92,7 +92,7 @@ from events
 CORPUS = f"""
 select doc_id as id, split_part(text, '.', 1) as title, {pick('UK~France~Saudi Arabia~Data Authority', 'doc_id')} as jurisdiction, source as source_kind,
   'https://' || source || '.example.org/d/' || cast(doc_id as string) as url, text, lang,
-  substr(text, 1, 400) as summary, 'T' || cast(doc_id % 977 as string) as summarized_at
+  text as summary, 'T' || cast(doc_id % 977 as string) as summarized_at
 from documents
 """
 

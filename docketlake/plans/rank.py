@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import catalog as K
 from ..operators import rank as R
 from . import sqlx as X
-from .classify import ENRICHED
+from .classify import ENRICHED, LAWS
 from .inputs import load, with_bigints, with_inputs
 
 QUERIES, SQL = {}, {}
@@ -27,7 +26,7 @@ def register(name: str, oracle: str, *tables: str):
 
 @register("a1_run_stats", "select count(*) as attempted, count_if(status = 'ok') as ok, count_if(status <> 'ok') as failed, sum(new_items) as new_items from runs", "runs")
 def _(spark, sf):
-    return load(spark, sf, "runs").agg(F.count("*").alias("attempted"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"), F.sum("new_items").alias("new_items"))
+    return R.run_stats(load(spark, sf, "runs"))
 
 
 @register("a2_counts_by_jurisdiction", "select case when trim(jurisdiction) = '' then 'Unknown' else jurisdiction end as value, count(*) as n from downloads group by 1 order by n desc, value limit 40", "downloads")
@@ -35,9 +34,10 @@ def _(spark, sf):
     return R.counts_by(load(spark, sf, "downloads"), "jurisdiction", 40)
 
 
-@register("a3_registry_profile", "select count(*) as n, count_if(trim(authority) <> '') as with_authority, count_if(length(topics) > 5) as with_topics, cast(count_if(contains(lower(jurisdiction), 'federal')) as bigint) as federal from registry", "registry")
+@register("a3_laws_profile", f"""with {LAWS}, m as (select 'laws' as metric, '' as value, count(*) as n from laws union all select 'with_authority', '', count_if(coalesce(authority, '') <> '') from laws union all select 'with_summary', '', count_if(length(summary) > 20) from laws union all select 'level', coalesce(nullif(level, ''), '?'), count(*) from laws group by 2
+  union all select * from (select 'country', coalesce(nullif(country, ''), '?') as value, count(*) as n from laws group by 2 order by n desc, value limit 15)) select metric, value, cast(n as bigint) as n from m""", "tracking", "registry", "updates")
 def _(spark, sf):
-    return load(spark, sf, "registry").agg(F.count("*").alias("n"), F.count_if(F.trim("authority") != "").alias("with_authority"), F.count_if(F.length("topics") > 5).alias("with_topics"), F.count_if(F.lower("jurisdiction").contains("federal")).alias("federal"))
+    return R.laws_profile(K.laws_catalog(load(spark, sf, "updates"), load(spark, sf, "tracking"), load(spark, sf, "registry")))
 
 
 @register("a4_status_counts", "select source_kind, " + ", ".join(f"count_if(status = '{s}') as {s}" for s in STATUSES) + ", count(*) as total from downloads group by 1", "downloads")
@@ -50,26 +50,35 @@ def _(spark, sf):
     return R.counts_by(K.enrich(load(spark, sf, "downloads")), "law_type")
 
 
+@register("a5_year_counts", f"select cast(year as varchar) as value, count(*) as n from ({ENRICHED}) where year is not null group by 1", "downloads")
+def _(spark, sf):
+    return R.counts_by(K.enrich(load(spark, sf, "downloads")).where("year is not null"), "year")
+
+
+@register("a5_kind_counts", "select source_kind as value, count(*) as n from downloads group by 1", "downloads")
+def _(spark, sf):
+    return R.counts_by(K.enrich(load(spark, sf, "downloads")), "source_kind")
+
+
 @register("a6_top_error_hosts", f"select case when {X.host('url')} = '' then 'Unknown' else {X.host('url')} end as value, count(*) as n from runs where status <> 'ok' group by 1 order by n desc, value limit 25", "runs")
 def _(spark, sf):
     return R.counts_by(load(spark, sf, "runs").where("status <> 'ok'").withColumn("host", U.host_of(F.col("url"))), "host", 25)
 
 
-@register("a7_discovery_method_counts", "select discovery_method as value, count(*) as n from (select *, row_number() over (partition by sha256 order by k) as r from downloads) where r = 1 group by 1", "downloads")
+@register("a7_discovery_method_counts", "select discovery_method as value, count(*) as n from (select *, row_number() over (partition by url order by k) as r from downloads) where r = 1 group by 1", "downloads")
 def _(spark, sf):
-    return R.counts_by(R.dedupe_first(load(spark, sf, "downloads"), ["sha256"], F.col("k")), "discovery_method")
+    """The first method that found each URL."""
+    return R.counts_by(R.dedupe_first(load(spark, sf, "downloads"), ["url"], F.col("k")), "discovery_method")
 
 
 @register("a8_language_histogram", "select lang, count(*) as n, count_if(length(text) >= 40) as with_text, sum(length(text)) as chars from documents group by 1")
 def _(spark, sf):
-    return load(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.length("text") >= 40).alias("with_text"), F.sum(F.length("text")).alias("chars"))
+    return R.language_histogram(load(spark, sf, "documents"))
 
 
 @register("a9_sources_fewest_first", "select r.jurisdiction, coalesce(n, 0) as n, row_number() over (order by coalesce(n, 0), r.jurisdiction) as place from (select distinct jurisdiction from registry) r left join (select jurisdiction, count(*) as n from downloads group by 1) d on r.jurisdiction = d.jurisdiction", "registry", "downloads")
 def _(spark, sf):
-    n = load(spark, sf, "downloads").groupBy("jurisdiction").agg(F.count("*").alias("n"))
-    sources = load(spark, sf, "registry").select("jurisdiction").distinct().join(n, "jurisdiction", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return sources.withColumn("place", F.row_number().over(Window.orderBy("n", "jurisdiction")))
+    return R.fewest_first(load(spark, sf, "registry"), load(spark, sf, "downloads"), "jurisdiction")
 
 
 @register("a10_table_counts", "select 'documents' as name, count(*) as n from documents union all select 'pages', count(*) from pages union all select 'orders', count(*) from orders")
@@ -103,19 +112,18 @@ def _(spark, sf):
 
 @register("a14_source_reports", "select source, count(*) as pages, sum(item_count) as candidates, sum(new_items) as kept, count_if(status = 'error') as errors, count_if(status = 'http_error') as http_errors from runs group by 1", "runs")
 def _(spark, sf):
-    return load(spark, sf, "runs").groupBy("source").agg(F.count("*").alias("pages"), F.sum("item_count").alias("candidates"), F.sum("new_items").alias("kept"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status") == "http_error").alias("http_errors"))
+    return R.source_reports(load(spark, sf, "runs"))
 
 
 @register("a15_blocked_hosts", f"select source, array_to_string(list_sort(list_distinct(list({X.host('url')})))[1:50], ',') as hosts from runs where http_status in (403, 429) or http_status >= 500 group by 1", "runs")
 def _(spark, sf):
-    blocked = load(spark, sf, "runs").where("http_status in (403, 429) or http_status >= 500")
-    return blocked.groupBy("source").agg(F.array_join(F.slice(F.sort_array(F.collect_set(U.host_of(F.col("url")))), 1, 50), ",").alias("hosts"))
+    return R.blocked_hosts(load(spark, sf, "runs")).withColumn("hosts", F.array_join("hosts", ","))
 
 
 @register("a16_distinct_sets", "select jurisdiction, array_to_string(list_sort(list_distinct(list(source_kind))), ',') as kinds, array_to_string(list_sort(list_distinct(list(status))), ',') as statuses from downloads group by 1", "downloads")
 def _(spark, sf):
-    sets = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    return load(spark, sf, "downloads").groupBy("jurisdiction").agg(sets("source_kind").alias("kinds"), sets("status").alias("statuses"))
+    sets = R.distinct_sets(load(spark, sf, "downloads"), "jurisdiction", "source_kind", "status")
+    return sets.select("jurisdiction", F.array_join("source_kind", ",").alias("kinds"), F.array_join("status", ",").alias("statuses"))
 
 
 @register("w1_dedupe_first", "select k, sha256 from (select *, row_number() over (partition by sha256 order by k) as r from downloads) where r = 1", "downloads")
@@ -140,6 +148,12 @@ def _(spark, sf):
     return R.empty_streaks(visits, "source", "k", "item_count", 3)
 
 
+@register("w5_failed_runs", "select source, min(k) as at from (select *, sum(bad) over (partition by source, i order by k) as run from (select *, sum(1 - bad) over (partition by source order by k) as i, sum(found) over (partition by source order by k) as f, row_number() over (partition by source order by k) as n from (select source, k, case when status = 'ok' then 0 else 1 end as bad, case when k < 400 then 0 else new_items end as found from runs))) where run >= 3 and f = 0 and n >= 4 group by source", "runs")
+def _(spark, sf):
+    visits = load(spark, sf, "runs").select("source", "k", (F.col("status") != "ok").alias("bad"), F.when(F.col("k") < 400, 0).otherwise(F.col("new_items")).alias("found"))
+    return R.failed_runs(visits, "source", "k", "bad", "found", 3, 4)
+
+
 @register("w6_keep_last", "select k, discovered_at, row_number() over (order by discovered_at desc, k) as rank from updates order by discovered_at desc, k limit 200", "updates")
 def _(spark, sf):
     return R.keep_top(load(spark, sf, "updates"), [], 200, F.desc("discovered_at"), F.col("k")).select("k", "discovered_at", "rank")
@@ -147,8 +161,7 @@ def _(spark, sf):
 
 @register("w7_cap_per_source", "select source, sum(case when r <= 20 then 1 else 0 end) as kept, sum(case when r > 20 then 1 else 0 end) as capped from (select source, row_number() over (partition by source order by k) as r from runs where new_items > 0) group by source", "runs")
 def _(spark, sf):
-    ranked = load(spark, sf, "runs").where("new_items > 0").withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("k")))
-    return ranked.groupBy("source").agg(F.sum((F.col("r") <= 20).cast("long")).alias("kept"), F.sum((F.col("r") > 20).cast("long")).alias("capped"))
+    return R.cap_per_source(load(spark, sf, "runs").where("new_items > 0"), "source", 20)
 
 
 @register("w8_disambiguate_filename", r"select k, case when r > 1 then regexp_extract(filename, '^(.*?)(\.[^.]*)?$', 1) || '_' || sha256(url)[1:8] || regexp_extract(filename, '^(.*?)(\.[^.]*)?$', 2) else filename end as filename from (select *, row_number() over (partition by lower(filename) order by k) as r from downloads)", "downloads")
@@ -163,22 +176,17 @@ def _(spark, sf):
 
 @register("w10_number_citations", "select source, string_agg('[' || n || '] ' || k, ' ' order by n) as citations from (select source, k, row_number() over (partition by source order by value desc, k) as n from runs) where n <= 6 group by 1", "runs")
 def _(spark, sf):
-    hits = R.keep_top(load(spark, sf, "runs"), ["source"], 6, F.desc("value"), F.col("k"), name="n")
-    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.col("k").cast("string"))
-    return hits.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("t")))), lambda x: x["t"]), " ").alias("citations"))
+    return R.number_citations(load(spark, sf, "runs"), "source", "k", 6, F.desc("value"), F.col("k"))
 
 
 @register("w11_display_cap", "select k, total from (select k, count(*) over () as total from downloads where source_kind = 'site') order by k limit 400", "downloads")
 def _(spark, sf):
-    found = load(spark, sf, "downloads").where("source_kind = 'site'").select("k")
-    total = found.count()
-    return found.orderBy("k").limit(400).withColumn("total", F.lit(total))
+    return R.display_cap(load(spark, sf, "downloads").where("source_kind = 'site'").select("k"), 400, F.col("k"))
 
 
 @register("w12_first_per_host", f"select host, min(k) as k from (select k, {X.host('url')} as host from registry where starts_with(url, 'http') and trim(authority) <> '') where host <> '' group by host", "registry")
 def _(spark, sf):
-    hosts = load(spark, sf, "registry").where("url like 'http%' and trim(authority) <> ''").select("k", U.host_of(F.col("url")).alias("host")).where("host <> ''")
-    return hosts.groupBy("host").agg(F.min("k").alias("k"))
+    return R.first_per_host(load(spark, sf, "registry"))
 
 
 @register("x2_prepend_and_dedupe", "select k, link from (select *, row_number() over (partition by lower(link) order by new desc, k) as r from (select k, link, k % 2 as new from updates)) where r = 1", "updates")
@@ -196,15 +204,15 @@ def _(spark, sf):
 @register("x4_kept_and_rejected", "select status, bytes >= 1000000 as big, count(*) as n from downloads group by 1, 2", "downloads")
 def _(spark, sf):
     d = load(spark, sf, "downloads")
-    kept, rest = d.where("bytes >= 1000000"), d.where("bytes < 1000000")
+    kept, rest = R.kept_and_rejected(d, F.col("bytes") >= 1000000)
     return kept.select("status", F.lit(True).alias("big")).unionByName(rest.select("status", F.lit(False).alias("big"))).groupBy("status", "big").agg(F.count("*").alias("n"))
 
 
-@register("x5_token_sets", "select doc_id, array_to_string(list_sort(list_intersect(a, b)), ' ') as both_sides, array_to_string(list_sort(list_filter(a, lambda x: not list_contains(b, x))), ' ') as only_first, len(list_distinct(a || b)) as n_union from (select doc_id, list_distinct(string_split(lower(split_part(text, '.', 1)), ' ')) as a, list_distinct(string_split(lower(split_part(text, '.', 2)), ' ')) as b from documents)")
+@register("x5_token_sets", "select doc_id, array_to_string(list_sort(list_intersect(a, b)), ' ') as both_sides, array_to_string(list_sort(list_filter(a, lambda x: not list_contains(b, x))), ' ') as only_first, len(list_distinct(a || b)) as n_union from (select doc_id, list_distinct(string_split(lower(text), ' ')) as a, list_distinct(string_split(lower(reverse(text)), ' ')) as b from documents)")
 def _(spark, sf):
-    word_set = lambda n: F.array_distinct(F.split(F.lower(F.split_part("text", F.lit("."), F.lit(n))), " "))
-    d = load(spark, sf, "documents").select("doc_id", word_set(1).alias("a"), word_set(2).alias("b"))
-    return d.select("doc_id", F.array_join(F.sort_array(F.array_intersect("a", "b")), " ").alias("both_sides"), F.array_join(F.sort_array(F.array_except("a", "b")), " ").alias("only_first"), F.size(F.array_union("a", "b")).alias("n_union"))
+    word_set = lambda t: F.array_distinct(F.split(F.lower(t), " "))
+    sets = R.token_sets(word_set(F.col("text")), word_set(F.reverse(F.col("text"))))
+    return load(spark, sf, "documents").select("doc_id", F.array_join(F.sort_array(sets["both"]), " ").alias("both_sides"), F.array_join(F.sort_array(sets["only_first"]), " ").alias("only_first"), F.size(sets["either"]).alias("n_union"))
 
 
 @register("j3_new_items", "select k, link from updates u where not exists (select 1 from (select link from updates where k % 4 = 0) s where s.link = u.link)", "updates")
@@ -229,17 +237,30 @@ def _(spark, sf):
     return R.merge_manifest(d.where("k % 3 < 2").select("url", "jurisdiction", "source_kind"), d.where("k % 3 > 0").withColumn("jurisdiction", F.concat(F.lit("New "), "jurisdiction")))
 
 
-EXPECTED = ["official_gazette", "parliamentary_bills", "legal_databases"]
-_coverage = f"""with c as ({ENRICHED}), h as (select jurisdiction, count(*) as n, list_sort(list_distinct(list(source_kind))) as kinds, min(year) as first_year, max(year) as last_year, list_sort(list_distinct(list(law_type))) as law_types from c where k % 400 < 40 group by 1),
-  j as (select r.jurisdiction, coalesce(n, 0) as n, coalesce(kinds, []) as kinds, first_year, last_year, coalesce(law_types, []) as law_types, list_filter({EXPECTED}, lambda x: not list_contains(coalesce(kinds, []), x)) as missing from (select distinct jurisdiction from registry where jurisdiction <> '') r left join h on r.jurisdiction = h.jurisdiction)
-  select jurisdiction, n, array_to_string(kinds, ',') as kinds, first_year, last_year, array_to_string(law_types, ',') as law_types, array_to_string(missing, ',') as missing, case when n = 0 then 'zero' when n < 3 or len(missing) > 0 then 'partial' else 'ok' end as state from j"""
+@register("j5_merge_artifacts", """with e as (select 'u' || k as url, jurisdiction as ej, case when k % 7 = 0 then '' else source_kind end as ek from downloads where k % 3 < 2), n as (select 'u' || k as url, case when k % 2 = 0 then 'Saudi Arabia - ' || (k % 5) else 'Other' end as nj, case when k % 4 = 0 then '' else 'crawl' end as nk from downloads where k % 3 > 0 and k % 11 > 0),
+  j as (select coalesce(e.url, n.url) as url, ej, ek, nj, nk, e.url is null as added, e.url is not null and n.url is not null and starts_with(nj, 'Saudi Arabia - ') and nj <> ej as better from e full join n on e.url = n.url)
+  select url, case when added or better then nj else ej end as jurisdiction, case when added then nk when better then coalesce(nullif(nk, ''), nullif(ek, ''), 'ministry') else ek end as source_kind, case when added then 'added' when better then 'relabelled' else 'kept' end as change from j""", "downloads")
+def _(spark, sf):
+    d = load(spark, sf, "downloads").withColumn("url", F.concat(F.lit("u"), F.col("k").cast("string")))
+    old = d.where("k % 3 < 2").withColumn("source_kind", F.when(F.col("k") % 7 == 0, "").otherwise(F.col("source_kind")))
+    new = d.where("k % 3 > 0").select("url", F.when(F.col("k") % 2 == 0, F.concat(F.lit("Saudi Arabia - "), (F.col("k") % 5).cast("string"))).otherwise("Other").alias("jurisdiction"), F.when(F.col("k") % 4 == 0, "").otherwise("crawl").alias("source_kind"), (F.col("k") % 11 == 0).alias("dry_run"))
+    return R.merge_artifacts_into(old, new, "Saudi Arabia - ")
+
+
+# a gazette row for each jurisdiction of the registry, two that have no documents and one without any source
+GAZETTE = "select jurisdiction, case when n % 3 = 0 then null else 'https://p.example/' end as parliamentary_bills, case when n % 2 = 0 then ' ' else 'https://g.example/' end as official_gazette, 'https://l.example/' as legal_databases from (select jurisdiction, min(k) as n from registry group by jurisdiction union all select 'Nowhere', 1 union all select 'Atlantis', 5)"
+_coverage = f"""with c as ({ENRICHED}), b as (select case when trim(jurisdiction) = '' then 'Unknown' else trim(jurisdiction) end as j, * from c where not (jurisdiction = 'Atlantis' and k >= 100)),
+  h as (select j, count(*) as n, list_sort(list_distinct(list(source_kind))) as kinds, list_reverse_sort(list_distinct(list(year) filter (year is not null))) as years, list_sort(list_distinct(list(law_type))) as law_types from b group by 1),
+  g as (select case when trim(jurisdiction) = '' then 'Unknown' else trim(jurisdiction) end as j, list_filter([case when trim(coalesce(parliamentary_bills, '')) <> '' then 'parliamentary_bills' end, case when trim(coalesce(official_gazette, '')) <> '' then 'official_gazette' end], lambda x: x is not null) as expected from ({GAZETTE})),
+  m as (select g.j as jurisdiction, coalesce(n, 0) as n, coalesce(kinds, []) as kinds, expected, coalesce(years, []) as years, coalesce(law_types, []) as law_types, list_filter(expected, lambda x: not list_contains(coalesce(kinds, []), x)) as missing from g left join h on g.j = h.j)
+  select jurisdiction, n, array_to_string(kinds, ',') as kinds, array_to_string(expected, ',') as expected, array_to_string(years, ',') as years, array_to_string(law_types, ',') as law_types, array_to_string(missing, ',') as missing, case when n = 0 then 'zero' when n < 3 or len(missing) > 0 then 'partial' else 'ok' end as state from m"""
 
 
 @register("j6_coverage", _coverage, "downloads", "registry")
 def _(spark, sf):
-    catalog = K.enrich(load(spark, sf, "downloads")).where("k % 400 < 40")
-    out = R.coverage(load(spark, sf, "registry"), catalog, EXPECTED)
-    return out.withColumns({c: F.array_join(c, ",") for c in ("kinds", "law_types", "missing")})
+    load(spark, sf, "registry").createOrReplaceTempView("registry")
+    catalog = K.enrich(load(spark, sf, "downloads")).where("not (jurisdiction = 'Atlantis' and k >= 100)")
+    return R.coverage(spark.sql(GAZETTE), catalog).withColumns({c: F.array_join(c, ",") for c in ("kinds", "expected", "years", "law_types", "missing")})
 
 
 OWNERS = [("example.org", "Org"), ("docs.beta.example.org", "Docs desk"), ("gov.example", "Government"), ("www.nowhere.example", "None")]
@@ -283,26 +304,16 @@ def _(spark, sf):
 
 @register("j10_site_alias_join", f"select k, d.host, coalesce(g, d.host) as site from (select k, {X.host('url')} as host from downloads) d left join (values ('beta.example.org', 'beta'), ('docs.beta.example.org', 'beta'), ('delta.example.net', 'delta')) a(host, g) on d.host = a.host", "downloads")
 def _(spark, sf):
-    alias = spark.createDataFrame([("beta.example.org", "beta"), ("docs.beta.example.org", "beta"), ("delta.example.net", "delta")], "host string, g string")
+    alias = spark.createDataFrame([("beta.example.org", "beta"), ("docs.beta.example.org", "beta"), ("delta.example.net", "delta")], "host string, site string")
     docs = load(spark, sf, "downloads").select("k", U.host_of(F.col("url")).alias("host"))
-    return docs.join(F.broadcast(alias), "host", "left").select("k", "host", F.coalesce("g", "host").alias("site"))
+    return R.site_of(docs, alias).select("k", "host", "site")
 
 
 @register("j11_latest_of", "select sha256, max(downloaded_at) as downloaded_at, max_by(status, downloaded_at || lpad(cast(k as varchar), 12, '0')) as status from downloads group by 1", "downloads")
 def _(spark, sf):
-    stamp = F.struct("downloaded_at", "k")
-    return load(spark, sf, "downloads").groupBy("sha256").agg(F.max("downloaded_at").alias("downloaded_at"), F.max_by("status", stamp).alias("status"))
+    return R.latest_of(load(spark, sf, "downloads"), "sha256", "downloaded_at", "status")
 
 
 @register("t2_page_changes", "select source, k, content_hash from (select *, lag(content_hash) over (partition by source order by k) as before from runs where http_status > 0 and http_status < 400) where item_count = 0 and before is not null and before <> content_hash", "runs")
 def _(spark, sf):
-    before = F.lag("content_hash").over(Window.partitionBy("source").orderBy("k"))
-    ok = load(spark, sf, "runs").where("http_status > 0 and http_status < 400").withColumn("before", before)
-    return ok.where("item_count = 0 and before <> content_hash").select("source", "k", "content_hash")
-
-
-@register("t4_run_health", "select source, date_trunc('day', ts) as day, count(*) as n, count_if(status = 'ok') as ok, round(count_if(status = 'ok') / count(*), 6) as rate from runs group by 1, 2", "runs")
-def _(spark, sf):
-    runs = load(spark, sf, "runs").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = runs.groupBy("source", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("ok"))
-    return out.select("source", F.col("w.start").cast("timestamp_ntz").alias("day"), "n", "ok", F.round(F.col("ok") / F.col("n"), 6).alias("rate"))
+    return R.page_changes(load(spark, sf, "runs"))

@@ -35,13 +35,26 @@ def register(name: str, oracle: str | None):
     return keep
 
 
-@register("t1_detect_new_items", "select distinct 'source-' || user_id % 40 as source, 'item-' || event_id % 60 as item, 'new' as kind from events where event_type not in ('error', 'signup')")
+# every fifth snapshot has no items; its hash changes with the order of the events
+SNAPSHOTS = "concat('source-', user_id % 40) as source, event_id as seq, case when event_type in ('error', 'signup') then 503 else 200 end as http_status, concat('hash-', floor(event_id / 3) % 4) as content_hash, case when event_id % 5 = 0 then array() else array(concat('item-', event_id % 60)) end as items"
+
+
+@register("t1_detect_new_items", """with s as (select 'source-' || user_id % 40 as source, event_id as seq, 'hash-' || cast(floor(event_id / 3) % 4 as bigint) as content_hash, event_id % 5 = 0 as bare, 'item-' || event_id % 60 as item from events where event_type not in ('error', 'signup'))
+  select distinct source, item, 'new' as kind from s where not bare union all select source, content_hash, 'changed' from (select *, lag(content_hash) over (partition by source order by seq) as before from s) where bare and before <> content_hash""")
 def _(spark, sf):
-    snapshots = events(spark, sf).select(
-        F.concat(F.lit("source-"), (F.col("user_id") % 40).cast("string")).alias("source"), F.col("event_id").alias("seq"), F.when(F.col("event_type").isin("error", "signup"), 503).otherwise(200).alias("http_status"),
-        F.lit("h").alias("content_hash"), F.array(F.concat(F.lit("item-"), (F.col("event_id") % 60).cast("string"))).alias("items"),
-    )
-    return drained(J.detect_changes(snapshots))
+    return drained(J.detect_changes(events(spark, sf).selectExpr(*_columns(SNAPSHOTS))))
+
+
+def _columns(text: str) -> list[str]:
+    """The select list ``text`` as its columns."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
 
 
 @register("t1_new_items_by_key", "select distinct 'source-' || user_id % 40 as source, 'item-' || event_id % 60 as item from events")
@@ -60,3 +73,34 @@ def _(spark, sf):
 @register("t6_resume_batches", "select event_id, event_type from events where event_type <> 'view'")
 def _(spark, sf):
     return drained(events(spark, sf).where("event_type <> 'view'").select("event_id", "event_type"))
+
+
+RUN_STATUS = "case event_type when 'error' then 'error' when 'signup' then 'http_error' else 'ok' end"
+
+
+@register("t4_run_health", f"select 'source-' || user_id % 40 as source, date_trunc('day', ts) as start, date_trunc('day', ts) + interval 1 day as \"end\", count(*) as n, cast(count_if({RUN_STATUS} = 'ok') as bigint) as ok from events group by 1, 2, 3")
+def _(spark, sf):
+    """Health by day, from the stream; a last row far ahead in time moves the watermark past every day, and is left out."""
+    runs = events(spark, sf).selectExpr("concat('source-', user_id % 40) as source", f"{RUN_STATUS} as status", "cast(ts as timestamp) as ts")
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    late = spark.createDataFrame([("end", "ok")], "source string, status string").withColumn("ts", F.lit("2999-01-01").cast("timestamp"))
+    late.write.parquet(f"{at}/late")
+    ahead = spark.readStream.schema(late.schema).load(f"{at}/late")
+    rows = drained(J.run_health(runs.unionByName(ahead)))
+    day = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return rows.where("source <> 'end'").select("source", day("start"), day("end"), "n", "ok")
+
+
+@register("t4_run_health_batch", f"select 'source-' || user_id % 40 as source, date_trunc('day', ts) as start, date_trunc('day', ts) + interval 1 day as \"end\", count(*) as n, cast(count_if({RUN_STATUS} = 'ok') as bigint) as ok from events group by 1, 2, 3")
+def _(spark, sf):
+    runs = spark.read.schema(SCHEMA).parquet(f"{sf}/events.parquet").selectExpr("concat('source-', user_id % 40) as source", f"{RUN_STATUS} as status", "ts")
+    day = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return J.run_health(runs).select("source", day("start"), day("end"), "n", "ok")
+
+
+@register("t5_live_status", f"select 'total' as part, {RUN_STATUS} as status, count(*) as n, max(event_id) as last, cast(null as varchar) as url from events group by 2 union all select * from (select 'recent', {RUN_STATUS}, cast(1 as bigint), event_id, 'https://h' || user_id % 17 || '.example.org/' as url from events order by event_id desc limit 15)")
+def _(spark, sf):
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    runs = events(spark, sf).selectExpr("event_id as k", f"{RUN_STATUS} as status", "concat('https://h', user_id % 17, '.example.org/') as url")
+    J.live_status(runs, f"{at}/rows", f"{at}/checkpoint", None).awaitTermination()
+    return J.current(spark, f"{at}/rows")

@@ -46,16 +46,20 @@ SQL["u3_resolve_url"] = with_inputs(
 )
 
 
+SITES = "select k, case k % 7 when 0 then 'www.rulebook.sama.gov.sa' when 1 then 'CMA.org.sa' when 2 then 'ndmo.sdaia.gov.sa' else host end as host, split_part('example.org~www.beta.example.org~alpha.gov.example~docs.beta.example.org~sama.gov.sa~cma.gov.sa~dgp.sdaia.gov.sa', '~', cast(k % 7 as int) + 1) as seed from hosts"
+
+
 def _same_site(spark, sf):
-    left = load(spark, sf, "downloads").select("k", U.host_of(F.col("url")).alias("host"))
-    seed = F.element_at(F.array(*[F.lit(h) for h in ("example.org", "beta.example.org", "alpha.gov.example", "docs.beta.example.org")]), (F.col("k") % 4 + 1).cast("int"))
-    return left.select("k", "host", U.is_same_site(F.col("host"), seed).alias("either_way"), U.is_same_site(F.col("host"), seed, True).alias("below"))
+    load(spark, sf, "downloads").select("k", U.host_of(F.col("url")).alias("host")).createOrReplaceTempView("hosts")
+    host, seed = F.col("host"), F.col("seed")
+    return spark.sql(SITES).select("k", "host", U.is_same_site(host, seed).alias("either_way"), U.is_same_site(host, seed, one_way=True).alias("below"), U.is_same_site(host, seed, exact=True).alias("equal"))
 
 
 QUERIES["u4_is_same_site"] = _same_site
 SQL["u4_is_same_site"] = with_inputs(
-    f"""with s as (select k, {X.host('url')} as host, ['example.org', 'beta.example.org', 'alpha.gov.example', 'docs.beta.example.org'][k % 4 + 1] as seed from downloads)
-    select k, host, host <> '' and (host = seed or ends_with(host, '.' || seed) or ends_with(seed, '.' || host)) as either_way, host <> '' and (host = seed or ends_with(host, '.' || seed)) as below from s""",
+    f"""with hosts as (select k, {X.host('url')} as host from downloads), s as (select k, host, regexp_replace(lower(host), '^www\\.', '') as h, regexp_replace(seed, '^www\\.', '') as s from ({SITES}))
+    select k, host, h <> '' and (h = s or ends_with(h, '.' || s) or ends_with(s, '.' || h) or (h = 'rulebook.sama.gov.sa' and s = 'sama.gov.sa') or (h = 'cma.org.sa' and s = 'cma.gov.sa') or (h = 'ndmo.sdaia.gov.sa' and s in ('sdaia.gov.sa', 'dgp.sdaia.gov.sa'))) as either_way,
+      h <> '' and (h = s or ends_with(h, '.' || s)) as below, h <> '' and h = s as equal from s""",
     "downloads",
 )
 _low_path = f"lower({X.replace(X.path('url'), ';[^/]*$')})"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import urls as U
-from ..operators.storage import numbered
+from ..operators.storage import discard, numbered, saved
 
 
 def read_json_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -68,14 +68,16 @@ def read_source_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records_from_sheet(grid: DataFrame, header_row: int = 0, order: str = "row") -> DataFrame:
-    """Records of a raw grid (row, c0, c1, ...): names from ``header_row``, unique; blank rows dropped, values trimmed, whole numbers without '.0'."""
+    """Records of a raw grid (row, c0, c1, ...): names from ``header_row``, unique; blank rows dropped, values trimmed, whole numbers without '.0', dates in ISO form (without a time of midnight)."""
     cells = [c for c in grid.columns if c != order]
     head = grid.where(F.col(order) == header_row).first()
     names: list[str] = []
     for i, c in enumerate(cells):
         base = " ".join(str((head[c] if head else None) or "").split()) or f"col_{i}"
         names.append(base if base not in names else f"{base}_{sum(n == base or n.startswith(base + '_') for n in names)}")
-    value = lambda c: F.nullif(F.regexp_replace(F.trim(F.col(c).cast("string")), r"^(-?\d+)\.0$", "$1"), F.lit(""))
+    whole = lambda t: F.regexp_replace(t, r"^(-?\d+)\.0$", "$1")
+    iso = lambda t: F.regexp_replace(F.regexp_replace(t, r"^(\d{4}-\d\d-\d\d)[ T]00:00:00(?:\.0+)?$", "$1"), r"^(\d{4}-\d\d-\d\d) (\d\d:\d\d:\d\d)$", "$1T$2")
+    value = lambda c: F.nullif(iso(whole(F.trim(F.col(c).cast("string")))), F.lit(""))
     rows = grid.where(F.col(order) > header_row).select(order, *[value(c).alias(n) for c, n in zip(cells, names)])
     return rows.where(F.coalesce(*[F.col(f"`{n}`") for n in names]).isNotNull())
 
@@ -122,17 +124,19 @@ def scan_binary_documents(spark: SparkSession, path: str, glob: str = "*") -> Da
     return files.select("path", F.col("length").alias("bytes"), U.content_key(F.col("content")).alias("key"), (F.substring("content", 1, 4).cast("string") == "%PDF").alias("is_pdf"))
 
 
-def merge_artifacts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def merge_artifacts(spark: SparkSession, path: str, schema: str, glob: str = "*.json") -> DataFrame:
     """The downloads of all JSON files below ``path``; a file is a list, or an object with downloads."""
-    body = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    body = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     array = F.when(F.trim("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.downloads"))
     return body.select(F.inline(F.from_json(array, f"array<struct<{schema}>>")))
 
 
 def write_tables(df: DataFrame, *targets: str, format: str = "json") -> None:
-    """Overwrite every target with the whole table."""
+    """Overwrite every target with the whole table. The plan runs once: further targets are written from the shared folder."""
+    held = saved(df) if len(targets) > 1 else df
     for target in targets:
-        df.write.mode("overwrite").format(format).save(target)
+        held.write.mode("overwrite").format(format).save(target)
+    discard(held)
 
 
 def write_csv_index(df: DataFrame, path: str, columns: list[str]) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,24 +18,31 @@ def detect_changes(snapshots: DataFrame, remember: int = 200) -> DataFrame:
 
     One row for each item that its source has not shown before (kind new), and one where a page without items has another
     hash than last time (kind changed). Only responses below 400 touch the state; it keeps the last ``remember`` items.
+    Snapshots of a batch are taken in the order of ``seq``; between batches the stream's own order counts, so later files
+    should hold later snapshots. A source's snapshots are read frame by frame; of each only seq, hash and new items are held.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         urls, before = state.get if state.exists else ([], None)
-        seen, out = dict.fromkeys(urls or []), []
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for status, digest, items in zip(rows["http_status"], rows["content_hash"], rows["items"]):
-            if not 0 < status < 400:
-                continue
-            items = list(items) if items is not None else []
-            for item in items:
-                if item not in seen:
-                    out.append((key[0], item, "new"))
-                seen.pop(item, None)
-                seen[item] = None
-            if not items and before is not None and before != digest:
+        seen = dict.fromkeys(urls or [])
+        shown: dict[str, tuple[int, int]] = {}  # item -> first and last seq of this batch
+        pages: list[tuple[int, str, bool]] = []
+        for frame in frames:
+            good = frame[(frame["http_status"] > 0) & (frame["http_status"] < 400)]
+            for seq, digest, items in zip(good["seq"].tolist(), good["content_hash"], good["items"]):
+                items = list(items) if items is not None else []
+                pages.append((seq, digest, not items))
+                for item in items:
+                    first, last = shown.get(item, (seq, seq))
+                    shown[item] = (min(first, seq), max(last, seq))
+        out = [(key[0], item, "new") for item in sorted(shown, key=lambda x: (shown[x], x)) if item not in seen]
+        for _, digest, bare in sorted(pages):
+            if bare and before is not None and before != digest:
                 out.append((key[0], digest, "changed"))
             before = digest
+        for item in sorted(shown, key=lambda x: (shown[x][1], x)):
+            seen.pop(item, None)
+            seen[item] = None
         state.update((list(seen)[-remember:], before))
         yield pd.DataFrame(out, columns=["source", "item", "kind"])
 
@@ -65,8 +72,8 @@ def publish(updates: DataFrame, path: str, checkpoint: str, key: str, newest: st
         own = batch.sparkSession
         last = current(own, path, before=epoch)
         rows = batch.unionByName(last) if last is not None else batch
-        first = Window.partitionBy(key).orderBy(F.desc(newest))
-        rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").orderBy(F.desc(newest), key).limit(most)
+        last_of = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), F.col(newest)).alias("_row"))
+        rows = last_of.select("_row.*").orderBy(F.desc(newest), key).limit(most)
         rows.withColumn("version", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/version={epoch}")
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -91,6 +98,23 @@ def resume_batches(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def live_status(runs: DataFrame, name: str, every: str = "120 seconds"):
-    """A query whose in-memory table ``name`` has the totals by status, brought up to date ``every`` so often."""
-    return runs.groupBy("status").agg(F.count("*").alias("n"), F.max("k").alias("last")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(processingTime=every).start()
+def live_status(runs: DataFrame, path: str, checkpoint: str, every: str | None = "120 seconds", recent: int = 15):
+    """A query that keeps the state of a crawl at ``path`` up to date ``every`` so often (None: until the stream's present end).
+
+    runs (k, status, url): ``path``/current names the last version, which has a row for each status (part 'total') with its
+    runs and latest k, and the ``recent`` latest runs (part 'recent'). The totals of a version are those of the last plus
+    the batch's own, so a batch that runs again changes nothing.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        last = current(batch.sparkSession, path, before=epoch)
+        own = batch.groupBy("status").agg(F.count("*").alias("n"), F.max("k").alias("last")).select(F.lit("total").alias("part"), "status", "n", "last", F.lit(None).cast("string").alias("url"))
+        late = batch.orderBy(F.desc("k")).limit(recent).select(F.lit("recent").alias("part"), "status", F.lit(1).cast("long").alias("n"), F.col("k").alias("last"), "url")
+        rows = own.unionByName(late)
+        rows = rows.unionByName(last.select(*rows.columns)) if last is not None else rows
+        totals = rows.where("part = 'total'").groupBy("part", "status").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("url").alias("url"))
+        newest = rows.where("part = 'recent'").orderBy(F.desc("last")).limit(recent)
+        totals.unionByName(newest.select(*totals.columns)).withColumn("version", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+
+    writer = runs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
