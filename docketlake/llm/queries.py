@@ -24,7 +24,8 @@ def op3_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.compression_bands(_documents(spark, sf_dir))
+    docs = _documents(spark, sf_dir)
+    return quality.compression_bands(docs, quality.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
