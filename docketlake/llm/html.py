@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 #: Elements that start and end a block of text, those that end an open one of their kind, and those skipped.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript ol optgroup option p pre section "
+    "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol optgroup option p pre section "
     "select summary table tbody td tfoot th thead tr ul video audio".split()
 )
 CLOSES = {
@@ -17,14 +19,54 @@ CLOSES = {
     "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody", "thead"},
 }
 FENCES = frozenset("ul ol dl table select body div article section main".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(script|style|template|textarea|title|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
-    re.S | re.I,
-)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Attributes as browsers read them: a name, then perhaps a value; a quote that is never closed is part of a name.
+_ATTRIBUTES = r"""(?>[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?>"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?)?|=)*+"""
+#: Drawings end where they are closed or where a text element breaks out of them.
+_SVG = r"<svg\b[^>]*(?<!/)>(?:(?!<(?:p|div|h[1-6]|ul|ol|li|dl|table|pre|blockquote|body|section|article|main|aside|nav|footer|header)\b).)*?</svg\s*>"
+_OPEN = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+
+
+@lru_cache
+def _token(svg: bool, title: bool, attributes: str) -> re.Pattern:
+    """Tokens: groups are a raw element's name, a title's text, then of a tag its slash, name and attributes, or text."""
+    parts = [
+        r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\Z))", *[_SVG] * svg,
+        rf"<(script|style|template|textarea|iframe|noembed|noframes|annotation)\b{_OPEN}(?:>.*?</\1\b[^>]*>|(?<=/)>|>.*\Z)",
+        r"<title\b[^>]*>((?:(?!</title).)*)</title\b[^>]*>" if title else r"<title\b[^>]*>()",
+        rf"<(/?)([a-zA-Z][^\s/>]*+)({attributes})>", r"([^<]+|<)",
+    ]
+    return re.compile("|".join(parts), re.S | re.I)
+
+
+def _tokens(html: str) -> Iterator[re.Match]:
+    """Tokens of a page but for a tag that its end cuts off. Where many tags have no end outside quotes, quotes stop counting."""
+    low = html.lower()
+    flags = "</svg" in low, "</title" in low
+    last = html.rfind(">") + 1
+    cut = re.compile("<[a-zA-Z/!?]").search(html, last)
+    end, failed, pos = cut.start() if cut else len(html), 0, 0
+    for m in _token(*flags, _ATTRIBUTES).finditer(html, 0, end):
+        if m.lastindex == 6 and m[6] == "<" and m.end() < last and html[m.end()].isalpha():
+            failed += 1
+            if failed > 50:
+                pos = m.start()
+                break
+        yield m
+    else:
+        return
+    yield from _token(*flags, "[^>]*").finditer(html, pos, end)
+
+
+_ATTRIBUTE = re.compile(r"""=?([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name, values with their character references decoded; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), unescape(a or b or c))
+    return out
 
 
 @dataclass
@@ -40,7 +82,12 @@ class Page:
 
 
 def parse(html: str | None) -> Page:
-    """The page's tree. Tag soup is read as browsers do in the common cases: unclosed p, li, td and inline tags are fine."""
+    """The page's tree; null is an empty page.
+
+    Tag soup is read as browsers do in the common cases: unclosed p, li, td and inline tags, stray end tags, comments of
+    every form, quotes that stand wrong in tags. Scripts, styles, templates, text areas, frames, drawings (svg) and title
+    are no text; formulas (math) are. A tag cut off by the end of the page is dropped.
+    """
     page, stack, text = Page(), [0], []
     linked, href, anchor = 0, None, []
 
@@ -61,26 +108,25 @@ def parse(html: str | None) -> Page:
             if tag in fences:
                 return
 
-    for m in _TOKEN.finditer(html or ""):
+    for m in _tokens(html or ""):
         kind = m.lastindex
-        if kind == 5:
-            piece = unescape(m[5])
+        if kind == 6:
+            piece = unescape(m[6])
             text.append(piece)
             if href is not None:
                 linked += len(piece.strip())
                 anchor.append(piece)
-        elif kind == 4:
-            tag, closing = m[3].lower(), m[2]
+        elif kind == 5:
+            tag, closing = m[4].lower(), m[3]
             if tag == "a":
                 if href is not None:
                     page.links.append((href, " ".join("".join(anchor).split())))
                     anchor.clear()
-                found = None if closing else _HREF.search(m[4])
-                href = unescape(found[1] or found[2] or found[3] or "") if found else None
+                href = None if closing else attributes(m[5]).get("href")
             elif tag in BLOCKS:
                 flush()
                 if closing:
-                    pop_to({tag}, frozenset())
+                    pop_to(HEADINGS if tag in HEADINGS else {tag}, frozenset())
                     continue
                 if tag != "p" and page.tags[stack[-1]] == "p" or tag == "p":
                     pop_to({"p"}, FENCES)
@@ -88,13 +134,14 @@ def parse(html: str | None) -> Page:
                     pop_to(CLOSES[tag], FENCES)
                 page.tags.append(tag)
                 page.parents.append(stack[-1])
-                page.names.append(" ".join(a or b or c for a, b, c in _NAMES.findall(m[4])).lower() if "=" in m[4] else "")
-                if tag not in ("hr", "iframe"):
+                own = attributes(m[5]) if "=" in m[5] else {}
+                page.names.append(" ".join(own[n] for n in ("class", "id", "role") if n in own).lower())
+                if tag != "hr":
                     stack.append(len(page.tags) - 1)
             elif tag == "br":
                 text.append(" ")
-        elif kind == 1 and m[1].lower() == "title" and not page.title:
-            page.title = " ".join(unescape(re.sub(r"<[^>]*>", "", m[0])).split())
+        elif kind == 2 and not page.title:
+            page.title = " ".join(unescape(re.sub(r"<[^>]*>", "", m[2])).split())
     flush()
     if href is not None:
         page.links.append((href, " ".join("".join(anchor).split())))
