@@ -1,9 +1,10 @@
 """K-d tree sharding.
 
 Each row is a point of metadata: place in the id order, size, source and language. A node splits along the dimension in
-which its rows spread widest, at the row where the bytes to its left reach the left leaves' part. The cut is found on
-histograms: each round counts the bytes of 4096 equal stretches of every open node, and goes on within the stretch that
-holds the cut, so the driver sees a bounded number of sums whatever the table's size, and the cut is exact to a row.
+which its bytes are spread widest (greatest standard deviation), at the row where the bytes to its left reach the left
+leaves' part. One round counts the bytes of every open node on coarse histograms of all dimensions, which gives the
+spreads and the stretch that holds the cut; further rounds count 4096 stretches within it. So the driver sees a bounded
+number of sums whatever the table's size, and the cut is exact to a row.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from .common import gapless, saved
 
 DIMENSIONS = ("by_source", "by_lang", "by_size", "by_id")
 BINS = 4096
+_COARSE = 10  # bits of a key in the first histogram
 _SPAN = (1 << 31) - 1
 
 
@@ -43,7 +45,7 @@ def points(docs: DataFrame) -> DataFrame:
         *[(F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(f"_{c}") for c in ("source", "lang")],
     )
     span = base.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    low, width = span["a"] or 0, max(1, (span["b"] or 0) - (span["a"] or 0))
+    low, width = float(span["a"] or 0), float(max(1, (span["b"] or 0) - (span["a"] or 0)))
     hashed = lambda c: F.coalesce(F.shiftrightunsigned(F.xxhash64(c), 33), F.lit(0))
     values = {
         "by_source": hashed("_source"), "by_lang": hashed("_lang"),
@@ -61,18 +63,27 @@ def grow(table: DataFrame, leaves: int) -> Node:
     level = [root]
     while level := [n for n in level if n.leaves > 1]:
         placed = table.withColumn("_node", _node_of(root, {id(n): i for i, n in enumerate(level)}, -1)).where("_node >= 0")
-        stats = placed.groupBy("_node").agg(F.sum("size").alias("bytes"), *[f(k).alias(f"{f.__name__}_{k}") for k in DIMENSIONS for f in (F.min, F.max)])
+        keys = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.col(k).alias("k")) for i, k in enumerate(DIMENSIONS)])).alias("p")
+        coarse = placed.select("_node", "size", keys).groupBy("_node", "p.d", F.shiftrightunsigned("p.k", 63 - _COARSE).alias("bin"))
+        found: dict[int, list[list]] = {}
+        for r in coarse.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("p.k").alias("a"), F.max("p.k").alias("b")).collect():
+            found.setdefault(r["_node"], [[] for _ in DIMENSIONS])[r["d"]].append((r["bin"], r["bytes"], r["n"], r["a"], r["b"]))
         goals: dict[int, tuple[float, float]] = {}
         spans: dict[int, tuple[int, int]] = {}
-        for r in stats.collect():
-            node = level[r["_node"]]
-            node.key = max(DIMENSIONS, key=lambda k: (r[f"max_{k}"] >> 32) - (r[f"min_{k}"] >> 32))
-            spans[r["_node"]] = (r[f"min_{node.key}"], r[f"max_{node.key}"])
-            goals[r["_node"]] = (r["bytes"] * (node.leaves // 2) / node.leaves, r["bytes"] / node.leaves)
+        for i, histograms in found.items():
+            node, widest = level[i], max(range(len(DIMENSIONS)), key=lambda d: (_deviation(histograms[d]), -d))
+            node.key, total = DIMENSIONS[widest], sum(h[1] for h in histograms[widest])
+            goal, leaf, before = total * (node.leaves // 2) / node.leaves, total / node.leaves, 0
+            for _, size, n, a, b in sorted(histograms[widest]):
+                if before + size >= goal:
+                    break
+                before += size
+            goals[i] = (goal - before, leaf)
+            spans[i] = (a, b)
         for i, node in enumerate(level):
             if i not in goals:  # no rows: everything that may come goes left
                 node.key, node.cut = DIMENSIONS[0], (1 << 63) - 1
-        _cut(placed, level, goals, spans)
+        _cut(placed, level, dict(goals), spans)
         below = []
         for node in level:
             half = node.leaves // 2
@@ -82,8 +93,15 @@ def grow(table: DataFrame, leaves: int) -> Node:
     return root
 
 
+def _deviation(histogram: list[tuple]) -> float:
+    """Standard deviation of the bytes of a histogram, in bins."""
+    total = sum(h[1] for h in histogram)
+    mean = sum(h[0] * h[1] for h in histogram) / total
+    return (sum(h[1] * (h[0] - mean) ** 2 for h in histogram) / total) ** 0.5
+
+
 def _cut(placed: DataFrame, level: list[Node], goals: dict, spans: dict) -> None:
-    """Set every node's cut, all nodes in the same rounds."""
+    """Set every node's cut within its span, where ``goals`` is still to come from the span's bytes; all nodes in the same rounds."""
     while spans:
         key = lo = hi = width = F.lit(None).cast("long")
         for i, (a, b) in spans.items():
