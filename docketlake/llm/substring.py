@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_table
+from .common import map_arrow, small, text_table
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _U = np.uint64
 STRETCH = 1 << 20  # sketch cells that are added up together
-PART_WORDS = 1_000_000
+PART_WORDS = 300_000
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -73,36 +73,42 @@ class Part:
     place: np.ndarray  # word number, in its document, where it starts
     at: np.ndarray  # word number in the part
     anchor: np.ndarray
-    hashes: np.ndarray
+    raw: bytes  # all words, joined by one space
+    starts: np.ndarray  # where each word of the part starts in ``raw``, and one past its end
 
     def digests(self, which: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        first = Rolling(self.hashes, _BASES[0]).at(self.at[which], window)
-        return first, Rolling(mixed(self.hashes), _BASES[1]).at(self.at[which], window)
+        """128-bit digests of the windows' words."""
+        at, raw, digest = self.at[which], self.raw, xxhash.xxh3_128_digest
+        spans = zip(self.starts[at].tolist(), (self.starts[at + window] - 1).tolist())
+        both = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in spans]), _U).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
 
 
 def parts(texts: list[str | None], window: int, gram: int) -> Iterator[Part]:
-    """The batch in parts of about a million words; documents of fewer words than a window have none."""
-    digest, held, size = xxhash.xxh3_64_intdigest, [], 0
+    """The batch in parts of about 300,000 words; documents of fewer words than a window have none."""
+    held, size = [], 0
     for row, text in enumerate(texts):
         words = text.encode().split() if text else []
         if len(words) >= window:
-            held.append((row, np.fromiter(map(digest, words), _U, len(words))))
+            held.append((row, words))
             size += len(words)
             if size >= PART_WORDS:
-                yield _part(held, window, gram)
+                yield _part(held, size, window, gram)
                 held, size = [], 0
     if held:
-        yield _part(held, window, gram)
+        yield _part(held, size, window, gram)
 
 
-def _part(held: list[tuple[int, np.ndarray]], window: int, gram: int) -> Part:
-    sizes = np.array([len(h) for _, h in held])
-    hashes = np.concatenate([h for _, h in held])
+def _part(held: list[tuple[int, list[bytes]]], size: int, window: int, gram: int) -> Part:
+    sizes = np.array([len(w) for _, w in held])
+    words = [x for _, w in held for x in w]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, size)
+    starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, size) + 1)))
     anchor = least_of(mixed(Rolling(hashes, _BASES[0]).runs(gram)), window - gram + 1)
     rows = np.repeat([r for r, _ in held], sizes)[: len(anchor)]
-    place = (np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[: len(anchor)]
+    place = (np.arange(size) - np.repeat(np.cumsum(sizes) - sizes, sizes))[: len(anchor)]
     inside = np.nonzero(place + window <= np.repeat(sizes, sizes)[: len(anchor)])[0]
-    return Part(rows[inside], place[inside], inside, anchor[inside], hashes)
+    return Part(rows[inside], place[inside], inside, anchor[inside], b" ".join(words), starts)
 
 
 def _cells(anchors: np.ndarray, depth: int, width: int) -> np.ndarray:
@@ -172,16 +178,31 @@ def sketch_width(text_bytes: int, depth: int, limit: int) -> int:
 SPOTS = "w1 long, w2 long, doc_id long, spot long, runs binary"
 
 
+class _Seen:
+    """The smallest doc_id of windows that a task has met, in a table of fixed size; a later window takes an earlier one's slot."""
+
+    def __init__(self, slots: int = 1 << 18) -> None:
+        self.w1, self.w2, self.doc = np.zeros(slots, _U), np.zeros(slots, _U), np.zeros(slots, np.int64)
+
+    def least(self, w1: np.ndarray, w2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The smallest doc_id known of each of these different windows, ``doc`` included."""
+        slot = (w1 & _U(len(self.doc) - 1)).astype(np.int64)
+        known = (self.w1[slot] == w1) & (self.w2[slot] == w2)
+        doc = np.where(known, np.minimum(doc, self.doc[slot]), doc)
+        self.w1[slot], self.w2[slot], self.doc[slot] = w1, w2, doc
+        return doc
+
+
 def candidates(docs: DataFrame, bits: np.ndarray, window: int, gram: int, depth: int, width: int) -> DataFrame:
     """Windows estimated repeated.
 
-    Of equal windows in one part of a batch only those of the smallest doc_id go on as rows (w1, w2, doc_id, spot); the
-    others are known to be repeated and go as runs of starts, so a window that a third of all documents share makes one
-    row for each part. ``spot`` is the start, with 32 bits of the text's hash above to tell rows of one doc_id apart.
+    Of equal windows that a task meets only those of the smallest doc_id so far go on as rows (w1, w2, doc_id, spot); the
+    others are known to be repeated and go as runs of starts, so a window that a third of all documents share makes about
+    one row for each task. ``spot`` is the start, with 32 bits of the text's hash above to tell rows of one doc_id apart.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def found(batch: pa.RecordBatch, seen: _Seen) -> pa.RecordBatch | None:
         texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
         numbers = ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
         out = []
@@ -195,8 +216,8 @@ def candidates(docs: DataFrame, bits: np.ndarray, window: int, gram: int, depth:
             order = np.lexsort((doc, w2, w1))
             w1, w2, rows, place, doc = w1[order], w2[order], rows[order], place[order], doc[order]
             head = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
-            first = doc[np.nonzero(head)[0]][np.cumsum(head) - 1]
-            late = doc > first
+            at = np.nonzero(head)[0]
+            late = doc > seen.least(w1[at], w2[at], doc[at])[np.cumsum(head) - 1]
             used = np.unique(rows)
             upper = np.zeros(len(texts), np.int64)
             upper[used] = [xxhash.xxh64_intdigest(texts[i].encode(), 42) >> 33 << 32 for i in used.tolist()]
@@ -217,7 +238,13 @@ def candidates(docs: DataFrame, bits: np.ndarray, window: int, gram: int, depth:
         arrays = [pa.array(x) for x in (w1, w2, doc, spot)]
         return pa.RecordBatch.from_arrays([*arrays, pa.array([r for x in out for r in x[4]], pa.binary())], ["w1", "w2", "doc_id", "spot", "runs"])
 
-    return map_arrow(docs, run, SPOTS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for batch in small(batches):
+            if (out := found(batch, seen)) is not None:
+                yield out
+
+    return docs.mapInArrow(run, SPOTS)
 
 
 def repeated_starts(docs: DataFrame, window: int, gram: int, depth: int, sketch_bytes: int) -> DataFrame:
@@ -291,17 +318,23 @@ def remove_repeated(docs: DataFrame, window: int = 50, gram: int = 20, depth: in
 
 
 def strip_repeated(docs: DataFrame, window: int = 50, gram: int = 20, depth: int = 2, sketch_bytes: int = 128 << 20) -> DataFrame:
-    """``docs`` without the words that ``remove_repeated`` counts; text (and n_chars, if there) change, all rows stay."""
-    names = docs.columns
+    """``docs`` without the words that ``remove_repeated`` counts; text (and n_chars, if there) change, all rows stay.
+
+    Columns of any name pass through; n_chars keeps its type; null texts stay null, and an empty table gives no rows.
+    """
+    schema = docs.schema
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = (batch.column(n).to_pylist() for n in ("text", "_starts", "_runs"))
         texts = [None if t is None else _Removal(t, s, r, window).kept_text().decode() for t, s, r in zip(*columns)]
-        new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-        return pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) if n in new else batch.column(n) for n in names], names)
+        new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
+        rows = batch.column("row")
+        fields = [rows.field(i) for i in range(len(schema))]
+        return pa.RecordBatch.from_arrays([pa.array(new[f.name], a.type) if f.name in new else a for f, a in zip(schema, fields)], schema.names)
 
     marks = repeated_starts(text_table(docs), window, gram, depth, sketch_bytes)
-    return map_arrow(_with_marks(docs, marks), run, docs.schema)
+    return map_arrow(_with_marks(row, marks), run, schema)
 
 
 SQL = """
