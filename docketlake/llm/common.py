@@ -13,18 +13,28 @@ from ..operators.storage import discard, saved, shared_dir  # noqa: F401
 
 
 def map_arrow(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str, rows: int = 1024
 ) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch of ``df``; batches for which it returns None give no rows."""
+    """Apply ``fn`` to Arrow batches of up to ``rows`` rows of ``df``; batches for which it returns None give no rows.
+
+    Spark's own batches hold up to 10,000 texts; a worker that makes Python objects of all of them at once stays that large.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
+        for batch in small(batches, rows):
+            if (out := fn(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most ``rows`` rows; empty ones are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that text operators read, under their standard names."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

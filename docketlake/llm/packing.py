@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, map_arrow, saved, text_table
+from .common import gapless, map_arrow, saved, small, text_table
 from .tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
@@ -218,11 +218,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            if batch.num_rows:
-                out = batch_rows(batch, row)
-                row += out.num_rows
-                yield out
+        for batch in small(batches):
+            out = batch_rows(batch, row)
+            row += out.num_rows
+            yield out
 
     return text_table(docs).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
 

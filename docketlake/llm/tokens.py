@@ -20,18 +20,25 @@ _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ňŊ-ſ]+")
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; keeps up to ``keep`` chunks and pieces."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    It keeps the ids of up to ``keep`` chunks and as many pieces, from the second time that one is met (by a table of hash
+    bytes, so words that come once take no room). They are kept in two generations: when the younger one is full it becomes
+    the older one, and what the older one had and is asked for again moves into the new younger one.
+    """
 
     _own: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, keep: int = 600_000) -> None:
+    def __init__(self, path: str, keep: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.full = Tokenizer.from_file(path)
-        self.model, self.keep = self.full.model, keep
+        self.model, self.half = self.full.model, max(1, keep // 2)
         self.marks = re.compile("|".join(re.escape(t.content) for t in self.full.get_added_tokens_decoder().values()) or r"(?!)")
         self.letters = _byte_letters()
         self.chunks: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: tuple[dict[bytes, bytes], dict[str, bytes]] = ({}, {})
+        self.met = bytearray(1 << 22)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -43,20 +50,37 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        chunks, found = self.chunks, text.encode().split()
+        found = text.encode().split()
         try:
-            return b"".join(map(chunks.__getitem__, found))
+            return b"".join(map(self.chunks.__getitem__, found))
         except KeyError:
-            if len(chunks) > self.keep:
-                chunks.clear()
-            if len(self.pieces) > self.keep:
-                self.pieces.clear()
-            for chunk in found:
-                if chunk not in chunks:
-                    chunks[chunk] = self._chunk(chunk.decode())
-            return b"".join(map(chunks.__getitem__, found))
+            pass
+        if len(self.chunks) > self.half:
+            self.chunks, self.older, self.met = {}, (self.chunks, self.older[1]), bytearray(len(self.met))
+        if len(self.pieces) > self.half:
+            self.pieces, self.older = {}, (self.older[0], self.pieces)
+        chunks, older, met, mask = self.chunks, self.older[0], self.met, len(self.met) - 1
+        once = []
+        for chunk in set(found).difference(chunks):
+            ids = older.get(chunk)
+            if ids is None:
+                ids = self._chunk(chunk.decode())
+                slot = hash(chunk) & mask
+                if not met[slot]:
+                    met[slot] = 1
+                    once.append(chunk)
+            chunks[chunk] = ids
+        out = b"".join(map(chunks.__getitem__, found))
+        for chunk in once:
+            del chunks[chunk]
+        return out
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self._piece(chunk.lower())
+            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                return self._piece(chunk[:-1].lower()) + self._piece(chunk[-1])
         if not _PLAIN.fullmatch(chunk) or self.marks.search(chunk):
             return array("I", self.full.encode(chunk, add_special_tokens=False).ids).tobytes()
         return b"".join([self._piece(x) for x in _PIECES.findall(chunk.lower())])
@@ -64,8 +88,15 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            ids = self.older[1].get(piece)
+            if ids is None:
+                shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+                ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+                slot = hash(piece) & (len(self.met) - 1)
+                if not self.met[slot]:
+                    self.met[slot] = 1
+                    return ids
+            self.pieces[piece] = ids
         return ids
 
 
