@@ -124,9 +124,11 @@ def test_substring_dedup(docs, corpus, sketch_bytes):
 
 
 def test_substring_strip_keeps_columns_and_rows(docs, corpus):
+    docs = docs.withColumns({"n_chars": F.col("n_chars").cast("int"), "_doc": F.lit("d"), "_own": F.lit(1), "_starts": F.lit(None).cast("array<int>"), "_runs": F.lit(2.5), "row": F.lit("r")})
     out = substring.strip_repeated(docs)
-    assert out.columns == docs.columns
+    assert out.schema == docs.schema
     rows = out.collect()
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) and r._doc == "d" and r._runs == 2.5 for r in rows)
     assert len(rows) == len(corpus)
     before = {r[0]: r[1] for r in corpus}
     got = {r.doc_id: r.text for r in rows}
