@@ -10,8 +10,8 @@ from docketlake.llm.queries import word_bpe
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules or the compression bands reject go."""
-    return quality.keep_good(docs)
+    """Documents that the repetition rules or the compression bands, fitted on the labelled rows, reject go."""
+    return quality.keep_good(docs, quality.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
