@@ -364,7 +364,7 @@ def _(spark, sf):
 
 # one cut after another, by recursion over the rest of each text
 @register("r8_chunk_text", r"""with recursive c as (select doc_id as id, -1 as n, cast(null as varchar) as chunk, coalesce(text, '') as rest from documents union all
-  select id, n + 1, case when length(rest) <= 900 then rest else trim(rest[1:at], e' \t\n\r\x0b\x0c') end, case when length(rest) <= 900 then '' else trim(rest[at + 1:], e' \t\n\r\x0b\x0c') end from (select *, case when sp >= 360 then sp when nl >= 360 then nl else 900 end as at from (select *, 900 - strpos(reverse(rest[1:900]), ' ') - case when strpos(reverse(rest[1:900]), ' ') = 0 then 901 else 0 end as sp, 900 - strpos(reverse(rest[1:900]), chr(10)) - case when strpos(reverse(rest[1:900]), chr(10)) = 0 then 901 else 0 end as nl from c where rest <> '')))
+  select id, n + 1, case when length(rest) <= 900 then rest else trim(rest[1:cut], e' \t\n\r\x0b\x0c') end, case when length(rest) <= 900 then '' else trim(rest[cut + 1:], e' \t\n\r\x0b\x0c') end from (select *, case when sp >= 360 then sp when nl >= 360 then nl else 900 end as cut from (select *, 900 - strpos(reverse(rest[1:900]), ' ') - case when strpos(reverse(rest[1:900]), ' ') = 0 then 901 else 0 end as sp, 900 - strpos(reverse(rest[1:900]), chr(10)) - case when strpos(reverse(rest[1:900]), chr(10)) = 0 then 901 else 0 end as nl from c where rest <> '')))
   select id, n, chunk from c where n >= 0""")
 def _(spark, sf):
     return Q.chunk_text(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
@@ -384,15 +384,16 @@ def _(spark, sf):
     return G.link_edges(_rich(spark, sf))
 
 
-# customers lead to the next of the orders that they placed, in five rings that do not meet
-ORDER_EDGES = "select distinct 'https://s.example.org/' || (o_custkey % 5) || '/laws/' || (o_custkey % 5 + 5 * (o_custkey * 7 % 200)) as src, 'https://s.example.org/' || (o_custkey % 5) || '/laws/' || (o_custkey % 5 + 5 * ((o_custkey * 7 + 1 + o_orderkey % 2) % 200)) as dst from orders"
+# five trees: the page of a customer leads to two others by the orders that were placed
+_page = "'https://s.example.org/' || (o_custkey % 5) || '/laws/' || "
+ORDER_EDGES = f"select distinct {_page} cast(floor(o_custkey / 5) as int) as src, {_page} (2 * cast(floor(o_custkey / 5) as int) + 1 + o_orderkey % 2) as dst from orders"
+_seeds = ("https://s.example.org/1/laws/0", "https://s.example.org/2/laws/0")
 
 
-@register("g2_crawl_closure", f"with recursive e as ({ORDER_EDGES}), c as (select 'https://s.example.org/1/laws/1' as url union select 'https://s.example.org/2/laws/2' union select dst from e join c on e.src = c.url) select url from c")
+@register("g2_crawl_closure", f"with recursive e as ({ORDER_EDGES}), c as (select '{_seeds[0]}' as url union select '{_seeds[1]}' union select dst from e join c on e.src = c.url) select url from c")
 def _(spark, sf):
     load(spark, sf, "orders").createOrReplaceTempView("orders")
-    seeds = spark.createDataFrame([("https://s.example.org/1/laws/1",), ("https://s.example.org/2/laws/2",)], "url string")
-    return G.crawl_closure(spark.sql(ORDER_EDGES), seeds).select("url")
+    return G.crawl_closure(spark.sql(ORDER_EDGES), spark.createDataFrame([(u,) for u in _seeds], "url string")).select("url")
 
 
 @register("g2_crawl_documents", f"with {EDGES}, v as (select distinct url, 0 as depth from pages), d as (select dst, src, text, method, row_number() over (partition by dst order by depth, src) as r from edges join v on v.url = src where kind = 'document') select dst as url, src as source_page, text, method from d where r = 1")

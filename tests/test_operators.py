@@ -169,7 +169,90 @@ def test_stream_health_and_publish(spark, tmp_path):
     for _ in range(2):
         J.publish(stream.select("source", "k"), f"{tmp_path}/out", f"{tmp_path}/c2", "source", "k", 5).awaitTermination()
     assert [(r.source, r.k) for r in J.current(spark, f"{tmp_path}/out").collect()] == [("a", 3)]
-    live = J.live_status(stream, "live")
-    live.processAllAvailable()
-    live.stop()
-    assert {(r.status, r.n) for r in spark.table("live").collect()} == {("ok", 2), ("error", 1)}
+    status = stream.select("k", "status", F.col("source").alias("url"))
+    for _ in range(2):
+        J.live_status(status, f"{tmp_path}/live", f"{tmp_path}/c3", None, recent=2).awaitTermination()
+    now = [tuple(r) for r in J.current(spark, f"{tmp_path}/live").select("part", "status", "n", "last", "url").collect()]
+    assert sorted(now, key=str) == sorted([("total", "ok", 2, 3, None), ("total", "error", 1, 2, None), ("recent", "ok", 1, 3, "a"), ("recent", "error", 1, 2, "a")], key=str)
+    more = spark.createDataFrame([("b", "ok", "x", 9)], "source string, status string, at string, k long").withColumn("ts", F.lit(None).cast("timestamp"))
+    more.write.mode("append").parquet(f"{tmp_path}/in")
+    J.live_status(status, f"{tmp_path}/live", f"{tmp_path}/c3", None, recent=2).awaitTermination()
+    assert {(r.part, r.status, r.n, r["last"]) for r in J.current(spark, f"{tmp_path}/live").collect()} == {("total", "ok", 3, 9), ("total", "error", 1, 2), ("recent", "ok", 1, 9), ("recent", "ok", 1, 3)}
+
+
+def test_blocked_and_rejected(spark):
+    cases = [(200, "Just a moment... checking your browser", True), (200, "An article on forbidden cloudflare sites", False), (200, "403 Forbidden", True), (429, None, True), (503, "", True), (404, "x", False), (None, "CAPTCHA", True), (200, "x" * 4000 + "captcha", False)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, status int, body string, want boolean")
+    assert all(r.got == r.want for r in rows.select("want", H.looks_blocked(F.col("status"), F.col("body")).alias("got")).collect())
+    pages = [(200, "Request Rejected. The support ID is: 7", True), (200, "<html>rejected</html>", True), (404, "<html>rejected</html>", False), (200, "y" * 400 + "Request Rejected", False), (None, None, False)]
+    rows = spark.createDataFrame(pages, "status int, body string, want boolean")
+    assert all(r.got == r.want for r in rows.select("want", H.is_rejected(F.col("status"), F.col("body")).alias("got")).collect())
+
+
+def test_news_items_take_the_first_accepted_text(spark):
+    html = '<a href="/n">More</a><a href=/n#x>Press release on the gazette</a><a href="/n">Another bulletin of it</a><a href="/2024/x">Plain page title</a><a href="/o">Contact us</a><a href="/z">A title without any word</a>'
+    rows = H.news_items(spark.createDataFrame([(1, "https://h.example/", html), (2, "https://h.example/", None)], "page_id long, url string, html string")).orderBy("rank").collect()
+    assert [(r.url, r.text, r.score) for r in rows] == [("https://h.example/n", "Press release on the gazette", 3), ("https://h.example/2024/x", "Plain page title", 0)]
+
+
+def test_site_rules(spark):
+    page = lambda html: spark.createDataFrame([(html,)], "h string")
+    marks = [("x _API/web y", True), ("x _vti_bin/z", False), ("/_layouts/15/a", True), ("/_layouts/14/a", False), (None, False), ("x" * 12000 + "sharepoint", False)]
+    for html, want in marks:
+        assert page(html).select(H.looks_sharepoint(F.col("h")).alias("x")).first().x == want
+    body = "User-agent: *\r\n   Disallow: /private\nDISALLOW: /no\ndisallow: /no\nDisallow:\nDisallow: /a b"
+    assert {r.prefix for r in H.robots_rules(spark.createDataFrame([("h", body)], "host string, body string")).collect()} == {"/private", "/a"}
+    found = H.sitemap(spark.createDataFrame([(1, "see https://a.example/x and <loc> https://a.example/f.pdf </loc>\n Sitemap: https://a.example/list"), (2, None)], "id int, body string"))
+    assert {(r.url, r.kind) for r in found.collect()} == {("https://a.example/x", "page"), ("https://a.example/f.pdf", "document"), ("https://a.example/list", "sitemap")}
+    shells = [(None, True, True), ("x" * 1600, False, True), ('<p id="__nuxt">' + "x" * 2000, True, False), ("<p ng-version=1>" + "<a >" * 4 + "x" * 2000, False, True), ("Request Rejected " + "<p ng-version=1>" + "x" * 2000, True, False), ("x" * 8100 + "<a >" * 2, True, False)]
+    for html, site, pipeline in shells:
+        got = page(html).select(H.looks_like_shell(F.col("h")).alias("a"), H.looks_like_shell(F.col("h"), F.lit(None).cast("string"), "pipeline").alias("b")).first()
+        assert (got.a, got.b) == (site, pipeline), html
+
+
+def test_decoding(spark):
+    cases = [(b"caf\xc3\xa9", "TXT", "café"), (b"\x93q\x94", "TXT", "“q”"), (b"\x93\x81", "CSV", "\x93\x81"), (b"{\\rtf1\\b x\x93\x81}", "RTF", "{  x“}"), (b"<a>x\xff</a>", "ODT", " x "), (None, "TXT", None), (b"", "TXT", "")]
+    rows = spark.createDataFrame(cases, "body binary, kind string, want string")
+    for r in rows.select("want", H.decode_text(F.col("body"), F.col("kind")).alias("got")).collect():
+        assert r.got == r.want
+
+
+@pytest.mark.parametrize(("question", "want"), [
+    ("Are there any new data to index?", "status"), ("what is EVA", "status"), ("who are you", "identity"), ("show\nthose files", "list"), ("give me the list", "list"), ("how many rules\nand how many PDFs", "status"),
+    ("what penalties apply in Delhi", "content"), ("hi", "identity"), ("", "content"), (None, "content"), ("do you read", "status"),
+])
+def test_routing(spark, question, want):
+    assert one(spark, C.route_question(F.col("q")), q=question) == want
+
+
+def test_coverage_expects_what_each_row_has(spark):
+    gazette = spark.createDataFrame([("A", "u", None), ("B", "u", "u"), ("C", " ", None), ("D", None, "u"), (None, None, None)], "jurisdiction string, parliamentary_bills string, official_gazette string")
+    docs = [("A", "parliamentary_bills", 2020)] * 3 + [("B", "official_gazette", 2019)] * 4 + [("D", "official_gazette", None)] * 2 + [("", "site", 2021)] * 3
+    rows = R.coverage(gazette, spark.createDataFrame(docs, "jurisdiction string, source_kind string, year int").withColumn("law_type", F.lit("act"))).collect()
+    assert {r.jurisdiction: (r.n, r.expected, r.missing, r.years, r.state) for r in rows} == {
+        "A": (3, ["parliamentary_bills"], [], [2020], "ok"), "B": (4, ["parliamentary_bills", "official_gazette"], ["parliamentary_bills"], [2019], "partial"), "C": (0, [], [], [], "zero"),
+        "D": (2, ["official_gazette"], [], [], "partial"), "Unknown": (3, [], [], [2021], "ok"),
+    }
+
+
+def test_retrieval_finds_words_inside_words(spark):
+    corpus = spark.createDataFrame([(1, "Cybersecurity", "UK", "none"), (2, "Other", "France", "about biosecurities"), (3, "No", "Francesia", "x"), (4, None, None, None), (5, "why not; ask!!", "", "")], "id long, title string, jurisdiction string, summary string")
+    asked = spark.createDataFrame([(1, "security"), (2, "france"), (3, "why not; ask"), (4, "?"), (5, None)], "qid long, question string")
+    got = {(r.qid, r.id): r.score for r in Q.retrieve(asked, corpus).collect()}
+    assert got == {(1, 1): 2 + 6, (2, 2): 3, (2, 3): 2, (3, 5): 16}
+
+
+def test_answers_use_points_and_passages(spark):
+    corpus = spark.createDataFrame([(1, "T1", "u1", "S1", ["a", "b", "c"]), (2, "T2", "u2", "S" * 300, [])], "id long, title string, url string, summary string, key_points array<string>")
+    hits = spark.createDataFrame([(1, 1, 1, "P" * 300), (1, 2, 2, None)], "qid long, id long, rank int, passage string")
+    rows = {r.qid: r for r in Q.answers(spark.createDataFrame([(1, "q"), (2, "r")], "qid long, question string"), hits, corpus).collect()}
+    assert rows[1].answer == "Answer:\n• [1] a\n• [1] b\n  “" + "P" * 280 + "”\n• [2] " + "S" * 260 + "\n\nReferences:\n[1] T1 — u1\n[2] T2 — u2"
+    assert rows[2].answer.startswith("I could not find") and rows[2].n == 0
+
+
+def test_crawl_documents_and_give_up(spark):
+    edges = spark.createDataFrame([("b", "d.pdf", "document", "href", "late"), ("a", "d.pdf", "document", "href", "early"), ("a", "b", "same_site", "href", "")], "src string, dst string, kind string, method string, text string")
+    visited = spark.createDataFrame([("a", 0), ("b", 1)], "url string, depth int")
+    assert [tuple(r) for r in G.crawl_documents(visited, edges).collect()] == [("d.pdf", "a", "early", "href")]
+    visits = spark.createDataFrame([("s", i, i >= 3, 0) for i in range(40)] + [("t", i, i >= 3, int(i == 0)) for i in range(40)], "s string, i int, bad boolean, found int")
+    assert [tuple(r) for r in R.failed_runs(visits, "s", "i", "bad", "found").collect()] == [("s", 22)]
