@@ -29,10 +29,11 @@ def map_arrow(
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches cut to at most ``rows`` rows; empty ones are left out."""
+    """The batches cut to at most ``rows`` rows; empty ones are left out. At the end Arrow gives back what it holds unused."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def text_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import gapless, map_arrow, saved, small, text_table
@@ -299,3 +299,36 @@ def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_i
 
 MATRIX = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>"
 MATRIX_NAMES = ["sequence_id", "n_tokens", "ids", "cu_seqlens", "position_ids", "doc_ids", "starts"]
+
+
+def write_matrices(matrices: DataFrame, path: str, capacity: int, pad_id: int = 0, rows_per_file: int = 16_384) -> None:
+    """Write the rows of ``packed_matrices`` below ``path`` as files that a training loader maps to arrays.
+
+    ``path``/rows holds Parquet files in the order of sequence_id, of at most ``rows_per_file`` rows, ids and position_ids
+    as binaries of one fixed size; ``path``/meta one JSON record: sequences, tokens, capacity, pad_id, bytes an id and a
+    position. Files are written by Spark where the rows are; a rerun overwrites.
+    """
+    rows = matrices.repartitionByRange(F.col("sequence_id")).sortWithinPartitions("sequence_id")
+    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").parquet(f"{path}/rows")
+    kept = matrices.sparkSession.read.schema(MATRIX).parquet(f"{path}/rows")
+    meta = kept.agg(
+        F.count("*").alias("sequences"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long").alias("tokens"), F.lit(capacity).alias("capacity"), F.lit(pad_id).alias("pad_id"),
+        (F.max(F.octet_length("ids")) / capacity).cast("int").alias("id_bytes"), (F.max(F.octet_length("position_ids")) / capacity).cast("int").alias("position_bytes"),
+    )
+    meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``write_matrices`` wrote."""
+    return spark.read.schema(MATRIX).parquet(f"{path}/rows")
+
+
+def as_arrays(batch: pa.RecordBatch, capacity: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(ids, position_ids, cu_seqlens) of a batch of matrix rows: two matrices of ``capacity`` columns, and a vector for each row."""
+
+    def matrix(name: str) -> np.ndarray:
+        values = batch.column(name).to_pylist()
+        width = len(values[0]) // capacity if values else 2
+        return np.frombuffer(b"".join(values), f"<u{width}").reshape(len(values), capacity)
+
+    return matrix("ids"), matrix("position_ids"), [np.array(x, np.int32) for x in batch.column("cu_seqlens").to_pylist()]

@@ -317,17 +317,22 @@ def remove_repeated(docs: DataFrame, window: int = 50, gram: int = 20, depth: in
     return map_arrow(_with_marks(table, marks), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def strip_repeated(docs: DataFrame, window: int = 50, gram: int = 20, depth: int = 2, sketch_bytes: int = 128 << 20) -> DataFrame:
+def strip_repeated(docs: DataFrame, window: int = 50, gram: int = 20, depth: int = 2, sketch_bytes: int = 128 << 20, drop_emptied: bool = False) -> DataFrame:
     """``docs`` without the words that ``remove_repeated`` counts; text (and n_chars, if there) change, all rows stay.
 
-    Columns of any name pass through; n_chars keeps its type; null texts stay null, and an empty table gives no rows.
+    With ``drop_emptied`` rows go that lose all their words; rows that had none stay. Columns of any name pass through;
+    n_chars keeps its type; null texts stay null, and an empty table gives no rows.
     """
     schema = docs.schema
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = (batch.column(n).to_pylist() for n in ("text", "_starts", "_runs"))
-        texts = [None if t is None else _Removal(t, s, r, window).kept_text().decode() for t, s, r in zip(*columns)]
+        cut = [None if t is None else _Removal(t, s, r, window) for t, s, r in zip(*columns)]
+        if drop_emptied:
+            stays = [x is None or not len(x.gone) or not x.gone.all() for x in cut]
+            batch, cut = batch.filter(pa.array(stays)), [x for x, y in zip(cut, stays) if y]
+        texts = [None if x is None else x.kept_text().decode() for x in cut]
         new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
         rows = batch.column("row")
         fields = [rows.field(i) for i in range(len(schema))]

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from docketlake.llm import packing
 from docketlake.llm.queries import word_bpe
@@ -114,34 +115,96 @@ def test_matrices_round_trip(docs, corpus, full):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_matrices_written_and_read(spark, docs, full, tmp_path):
+    made = packing.packed_matrices(docs, word_bpe(), 512)
+    rows = {r.sequence_id: r for r in made.collect()}
+    for _ in range(2):
+        packing.write_matrices(made, f"{tmp_path}/m", 512, rows_per_file=10)
+    back = packing.read_matrices(spark, f"{tmp_path}/m")
+    assert {r.sequence_id: r for r in back.collect()} == rows and back.schema == made.schema
+    meta = spark.read.json(f"{tmp_path}/m/meta").first()
+    assert (meta.sequences, meta.tokens, meta.capacity, meta.id_bytes, meta.position_bytes) == (len(rows), sum(r.n_tokens for r in rows.values()), 512, 2, 2)
+    files = sorted((tmp_path / "m/rows").glob("*.parquet"))
+    assert len(files) >= len(rows) / 10
+    seen = []
+    for file in files:
+        table = pq.read_table(file).combine_chunks()
+        for batch in table.to_batches():
+            ids, places, ends = packing.as_arrays(batch, 512)
+            own = batch.column("sequence_id").to_pylist()
+            assert own == sorted(own) and len(own) <= 10
+            for i, s in enumerate(own):
+                assert ids[i].tobytes() == rows[s].ids and ends[i].tolist() == rows[s].cu_seqlens
+                assert places[i][: rows[s].n_tokens].tolist() == [k for a, b in zip(ends[i], ends[i][1:]) for k in range(b - a)]
+            seen += own
+    assert sorted(seen) == sorted(rows)
+
+
 def test_empty(none):
     assert packing.pack(none, word_bpe()).count() == 0
     assert packing.packed_matrices(none, word_bpe()).count() == 0
 
 
-def test_pipeline(spark, tmp_path, corpus):
-    """run() against the brute-force versions of its stages."""
+def test_pipeline(spark, tmp_path, corpus, full):
+    """Every row of run() against brute-force versions of its stages."""
     import corpus_pipeline
-    from docketlake.llm.quality import Bands, _Judge
-    from test_dedup import WORD, brute_components, brute_fingerprint, brute_windows
+    import zstandard
+    from docketlake.llm.quality import DEFAULT_KNOTS
+    from test_dedup import WORD, jaccard
     from test_rules import brute_hits
 
-    rows = [r for r in corpus if r[0] is not None and r[0] != 5]
-    bench = [(1, " ".join(WORD.findall(rows[30][1])[2:30])), (2, "nothing here of any kind at all in this corpus of ours")]
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(1 << 30)}" for _ in range(300)]
+    near = [" ".join(base), " ".join(base[:150] + ["x"] + base[151:]), " ".join(w if i % 9 else "y" for i, w in enumerate(base))]
+    rows = [r for r in corpus if r[0] is not None and r[0] != 5] + [(1000 + i, t, "en", "src0", len(t)) for i, t in enumerate(near)]
+    def good(text):
+        raw, words = (text or "").encode(), WORD.findall(text or "")
+        grams = Counter(zip(words, words[1:], words[2:]))
+        again = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        if len(words) < 50 or 2 * len(again) > len(words):
+            return False
+        press, x, low, high = zstandard.ZstdCompressor(level=3), *zip(*DEFAULT_KNOTS)
+        within = lambda p: np.interp(np.log2(len(p)), x, low) <= len(press.compress(p)) / len(p) <= np.interp(np.log2(len(p)), x, high)
+        parts = [raw[max(0, e - 4096) : e] for e in (*range(4096, len(raw), 4096), len(raw))]
+        return within(raw) and 4 * sum(not within(p) for p in parts) <= len(parts)
+
+    part = next(x for r in rows[:60] if len(w := WORD.findall(r[1] or "")) > 120 and good(r[1]) and good(x := " ".join(w[: len(w) * 2 // 3])))
+    rows += [(2000, part, "en", None, 1), (2001, rows[62][1] + "\n" + rows[63][1], "en", None, 1)]
+    bench = [(1, " ".join(WORD.findall(rows[40][1])[2:30])), (2, "nothing here of any kind at all in this corpus of ours"), (None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    judge = _Judge(Bands())
-    kept = [r for r in rows if judge.row(r[1])[-1]]
-    fps = {r[0]: brute_fingerprint(r[1]) for r in kept}
-    roots, first = brute_components(fps.values()), {}
-    for i in sorted(fps):
-        first.setdefault(roots[fps[i]], i)
-    kept = [r for r in kept if first[roots[fps[r[0]]]] == r[0]]
-    removed = {k[0]: k[2] for k in brute_windows(kept)}
+    spark.createDataFrame([(r[0], 1) for r in rows[:50]], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    kept = {r[0]: r[1] for r in rows if good(r[1])}
+    root = {i: i for i in kept}
+    for a in sorted(kept):
+        for b in kept:
+            if a < b and root[a] != root[b] and jaccard(kept[a], kept[b]) >= 0.8:
+                root = {k: min(root[a], root[b]) if r in (root[a], root[b]) else r for k, r in root.items()}
+    kept = {i: kept[i] for i in sorted(kept) if root[i] == i}
+    first, gone = {}, {}
+    for i, text in kept.items():
+        words = WORD.findall(text)
+        gone[i] = {j for k in range(len(words) - 49) if first.setdefault(tuple(words[k : k + 50]), i) < i for j in range(k, k + 50)}
+    stripped = {}
+    for i, text in kept.items():
+        spans = [m.span() for m in WORD.finditer(text)]
+        runs, last = [], None
+        for j, (a, b) in enumerate(spans):
+            if j not in gone[i]:
+                runs = [*runs[:-1], (runs[-1][0], b)] if last == j - 1 else [*runs, (a, b)]
+                last = j
+        if runs:
+            stripped[i] = " ".join(text[a:b] for a, b in runs) if gone[i] else text
+    clean = {i: t for i, t in stripped.items() if not brute_hits(t, [(str(k), t) for k, t in bench if k])[-1]}
+    want = Counter()
+    for i, t in clean.items():
+        ids = np.array(full.encode(t, add_special_tokens=False).ids + [1], "<u4")
+        want.update((i, p, p * 4096, len(x), zlib.crc32(x.tobytes())) for p in range(-(-len(ids) // 4096)) for x in [ids[p * 4096 : (p + 1) * 4096]])
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r.doc_id for r in out}
-    named = [(str(i), t) for i, t in bench]
-    whole = {r[0] for r in kept if not removed[r[0]]}
-    assert ids & whole == {r[0] for r in kept if r[0] in whole and not brute_hits(r[1], named)[-1]}
-    assert ids <= {r[0] for r in kept} and len(ids) > 10
-    assert any(removed.values())
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+    assert len(rows) > len({i for i in root}) > len(kept) > len(stripped) and any(gone[i] for i in stripped) and len(stripped) > len(clean) > 10
+    places = defaultdict(list)
+    for r in out:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert all(a == sum(n for _, n in s[:k]) and a + n <= 4096 for s in map(sorted, places.values()) for k, (a, n) in enumerate(s))
