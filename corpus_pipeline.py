@@ -20,8 +20,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words covered by a 50-word window that an earlier document has go; the documents stay."""
-    return substring.strip_repeated(docs)
+    """Words covered by a 50-word window that an earlier document has go, and documents of which then nothing is left."""
+    return substring.strip_repeated(docs, drop_emptied=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
