@@ -170,7 +170,7 @@ def test_pipeline(spark, tmp_path, corpus, full):
 
     part = next(x for r in rows[:60] if len(w := WORD.findall(r[1] or "")) > 120 and good(r[1]) and good(x := " ".join(w[: len(w) * 2 // 3])))
     rows += [(2000, part, "en", None, 1), (2001, rows[62][1] + "\n" + rows[63][1], "en", None, 1)]
-    bench = [(1, " ".join(WORD.findall(rows[40][1])[2:30])), (2, "nothing here of any kind at all in this corpus of ours"), (None, None)]
+    bench = [(1, " ".join(WORD.findall(next(r[1] for r in rows[30:] if good(r[1])))[2:30])), (2, "nothing here of any kind at all in this corpus of ours"), (None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(r[0], 1) for r in rows[:50]], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
