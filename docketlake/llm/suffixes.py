@@ -1,16 +1,18 @@
-"""Repeated 200-byte strings by a logarithmic family of sparse suffix indexes.
+"""Repeated 200-byte strings by a logarithmic family of sparse suffix arrays.
 
 Every ``length``-byte string has an anchor: the place of the least hash of the ``gram``-byte strings inside it, leftmost
 among equals. Equal strings have their anchors in the same place, so only suffixes that start at anchors (about one byte
-in seventy) need sorting. An index entry is an anchor with its stretch, the run of strings that share it: ``key`` is the
-digest of the anchor's gram, by which suffixes are ordered, and ``ctx`` the digest of all bytes the stretch covers.
+in seventy) need sorting. An entry of the index is such a suffix with its stretch, the run of strings that share the
+anchor: ``head`` is the suffix's first bytes, by which the arrays are sorted, ``key`` the hash of its gram, and ``c1``,
+``c2`` the 128-bit digest of all bytes that the stretch covers.
 
-Entries of a new batch are merge-scanned with the levels of the family: the same key and ctx twice means that the whole
-stretch is repeated. A key with different ctx is a partial match, at the edge of what two places share; its strings are
-compared one by one by 128-bit digests. Levels of equal size merge, so a batch meets few levels however many came before.
+A new batch is put in the order of its suffixes, in ranges of heads, and merge-scanned with the levels of the family in
+that order: neighbours with the same digest are stretches that are repeated whole. Neighbours with one gram and different
+digests are partial matches, at the edge of what two places share; their strings are compared one by one. Levels of the
+batch's size merge with it in that very scan and are written as one; larger levels are read and stay as they are.
 
-Entries are only made for anchors that a count-min sketch estimates repeated, and at most one a part for equal stretches
-(what is repeated inside a part is known there), so a passage that a third of all texts share stays a few rows.
+Entries are only made for anchors that a count-min sketch estimates repeated, and at most two a task for equal stretches
+(what is repeated inside a task is known there), so a passage that a third of all texts share stays a few rows a task.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, saved, text_table
+from .common import map_arrow, saved, small, text_table
 from .substring import _BASES, STRETCH, Rolling, _cells, _repeated, add_cells, least_of, mixed
 
 _U = np.uint64
@@ -46,22 +48,32 @@ class Stretches:
     offset: np.ndarray
     at: np.ndarray  # first start in the part
     key: np.ndarray
-    values: np.ndarray
+    raw: bytes
     length: int
 
     def take(self, which: np.ndarray) -> "Stretches":
-        return Stretches(*(x[which] for x in (self.rows, self.lo, self.n, self.offset, self.at, self.key)), self.values, self.length)
+        return Stretches(*(x[which] for x in (self.rows, self.lo, self.n, self.offset, self.at, self.key)), self.raw, self.length)
 
-    def contexts(self) -> np.ndarray:
-        whole = Rolling(mixed(self.values), _BASES[1]).at(self.at, self.n + self.length - 1)
-        return mixed(whole + self.n.astype(_U) * _U(_BASES[0]) + self.offset.astype(_U) * _U(_BASES[1]))
+    def heads(self, size: int) -> list[bytes]:
+        """The first bytes of each anchor's suffix."""
+        starts = self.at + self.offset
+        return [self.raw[i : i + size] for i in starts.tolist()]
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit digests of the bytes that each stretch covers; how many there are tells how many strings."""
+        return _digests(self.raw, self.at, self.at + self.n + self.length - 1)
 
     def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(digest, second digest, batch row, start) of every single string."""
+        """(digest, second half, batch row, start) of every single string."""
         nth = np.arange(self.n.sum()) - np.repeat(np.cumsum(self.n) - self.n, self.n)
         at = np.repeat(self.at, self.n) + nth
-        first = Rolling(self.values, _BASES[0]).at(at, self.length)
-        return first, Rolling(mixed(self.values), _BASES[1]).at(at, self.length), np.repeat(self.rows, self.n), np.repeat(self.lo, self.n) + nth
+        return *_digests(self.raw, at, at + self.length), np.repeat(self.rows, self.n), np.repeat(self.lo, self.n) + nth
+
+
+def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]), _U).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def stretches(texts: list[str | None], length: int, gram: int) -> Iterator[Stretches]:
@@ -85,7 +97,8 @@ def stretches(texts: list[str | None], length: int, gram: int) -> Iterator[Stret
 def _part(held: list[tuple[int, int, np.ndarray]], length: int, gram: int) -> Stretches:
     sizes = np.array([len(p) for _, _, p in held])
     starts = np.cumsum(sizes) - sizes
-    values = _VALUES[np.concatenate([p for _, _, p in held])]
+    line = np.concatenate([p for _, _, p in held])
+    values = _VALUES[line]
     grams = mixed(Rolling(values, _BASES[0]).runs(gram))
     low = _U((1 << _PLACE_BITS) - 1)
     least = least_of((grams & ~low) | np.arange(len(grams), dtype=_U), length - gram + 1)
@@ -98,7 +111,7 @@ def _part(held: list[tuple[int, int, np.ndarray]], length: int, gram: int) -> St
     at, n = at[inside[at]], n[inside[at]]
     own = piece[at]
     rows, firsts = (np.array([h[i] for h in held], np.int64) for i in (0, 1))
-    return Stretches(rows[own], at - starts[own] + firsts[own], n, anchor[at] - at, at, grams[anchor[at]], values, length)
+    return Stretches(rows[own], at - starts[own] + firsts[own], n, anchor[at] - at, at, grams[anchor[at]], line.tobytes(), length)
 
 
 def _uppers(texts: list[str | None], rows: np.ndarray) -> np.ndarray:
@@ -129,25 +142,51 @@ def _twins(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, n
 
 
-ENTRY = "a long, b long, doc_id long, spot long, n int, seen boolean, runs binary"
+ENTRY = "head binary, key long, c1 long, c2 long, doc_id long, spot long, n int, seen boolean, runs binary"
+_ENTRY_NAMES = [x.split()[0] for x in ENTRY.split(", ")]
 
 
 def _rows(parts: list[tuple]) -> pa.RecordBatch | None:
     if not parts:
         return None
-    arrays = [pa.array(np.concatenate([p[i] for p in parts])) for i in range(6)]
-    return pa.RecordBatch.from_arrays([*arrays[:4], arrays[4].cast(pa.int32()), arrays[5], pa.array([r for p in parts for r in p[6]], pa.binary())], ["a", "b", "doc_id", "spot", "n", "seen", "runs"])
+    whole = [pa.array(np.concatenate([p[i] for p in parts])) for i in range(1, 8)]
+    heads, runs = (pa.array([x for p in parts for x in p[i]], pa.binary()) for i in (0, 8))
+    return pa.RecordBatch.from_arrays([heads, *whole[:5], whole[5].cast(pa.int32()), whole[6], runs], _ENTRY_NAMES)
+
+
+class _Met:
+    """How often a task has met stretches, in a table of fixed size; a later stretch takes an earlier one's slot."""
 
+    def __init__(self, slots: int = 1 << 18) -> None:
+        self.c1, self.c2, self.n = np.zeros(slots, _U), np.zeros(slots, _U), np.zeros(slots, np.uint8)
 
-def _emit(out: list, a: np.ndarray, b: np.ndarray, rows: np.ndarray, lo: np.ndarray, n: np.ndarray, ids: np.ndarray, upper: np.ndarray) -> None:
-    """Rows for the first of equal pairs, and known runs for all that have equals in this part."""
-    first, equals = _twins(a, b)
-    out.append((a[first].view(np.int64), b[first].view(np.int64), ids[rows[first]], upper[rows[first]] | lo[first], n[first], equals[first] > 1, [None] * int(first.sum())))
-    twice = equals > 1
+    def times(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        """How often each of these different stretches came before, two at most; counts them as met."""
+        slot = (c1 & _U(len(self.n) - 1)).astype(np.int64)
+        n = np.where((self.c1[slot] == c1) & (self.c2[slot] == c2), self.n[slot], 0)
+        self.c1[slot], self.c2[slot], self.n[slot] = c1, c2, np.minimum(n + 1, 2)
+        return n
+
+
+def _emit(out: list, met: _Met, heads, key: np.ndarray, c1: np.ndarray, c2: np.ndarray, rows: np.ndarray, lo: np.ndarray, n: np.ndarray, ids: np.ndarray, upper: np.ndarray) -> None:
+    """Rows for the first of equals (the first two times that the task meets them), and known runs for all that have equals.
+
+    The second row tells the first one, if nothing else does, that it is not alone.
+    """
+    first, equals = _twins(c1, c2)
+    at = np.nonzero(first)[0]
+    before = met.times(c1[at], c2[at])
+    came = np.zeros(len(c1), np.uint8)
+    came[at] = before
+    order = np.lexsort((~first, c2, c1))  # equals stand together, the first of them first
+    came[order] = came[order][np.maximum.accumulate(np.where(first[order], np.arange(len(order)), 0))]
+    twice = (equals > 1) | (came > 0)
+    own = at[before < 2]
+    out.append((heads(own), key[own].view(np.int64), c1[own].view(np.int64), c2[own].view(np.int64), ids[rows[own]], upper[rows[own]] | lo[own], n[own], twice[own], [None] * len(own)))
     if twice.any():
         owners, runs = _known(rows[twice], lo[twice], n[twice])
-        salt = mixed(owners.astype(_U) + _U(_BASES[1])).view(np.int64)
-        out.append((salt, ids[owners], ids[owners], upper[owners], np.zeros(len(owners), np.int64), np.zeros(len(owners), bool), runs))
+        none, count = np.zeros(len(owners), np.int64), len(owners)
+        out.append(([None] * count, none, none, none, ids[owners], upper[owners], none, np.zeros(count, bool), runs))
 
 
 def sketch(docs: DataFrame, length: int, gram: int, depth: int, width: int) -> np.ndarray:
@@ -169,54 +208,63 @@ def sketch(docs: DataFrame, length: int, gram: int, depth: int, width: int) -> n
     return add_cells(map_arrow(docs.select("text"), count, "stretch int, cells binary"), depth, width, 2)
 
 
-def entries(docs: DataFrame, bits: np.ndarray, length: int, gram: int, depth: int, width: int) -> DataFrame:
-    """Index entries (a: key, b: ctx) of anchors estimated repeated."""
+def _texts_and_ids(batch: pa.RecordBatch) -> tuple[list[str | None], np.ndarray]:
+    return batch.column("text").to_pylist(), batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def entries(docs: DataFrame, bits: np.ndarray, length: int, gram: int, depth: int, width: int, head: int) -> DataFrame:
+    """Index entries of anchors estimated repeated, and runs of what is known to be repeated."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-        out: list[tuple] = []
-        for part in stretches(texts, length, gram):
-            part = part.take(np.nonzero(_repeated(shared.value, part.key, depth, width))[0])
-            if len(part.rows):
-                _emit(out, part.key, part.contexts(), part.rows, part.lo, part.n, ids, _uppers(texts, part.rows))
-        return _rows(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met()
+        for batch in small(batches):
+            texts, ids = _texts_and_ids(batch)
+            out: list[tuple] = []
+            for part in stretches(texts, length, gram):
+                part = part.take(np.nonzero(_repeated(shared.value, part.key, depth, width))[0])
+                if len(part.rows):
+                    _emit(out, met, lambda own, p=part: p.take(own).heads(head), part.key, *part.contexts(), part.rows, part.lo, part.n, ids, _uppers(texts, part.rows))
+            if (made := _rows(out)) is not None:
+                yield made
 
-    return map_arrow(docs, run, ENTRY)
+    return docs.mapInArrow(run, ENTRY)
 
 
-CONTEXT = "a long, b long, doc_id long, spot long, n int, seen boolean, text binary"
+CONTEXT = "key long, c1 long, c2 long, doc_id long, spot long, n int, seen boolean, text binary"
 
 
 def partial_contexts(docs: DataFrame, bits: np.ndarray, length: int, gram: int, depth: int, width: int) -> DataFrame:
-    """The stretches whose key is in ``bits``, with their bytes; one of each ctx a part."""
+    """The stretches whose key is in ``bits``, with their bytes; at most two a task of each context."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-        out: list[tuple] = []
-        for part in stretches(texts, length, gram):
-            part = part.take(np.nonzero(_repeated(shared.value, part.key, depth, width))[0])
-            if not len(part.rows):
-                continue
-            ctx = part.contexts()
-            first, equals = _twins(part.key, ctx)
-            own = part.take(np.nonzero(first)[0])
-            raw = {r: texts[r].encode() for r in set(own.rows.tolist())}
-            cut = [raw[r][lo : lo + n + length - 1] for r, lo, n in zip(own.rows.tolist(), own.lo.tolist(), own.n.tolist())]
-            upper = _uppers(texts, own.rows)
-            out.append((own.key.view(np.int64), ctx[first].view(np.int64), ids[own.rows], upper[own.rows] | own.lo, own.n, equals[first] > 1, cut))
-        if not out:
-            return None
-        return _rows(out).rename_columns(["a", "b", "doc_id", "spot", "n", "seen", "text"])
-
-    return map_arrow(docs, run, CONTEXT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met()
+        for batch in small(batches):
+            texts, ids = _texts_and_ids(batch)
+            for part in stretches(texts, length, gram):
+                part = part.take(np.nonzero(_repeated(shared.value, part.key, depth, width))[0])
+                if not len(part.rows):
+                    continue
+                c1, c2 = part.contexts()
+                first, equals = _twins(c1, c2)
+                at = np.nonzero(first)[0]
+                before = met.times(c1[at], c2[at])
+                at, before = at[before < 2], before[before < 2]
+                if not len(at):
+                    continue
+                own, upper = part.take(at), _uppers(texts, part.rows)
+                cut = [own.raw[a : a + n + length - 1] for a, n in zip(own.at.tolist(), own.n.tolist())]
+                columns = (own.key.view(np.int64), c1[at].view(np.int64), c2[at].view(np.int64), ids[own.rows], upper[own.rows] | own.lo, own.n.astype(np.int32), (equals[at] > 1) | (before > 0), pa.array(cut, pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in CONTEXT.split(", ")])
+
+    return docs.mapInArrow(run, CONTEXT)
 
 
 def compare_contexts(contexts: DataFrame, length: int) -> DataFrame:
     """(doc_id, own, runs): repeated starts of contexts that occur once, among the few contexts of their key."""
-    one = contexts.repartition("a").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("seen").alias("seen"), F.min_by(F.struct("doc_id", "spot", "n", "text"), F.struct("doc_id", "spot")).alias("r"))
-    lists = one.groupBy("a").agg(F.collect_list(F.struct((F.col("seen") | (F.col("c") > 1)).alias("known"), "r.*")).alias("l")).where(F.size("l") > 1).select("l")
+    one = contexts.repartition("key").groupBy("key", "c1", "c2").agg(F.count("*").alias("c"), F.max("seen").alias("seen"), F.min_by(F.struct("doc_id", "spot", "n", "text"), F.struct("doc_id", "spot")).alias("r"))
+    lists = one.groupBy("key").agg(F.collect_list(F.struct((F.col("seen") | (F.col("c") > 1)).alias("known"), "r.*")).alias("l")).where(F.size("l") > 1).select("l")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, owns, runs = [], [], []
@@ -237,53 +285,57 @@ def compare_contexts(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def partial_strings(docs: DataFrame, bits: np.ndarray, length: int, gram: int, depth: int, width: int) -> DataFrame:
-    """Single strings (a, b: their digest) of the stretches whose key is in ``bits``, one stretch of each ctx a part."""
+    """Single strings (c1, c2: their digest) of the stretches whose key is in ``bits``, one stretch of each context a part."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-        out: list[tuple] = []
-        for part in stretches(texts, length, gram):
-            part = part.take(np.nonzero(_repeated(shared.value, part.key, depth, width))[0])
-            if not len(part.rows):
-                continue
-            part = part.take(np.nonzero(_twins(part.key, part.contexts())[0])[0])
-            a, b, rows, at = part.strings()
-            _emit(out, a, b, rows, at, np.ones(len(at), np.int64), ids, _uppers(texts, part.rows))
-        return _rows(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met()
+        for batch in small(batches):
+            texts, ids = _texts_and_ids(batch)
+            out: list[tuple] = []
+            for part in stretches(texts, length, gram):
+                part = part.take(np.nonzero(_repeated(shared.value, part.key, depth, width))[0])
+                if len(part.rows):
+                    part = part.take(np.nonzero(_twins(*part.contexts())[0])[0])
+                    c1, c2, rows, at = part.strings()
+                    _emit(out, met, lambda own: [None] * len(own), c1, c1, c2, rows, at, np.ones(len(at), np.int64), ids, _uppers(texts, part.rows))
+            if (made := _rows(out)) is not None:
+                yield made
+
+    return docs.mapInArrow(run, ENTRY)
+
 
-    return map_arrow(docs, run, ENTRY)
+SUFFIX = ("head", "key", "c1", "c2")
 
 
 @dataclass
 class IndexFamily:
-    """Levels of entries, each twice the batches of the next."""
+    """Levels of entries in the order of their suffixes, each level twice the batches of the next; an entry's context is in one level only."""
 
     levels: list[tuple[int, DataFrame]] = field(default_factory=list)
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Insert a batch; returns the entries that it shows repeated, old and new.
 
-        Levels of the batch's size merge with it, one after another, in this very scan; larger ones are only scanned.
+        The batch and all levels are brought together by ranges of heads and scanned in suffix order. Levels of the
+        batch's size, one after another, are merged with it: the scan writes what is new in them as one level. Larger
+        levels are only scanned.
         """
         size, merged = 1, [batch]
         while self.levels and self.levels[-1][0] == size:
             merged.append(self.levels.pop()[1])
             size *= 2
         union = _union([t.withColumn("old", F.lit(False)) for t in merged] + [t.withColumn("old", F.lit(True)) for _, t in self.levels])
-        same = Window.partitionBy("a", "b")
-        scan = saved(
-            union.withColumn("more", F.count("*").over(same) > 1)
-            .withColumn("nth", F.row_number().over(same.orderBy(F.desc("old"), "doc_id", "spot")))
-        )
-        found = scan.where("more or seen").select("doc_id", "spot", "n")
-        kept = scan.where("not old and nth = 1").withColumn("seen", F.col("seen") | F.col("more")).drop("old", "more", "nth")
-        self.levels.append((size, kept))
-        return found
+        same = Window.partitionBy(*SUFFIX)
+        scan = union.repartitionByRange("head").withColumn("more", F.count("*").over(same) > 1)
+        scan = scan.withColumn("keeps", ~F.col("old") & (F.row_number().over(same.orderBy(F.desc("old"), "doc_id", "spot")) == 1))
+        scan = saved(scan.withColumn("seen", F.col("seen") | F.col("more")).where("keeps or seen").drop("old", "more"))
+        self.levels.append((size, scan.where("keeps").drop("keeps")))
+        return scan.where("seen").select("doc_id", "spot", "n")
 
     def partial(self) -> DataFrame:
-        """(a, n): keys with more than one ctx, and how many; a ctx is in one level only."""
-        return _union([t for _, t in self.levels]).groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
+        """(key, n): grams with more than one context, and how many."""
+        return _union([t for _, t in self.levels]).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -294,17 +346,17 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 
 def key_bits(keys: DataFrame, depth: int, width: int) -> np.ndarray:
-    """The cells of all ``keys`` (column a)."""
+    """The cells of all ``keys`` (column key)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cell = np.unique(_cells(batch.column("a").to_numpy().view(_U), depth, width)).astype(np.int64)
+        cell = np.unique(_cells(batch.column("key").to_numpy().view(_U), depth, width)).astype(np.int64)
         pieces = np.split(cell, np.nonzero(np.diff(cell // STRETCH))[0] + 1)
         return pa.RecordBatch.from_arrays([pa.array([int(p[0] // STRETCH) for p in pieces], pa.int32()), pa.array([(p % STRETCH).astype("<u4").tobytes() for p in pieces], pa.binary())], ["stretch", "cells"])
 
     return add_cells(map_arrow(keys, run, "stretch int, cells binary"), depth, width, 1)
 
 
-def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64, batches: int = 4, depth: int = 2, sketch_bytes: int = 128 << 20, few: int = 64) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64, batches: int = 4, depth: int = 2, sketch_bytes: int = 128 << 20, few: int = 64, head: int = 32) -> DataFrame:
     """Remove the bytes covered by a ``length``-byte string that also starts anywhere else, in the same text or another.
 
     One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
@@ -313,6 +365,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64, batches:
     are ignored. The table enters the index family in ``batches`` parts by a hash of doc_id. ``sketch_bytes`` bounds the
     sketches sent to every executor: beyond, they let more through to the exact steps, which stay right. Keys of up to
     ``few`` contexts bring their bytes together; fuller ones are resolved string by string across tasks.
+    ``head`` bytes of each suffix are sorted by; the rest of it counts by its digest.
     """
     table = text_table(docs)
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -320,22 +373,28 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64, batches:
     while width < size // 16 and 2 * depth * width // 8 <= sketch_bytes:
         width *= 2
     bits = sketch(table, length, gram, depth, width)
-    made = saved(entries(table, bits, length, gram, depth, width))
+    made = saved(entries(table, bits, length, gram, depth, width, head))
     family, found = IndexFamily(), []
     suffixes = made.where("runs is null").drop("runs")
     for i in range(batches):
         found.append(family.add(suffixes.where(F.pmod(F.xxhash64("doc_id", F.shiftright("spot", 32)), F.lit(batches)) == i)))
     partial = saved(family.partial())
-    some, many = (key_bits(partial.where(test).select("a"), depth, width) for test in (F.col("n") <= few, F.col("n") > few))
-    near = compare_contexts(partial_contexts(table, some, length, gram, depth, width), length)
-    edge = saved(partial_strings(table, many, length, gram, depth, width))
-    same = Window.partitionBy("a", "b")
-    single = edge.where("runs is null").select("a", "b", "doc_id", "spot", "n", "seen").withColumn("m", F.count("*").over(same)).where("m > 1")
-    starts = _union([*found, single.select("doc_id", "spot", "n")]).select(
+    known = [made.where("runs is not null").select("doc_id", "spot", "runs")]
+    edges = []
+    few_keys, many_keys = partial.where(F.col("n") <= few).select("key"), partial.where(F.col("n") > few).select("key")
+    if not few_keys.isEmpty():
+        edges.append(compare_contexts(partial_contexts(table, key_bits(few_keys, depth, width), length, gram, depth, width), length))
+    if not many_keys.isEmpty():
+        edge = saved(partial_strings(table, key_bits(many_keys, depth, width), length, gram, depth, width))
+        known.append(edge.where("runs is not null").select("doc_id", "spot", "runs"))
+        single = edge.where("runs is null")
+        twice = single.groupBy("c1", "c2").agg(F.count("*").alias("m")).where("m > 1").toDF("d1", "d2", "m")
+        found.append(single.join(twice, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))).select("doc_id", "spot", "n"))
+    starts = _union(found).select(
         "doc_id", F.shiftright("spot", 32).alias("own"), (F.col("spot").bitwiseAND(F.lit((1 << 31) - 1)) * F.lit(1 << 31) + F.col("n")).alias("start"), F.lit(None).cast("binary").alias("runs")
     )
-    runs = _union([made, edge]).where("runs is not null").select("doc_id", F.shiftright("spot", 32).alias("own"), F.lit(None).cast("long").alias("start"), "runs")
-    runs = runs.unionByName(near.select("doc_id", "own", F.lit(None).cast("long").alias("start"), "runs"))
+    runs = _union(known).select("doc_id", F.shiftright("spot", 32).alias("own"), "runs")
+    runs = _union([runs, *edges]).select("doc_id", "own", F.lit(None).cast("long").alias("start"), "runs")
     marks = starts.unionByName(runs).groupBy("doc_id", "own").agg(F.collect_list("start").alias("_starts"), F.collect_list("runs").alias("_runs"))
     marks = marks.select(F.col("doc_id").alias("_doc"), F.col("own").alias("_own"), "_starts", "_runs")
     on = (F.coalesce("doc_id", F.lit(-1)) == F.col("_doc")) & (F.shiftrightunsigned(F.xxhash64("text"), 33) == F.col("_own"))

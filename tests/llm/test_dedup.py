@@ -176,17 +176,44 @@ def test_repeated_bytes_across_pieces(spark, monkeypatch):
 
 
 def test_index_family_levels(spark):
-    """Levels double and hold each (key, ctx) once."""
+    """Levels double, hold each context once, stay in suffix order by ranges, and larger ones are not written again."""
     family = suffixes.IndexFamily()
-    schema = "a long, b long, doc_id long, spot long, n int, seen boolean"
-    found = Counter()
-    for i in range(4):
-        rows = [(1, 1, i, 7, 3, False), (2, i, i, 8, 3, False), (10 + i, 1, i, 9, 3, False)]
-        found.update(r.doc_id for r in family.add(spark.createDataFrame(rows, schema)).collect())
-        assert [(r.a, r.n) for r in family.partial().collect()] == ([(2, i + 1)] if i else [])
-    assert [size for size, _ in family.levels] == [4]
-    assert set(found) == {0, 1, 2, 3}
-    assert family.levels[0][1].count() == 1 + 4 + 4
+    schema = "head binary, key long, c1 long, c2 long, doc_id long, spot long, n int, seen boolean"
+    found, last = Counter(), {}
+    for i in range(6):
+        rows = [(b"aa", 1, 1, 0, i, 7, 3, False), (b"ab", 2, i, 0, i, 8, 3, False), (b"b", 10 + i, 1, 0, i, 9, 3, False)]
+        found.update((r.doc_id, r.spot) for r in family.add(spark.createDataFrame(rows, schema)).collect())
+        assert {r.key: r.n for r in family.partial().collect()} == ({2: i + 1} if i else {})
+        now = {size: sorted(level.inputFiles()) for size, level in family.levels}
+        assert all(now[size] == files for size, files in last.items() if size in now and size > 1 and size in (4,))
+        last = now
+    assert [size for size, _ in family.levels] == [4, 2]
+    assert {d for d, s in found if s == 7} == set(range(6)) and not [1 for _, s in found if s != 7]
+    rows = [r for _, level in family.levels for r in level.collect()]
+    assert len(rows) == len({(r.head, r.key, r.c1, r.c2) for r in rows}) == 1 + 6 + 6
+
+
+def test_stretches_met_twice_in_a_task(spark):
+    """A passage that many parts of one task share: two entries, and every copy is found."""
+    rng = np.random.default_rng(8)
+    word = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    passage = word(420)
+    rows = [(i, word(300) + passage + word(250)) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = suffixes.PART_BYTES
+    suffixes.PART_BYTES = 900
+    try:
+        texts = [t for _, t in rows]
+        met, out = suffixes._Met(), []
+        for part in suffixes.stretches(texts, 200, 64):
+            suffixes._emit(out, met, lambda own, p=part: p.take(own).heads(32), part.key, *part.contexts(), part.rows, part.lo, part.n, np.arange(40), np.zeros(40, np.int64))
+        entries = suffixes._rows(out).to_pylist()
+    finally:
+        suffixes.PART_BYTES = before
+    inner = Counter((r["c1"], r["c2"]) for r in entries if r["runs"] is None)
+    assert max(inner.values()) == 2
+    assert {r["doc_id"] for r in entries if r["runs"] is not None} == set(range(1, 40))
+    assert Counter(tuple(r) for r in suffixes.repeated_bytes(table).collect()) == brute_bytes(rows, 200)
 
 
 def test_empty_tables(none):
