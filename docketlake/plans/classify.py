@@ -281,6 +281,27 @@ def _(spark, sf):
     return load(spark, sf, "conversations").select("conv_id", "turn", C.route_question(q).alias("route"))
 
 
+_more = _process.replace("|fetch(?:ing)?)", "|fetch(?:ing)?|scrape|scraping|ingest(?:ing)?)")
+_client = " or ".join((
+    _says(r"^(status|progress|update|hello|hi|hey|thanks|thank you)[\s?!.,]*$"), _says(r"\b(will|are|do|can|could|would|shall)\s+you\b") + " and " + _more,
+    _more + " and " + _says(r"\b(more|additional|new|other|further)\b") + " and " + _says(r"\b(pdfs?|documents?|files?|bills?|summaries|data)\b"), _says(r"\b(more|additional)\s+(pdfs?|documents?|files?)\b"),
+    _says(r"\bhow many\b") + " and " + _says(r"\b(pdfs?|summaries|documents?)\b"), _says(r"\b(are you|do you)\b") + " and " + _more, _says(r"\bhave you (read|finished|done|indexed|extracted)\b"), _inventory,
+    _says(r"\bgive me (a |the )?list\b"), _says(r"\bwhich pdfs?\b"), _says(r"\bwhat (pdfs?|documents?) (do you|have you)\b"), _says(r"\b(still )?(working|running|crawling|indexing|extracting)\b"),
+    _says(r"\b(how much|progress|update me|status|coverage)\b"), _says(r"\b(who are you|what (can|do) you do|what is eva)\b"), _says(r"\b(thank(s| you)|help me)\b"), _says(r"\bknowledge base\b"),
+    _says(r"\b(keep|continue)\s+(reading|extracting|indexing|processing)\b"),
+))
+CLIENT_ASKED = (*ASKED, "thank you so much", "which pdfs have you", "what documents do you have", "shall you ingest it", "scraping other bills", "Hey there status", "help me please")
+_client_asked = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in CLIENT_ASKED) + "]"
+
+
+@register("c21_route_question_client", f"""select conv_id, turn, case when q = '' or not ({_client}) then 'content' when regexp_matches(low, '^(hi|hello|hey)\\b|who are you|what (can|do) you do|what is eva') then 'identity' when contains(low, 'thank') then 'thanks' when regexp_matches(low, '\\b(list|show|display|name|which|what)\\b') and regexp_matches(low, '\\b(pdfs?|summaries|documents?|files?|index|indexed|read|you have|you''ve)\\b') then 'list' else 'status' end as route
+  from (select conv_id, turn, low, replace(trim(low), '’', chr(39)) as q from (select conv_id, turn, lower({_client_asked}[(conv_id + turn) % {len(CLIENT_ASKED)} + 1] || case when (conv_id + turn) % 3 = 0 then ' ' || text else '' end) as low from conversations))""")
+def _(spark, sf):
+    n = F.col("conv_id") + F.col("turn")
+    q = F.concat(F.element_at(F.array(*[F.lit(x) for x in CLIENT_ASKED]), (n % len(CLIENT_ASKED) + 1).cast("int")), F.when(n % 3 == 0, F.concat(F.lit(" "), "text")).otherwise(F.lit("")))
+    return load(spark, sf, "conversations").select("conv_id", "turn", C.route_question(q, "client").alias("route"))
+
+
 @register("c22_filter_pdfs", f"select k from ({ENRICHED}) where jurisdiction = 'UK' and source_kind = 'official_gazette' and contains(lower(concat_ws(' ', title, filename, host, law_type)), 'law')", "downloads")
 def _(spark, sf):
     return K.filter_rows(K.enrich(load(spark, sf, "downloads")), {"jurisdiction": "UK", "source_kind": "official_gazette", "year": None}, "Law", ["title", "filename", "host", "law_type"]).select("k")
