@@ -67,11 +67,25 @@ def gapless(df: DataFrame, groups: Sequence[str], order: Sequence[Column], name:
     )
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with what ``classes`` (key, n, ...; one row a key, ``n`` rows each) has of their key; both columns stay.
+
+    Keys that hold over a ten-thousandth of the ``total`` rows are at most ten thousand; they go to every task, so their
+    rows are not shuffled. All other keys are joined by shuffle, and none of these is large.
+    """
+    own = classes.withColumnRenamed(key, "_key")
+    hot, cold = own.where(F.col("n") * 10_000 > total), own.where(F.col("n") * 10_000 <= total)
+    same = F.col(key) == F.col("_key")
+    rest = rows.join(F.broadcast(hot.select("_key")), same, "left_anti")
+    return rows.join(F.broadcast(hot), same).drop("_key", "n").unionByName(rest.join(cold, same).drop("_key", "n"))
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of an edge list (a, b): rows (node, root), root the smallest node of its component.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014) until the edge set stops changing. Every round
-    is written to the shared folder, so no round is ever recomputed and a lost executor costs one round at most.
+    is written to the shared folder, so no round is ever recomputed and a lost executor costs one round at most. The hub
+    of a very large component is a hot key of a round's joins, which adaptive execution (on by default) splits.
     """
     stars = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     state = _state(stars)

@@ -256,7 +256,7 @@ def repeated_starts(docs: DataFrame, window: int, gram: int, depth: int, sketch_
     same = Window.partitionBy("w1", "w2")
     late = found.withColumn("first", F.min("doc_id").over(same)).where("runs is not null or doc_id > first")
     return late.groupBy("doc_id", F.shiftright("spot", 32).alias("own")).agg(
-        F.collect_list(F.expr("if(runs is null, cast(spot & 2147483647 as int), null)")).alias("_starts"), F.collect_list("runs").alias("_runs")
+        F.collect_set(F.expr("if(runs is null, cast(spot & 2147483647 as int), null)")).alias("_starts"), F.collect_set("runs").alias("_runs")
     ).select(F.col("doc_id").alias("_doc"), F.col("own").alias("_own"), "_starts", "_runs")
 
 

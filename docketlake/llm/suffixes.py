@@ -395,7 +395,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64, batches:
     )
     runs = _union(known).select("doc_id", F.shiftright("spot", 32).alias("own"), "runs")
     runs = _union([runs, *edges]).select("doc_id", "own", F.lit(None).cast("long").alias("start"), "runs")
-    marks = starts.unionByName(runs).groupBy("doc_id", "own").agg(F.collect_list("start").alias("_starts"), F.collect_list("runs").alias("_runs"))
+    marks = starts.unionByName(runs).groupBy("doc_id", "own").agg(F.collect_set("start").alias("_starts"), F.collect_set("runs").alias("_runs"))
     marks = marks.select(F.col("doc_id").alias("_doc"), F.col("own").alias("_own"), "_starts", "_runs")
     on = (F.coalesce("doc_id", F.lit(-1)) == F.col("_doc")) & (F.shiftrightunsigned(F.xxhash64("text"), 33) == F.col("_own"))
     joined = table.join(marks, on, "left").select("doc_id", "text", "_starts", "_runs")
