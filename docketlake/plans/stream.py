@@ -36,25 +36,16 @@ def register(name: str, oracle: str | None):
 
 
 # every fifth snapshot has no items; its hash changes with the order of the events
-SNAPSHOTS = "concat('source-', user_id % 40) as source, event_id as seq, case when event_type in ('error', 'signup') then 503 else 200 end as http_status, concat('hash-', floor(event_id / 3) % 4) as content_hash, case when event_id % 5 = 0 then array() else array(concat('item-', event_id % 60)) end as items"
+SNAPSHOTS = (
+    "concat('source-', user_id % 40) as source", "event_id as seq", "case when event_type in ('error', 'signup') then 503 else 200 end as http_status",
+    "concat('hash-', floor(event_id / 3) % 4) as content_hash", "case when event_id % 5 = 0 then array() else array(concat('item-', event_id % 60)) end as items",
+)
 
 
 @register("t1_detect_new_items", """with s as (select 'source-' || user_id % 40 as source, event_id as seq, 'hash-' || cast(floor(event_id / 3) % 4 as bigint) as content_hash, event_id % 5 = 0 as bare, 'item-' || event_id % 60 as item from events where event_type not in ('error', 'signup'))
   select distinct source, item, 'new' as kind from s where not bare union all select source, content_hash, 'changed' from (select *, lag(content_hash) over (partition by source order by seq) as before from s) where bare and before <> content_hash""")
 def _(spark, sf):
-    return drained(J.detect_changes(events(spark, sf).selectExpr(*_columns(SNAPSHOTS))))
-
-
-def _columns(text: str) -> list[str]:
-    """The select list ``text`` as its columns."""
-    out, depth = [""], 0
-    for c in text:
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return [x.strip() for x in out]
+    return drained(J.detect_changes(events(spark, sf).selectExpr(*SNAPSHOTS)))
 
 
 @register("t1_new_items_by_key", "select distinct 'source-' || user_id % 40 as source, 'item-' || event_id % 60 as item from events")
