@@ -28,8 +28,17 @@ def map_arrow(
     return df.mapInArrow(run, schema)
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches cut to at most ``rows`` rows; empty ones are left out. At the end Arrow gives back what it holds unused."""
+#: What operators keep in a Python worker from task to task; a worker that takes up other work gives it back.
+KEPT: list[dict] = []
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most ``rows`` rows; empty ones are left out. At the end Arrow gives back what it holds unused.
+
+    Unless ``keep``, what earlier tasks of this worker kept is given up first.
+    """
+    for kept in KEPT if not keep else ():
+        kept.clear()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import gapless, map_arrow, saved, small, text_table
 from .tokens import Encoder
@@ -200,12 +201,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1
 
     def batch_rows(batch: pa.RecordBatch, first: int) -> pa.RecordBatch:
         encoder, out = Encoder.of(tokenizer), []
-        small = with_ids and encoder.full.get_vocab_size() <= 1 << 16
+        short = with_ids and encoder.full.get_vocab_size() <= 1 << 16
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             raw = encoder.encode(text) + end
             for i in range(0, len(raw), step):
                 part = raw[i : i + step]
-                ids = (np.frombuffer(part, "<u4").astype("<u2").tobytes() if small else part) if with_ids else None
+                ids = (np.frombuffer(part, "<u4").astype("<u2").tobytes() if short else part) if with_ids else None
                 out.append((doc_id, i // step, i // 4, len(part) // 4, zlib.crc32(part), ids))
         doc_ids, piece, start, length, crc, ids = (list(x) for x in zip(*out))
         arrays = [pa.array(doc_ids, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
@@ -218,7 +219,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in small(batches):
+        for batch in small(batches, keep=True):
             out = batch_rows(batch, row)
             row += out.num_rows
             yield out
@@ -277,9 +278,9 @@ def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_i
     parts = loaded.select("sequence_id", F.struct("offset", "length", "doc_id", "start", "ids").alias("part"))
     rows = parts.groupBy("sequence_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
 
+    kind = "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        small = Encoder.of(tokenizer).full.get_vocab_size() <= 1 << 16
-        kind = "<u2" if small else "<u4"
         where = "<u2" if capacity <= 1 << 16 else "<u4"
         out = []
         for sequence, parts in zip(batch.column("sequence_id").to_pylist(), batch.column("parts").to_pylist()):

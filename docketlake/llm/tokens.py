@@ -14,6 +14,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
+from .common import KEPT
+
 #: The split pattern of the vocabulary file over lower-case text of ASCII and the letters U+00DF to U+017F.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ňŊ-ſ]+")
@@ -42,7 +44,9 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
-        """The encoder of this Python worker."""
+        """The encoder of this Python worker, kept from task to task."""
+        if not any(kept is cls._own for kept in KEPT):
+            KEPT.append(cls._own)
         if path not in cls._own:
             cls._own[path] = cls(path)
         return cls._own[path]
