@@ -58,9 +58,9 @@ def retrieve(questions: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     docs = corpus.select("id", low("title").alias("title"), low("jurisdiction").alias("place"), low("summary").alias("summary"))
     runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(RUN), 0))
-    held = docs.select("id", runs("title").alias("tw"), runs("place").alias("pw"), runs("summary").alias("sw"))
-    words = held.select("id", F.explode(F.array_union(F.array_union("tw", "pw"), "sw")).alias("w"), "tw", "pw", "sw")
-    words = saved(words.select("id", "w", F.array_contains("tw", F.col("w")).alias("in_title"), F.array_contains("pw", F.col("w")).alias("in_place"), F.array_contains("sw", F.col("w")).alias("in_summary")))
+    flags = ("in_title", "in_place", "in_summary")
+    held = [docs.select("id", F.explode(runs(c)).alias("w"), *[F.lit(f == own).alias(f) for f in flags]) for c, own in zip(("title", "place", "summary"), flags)]
+    words = saved(held[0].unionByName(held[1]).unionByName(held[2]))
     wanted = terms.select("t").distinct().withColumn("g", F.substr("t", F.lit(1), _gram_size(F.col("t"))))
     vocabulary = words.select("w").distinct().select("w", F.explode(_grams(F.col("w"), _gram_size(F.col("w")))).alias("g"))
     matched = vocabulary.join(wanted, "g").where(F.contains("w", "t")).select(F.col("w").alias("word"), "t").distinct()
