@@ -36,7 +36,7 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         self.model, self.half = self.full.model, max(1, keep // 2)
         self.marks = re.compile("|".join(re.escape(t.content) for t in self.full.get_added_tokens_decoder().values()) or r"(?!)")
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.chunks: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.older: tuple[dict[bytes, bytes], dict[str, bytes]] = ({}, {})
@@ -104,7 +104,7 @@ class Encoder:
         return ids
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The visible character that stands for each byte in a byte-level vocabulary: itself, or the next from U+0100."""
     shown = {b for span in ((33, 126), (161, 172), (174, 255)) for b in range(span[0], span[1] + 1)}
     rest = iter(range(256, 512))
