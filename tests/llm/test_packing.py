@@ -149,7 +149,7 @@ def test_pipeline(spark, tmp_path, corpus, full):
     """Every row of run() against brute-force versions of its stages."""
     import corpus_pipeline
     import zstandard
-    from docketlake.llm.quality import DEFAULT_KNOTS
+    from docketlake.llm import quality
     from test_dedup import WORD, jaccard
     from test_rules import brute_hits
 
@@ -163,17 +163,21 @@ def test_pipeline(spark, tmp_path, corpus, full):
         again = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
         if len(words) < 50 or 2 * len(again) > len(words):
             return False
-        press, x, low, high = zstandard.ZstdCompressor(level=3), *zip(*DEFAULT_KNOTS)
+        press, x, low, high = zstandard.ZstdCompressor(level=3), *zip(*knots)
         within = lambda p: np.interp(np.log2(len(p)), x, low) <= len(press.compress(p)) / len(p) <= np.interp(np.log2(len(p)), x, high)
         parts = [raw[max(0, e - 4096) : e] for e in (*range(4096, len(raw), 4096), len(raw))]
         return within(raw) and 4 * sum(not within(p) for p in parts) <= len(parts)
 
+    # the pipeline fits its bands on rows that stay as they are below
+    marked = [(r[0], 1) for r in rows[:50]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    knots = quality.fit_bands(table, spark.createDataFrame(marked, "doc_id long, quality int")).knots
     part = next(x for r in rows[:60] if len(w := WORD.findall(r[1] or "")) > 120 and good(r[1]) and good(x := " ".join(w[: len(w) * 2 // 3])))
     rows += [(2000, part, "en", None, 1), (2001, rows[62][1] + "\n" + rows[63][1], "en", None, 1)]
     bench = [(1, " ".join(WORD.findall(next(r[1] for r in rows[30:] if good(r[1])))[2:30])), (2, "nothing here of any kind at all in this corpus of ours"), (None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([(r[0], 1) for r in rows[:50]], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(marked, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
 
     kept = {r[0]: r[1] for r in rows if good(r[1])}
     root = {i: i for i in kept}

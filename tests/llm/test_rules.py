@@ -41,13 +41,14 @@ def test_quality_counts(docs, corpus):
         if not raw:
             return False
         press = zstandard.ZstdCompressor(level=3)
+        knots = knots or ((1.0, 0.0, np.inf),)
         within = lambda x: np.interp(np.log2(len(x)), *zip(*[k[:2] for k in knots])) <= len(press.compress(x)) / len(x) <= np.interp(np.log2(len(x)), *zip(*[(k[0], k[2]) for k in knots]))
         ends = [*range(4096, len(raw), 4096), len(raw)]
         parts = [raw[max(0, e - 4096) : e] for e in ends]
         return within(raw) and sum(not within(x) for x in parts) <= len(parts) / 4
 
     verdicts = set()
-    for bands in (quality.Bands(), quality.Bands(((8.0, 0.3, 0.9), (12.0, 0.2, 0.7), (17.0, 0.1, 0.6))), quality.Bands(((8.0, 0.3, 0.65), (12.0, 0.3, 0.55), (17.0, 0.3, 0.5)))):
+    for bands in (quality.Bands(), quality.Bands(((8.0, 0.3, 0.9), (12.0, 0.2, 0.7), (17.0, 0.1, 0.6))), quality.Bands(((8.0, 0.3, 0.65), (12.0, 0.3, 0.55), (17.0, 0.3, 0.5))), quality.Bands(((8.0, 0.2, 0.45), (17.0, 0.2, 0.4)))):
         rows = quality.compression_bands(docs, bands).collect()
         want = Counter((*b, not b[-1] and verdict(t, bands.knots)) for t, b in ((t, (i, *brute(t))) for i, t, *_ in corpus))
         assert Counter(tuple(r)[:8] for r in rows) == want
@@ -92,10 +93,23 @@ def test_fitted_bands_decide(spark):
     held = quality.compression_bands(docs.where("doc_id % 4 >= 2"), bands).join(labels, "doc_id").where("not base_failed").collect()
     good, bad = [r.kept for r in held if r.quality == 1], [r.kept for r in held if r.quality == 0]
     assert len(bad) > 150 and sum(bad) < 0.1 * len(bad) and sum(good) > 0.95 * len(good)
-    assert quality.fit_bands(docs.limit(20), labels) == quality.Bands()
     assert quality.fit_bands(docs.where("doc_id < 0"), labels.where("doc_id < 0")) == quality.Bands()
 
 
+def test_bands_fit_any_number_of_labels():
+    """From no label to thousands by one rule: good texts are kept at any number, and the more labels the more junk goes."""
+    rng = np.random.default_rng(4)
+    sizes = (2 ** rng.uniform(8, 15, 6000)).astype(int)
+    ratios = 0.9 - 0.035 * np.log2(sizes) + rng.normal(0, 0.3, 6000) / np.log2(sizes) ** 1.5
+    within = lambda bands, add: np.mean([low <= r + add <= high for (low, high), r in zip(map(bands.limits, sizes.tolist()), ratios)])
+    junk = []
+    for n in (0, 1, 5, 71, 500, 5000):
+        bands = quality.Bands(quality._knots(sizes[:n], ratios[:n], 0.005))
+        assert bool(bands.knots) == (n > 0) and within(bands, 0.0) > 0.98
+        junk.append(1 - within(bands, -0.05))
+    assert junk[0] == 0 and junk[3] > 0.5 and junk[5] > 0.8 and junk == sorted(junk)
+
+
 def test_bands_judge_the_tail():
     """Noise or repetition after clean pieces counts, whatever its length."""
     rng = random.Random(8)
