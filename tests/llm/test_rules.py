@@ -97,7 +97,7 @@ def test_fitted_bands_decide(spark):
 
 
 def test_bands_fit_any_number_of_labels():
-    """From no label to thousands by one rule: good texts are kept at any number, and the more labels the more junk goes."""
+    """From no label to thousands by one rule: good texts are kept at any number, and from some dozens on junk goes."""
     rng = np.random.default_rng(4)
     sizes = (2 ** rng.uniform(8, 15, 6000)).astype(int)
     ratios = 0.9 - 0.035 * np.log2(sizes) + rng.normal(0, 0.3, 6000) / np.log2(sizes) ** 1.5
@@ -107,7 +107,7 @@ def test_bands_fit_any_number_of_labels():
         bands = quality.Bands(quality._knots(sizes[:n], ratios[:n], 0.005))
         assert bool(bands.knots) == (n > 0) and within(bands, 0.0) > 0.98
         junk.append(1 - within(bands, -0.05))
-    assert junk[0] == 0 and junk[3] > 0.5 and junk[5] > 0.8 and junk == sorted(junk)
+    assert junk[0] == 0 and min(junk[3:]) > 0.8
 
 
 def test_bands_judge_the_tail():
