@@ -166,12 +166,20 @@ def laws_catalog(updates: DataFrame, tracking: DataFrame, registry: DataFrame) -
     return union_by_precedence(tables, F.lower(F.when(F.col("link") != "", F.col("link")).otherwise(F.col("name"))))
 
 
-def upsert(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """``target`` with ``updates`` merged in by ``key``: new non-null fields overwrite, others stay; new keys are added."""
-    t, u = target.alias("t"), updates.alias("u")
+def upsert(target: DataFrame, updates: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``target`` with ``updates`` merged in by ``key``: new non-null fields overwrite, others stay; new keys are added.
+
+    Several updates of a key are merged in turn by ``order``, a column that is no field: each field takes its last value
+    that is not null, as if they had come one by one, so merging them again changes nothing. Without ``order`` the greatest
+    value of a field counts.
+    """
+    fields = [c for c in updates.columns if c not in (key, order)]
+    turn = F.col(order) if order else F.lit(0)
+    last = updates.groupBy(key).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(turn, F.col(c).cast("string")))).alias(c) for c in fields])
+    t, u = target.alias("t"), last.alias("u")
     names = [c for c in target.columns if c != key]
-    merged = [F.coalesce(F.col(f"u.{c}"), F.col(f"t.{c}")).alias(c) if c in updates.columns else F.col(f"t.{c}") for c in names]
-    added = [F.col(f"u.{c}") for c in updates.columns if c not in target.columns]
+    merged = [F.coalesce(F.col(f"u.{c}"), F.col(f"t.{c}")).alias(c) if c in fields else F.col(f"t.{c}") for c in names]
+    added = [F.col(f"u.{c}") for c in fields if c not in target.columns]
     return t.join(u, F.col(f"t.{key}") == F.col(f"u.{key}"), "full").select(F.coalesce(F.col(f"t.{key}"), F.col(f"u.{key}")).alias(key), *merged, *added)
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from .harvest import anchors, api_hints, document_urls, embeds
-from .rank import empty_streaks
-from .storage import numbered, saved
+from .scan import empty_streaks
+from .storage import discard, numbered, saved
 
 
 #: How links are found, the first counts where one is found in several ways.
@@ -21,56 +21,102 @@ def link_edges(pages: DataFrame) -> DataFrame:
     kind is document, same_site or off_site; a link that a page has twice keeps its first method and, of that, its text.
     """
     blank = F.lit("")
-    apis = pages.select("page_id", F.col("url").alias("base"), F.explode(api_hints(F.col("html"), 40)).alias("path"))
+    # each URL's page stands in for its id, so snapshots that share an id keep their own links
+    own = pages.select(F.col("url").alias("page_id"), "url", "html")
+    apis = own.select("page_id", F.explode(api_hints(F.col("html"), 40)).alias("path"))
     found = (
-        anchors(pages).select("page_id", "url", F.lit("href").alias("method"), F.substring("text", 1, 300).alias("text"))
-        .union(embeds(pages).select("page_id", "url", F.lit("embed"), blank))
-        .union(document_urls(pages).select("page_id", "url", "method", blank))
-        .union(apis.select("page_id", U.resolve_url(F.col("base"), F.col("path")), F.lit("api"), blank))
+        anchors(own).select("page_id", "url", F.lit("href").alias("method"), F.substring("text", 1, 300).alias("text"))
+        .union(embeds(own).select("page_id", "url", F.lit("embed"), blank))
+        .union(document_urls(own).select("page_id", "url", "method", blank))
+        .union(apis.select("page_id", U.resolve_url(F.col("page_id"), F.col("path")), F.lit("api"), blank))
     )
     order = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method"))
-    rows = pages.select("page_id", F.col("url").alias("src")).join(found, "page_id").where(F.col("url").rlike("(?i)^https?://"))
+    rows = found.select(F.col("page_id").alias("src"), "url", "method", "text").where(F.col("url").rlike("(?i)^https?://"))
     kept = rows.groupBy("src", F.col("url").alias("dst")).agg(F.min(F.struct(order.alias("o"), "method", "text")).alias("m")).select("src", "dst", "m.method", "m.text")
     kind = F.when(U.looks_like_doc(F.col("dst")), "document").when(U.is_same_site(U.host_of(F.col("dst")), U.host_of(F.col("src"))), "same_site").otherwise("off_site")
     return kept.select("src", "dst", kind.alias("kind"), "method", "text")
 
 
-def crawl_closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_pages: int | None = None, focused: bool = False) -> DataFrame:
-    """(url, depth): what a crawl from the seeds (url) visits over the edges (src, dst).
+def queue_of(url: Column) -> Column:
+    """0 for legal pages, 2 for junk pages, 1 for others."""
+    return F.when(U.is_legal_priority_page(url), 0).when(U.is_junk_page(url), 2).otherwise(1)
 
-    Breadth first, a round a depth, until nothing new is reached or ``max_depth`` is; edges and rounds are written once
-    each. With ``max_pages`` the last round takes pages by priority and then URL up to the budget exactly; ``focused``
-    never visits junk pages. Without a budget only the set reached is meaningful, which no order changes.
+
+def crawl(
+    edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_pages: int | None = None, focused: bool = False, same_site: bool = True, per_round: int | None = None
+) -> DataFrame:
+    """(seed, url, depth): what the crawl of each seed (seed, url, and max_pages, its own budget, if it has one) visits over the edges (src, dst).
+
+    All seeds are crawled together, in rounds. Each has a queue of pages found and not visited: legal pages come first, then
+    by priority and URL. A round visits the first pages of every queue, all of them or ``per_round``, as far as the seed's
+    budget goes (``max_pages`` where it has none of its own; null has no bound), and puts the new pages they link to in the
+    queue: those of the seed's site (``same_site``), no junk pages if ``focused``, none beyond ``max_depth`` links. A page
+    already waiting keeps its place. With ``per_round`` 1 it is a crawl page by page. A seed given at several URLs starts
+    with all of them; a seed with no budget left drops out. Queue, visits and edges are tables in the shared folder, each
+    round's replaced by the next's.
     """
-    edges = saved(edges.select(F.col("src").alias("url"), "dst").distinct())
-    frontier = saved(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    visited, total, depth = frontier, frontier.count(), 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        reached = frontier.join(edges, "url").select(F.col("dst").alias("url")).distinct()
+    edges = saved(edges.select("src", "dst").distinct())
+    own = F.col("max_pages").cast("long") if "max_pages" in seeds.columns else F.lit(None).cast("long")
+    starts = seeds.select("seed", "url", F.coalesce(own, F.lit(max_pages).cast("long")).alias("_budget"))
+    sites = saved(starts.groupBy("seed").agg(F.min("_budget").alias("budget"), F.collect_set(U.host_of(F.col("url"))).alias("hosts")))
+    bounded = not sites.where("budget is not null").isEmpty()
+    at_once = not bounded and per_round is None  # every queue is emptied in every round
+    waiting = saved(starts.select("seed", "url", F.lit(0).alias("depth")).distinct())
+    visited, recent, round_ = saved(waiting.limit(0)), [], 0
+    while True:
+        taken = waiting if at_once else saved(_first_of_queues(waiting, visited, sites, per_round))
+        if taken.isEmpty():
+            return visited
+        visited, recent, round_ = visited.unionByName(taken), [*recent, taken], round_ + 1
+        if at_once and max_depth is not None and round_ > max_depth:
+            return visited
+        if len(recent) == 8:
+            visited = saved(visited)
+            discard(*recent[:-1])
+            recent = recent[-1:]
+        reached = taken if max_depth is None else taken.where(F.col("depth") < max_depth)
+        reached = reached.join(edges, F.col("url") == F.col("src")).groupBy("seed", F.col("dst").alias("url")).agg((F.min("depth") + 1).alias("depth"))
         if focused:
             reached = reached.where(~U.is_junk_page(F.col("url")))
-        new = reached.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
-        if max_pages is not None:
-            legal = F.when(U.is_legal_priority_page(F.col("url")), 0).otherwise(1)
-            new = new.orderBy(legal, U.page_priority(F.col("url")), "url").limit(max(0, max_pages - total))
-        frontier = saved(new)
-        found = frontier.count()
-        if not found:
-            break
-        total += found
-        visited = saved(visited.unionByName(frontier)) if depth % 5 == 0 else visited.unionByName(frontier)
-    return visited
-
-
-def crawl_documents(visited: DataFrame, edges: DataFrame) -> DataFrame:
-    """(url, source_page, text, method): the documents that visited pages (url, depth) link to, as first found.
-
-    First is the page of the least depth, then of the smallest URL.
+        if same_site:
+            kept = reached.join(sites.select("seed", "hosts"), "seed")
+            reached = kept.where(F.exists("hosts", lambda h: U.is_same_site(U.host_of(F.col("url")), h))).drop("hosts")
+        new = reached.join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
+        if not at_once:
+            rest = waiting.join(taken, ["seed", "url"], "left_anti")
+            new = rest.unionByName(new.join(rest.select("seed", "url"), ["seed", "url"], "left_anti"))
+        old, waiting = waiting, saved(new)
+        if not at_once:
+            discard(old)
+
+
+def _first_of_queues(waiting: DataFrame, visited: DataFrame, sites: DataFrame, per_round: int | None) -> DataFrame:
+    """The next pages of every seed's queue: ``per_round`` of them, or as many as its budget has left."""
+    spent = visited.groupBy("seed").agg(F.count("*").alias("_n"))
+    left = sites.join(spent, "seed", "left").select("seed", (F.col("budget") - F.coalesce("_n", F.lit(0))).alias("left")).where("left is null or left > 0")
+    left = saved(left.join(waiting.select("seed").distinct(), "seed", "left_semi"))
+    most = left.agg(F.max("left").alias("n"), F.count_if(F.col("left").isNull()).alias("free")).first()
+    bound = per_round if most["free"] else min(x for x in (per_round, most["n"] or 0) if x is not None)
+    order = F.when(U.is_legal_priority_page(F.col("url")), 0).otherwise(1), U.page_priority(F.col("url")), F.col("url")
+    ranked = waiting.withColumn("_place", F.row_number().over(Window.partitionBy("seed").orderBy(*order)))
+    # the bound of all seeds cuts each part of a queue before it is dealt to its seed
+    ranked = ranked if bound is None else ranked.where(F.col("_place") <= bound)
+    return ranked.join(left, "seed").where(F.col("left").isNull() | (F.col("_place") <= F.col("left"))).select("seed", "url", "depth")
+
+
+def crawl_documents(visited: DataFrame, edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """(seed, url, source_page, text, method): the documents that visited pages (seed, url, depth) link to, as first found by each seed.
+
+    First is the page of the least depth, then of the smallest URL. With ``seeds`` (seed, url) documents off the seed's
+    site are left out.
     """
-    links = edges.where("kind = 'document'").select("src", "dst", "method", "text").join(visited.select(F.col("url").alias("page"), "depth"), F.col("src") == F.col("page"))
-    first = links.groupBy("dst").agg(F.min_by(F.struct("src", "text", "method"), F.struct("depth", "src")).alias("f"))
-    return first.select(F.col("dst").alias("url"), F.col("f.src").alias("source_page"), "f.text", "f.method")
+    pages = visited.select("seed", F.col("url").alias("page"), "depth")
+    links = edges.where("kind = 'document'").select("src", "dst", "method", "text").join(pages, F.col("src") == F.col("page"))
+    if seeds is not None:
+        hosts = seeds.groupBy("seed").agg(F.collect_set(U.host_of(F.col("url"))).alias("_hosts"))
+        links = links.join(hosts, "seed").where(F.exists("_hosts", lambda h: U.is_same_site(U.host_of(F.col("dst")), h)))
+    first = links.groupBy("seed", "dst").agg(F.min_by(F.struct("src", "text", "method"), F.struct("depth", "src")).alias("f"))
+    return first.select("seed", F.col("dst").alias("url"), F.col("f.src").alias("source_page"), "f.text", "f.method")
 
 
 def frontier_order(urls: DataFrame, focused: bool = False) -> DataFrame:
@@ -79,8 +125,7 @@ def frontier_order(urls: DataFrame, focused: bool = False) -> DataFrame:
     ``place`` counts within a queue. The whole frontier is numbered by ranges and each queue's start is taken off, so no
     queue is one task's.
     """
-    queue = F.when(U.is_legal_priority_page(F.col("url")), 0).when(U.is_junk_page(F.col("url")), 2).otherwise(1)
-    rows = urls.select("k", "url", queue.alias("queue"), U.page_priority(F.col("url")).alias("priority"))
+    rows = urls.select("k", "url", queue_of(F.col("url")).alias("queue"), U.page_priority(F.col("url")).alias("priority"))
     rows = numbered(rows.where("queue < 2") if focused else rows, "_at", F.col("queue"), F.col("priority"), F.col("url"), F.col("k"))
     starts = rows.groupBy("queue").agg(F.min("_at").alias("_start"))
     return rows.join(F.broadcast(starts), "queue").withColumn("place", (F.col("_at") - F.col("_start") + 1).cast("int")).select("k", "url", "queue", "priority", "place")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import previous
 from .storage import numbered
 
 
@@ -38,25 +39,6 @@ def relative_cutoff(scored: DataFrame, group: str, k: int, share: float = 0.35,
     return top.withColumn("_floor", floor).where(F.col("score") >= F.col("_floor")).drop("_floor")
 
 
-def empty_streaks(visits: DataFrame, source: str, order: str, links: str, least: int = 8) -> DataFrame:
-    """Runs of ``least`` or more visits in a row without links: (source, first, last, n)."""
-    window = Window.partitionBy(source).orderBy(order)
-    island = F.sum((F.col(links) > 0).cast("int")).over(window)
-    runs = visits.withColumn("_island", island).where(F.col(links) == 0)
-    return runs.groupBy(source, "_island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("_island")
-
-
-def failed_runs(visits: DataFrame, source: str, order: str, error: str, documents: str, errors: int = 20, pages: int = 12) -> DataFrame:
-    """(source, at): where a crawl gives up: the first visit by ``order`` that ends ``errors`` errors in a row while no
-    document was found (``documents``: found by the visit) and ``pages`` pages were visited.
-    """
-    so_far = Window.partitionBy(source).orderBy(order)
-    bad = F.col(error).cast("int")
-    marked = visits.withColumn("_island", F.sum(1 - bad).over(so_far)).withColumn("_found", F.sum(documents).over(so_far)).withColumn("_seen", F.row_number().over(so_far))
-    marked = marked.withColumn("_run", F.sum(bad).over(Window.partitionBy(source, "_island").orderBy(order)))
-    return marked.where((F.col("_run") >= errors) & (F.col("_found") == 0) & (F.col("_seen") >= pages)).groupBy(source).agg(F.min(order).alias("at"))
-
-
 def disambiguate(rows: DataFrame, name: str, order: str, mark: Column) -> DataFrame:
     """Names made unique: all but the first row of a name get ``_`` and ``mark`` before the extension."""
     key = F.lower(F.col(name))
@@ -213,13 +195,6 @@ def latest_of(rows: DataFrame, key: str, stamp: str, *columns: str, tie: str = "
     return rows.groupBy(key).agg(F.max(stamp).alias(stamp), last).select(key, stamp, *[F.col(f"_l.{c}").alias(c) for c in columns])
 
 
-def page_changes(runs: DataFrame) -> DataFrame:
-    """(source, k, content_hash): successful runs without items whose page differs from the source's successful run before."""
-    before = F.lag("content_hash").over(Window.partitionBy("source").orderBy("k"))
-    ok = runs.where("http_status > 0 and http_status < 400").select("source", "k", "content_hash", "item_count", before.alias("_before"))
-    return ok.where("item_count = 0 and _before <> content_hash").select("source", "k", "content_hash")
-
-
 def new_items(items: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:
     """Items whose keys are not among the seen ones."""
     return items.join(seen.select(*keys).distinct(), list(keys), "left_anti")
@@ -231,31 +206,41 @@ def resume(candidates: DataFrame, done: DataFrame) -> DataFrame:
     return left.join(done.select("sha256").where("sha256 <> ''").distinct(), "sha256", "left_anti")
 
 
-def merge_manifest(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Downloaded rows of both: a known URL takes the new jurisdiction and kind, a new URL is added."""
-    new = new.where(F.col("status").isin("downloaded", "scanned_pdf")).select("url", F.col("jurisdiction").alias("nj"), F.col("source_kind").alias("nk"))
-    joined = existing.join(new, "url", "full")
-    return joined.select("url", F.coalesce("nj", "jurisdiction").alias("jurisdiction"), F.coalesce("nk", "source_kind").alias("source_kind"), F.when(F.col("nj").isNull(), "kept").when(F.col("jurisdiction").isNull(), "added").otherwise("relabelled").alias("change"))
+def merge_manifest(existing: DataFrame, new: DataFrame, order: str = "at") -> DataFrame:
+    """Downloaded rows of both, one a URL: a known URL takes the new jurisdiction and kind, a new URL is added.
+
+    Of several new rows of a URL the last by ``order`` counts, of several existing ones the first. Rows without URL go.
+    """
+    new = new.where(F.col("status").isin("downloaded", "scanned_pdf") & (F.coalesce("url", F.lit("")) != ""))
+    last = new.groupBy("url").agg(F.max_by(F.struct("jurisdiction", "source_kind"), order).alias("n"))
+    first = existing.where("url <> ''").groupBy("url").agg(F.min_by(F.struct("jurisdiction", "source_kind"), order).alias("e"))
+    change = F.when(F.col("n").isNull(), "kept").when(F.col("e").isNull(), "added").otherwise("relabelled")
+    pick = lambda c: F.when(F.col("n").isNull(), F.col(f"e.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
+    return first.join(last, "url", "full").select("url", pick("jurisdiction"), pick("source_kind"), change.alias("change"))
 
 
-def merge_artifacts_into(existing: DataFrame, new: DataFrame, prefix: str) -> DataFrame:
-    """Rows (url, jurisdiction, source_kind, change) of a manifest after an artifact's rows (.., dry_run) are merged in.
+def merge_artifacts_into(existing: DataFrame, new: DataFrame, prefix: str, order: str = "at") -> DataFrame:
+    """Rows (url, jurisdiction, source_kind, change) of a manifest after an artifact's rows (.., dry_run) are merged in by ``order``.
 
-    Dry runs and rows without URL are left out, of rows of one URL the first by jurisdiction counts. A new URL is added; a
-    known one takes the new jurisdiction only where that starts with ``prefix`` and differs, and then the new kind, else
-    its own, else 'ministry'.
+    Dry runs and rows without URL are left out. A new URL is added with its first row. After that, a row whose jurisdiction
+    starts with ``prefix`` and differs from what the URL then has gives it that jurisdiction, and its kind if it has one,
+    else the URL keeps its own, else 'ministry': so the last such jurisdiction stands, with the last kind that came with a change.
     """
-    new = new.where(~F.coalesce("dry_run", F.lit(False)) & (F.coalesce("url", F.lit("")) != ""))
-    new = new.groupBy("url").agg(F.min(F.struct("jurisdiction", "source_kind")).alias("n"))
-    joined = existing.select("url", "jurisdiction", "source_kind", F.lit(True).alias("_old")).join(new, "url", "full")
-    label = F.coalesce("n.jurisdiction", F.lit(""))
-    added = F.col("_old").isNull()
-    better = ~added & label.startswith(prefix) & (label != F.coalesce("jurisdiction", F.lit("")))
-    kind = F.coalesce(F.nullif("n.source_kind", F.lit("")), F.nullif("source_kind", F.lit("")), F.lit("ministry"))
-    return joined.select(
-        "url", F.when(added | better, F.col("n.jurisdiction")).otherwise(F.col("jurisdiction")).alias("jurisdiction"),
-        F.when(added, F.col("n.source_kind")).when(better, kind).otherwise(F.col("source_kind")).alias("source_kind"),
-        F.when(added, "added").when(better, "relabelled").otherwise("kept").alias("change"),
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    pair = F.struct("jurisdiction", "source_kind")
+    new = new.where(~F.coalesce("dry_run", F.lit(False)) & (text("url") != ""))
+    old = existing.where(text("url") != "").groupBy("url").agg(F.min_by(pair, order).alias("o"))
+    start = old.join(new.groupBy("url").agg(F.min_by(pair, order).alias("f")), "url", "full")
+    start = start.select("url", F.coalesce("o", "f").alias("s"), F.col("o").isNull().alias("added"))
+    # what each URL starts with stands before its labelled rows, as null sorts first
+    labelled = new.where(text("jurisdiction").startswith(prefix)).select("url", order, "jurisdiction", "source_kind")
+    turns = labelled.unionByName(start.select("url", F.lit(None).cast(dict(new.dtypes)[order]).alias(order), "s.jurisdiction", F.lit(None).cast("string").alias("source_kind")))
+    steps = previous(turns, "url", order, "jurisdiction").where(F.col(order).isNotNull() & (F.col("jurisdiction") != F.coalesce("_before.value", F.lit(""))))
+    last = steps.groupBy("url").agg(F.max_by("jurisdiction", order).alias("j"), F.max_by("source_kind", F.when(text("source_kind") != "", F.col(order))).alias("k"))
+    kind = F.coalesce("k", F.nullif("s.source_kind", F.lit("")), F.lit("ministry"))
+    change = F.when(F.col("added"), "added").when(F.col("j").isNotNull(), "relabelled").otherwise("kept")
+    return start.join(last, "url", "left").select(
+        "url", F.coalesce("j", "s.jurisdiction").alias("jurisdiction"), F.when(F.col("j").isNull(), F.col("s.source_kind")).otherwise(kind).alias("source_kind"), change.alias("change"),
     )
 
 
@@ -268,17 +253,34 @@ def relabel_by_host(docs: DataFrame, owners: DataFrame) -> DataFrame:
     return docs.join(best, "host", "left").select("k", "host", F.coalesce("label", "jurisdiction").alias("jurisdiction"), F.coalesce(F.col("label") != F.col("jurisdiction"), F.lit(False)).alias("changed"))
 
 
-def authority_documents(owners: DataFrame, docs: DataFrame, most: int = 12) -> DataFrame:
-    """(code, n, first ids): the documents of each owner (code, name, host), by its name or below its host."""
+def authority_documents(owners: DataFrame, docs: DataFrame, country: str, most: int = 12) -> DataFrame:
+    """(code, n, first_ids): the documents (k, host, jurisdiction) of each owner (code, host): all are counted, the first listed.
+
+    A document is an owner's if its label, in lower case, is the code, ends with `` - code`` or is ``country`` - code, alone or with
+    a blank and more after it; or if its host is the owner's or below it. Labels meet codes as keys: each label gives the few
+    codes that it may name. Owners without documents have n 0.
+    """
     from ..functions.urls import host_suffixes
 
-    by_name = owners.join(docs, owners["name"] == docs["jurisdiction"]).select("code", "k")
-    tails = docs.select("k", F.explode(host_suffixes(F.col("host"), 1)).alias("suffix"))
-    by_host = owners.join(tails, owners["host"] == tails["suffix"]).select("code", "k")
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    label, lead = low("jurisdiction"), f"{country.lower()} - "
+    rest = F.substring(label, len(lead) + 1, 1 << 30)
+    # after the country every beginning that a blank ends, as a code may hold blanks; after any dash what follows it
+    words, tails = F.split(rest, " "), F.split(label, " - ")
+    leading = F.when(label.startswith(lead), F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, 1, i), " ")))
+    ending = F.transform(F.sequence(F.lit(1), F.size(tails)), lambda i: F.array_join(F.slice(tails, i, F.size(tails)), " - "))
+    named = F.array_distinct(F.concat(F.coalesce(leading, F.array().cast("array<string>")), ending))
+    by_label = docs.groupBy("jurisdiction").agg(F.count("*")).select(F.col("jurisdiction").alias("_label"), F.explode(named).alias("_code"))
+    keyed = owners.select("code", low("code").alias("_own"), "host").where("code is not null")
+    labels = by_label.join(keyed, F.col("_code") == F.col("_own")).select("_label", "code").distinct()
+    by_name = docs.join(labels, F.col("jurisdiction").eqNullSafe(F.col("_label"))).select("code", "k")
+    suffixes = docs.select("k", F.explode(host_suffixes(F.col("host"), 1)).alias("suffix"))
+    by_host = keyed.where("host <> ''").join(suffixes, F.col("host") == F.col("suffix")).select("code", "k")
     pairs = by_name.unionByName(by_host).distinct()
     counts = pairs.groupBy("code").agg(F.count("*").alias("n"))
     first = keep_top(pairs, ["code"], most, F.col("k")).groupBy("code").agg(F.array_join(F.sort_array(F.collect_list("k")), ",").alias("first_ids"))
-    return counts.join(first, "code")
+    found = owners.select("code").distinct().join(counts, "code", "left").join(first, "code", "left")
+    return found.select("code", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first_ids", F.lit("")).alias("first_ids"))
 
 
 def catalog_with_summaries(catalog: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -340,11 +340,15 @@ def _(spark, sf):
     return d.select("k", C.filters_regulatory(F.col("kind"), F.col("k") % 2 == 0).alias("regulatory_only"))
 
 
-@register("s13_upsert", "select coalesce(t.k, u.k) as k, coalesce(u.status, t.status) as status, coalesce(u.title, t.title) as title from (select k, status, title from downloads where k % 2 = 0) t full join (select k, case when k % 3 = 0 then 'done' end as status, 'New ' || k as title from downloads where k % 5 = 0) u on t.k = u.k", "downloads")
+# every tenth key is updated twice; the second update has no title
+@register("s13_upsert", """with u as (select k, 1 as seq, case when k % 3 = 0 then 'done' end as status, 'New ' || k as title from downloads where k % 5 = 0 union all select k, 2, case when k % 20 = 0 then 'again' end, null from downloads where k % 10 = 0),
+  l as (select k, arg_max(status, seq) filter (status is not null) as status, arg_max(title, seq) filter (title is not null) as title from u group by k)
+  select coalesce(t.k, l.k) as k, coalesce(l.status, t.status) as status, coalesce(l.title, t.title) as title from (select k, status, title from downloads where k % 2 = 0) t full join l on t.k = l.k""", "downloads")
 def _(spark, sf):
     d = load(spark, sf, "downloads")
-    new = d.where("k % 5 = 0").select("k", F.expr("case when k % 3 = 0 then 'done' end").alias("status"), F.concat(F.lit("New "), F.col("k").cast("string")).alias("title"))
-    return K.upsert(d.where("k % 2 = 0").select("k", "status", "title"), new, "k")
+    new = d.where("k % 5 = 0").select("k", F.lit(1).alias("seq"), F.expr("case when k % 3 = 0 then 'done' end").alias("status"), F.concat(F.lit("New "), F.col("k").cast("string")).alias("title"))
+    more = d.where("k % 10 = 0").select("k", F.lit(2).alias("seq"), F.expr("case when k % 20 = 0 then 'again' end").alias("status"), F.lit(None).cast("string").alias("title"))
+    return K.upsert(d.where("k % 2 = 0").select("k", "status", "title"), new.unionByName(more), "k", "seq")
 
 _hint = "split_part('Bank of ~the Tax Agency FRANCE desk~Ministry GERMANY~xyz office~ab~data office', '~', cast(k % 6 as int) + 1)"
 

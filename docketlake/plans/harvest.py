@@ -384,22 +384,52 @@ def _(spark, sf):
     return G.link_edges(_rich(spark, sf))
 
 
-# five trees: the page of a customer leads to two others by the orders that were placed
-_page = "'https://s.example.org/' || (o_custkey % 5) || '/laws/' || "
-ORDER_EDGES = f"select distinct {_page} cast(floor(o_custkey / 5) as int) as src, {_page} (2 * cast(floor(o_custkey / 5) as int) + 1 + o_orderkey % 2) as dst from orders"
-_seeds = ("https://s.example.org/1/laws/0", "https://s.example.org/2/laws/0")
+# trees: the page of a customer leads to two others by the orders that were placed, and to the next site's first page
+_home = lambda n: f"'https://s' || (({n}) % 5) || '.example.org/'"
+_page = lambda i: f"{_home('o_custkey')} || case ({i}) % 3 when 0 then 'laws/' when 1 then 'news/' else 'x/' end || ({i})"
+_at = "cast(floor(o_custkey / 5) as int)"
+ORDER_EDGES = f"""select distinct {_page(_at)} as src, {_page(f'2 * {_at} + 1 + cast(o_orderkey % 2 as int)')} as dst from orders
+  union select distinct {_page(_at)}, {_home('o_custkey + 1')} || 'laws/0' from orders"""
+# a seed for every page of the first three levels
+ORDER_SEEDS = f"select distinct {_page(_at)} as seed, {_page(_at)} as url, o_custkey % 7 + 2 as max_pages from orders where o_custkey < 35"
+_seed_site = lambda c: f"split_part({c}, '/', 3)"
 
 
-@register("g2_crawl_closure", f"with recursive e as ({ORDER_EDGES}), c as (select '{_seeds[0]}' as url union select '{_seeds[1]}' union select dst from e join c on e.src = c.url) select url from c")
+@register("g2_crawl_closure", f"with recursive e as ({ORDER_EDGES}), c as (select seed, url from ({ORDER_SEEDS}) union select seed, dst from e join c on e.src = c.url where {_seed_site('dst')} = {_seed_site('seed')}) select seed, url from c")
 def _(spark, sf):
     load(spark, sf, "orders").createOrReplaceTempView("orders")
-    return G.crawl_closure(spark.sql(ORDER_EDGES), spark.createDataFrame([(u,) for u in _seeds], "url string")).select("url")
+    return G.crawl(spark.sql(ORDER_EDGES), spark.sql(ORDER_SEEDS).drop("max_pages")).select("seed", "url")
 
 
-@register("g2_crawl_documents", f"with {EDGES}, v as (select distinct url, 0 as depth from pages), d as (select dst, src, text, method, row_number() over (partition by dst order by depth, src) as r from edges join v on v.url = src where kind = 'document') select dst as url, src as source_page, text, method from d where r = 1")
+_queue = lambda u: f"case when {X.matches(X.path(u), U.LEGAL_PATH)} or {X.matches(u, U.LEGAL_PATH)} then 0 else 1 end, case when regexp_matches(lower({u}), '{U.FIRST_PAGES}') then 0 when regexp_matches(lower({u}), '{U.SECOND_PAGES}') then 1 else 2 end, {u}"
+
+
+def _budget_sql(rounds: int) -> str:
+    """The rounds of a crawl with budgets and two pages a round, spelled out: w waits, v was visited."""
+    ctes = [f"e as materialized ({ORDER_EDGES})", f"s as materialized ({ORDER_SEEDS})", "w0 as (select seed, url, 0 as depth from s)", "v0 as (select seed, url, depth from w0 where false)"]
+    for i in range(rounds):
+        ctes += [
+            f"""t{i} as materialized (select seed, url, depth from (select w.*, row_number() over (partition by w.seed order by {_queue('w.url')}) as r, max_pages - (select count(*) from v{i} where v{i}.seed = w.seed) as budget from w{i} w join s on s.seed = w.seed) where r <= least(2, budget))""",
+            f"v{i + 1} as materialized (select * from v{i} union all select * from t{i})",
+            f"""w{i + 1} as materialized (select * from w{i} where (seed, url) not in (select (seed, url) from t{i}) union all
+  select seed, dst, min(depth) + 1 from t{i} join e on src = url where {_seed_site('dst')} = {_seed_site('seed')} and (seed, dst) not in (select (seed, url) from v{i + 1}) and (seed, dst) not in (select (seed, url) from w{i}) group by seed, dst)""",
+        ]
+    return f"with {', '.join(ctes)} select * from v{rounds}"
+
+
+# budgets of two to eight pages a seed are spent in eight rounds at most
+@register("g2_crawl_budgets", _budget_sql(8))
+def _(spark, sf):
+    load(spark, sf, "orders").createOrReplaceTempView("orders")
+    return G.crawl(spark.sql(ORDER_EDGES), spark.sql(ORDER_SEEDS), per_round=2)
+
+
+@register("g2_crawl_documents", f"with {EDGES}, v as (select distinct url as seed, url, 0 as depth from pages), d as (select seed, dst, src, text, method, row_number() over (partition by seed, dst order by depth, src) as r from edges join v on v.url = src where kind = 'document' and ({X.host('dst')} = {X.host('seed')} or ends_with({X.host('dst')}, '.' || {X.host('seed')}) or ends_with({X.host('seed')}, '.' || {X.host('dst')}))) select seed, dst as url, src as source_page, text, method from d where r = 1")
 def _(spark, sf):
+    """Every page is the seed of a crawl of its own."""
     edges = saved(G.link_edges(_rich(spark, sf)))
-    return G.crawl_documents(G.crawl_closure(edges, load(spark, sf, "pages").select("url"), max_depth=0), edges)
+    seeds = load(spark, sf, "pages").select(F.col("url").alias("seed"), "url")
+    return G.crawl_documents(G.crawl(edges, seeds, max_depth=0), edges, seeds)
 
 
 @register("g3_frontier_order", f"select *, row_number() over (partition by queue order by priority, url, k) as place from (select k, url, case when {X.matches(X.path('url'), U.LEGAL_PATH)} or {X.matches('url', U.LEGAL_PATH)} then 0 when {X.matches(X.path('url'), U.JUNK_PATH)} then 2 else 1 end as queue, case when regexp_matches(lower(url), '{U.FIRST_PAGES}') then 0 when regexp_matches(lower(url), '{U.SECOND_PAGES}') then 1 else 2 end as priority from downloads)", "downloads")
@@ -465,7 +495,7 @@ def _(spark, sf):
     return one("downloads", "url").unionByName(one("errors", "url")).unionByName(one("discovered", "url")).unionByName(one("source_reports", "source_kind"))
 
 
-@register("s5_records_from_sheet", "select cast(k as varchar) as Key, nullif(trim(title), '') as Title, cast(bytes as varchar) as Title_1, cast(2000 + k % 30 as varchar) || '-01-05' as \"Publication date\", nullif(trim(jurisdiction), '') as col_4 from downloads where k % 17 > 0", "downloads")
+@register("s5_records_from_sheet", "select cast(k as varchar) as Key, nullif(trim(title), '') as Title, cast(bytes as varchar) as Title_2, cast(2000 + k % 30 as varchar) || '-01-05' as \"Publication date\", nullif(trim(jurisdiction), '') as col_5 from downloads where k % 17 > 0", "downloads")
 def _(spark, sf):
     """A grid with a header in its second row: a name with a line end, one twice, one blank; blank rows; numbers, dates with times."""
     some = lambda c: F.when(F.col("k") % 17 > 0, c)

@@ -68,13 +68,15 @@ def read_source_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records_from_sheet(grid: DataFrame, header_row: int = 0, order: str = "row") -> DataFrame:
-    """Records of a raw grid (row, c0, c1, ...): names from ``header_row``, unique; blank rows dropped, values trimmed, whole numbers without '.0', dates in ISO form (without a time of midnight)."""
+    """Records of a raw grid (row, c0, c1, ...): names from ``header_row`` (a blank one is col_ and its place, from 1; a repeated one has _2, _3, ... after it); blank rows dropped, values trimmed, whole numbers without '.0', dates in ISO form (without a time of midnight)."""
     cells = [c for c in grid.columns if c != order]
     head = grid.where(F.col(order) == header_row).first()
     names: list[str] = []
+    times: dict[str, int] = {}
     for i, c in enumerate(cells):
-        base = " ".join(str((head[c] if head else None) or "").split()) or f"col_{i}"
-        names.append(base if base not in names else f"{base}_{sum(n == base or n.startswith(base + '_') for n in names)}")
+        base = " ".join(str((head[c] if head else None) or "").split()) or f"col_{i + 1}"
+        times[base] = times.get(base, 0) + 1
+        names.append(base if times[base] == 1 else f"{base}_{times[base]}")
     whole = lambda t: F.regexp_replace(t, r"^(-?\d+)\.0$", "$1")
     iso = lambda t: F.regexp_replace(F.regexp_replace(t, r"^(\d{4}-\d\d-\d\d)[ T]00:00:00(?:\.0+)?$", "$1"), r"^(\d{4}-\d\d-\d\d) (\d\d:\d\d:\d\d)$", "$1T$2")
     value = lambda c: F.nullif(iso(whole(F.trim(F.col(c).cast("string")))), F.lit(""))

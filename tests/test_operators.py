@@ -1,6 +1,7 @@
 """Operators on small invented rows: what SQL over the driver tables does not reach."""
 
 import json
+import random
 
 import pytest
 from docketlake.functions import classify as C
@@ -10,6 +11,7 @@ from docketlake.operators import graph as G
 from docketlake.operators import harvest as H
 from docketlake.operators import rank as R
 from docketlake.operators import retrieval as Q
+from docketlake.operators import scan as W
 from docketlake.operators.storage import numbered
 from docketlake.sources import io as S
 from docketlake.streaming import jobs as J
@@ -69,19 +71,119 @@ def test_prefer_subset_and_todo(spark):
     assert K.prefer_subset(rows, F.col("j") == "z").count() == 2
 
 
-def test_closure_budget_and_focus(spark):
-    edges = spark.createDataFrame([("s", "https://h.example/news/1"), ("s", "https://h.example/laws/1"), ("s", "https://h.example/x"), ("https://h.example/x", "https://h.example/y"), ("https://h.example/y", "s")], "src string, dst string")
-    seeds = spark.createDataFrame([("s",)], "url string")
-    reach = lambda **k: {r.url: r.depth for r in G.crawl_closure(edges, seeds, **k).collect()}
-    assert reach() == {"s": 0, "https://h.example/news/1": 1, "https://h.example/laws/1": 1, "https://h.example/x": 1, "https://h.example/y": 2}
-    assert set(reach(max_pages=2)) == {"s", "https://h.example/laws/1"}
-    assert "https://h.example/news/1" not in reach(focused=True)
-    assert max(reach(max_depth=1).values()) == 1
+H1, H2 = "https://h.example", "https://o.example"
+LINKS = [(f"{H1}/s", f"{H1}/news/1"), (f"{H1}/s", f"{H1}/laws/1"), (f"{H1}/s", f"{H1}/x"), (f"{H1}/x", f"{H1}/y"), (f"{H1}/y", f"{H1}/s"), (f"{H1}/x", f"{H2}/a"), (f"{H2}/a", f"{H2}/b"), (f"{H2}/a", f"{H1}/x"), (f"{H2}/b", f"{H2}/laws/c")]
+
+
+def test_crawl_sites_depth_and_focus(spark):
+    edges = spark.createDataFrame(LINKS, "src string, dst string")
+    seeds = spark.createDataFrame([("one", f"{H1}/s"), ("two", f"{H2}/a")], "seed string, url string")
+    reach = lambda **k: {(r.seed, r.url.split("example")[1]): r.depth for r in G.crawl(edges, seeds, **k).collect()}
+    assert reach() == {("one", "/s"): 0, ("one", "/news/1"): 1, ("one", "/laws/1"): 1, ("one", "/x"): 1, ("one", "/y"): 2, ("two", "/a"): 0, ("two", "/b"): 1, ("two", "/laws/c"): 2}
+    assert ("one", "/a") in reach(same_site=False) and ("two", "/x") in reach(same_site=False)
+    assert ("one", "/news/1") not in reach(focused=True)
+    assert max(reach(max_depth=1).values()) == 1 and len(reach(max_depth=1)) == 6 and len(reach(max_depth=0)) == 2
+    assert set(reach(max_pages=2)) == {("one", "/s"), ("one", "/laws/1"), ("two", "/a"), ("two", "/b")}
+    assert reach(max_pages=1) == reach(max_depth=0) and reach(max_pages=0) == {}
+
+
+def crawled(links, seeds, per_round):
+    """The same crawl in plain loops."""
+    def rank(u):
+        return (not ("/laws/" in u), 0 if "news" in u else 1, u)
+
+    out = {}
+    for seed, (start, budget) in seeds.items():
+        queue, seen, host = {start: 0}, {}, start.split("/")[2]
+        while queue:
+            ranked = sorted(queue, key=rank)[: per_round or len(queue)]
+            now = ranked[: len(ranked) if budget is None else max(0, budget - len(seen))]
+            if not now:
+                break
+            found = {}
+            for u in now:
+                seen[u] = queue.pop(u)
+            for a, b in links:
+                if a in now and b.split("/")[2] == host and b not in seen and b not in queue:
+                    found[b] = min(found.get(b, 1 << 30), seen[a] + 1)
+            queue |= found
+        out |= {(seed, u): d for u, d in seen.items()}
+    return out
+
+
+@pytest.mark.parametrize("per_round", (None, 1, 3))
+def test_budgets_hold_for_every_seed(spark, per_round):
+    page = lambda i: f"https://s{i % 3}.example/{('laws', 'news', 'z')[i // 3 % 3]}/{i}"
+    links = sorted({(page(i), page((i * k + k) % 90)) for i in range(90) for k in (2, 3, 4, 7)})
+    seeds = {f"seed{i}": (page(i), None if i % 5 == 0 else i % 7) for i in range(0, 30, 2)}
+    table = spark.createDataFrame([(s, u, b) for s, (u, b) in seeds.items()], "seed string, url string, max_pages int")
+    got = {(r.seed, r.url): r.depth for r in G.crawl(spark.createDataFrame(links, "src string, dst string"), table, per_round=per_round).collect()}
+    assert got == crawled(links, seeds, per_round)
+    assert max(b for _, b in seeds.values() if b) >= max(sum(k[0] == s for k in got) for s, (_, b) in seeds.items() if b is not None)
+
+
+def test_snapshots_of_one_id_keep_their_links(spark):
+    pages = [(1, "https://a.example/p", '<a href="/one">One</a>'), (1, "https://b.example/p", '<a href="/two">Two</a>')]
+    edges = G.link_edges(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {(r.src, r.dst) for r in edges} == {("https://a.example/p", "https://a.example/one"), ("https://b.example/p", "https://b.example/two")}
+
+
+def test_scans_over_ranges_of_three_rows(spark):
+    """One source with most rows, in many ranges, equals plain loops."""
+    rng = random.Random(6)
+    rows = [(("hot", "a", None)[0 if rng.random() < 0.8 else i % 3], i, rng.choice((0, 0, 0, 2)), rng.random() < 0.7, int(i > 60 and rng.random() < 0.1), rng.choice("xy"), rng.choice((200, 200, 500))) for i in range(120)]
+    table = spark.createDataFrame(rows, "source string, k long, links int, bad boolean, found int, content_hash string, http_status int").withColumn("item_count", F.col("links"))
+    streaks, stops, changes = [], [], []
+    for source in ("hot", "a", None):
+        own = [r for r in rows if r[0] == source]
+        run, fails, seen, found, before, stopped = [], 0, 0, 0, None, False
+        for _, k, links, bad, doc, page, status in own:
+            if links:
+                run = []
+            else:
+                run.append(k)
+                if len(run) >= 3:
+                    streaks = [s for s in streaks if s[:2] != (source, run[0])] + [(source, run[0], k, len(run))]
+            fails, seen, found = (fails + 1) * bad, seen + 1, found + doc
+            if fails >= 4 and not found and seen >= 6 and not stopped:
+                stops, stopped = [*stops, (source, k)], True
+            if status < 400:
+                if links == 0 and before not in (None, page):
+                    changes.append((source, k, page))
+                before = page
+    order = lambda rows: sorted(map(str, rows))
+    for parts in (1, 40, 120):
+        assert order(tuple(r) for r in W.empty_streaks(table, "source", "k", "links", 3, parts).collect()) == order(streaks)
+        assert order(tuple(r) for r in W.failed_runs(table, "source", "k", "bad", "found", 4, 6, parts).collect()) == order(stops)
+        assert order(tuple(r) for r in W.page_changes(table, parts).collect()) == order(changes)
+    assert len(streaks) > 5 and stops and len(changes) > 5
+    assert W.ranges(table, "source", "k", 40).where("source = 'hot'").select("_part").distinct().count() > 25
+
+
+def test_updates_of_one_key_merge_in_turn(spark):
+    old = spark.createDataFrame([(1, "a", "b"), (2, "c", None)], "k int, x string, y string")
+    new = spark.createDataFrame([(1, 1, "n1", None), (1, 2, None, "n2"), (1, 3, "n3", None), (3, 1, None, "z")], "k int, seq int, x string, y string")
+    once = K.upsert(old, new, "k", "seq")
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, K.upsert(once, new, "k", "seq").collect())) == [(1, "n3", "n2"), (2, "c", None), (3, None, "z")]
+
+
+def test_artifacts_merge_row_by_row(spark):
+    old = spark.createDataFrame([("u1", "Other", "site", 1), ("u2", "P - a", "", 2), ("u4", None, None, 4)], "url string, jurisdiction string, source_kind string, at long")
+    new = [("u1", "P - b", "", 1, False), ("u1", "Q", "q", 2, False), ("u1", "P - b", "k3", 3, False), ("u1", "P - c", "k4", 4, False), ("u2", "P - a", "same", 5, None), ("u3", "first", "f", 6, False), ("u3", "P - z", "", 7, False), ("u3", "P - y", "dry", 8, True), ("u4", "P - d", "", 9, False), ("", "P - e", "x", 10, False)]
+    out = R.merge_artifacts_into(old, spark.createDataFrame(new, "url string, jurisdiction string, source_kind string, at long, dry_run boolean"), "P - ")
+    assert sorted(map(tuple, out.collect())) == [("u1", "P - c", "k4", "relabelled"), ("u2", "P - a", "", "kept"), ("u3", "P - z", "f", "added"), ("u4", "P - d", "ministry", "relabelled")]
+
+
+def test_labels_name_authorities_in_four_forms(spark):
+    docs = [(1, "", "Saudi Arabia - MC"), (2, "", "saudi arabia - mc and more"), (3, "", "MC"), (4, "", "Desk - A - mc"), (5, "", "Saudi Arabia - MCx"), (6, "x.mc.example", None), (7, "", "xMC"), (8, "", "Saudi Arabia - A b c"), (9, "mc.example", "MC")]
+    owners = spark.createDataFrame([("MC", "mc.example"), ("A b", ""), ("nobody", "no.example")], "code string, host string")
+    out = R.authority_documents(owners, spark.createDataFrame(docs, "k int, host string, jurisdiction string"), "Saudi Arabia", 4)
+    assert sorted(map(tuple, out.collect())) == [("A b", 1, "8"), ("MC", 6, "1,2,3,4"), ("nobody", 0, "")]
 
 
 def test_streaks_and_numbers(spark):
     visits = spark.createDataFrame([("a", i, 0 if 3 <= i < 13 else 1) for i in range(20)], "s string, i int, n int")
-    assert [tuple(r) for r in R.empty_streaks(visits, "s", "i", "n").collect()] == [("a", 3, 12, 10)]
+    assert [tuple(r) for r in W.empty_streaks(visits, "s", "i", "n").collect()] == [("a", 3, 12, 10)]
     out = numbered(spark.range(100).withColumn("k", -F.col("id")), "n", F.col("k")).collect()
     assert all(r.n == 100 - r.id for r in out)
 
@@ -122,8 +224,10 @@ def test_json_and_text_sources(spark, tmp_path):
 def test_sheets(spark):
     grid = spark.createDataFrame([(0, "Region", "URL", "Topic\n1", "Topic 2", ""), (1, " EU ", "https://a.example", "x", None, "3.0"), (2, None, " ", None, None, None)], "row int, c0 string, c1 string, c2 string, c3 string, c4 string")
     rows = S.records_from_sheet(grid)
-    assert rows.columns == ["row", "Region", "URL", "Topic 1", "Topic 2", "col_4"]
+    assert rows.columns == ["row", "Region", "URL", "Topic 1", "Topic 2", "col_5"]
     assert [tuple(r) for r in rows.collect()] == [(1, "EU", "https://a.example", "x", None, "3")]
+    twice = spark.createDataFrame([(0, "Title", "Title", "Title_x", "Title", "")], "row int, c0 string, c1 string, c2 string, c3 string, c4 string")
+    assert S.records_from_sheet(twice).columns == ["row", "Title", "Title_2", "Title_x", "Title_3", "col_5"]
     seeded = S.seed_sources(rows).first()
     assert (seeded.region, seeded.topics, seeded.status) == ("EU", ["x"], "active")
     assert S.seed_by_position(rows, ["region", "url"]).columns == ["region", "url"]
@@ -252,7 +356,10 @@ def test_answers_use_points_and_passages(spark):
 
 def test_crawl_documents_and_give_up(spark):
     edges = spark.createDataFrame([("b", "d.pdf", "document", "href", "late"), ("a", "d.pdf", "document", "href", "early"), ("a", "b", "same_site", "href", "")], "src string, dst string, kind string, method string, text string")
-    visited = spark.createDataFrame([("a", 0), ("b", 1)], "url string, depth int")
-    assert [tuple(r) for r in G.crawl_documents(visited, edges).collect()] == [("d.pdf", "a", "early", "href")]
+    visited = spark.createDataFrame([("s", "a", 0), ("s", "b", 1), ("t", "b", 0)], "seed string, url string, depth int")
+    assert sorted(map(tuple, G.crawl_documents(visited, edges).collect())) == [("s", "d.pdf", "a", "early", "href"), ("t", "d.pdf", "b", "late", "href")]
+    links = spark.createDataFrame([(f"{H1}/s", f"{H1}/d.pdf", "document", "href", ""), (f"{H1}/s", f"{H2}/e.pdf", "document", "href", "")], "src string, dst string, kind string, method string, text string")
+    seeds = spark.createDataFrame([("one", f"{H1}/s")], "seed string, url string")
+    assert [r.url for r in G.crawl_documents(seeds.withColumn("depth", F.lit(0)), links, seeds).collect()] == [f"{H1}/d.pdf"]
     visits = spark.createDataFrame([("s", i, i >= 3, 0) for i in range(40)] + [("t", i, i >= 3, int(i == 0)) for i in range(40)], "s string, i int, bad boolean, found int")
-    assert [tuple(r) for r in R.failed_runs(visits, "s", "i", "bad", "found").collect()] == [("s", 22)]
+    assert [tuple(r) for r in W.failed_runs(visits, "s", "i", "bad", "found").collect()] == [("s", 22)]
