@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .rank import keep_top, relative_cutoff, topic_terms
 from .storage import numbered, saved
@@ -20,7 +25,7 @@ LEGAL_WORDS = (
     "cyber", "data", "privacy", "insurance", "securities", "competition",
 )
 #: Runs of characters that tokens are made of; whatever contains a token contains it in one of these.
-RUN = r"[a-z0-9]+|[\x{0600}-\x{06FF}]+"
+_RUNS = re.compile("[a-z0-9]+|[\u0600-\u06FF]+")
 
 
 def tokens(text: Column) -> Column:
@@ -30,17 +35,93 @@ def tokens(text: Column) -> Column:
     return F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in STOP]))
 
 
-def _grams(text: Column, n: Column) -> Column:
-    """The distinct ``n``-character pieces of a text."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, n)))
-
-
-def _gram_size(word: Column) -> Column:
-    """Length of the pieces that tokens of a word's script are found by: that of the shortest token."""
-    return F.when(word.rlike("^[a-z0-9]"), 3).otherwise(2)
+class Questions:
+    """A block of questions as executors use it: its tokens, which question asks for which, and how questions begin.
 
+    Points a document gets for a token: 1 if it is one of its words, 4 if one of the title's; 2 if the jurisdiction
+    contains it, and, for tokens of four letters, 2 if the title and 1 if the summary does.
+    """
 
-def retrieve(questions: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
+    def __init__(self, qids: list, raws: list[str], asked: list[list[str]]) -> None:
+        self.qids = qids
+        self.place = {t: i for i, t in enumerate(sorted(set().union(*asked)))}
+        self.asks = np.zeros((len(self.place), len(qids)), np.float32)
+        for q, tokens in enumerate(asked):
+            self.asks[[self.place[t] for t in tokens], q] = 1
+        self.starts: dict[str, list[str]] = {}
+        for t in self.place:
+            self.starts.setdefault(t[: 3 if t.isascii() else 2], []).append(t)
+        self.long = np.array([len(t) >= 4 for t in self.place], np.float32)
+        self.heads: dict[str, list[tuple[str, int]]] = {}
+        for q, raw in enumerate(raws):
+            if len(raw) >= 6:
+                self.heads.setdefault(raw[:6], []).append((raw[:40], q))
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def inside(self, word: str) -> tuple[int, ...]:
+        """The tokens that a word contains, found by their first characters."""
+        n = 3 if word.isascii() else 2
+        if (found := self.known.get(word)) is None:
+            starts = self.starts
+            found = tuple({self.place[t] for i in range(len(word) - n + 1) if (own := starts.get(word[i : i + n])) for t in own if word.startswith(t, i)})
+            if len(self.known) > 300_000:
+                self.known.clear()
+            self.known[word] = found
+        return found
+
+    def points(self, title: str, place: str, summary: str) -> np.ndarray:
+        """A document's points for each token."""
+        held = [set(_RUNS.findall(x)) for x in (title, place, summary)]
+        row, once = np.zeros(len(self.place), np.float32), np.zeros(len(self.place), np.float32)
+        for words, weight, any_length in zip(held, (2, 2, 1), (False, True, False)):
+            contained = list(set().union(*map(self.inside, words)))
+            once[:] = 0
+            once[contained] = weight
+            row += once if any_length else once * self.long
+        index = self.place
+        row[[index[w] for w in held[0] | held[1] | held[2] if w in index]] += 1
+        row[[index[w] for w in held[0] if w in index]] += 4
+        return row
+
+    def headed(self, title: str) -> set[int]:
+        """Questions whose beginning the title contains."""
+        if not self.heads:
+            return set()
+        return {q for i in range(len(title) - 5) if (own := self.heads.get(title[i : i + 6])) for head, q in own if title.startswith(head, i)}
+
+
+class _Best:
+    """One task's best ``k`` documents of each question; ties by id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.least = k, np.ones(n, np.float32)
+        self.q, self.score, self.ids = np.zeros(0, np.int64), np.zeros(0, np.float32), []
+        self.waiting: list[tuple] = []
+
+    def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        self.waiting.append((q, score, ids))
+        if sum(len(x[0]) for x in self.waiting) > 50_000:
+            self.settle()
+
+    def settle(self) -> None:
+        """Keep the best, and what a question's next document must reach."""
+        if not self.waiting:
+            return
+        parts = [(self.q, self.score, self.ids), *self.waiting] if len(self.q) else self.waiting
+        q, score, ids = (np.concatenate(x) for x in zip(*parts))
+        by_id = np.empty(len(ids), np.int64)
+        by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        order = np.lexsort((by_id, -score, q))
+        q, score, ids = q[order], score[order], ids[order]
+        first = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        last = rank == self.k - 1
+        self.least[q[last]] = score[last]
+        kept = rank < self.k
+        self.q, self.score, self.ids, self.waiting = q[kept], score[kept], ids[kept], []
+
+
+def retrieve(questions: DataFrame, corpus: DataFrame, k: int = 8, block: int = 512, block_tokens: int = 16_384) -> DataFrame:
     """(qid, id, score, rank): the documents that answer each question best.
 
     questions (qid, question), corpus (id, title, jurisdiction, summary). A document scores a point for each token it
@@ -48,35 +129,62 @@ def retrieve(questions: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
     where the title and one where the summary contains them; six where the title contains the question's first forty
     characters (of six or more).
 
-    All scoring documents are found, those too that only contain a token inside a longer word: each different word of the
-    corpus is matched once with the tokens that it contains, by way of their first characters, and a document's points
-    for a token come from the words that it holds. Points are added up by question and document; texts never meet. An
-    empty question or corpus gives no rows; null texts are empty.
+    All scoring documents count, those too that only contain a token inside a longer word. Questions go out in blocks of
+    about ``block`` questions and ``block_tokens`` tokens; every block is one pass over the corpus. A task scores its
+    documents batch by batch, leaves out questions that no document of a batch can gain by (the best points of the batch for
+    each token bound its scores), and sends on its best ``k`` documents of each question, so no list of documents is joined
+    with a token, however common. An empty question or corpus gives no rows; null texts are empty.
     """
-    q = questions.select("qid", F.lower(F.trim(F.coalesce("question", F.lit("")))).alias("raw"), tokens(F.col("question")).alias("qt"))
-    terms = saved(q.select("qid", F.explode("qt").alias("t")))
-    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    docs = corpus.select("id", low("title").alias("title"), low("jurisdiction").alias("place"), low("summary").alias("summary"))
-    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(RUN), 0))
-    flags = ("in_title", "in_place", "in_summary")
-    held = [docs.select("id", F.explode(runs(c)).alias("w"), *[F.lit(f == own).alias(f) for f in flags]) for c, own in zip(("title", "place", "summary"), flags)]
-    words = saved(held[0].unionByName(held[1]).unionByName(held[2]))
-    wanted = terms.select("t").distinct().withColumn("g", F.substr("t", F.lit(1), _gram_size(F.col("t"))))
-    vocabulary = words.select("w").distinct().select("w", F.explode(_grams(F.col("w"), _gram_size(F.col("w")))).alias("g"))
-    matched = vocabulary.join(wanted, "g").where(F.contains("w", "t")).select(F.col("w").alias("word"), "t").distinct()
-    postings = words.join(matched, F.col("w") == F.col("word")).groupBy("id", "t").agg(
-        F.max(F.col("w") == F.col("t")).alias("shared"), F.max((F.col("w") == F.col("t")) & F.col("in_title")).alias("headed"),
-        F.max("in_place").alias("in_place"), F.max("in_title").alias("in_title"), F.max("in_summary").alias("in_summary"),
-    )
-    n = lambda test, points: F.when(test, points).otherwise(0)
-    long = F.length("t") >= 4
-    points = n(F.col("shared"), 1) + n(F.col("headed"), 4) + n(F.col("in_place"), 2) + n(long & F.col("in_title"), 2) + n(long & F.col("in_summary"), 1)
-    by_token = terms.join(postings.select("id", "t", points.alias("points")), "t").select("qid", "id", "points")
-    heads = q.where("length(raw) >= 6").select("qid", F.substring("raw", 1, 40).alias("head"), F.substring("raw", 1, 6).alias("g6"))
-    titles = docs.where("length(title) >= 6").select("id", "title", F.explode(_grams(F.col("title"), F.lit(6))).alias("g6"))
-    by_head = titles.join(heads, "g6").where(F.contains("title", "head")).select("qid", "id", F.lit(6).alias("points")).distinct()
-    scored = by_token.unionByName(by_head).groupBy("qid", "id").agg(F.sum("points").cast("int").alias("score")).where("score >= 1")
-    return relative_cutoff(scored, "qid", k, 0.35, 6, 1.0, F.col("id"))
+    q = saved(questions.select("qid", F.lower(F.trim(F.coalesce("question", F.lit("")))).alias("raw"), tokens(F.col("question")).alias("asked")))
+    size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("asked")), F.lit(0)).alias("t")).first()
+    blocks = max(1, -(-size["n"] // block), -(-size["t"] // block_tokens))
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c)
+    docs = corpus.select("id", low("title"), low("jurisdiction"), low("summary"))
+    kinds = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("id", docs.schema["id"].dataType), T.StructField("score", T.IntegerType())])
+    parts = []
+    for i in range(blocks):
+        own = q.where(F.pmod(F.xxhash64("qid", "raw"), F.lit(blocks)) == i).collect()
+        if own:
+            sent = q.sparkSession.sparkContext.broadcast(Questions([r["qid"] for r in own], [r["raw"] for r in own], [r["asked"] for r in own]))
+            parts.append(docs.mapInArrow(_scorer(sent, k, kinds["qid"].dataType), kinds))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], kinds).withColumn("rank", F.lit(0))
+    return relative_cutoff(reduce(DataFrame.unionByName, parts), "qid", k, 0.35, 6, 1.0, F.col("id"))
+
+
+def _scorer(sent, k: int, qid_type: T.DataType, rows: int = 256):
+    """The function that scores a task's documents for the questions ``sent``."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    qid_type = to_arrow_type(qid_type)
+
+    def run(batches):
+        block = sent.value
+        best = _Best(len(block.qids), k)
+        id_type = None
+        for whole in batches:
+            id_type = whole.column("id").type
+            for batch in (whole.slice(at, rows) for at in range(0, whole.num_rows, rows)):
+                ids = batch.column("id").to_numpy(zero_copy_only=False)
+                texts = list(zip(*(batch.column(c).to_pylist() for c in ("title", "jurisdiction", "summary"))))
+                points = np.stack([block.points(*t) for t in texts]) if len(block.place) else np.zeros((len(texts), 0), np.float32)
+                extra = np.zeros((len(texts), len(block.qids)), np.float32)
+                for d, (title, _, _) in enumerate(texts):
+                    for question in block.headed(title):
+                        extra[d, question] = 6
+                held = points.any(0)
+                bound = points[:, held].max(0) @ block.asks[held] + extra.max(0)
+                open_ = np.flatnonzero(bound >= best.least)
+                scores = points[:, held] @ block.asks[np.ix_(held, open_)] + extra[:, open_]
+                d, at = np.nonzero(scores >= best.least[open_])
+                best.add(open_[at], scores[d, at], ids[d])
+        best.settle()
+        if len(best.q):
+            qids = [block.qids[i] for i in best.q]
+            yield pa.RecordBatch.from_arrays([pa.array(qids, qid_type), pa.array(best.ids, id_type), pa.array(best.score.astype(np.int32))], ["qid", "id", "score"])
+
+    return run
 
 
 def passages(hits: DataFrame, questions: DataFrame, texts: DataFrame, step: int = 500, width: int = 650, top: int = 3, docs: int = 3, least: int = 50, once: int | None = None) -> DataFrame:

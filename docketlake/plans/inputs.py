@@ -112,6 +112,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_inputs(sql: str, *names: str) -> str:
     """DuckDB SQL that reads the derived tables ``names`` as if they were tables."""
     heads = ", ".join(f"{n} as ({DERIVED[n]})" for n in names)
+    if sql.strip().lower().startswith("with recursive "):
+        return f"with recursive {heads}, {sql.strip()[15:]}"
     return f"with {heads} {', ' + sql.strip()[5:] if sql.strip().lower().startswith('with ') else sql}"
 
 

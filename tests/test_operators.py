@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from docketlake.functions import classify as C
@@ -346,6 +347,32 @@ def test_retrieval_finds_words_inside_words(spark):
     assert got == {(1, 1): 2 + 6, (2, 2): 3, (2, 3): 2, (3, 5): 16}
 
 
+@pytest.mark.parametrize(("block", "k"), ((512, 8), (3, 2)))
+def test_retrieval_equals_scoring_every_pair(spark, block, k):
+    """Blocks of questions, ties by id, common tokens, words inside words, string ids, nulls."""
+    rng = random.Random(block)
+    words = ["act", "actor", "factory", "banking", "bank", "bill7", "law", "ab", "the", "قانون", "قانوني", "data", "database", "tax", "taxes"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(f"d{i:03}", text(rng.randint(0, 4)), rng.choice(words), text(rng.randint(0, 12))) for i in range(150)] + [("x1", None, None, None), ("x2", "BANKING act", "", "")]
+    asked = [(i, text(rng.randint(0, 5))) for i in range(14)] + [(90, "banking act"), (91, None), (92, docs[3][1] or "law")]
+    tok = lambda x: {t for t in re.findall(r"[a-z0-9]{3,}|[\u0600-\u06ff]{2,}", (x or "").lower()) if t not in Q.STOP}
+    want = []
+    for qid, question in asked:
+        raw, scored = (question or "").strip().lower(), []
+        for i, *fields in docs:
+            title, place, summary = ((f or "").lower() for f in fields)
+            every = tok(f"{title} {place} {summary}")
+            score = 6 * (len(raw) >= 6 and raw[:40] in title)
+            for t in tok(question):
+                score += (t in every) + 4 * (t in tok(title)) + 2 * (t in place) + (len(t) >= 4) * (2 * (t in title) + (t in summary))
+            scored.append((-score, i))
+        best = -min(scored)[0]
+        floor = max(1, 0.35 * best) if best >= 6 else 1
+        want += [(qid, i, -n, r + 1) for r, (n, i) in enumerate(sorted(scored)[:k]) if -n >= floor]
+    got = Q.retrieve(spark.createDataFrame(asked, "qid int, question string"), spark.createDataFrame(docs, "id string, title string, jurisdiction string, summary string").repartition(5), k, block)
+    assert sorted((r.qid, r.id, r.score, r.rank) for r in got.collect()) == sorted(want)
+
+
 def test_answers_use_points_and_passages(spark):
     corpus = spark.createDataFrame([(1, "T1", "u1", "S1", ["a", "b", "c"]), (2, "T2", "u2", "S" * 300, [])], "id long, title string, url string, summary string, key_points array<string>")
     hits = spark.createDataFrame([(1, 1, 1, "P" * 300), (1, 2, 2, None)], "qid long, id long, rank int, passage string")
