@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import urls as U
+from .storage import saved
 
 
 def split_regulatory(docs: DataFrame, min_score: int = 15) -> tuple[DataFrame, DataFrame]:
@@ -48,15 +49,25 @@ def due_sources(sources: DataFrame, even_day: bool, force: bool = False, regions
     return due.orderBy("rank", "k").limit(limit) if limit else due
 
 
-def blob(*columns: str) -> Column:
-    return F.lower(F.concat_ws(" ", *[C.text_or_blank(F.col(c).cast("string")) for c in columns]))
+#: What a search looks through.
+PDF_FIELDS = ["title", "filename", "jurisdiction", "source_kind", "law_type", "year", "language", "host", "source_page", "open_url", "url", "filename_tags"]
+LAW_FIELDS = ["name", "summary", "country", "level", "level_detail", "law_area", "topic", "authority", "link", "authority_url", "region", "source"]
+SUMMARY_FIELDS = ["title", "summary", "url", "key_points"]
+AUTHORITY_FIELDS = ["name", "code", "url", "authority_type", "country"]
+
+
+def blob(rows: DataFrame, columns: list[str]) -> Column:
+    """The filled ones of ``columns`` that ``rows`` has, arrays by their elements, joined by blanks, in lower case."""
+    kinds = dict(rows.dtypes)
+    text = lambda c: F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c).cast("string")
+    return F.lower(F.concat_ws(" ", *[F.nullif(text(c), F.lit("")) for c in columns if c in kinds]))
 
 
 def filter_rows(rows: DataFrame, facets: dict[str, object], text: str = "", searched: list[str] | None = None) -> DataFrame:
     """Rows with these facet values and, in the searched columns, this text; blank facets and texts do not filter."""
     tests = [F.col(c) == v for c, v in facets.items() if v not in (None, "")]
     if text:
-        tests.append(blob(*(searched or rows.columns)).contains(text.lower()))
+        tests.append(blob(rows, searched or rows.columns).contains(text.strip().lower()))
     return rows.where(reduce(lambda a, b: a & b, tests)) if tests else rows
 
 
@@ -65,6 +76,34 @@ def in_area(area: str) -> Column:
     return F.array_contains(F.transform(F.split(F.lower("law_area"), ","), lambda x: F.trim(x)), area.lower())
 
 
+def filter_pdfs(rows: DataFrame, jurisdiction: str = "", law_type: str = "", year: int | None = None, kind: str = "", text: str = "") -> DataFrame:
+    """Catalog rows of these facets with ``text`` in any of ``PDF_FIELDS``."""
+    return filter_rows(rows, {"jurisdiction": jurisdiction, "law_type": law_type, "year": year, "source_kind": kind}, text, PDF_FIELDS)
+
+
+def filter_laws(rows: DataFrame, country: str = "", level: str = "", area: str = "", kind: str = "", text: str = "") -> DataFrame:
+    """Laws of these facets with ``text`` in any of ``LAW_FIELDS``; the area is one of the row's list."""
+    found = filter_rows(rows, {"country": country, "level": level, "source": kind}, text, LAW_FIELDS)
+    return found.where(in_area(area)) if area else found
+
+
+def filter_summaries(rows: DataFrame, mode: str = "with", text: str = "") -> DataFrame:
+    """Rows ``with`` a summary, ``pending`` ones or ``all``, with ``text`` in any of ``SUMMARY_FIELDS``."""
+    filled = C.text_or_blank(F.col("summary")) != ""
+    rows = rows.where(filled) if mode == "with" else rows.where(~filled) if mode == "pending" else rows
+    return filter_rows(rows, {}, text, SUMMARY_FIELDS)
+
+
+def filter_documents(rows: DataFrame, status: str = "", text: str = "") -> DataFrame:
+    """Listed documents of a status with ``text`` in any column."""
+    return filter_rows(rows, {"status": status}, text)
+
+
+def filter_authorities(rows: DataFrame, text: str = "") -> DataFrame:
+    """Authorities with ``text`` in any of ``AUTHORITY_FIELDS``."""
+    return filter_rows(rows, {}, text, AUTHORITY_FIELDS)
+
+
 def prefer_subset(rows: DataFrame, wanted: Column) -> DataFrame:
     """The rows that satisfy ``wanted``, or all rows if none does."""
     some = rows.where(wanted)
@@ -97,16 +136,27 @@ def match_authority(links: DataFrame, registry: DataFrame) -> DataFrame:
     return hosts.join(best, "host").select("k", "a.name", "a.url", "a.jurisdiction", "a.region")
 
 
+def _with_place(rows: DataFrame, name: str, labels: DataFrame, country: str, unit: str | None = None) -> DataFrame:
+    """``rows`` with the parsed place of their ``country`` (and ``unit``) as ``name``; each different label of ``labels`` is parsed once, into a written table."""
+    part = lambda df: df[unit] if unit else F.lit("")
+    parsed = labels.select(labels[country].alias("_label"), part(labels).alias("_unit")).distinct()
+    place = C.parse_jurisdiction(F.col("_label"), F.col("_unit")) if unit else C.parse_jurisdiction(F.col("_label"))
+    known = saved(parsed.select("_label", "_unit", place.alias(name)))
+    same = F.col(country).eqNullSafe(F.col("_label")) & (F.col(unit) if unit else F.lit("")).eqNullSafe(F.col("_unit"))
+    return rows.join(known, same, "left").drop("_label", "_unit")
+
+
 def law_rows_from_updates(updates: DataFrame, registry: DataFrame) -> DataFrame:
     """Laws-catalog rows for change candidates."""
     title = F.trim(C.text_or_blank(F.col("title")))
     named = updates.withColumn("name", F.when(C.clean_title(F.col("title")) != "", C.clean_title(F.col("title"))).when(title != "", title).otherwise(F.lit("Untitled update")))
     found = match_authority(updates.select("k", "link"), registry).select(F.col("k"), F.col("name").alias("_name"), F.col("url").alias("_url"), F.col("jurisdiction").alias("_jurisdiction"))
-    rows = named.join(found, "k", "left")
+    rows = _with_place(named.join(found, "k", "left"), "_own", updates, "country")
+    rows = _with_place(rows, "_matched", registry.withColumnRenamed("jurisdiction", "_jurisdiction"), "_jurisdiction")
     ask = (F.trim("source_url") == "") | (F.trim("authority") == "")
     authority = F.when(F.trim("authority") != "", F.trim("authority")).when(ask, C.text_or_blank(F.col("_name"))).otherwise(F.lit(""))
-    own = C.parse_jurisdiction(F.col("country"))
-    place = F.when((own["country"] == "") & ask & (C.text_or_blank(F.col("_jurisdiction")) != ""), C.parse_jurisdiction(F.col("_jurisdiction"))).otherwise(own)
+    use = (F.col("_own.country") == "") & ask & (C.text_or_blank(F.col("_jurisdiction")) != "")
+    place = F.when(use, F.col("_matched")).otherwise(F.col("_own"))
     area = C.normalize_law_area(F.col("law_area"))
     rows = rows.select(
         "k", "id", "name", place.alias("place"), area.alias("law_area"), F.trim("topical_relevance").alias("topic"), F.trim("link").alias("link"), authority.alias("authority"),
@@ -122,8 +172,8 @@ def law_rows_from_tracking(tracking: DataFrame, registry: DataFrame) -> DataFram
     cleaned = C.clean_title(F.col("remarks"))
     named = tracking.withColumn("name", F.when(cleaned != "", cleaned).when(remarks != "", remarks).when(topic != "", topic).otherwise(F.lit("Tracked update")))
     found = match_authority(tracking.select("k", "link"), registry).select("k", F.col("name").alias("authority"), F.col("url").alias("authority_url"), "region")
-    rows = named.join(found, "k", "left").select(
-        "k", U.stable_id(F.lit("trk"), link, F.col("name")).alias("id"), "name", C.parse_jurisdiction(F.col("country"), F.col("federal_or_state")).alias("place"), C.normalize_law_area(F.col("law_area")).alias("law_area"), topic.alias("topic"), link.alias("link"),
+    rows = _with_place(named.join(found, "k", "left"), "_place", tracking, "country", "federal_or_state").select(
+        "k", U.stable_id(F.lit("trk"), link, F.col("name")).alias("id"), "name", F.col("_place").alias("place"), C.normalize_law_area(F.col("law_area")).alias("law_area"), topic.alias("topic"), link.alias("link"),
         C.text_or_blank(F.col("authority")).alias("authority"), C.text_or_blank(F.col("authority_url")).alias("authority_url"), C.text_or_blank(F.col("region")).alias("region"),
         F.when(C.text_or_blank(F.col("date_of_publication")) != "", F.col("date_of_publication")).otherwise(F.col("date_of_tracking")).alias("date"), F.lit("tracking").alias("source"), F.trim("relevancy").alias("relevancy"), "alert_status", remarks.alias("_remarks"), F.trim("comments").alias("_comments"),
     )
@@ -136,8 +186,8 @@ def law_rows_from_sources(registry: DataFrame) -> DataFrame:
     name, url, status = F.trim("authority"), F.trim("url"), F.when(C.text_or_blank(F.col("status")) == "", F.lit("active")).otherwise(F.trim("status"))
     kind, nature = F.trim(C.text_or_blank(F.col("authority_type"))), F.trim(C.text_or_blank(F.col("link_nature")))
     topic = F.array_join(F.filter(F.split("topics", ","), lambda x: x != ""), ", ")
-    rows = registry.where((name != "") & url.startswith("http")).select(
-        "k", U.stable_id(F.lit("src"), url, name).alias("id"), name.alias("name"), C.parse_jurisdiction(F.col("jurisdiction")).alias("place"), C.normalize_law_area(F.col("segment")).alias("law_area"), F.substring(topic, 1, 300).alias("topic"), url.alias("link"),
+    rows = _with_place(registry.where((name != "") & url.startswith("http")), "_place", registry, "jurisdiction").select(
+        "k", U.stable_id(F.lit("src"), url, name).alias("id"), name.alias("name"), F.col("_place").alias("place"), C.normalize_law_area(F.col("segment")).alias("law_area"), F.substring(topic, 1, 300).alias("topic"), url.alias("link"),
         name.alias("authority"), url.alias("authority_url"), "region", F.lit("").alias("date"), F.lit("source").alias("source"), F.lit("").alias("relevancy"), status.alias("alert_status"),
         F.concat_ws(" · ", F.when(kind != "", F.concat(kind, F.lit(" authority"))), F.when(nature != "", nature)).alias("_remarks"),
     )

@@ -39,13 +39,14 @@ def relative_cutoff(scored: DataFrame, group: str, k: int, share: float = 0.35,
     return top.withColumn("_floor", floor).where(F.col("score") >= F.col("_floor")).drop("_floor")
 
 
-def disambiguate(rows: DataFrame, name: str, order: str, mark: Column) -> DataFrame:
-    """Names made unique: all but the first row of a name get ``_`` and ``mark`` before the extension."""
-    key = F.lower(F.col(name))
-    first = rows.groupBy(key.alias("_key")).agg(F.min(order).alias("_first"))
-    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    joined = rows.join(first, key == F.col("_key"), "left")
-    return joined.withColumn(name, F.when(F.col(order) > F.col("_first"), F.concat(stem, F.lit("_"), mark, ext)).otherwise(F.col(name))).drop("_key", "_first")
+def disambiguate(rows: DataFrame, name: str, folder: list[str], order: str, mark: Column, ending: str = ".pdf") -> DataFrame:
+    """Names made unique in their folder: all but the first row of a name by ``order`` get ``_``, ``mark`` and ``ending`` for their extension."""
+    first = rows.groupBy(*folder, name).agg(F.min(order).alias("_first"))
+    own = first.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*folder, name])], "_first")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate([*folder, name])])
+    joined = rows.join(own, same, "left").drop(*[f"_{i}" for i in range(len(folder) + 1)])
+    renamed = F.concat(F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.lit("_"), mark, F.lit(ending))
+    return joined.withColumn(name, F.when(F.col(order) > F.col("_first"), renamed).otherwise(F.col(name))).drop("_first")
 
 
 def counts_by(rows: DataFrame, column: str, top: int | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
@@ -302,15 +305,51 @@ def _(spark, sf):
     return load(spark, sf, "conversations").select("conv_id", "turn", C.route_question(q, "client").alias("route"))
 
 
-@register("c22_filter_pdfs", f"select k from ({ENRICHED}) where jurisdiction = 'UK' and source_kind = 'official_gazette' and contains(lower(concat_ws(' ', title, filename, host, law_type)), 'law')", "downloads")
+def _has(fields: str, text: str) -> str:
+    """SQL: whether the filled ones of these fields, joined by blanks, contain a text."""
+    return f"contains(lower(concat_ws(' ', {', '.join(f'nullif(cast({c} as varchar), {chr(39) * 2})' for c in fields.split())})), '{text}')"
+
+
+_pdf_fields = "title filename jurisdiction source_kind law_type year language host open_url url replace(filename_tags,',',chr(32))"
+
+
+@register("c22_filter_pdfs", f"with e as ({ENRICHED}) select k, 'facets' as part from e where jurisdiction = 'UK' and source_kind = 'official_gazette' and {_has(_pdf_fields, 'law')} union all select k, 'type' from e where law_type = 'Bill' and year >= 0 and {_has(_pdf_fields, '20')} union all select k, 'year' from e where year = 2019 union all select k, 'across' from e where {_has(_pdf_fields, 'pdf uk off')}", "downloads")
 def _(spark, sf):
-    return K.filter_rows(K.enrich(load(spark, sf, "downloads")), {"jurisdiction": "UK", "source_kind": "official_gazette", "year": None}, "Law", ["title", "filename", "host", "law_type"]).select("k")
+    rows = K.enrich(load(spark, sf, "downloads"))
+    found = {"facets": K.filter_pdfs(rows, "UK", kind="official_gazette", text=" Law "), "type": K.filter_pdfs(rows, law_type="Bill", text="20").where("year >= 0"), "year": K.filter_pdfs(rows, year=2019), "across": K.filter_pdfs(rows, text="PDF UK off")}
+    return reduce(DataFrame.unionByName, [r.select("k", F.lit(p).alias("part")) for p, r in found.items()])
 
 
-@register("c23_filter_laws", f"with {TRACKING_LAWS} select k from tlaws where level = 'State' and list_contains(list_transform(string_split(lower(law_area), ','), lambda x: trim(x)), 'tax') and contains(lower(concat_ws(' ', name, country, level_detail)), 'a')", "tracking", "registry")
+_law_fields = "name summary country level level_detail law_area topic authority link authority_url region source"
+
+
+@register("c23_filter_laws", f"with {TRACKING_LAWS} select k, 'state' as part from tlaws where level = 'State' and list_contains(list_transform(string_split(lower(law_area), ','), lambda x: trim(x)), 'tax') and {_has(_law_fields, 'a')} union all select k, 'country' from tlaws where country = 'Canada' and source = 'tracking' and {_has(_law_fields, 'example.org/u/1')}", "tracking", "registry")
 def _(spark, sf):
     laws = K.law_rows_from_tracking(load(spark, sf, "tracking"), load(spark, sf, "registry"))
-    return K.filter_rows(laws, {"level": "State"}, "a", ["name", "country", "level_detail"]).where(K.in_area("TAX")).select("k")
+    found = {"state": K.filter_laws(laws, level="State", area="TAX", text="a"), "country": K.filter_laws(laws, "Canada", kind="tracking", text="Example.org/u/1")}
+    return reduce(DataFrame.unionByName, [r.select("k", F.lit(p).alias("part")) for p, r in found.items()])
+
+
+_summary_rows = "select id, title, url, case when id % 3 > 0 then summary else '' end as summary, case when id % 2 = 0 then [split_part(text, ' ', 2), split_part(text, ' ', 3)] else [] end as key_points from corpus"
+
+
+@register("c24_filter_summaries", f"with s as ({_summary_rows}) select id, 'with' as part from s where summary <> '' and {_has('title summary url array_to_string(key_points,chr(32))', 'the')} union all select id, 'pending' from s where summary = '' and {_has('title url array_to_string(key_points,chr(32))', 'the')} union all select id, 'all' from s where {_has('title summary url array_to_string(key_points,chr(32))', 'd/1')}", "corpus")
+def _(spark, sf):
+    points = F.when(F.col("id") % 2 == 0, F.array(F.split_part("text", F.lit(" "), F.lit(2)), F.split_part("text", F.lit(" "), F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    rows = load(spark, sf, "corpus").select("id", "title", "url", F.when(F.col("id") % 3 > 0, F.col("summary")).otherwise("").alias("summary"), points.alias("key_points"))
+    found = [K.filter_summaries(rows, m, t).select("id", F.lit(m).alias("part")) for m, t in (("with", "The"), ("pending", "The"), ("all", "d/1"))]
+    return reduce(DataFrame.unionByName, found)
+
+
+@register("c24_filter_doclist", f"select k from downloads where status = 'downloaded' and {_has('k url title filename jurisdiction source_kind', 'circular')}", "downloads")
+def _(spark, sf):
+    return K.filter_documents(load(spark, sf, "downloads").select("k", "url", "title", "filename", "jurisdiction", "source_kind", "status"), "downloaded", "circular").select("k")
+
+
+@register("c24_filter_authorities", f"select k from registry where {_has('authority k url authority_type jurisdiction', 'self-reg')}", "registry")
+def _(spark, sf):
+    rows = load(spark, sf, "registry").select("k", F.col("authority").alias("name"), F.col("k").alias("code"), "url", "authority_type", F.col("jurisdiction").alias("country"), "topics")
+    return K.filter_authorities(rows, "Self-reg").select("k")
 
 
 @register("c24_filter_any_column", "select k from registry where contains(lower(concat_ws(' ', authority, url, jurisdiction, status)), 'beta')", "registry")

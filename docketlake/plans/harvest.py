@@ -505,11 +505,26 @@ def _(spark, sf):
     return S.records_from_sheet(head.unionByName(body), 1).drop("row")
 
 
-@register("s6_seed_sources", "select region, jurisdiction, nullif(authority, '') as authority, url, array_to_string(list_filter([nullif(topics, ''), nullif(segment, '')], lambda x: x is not null), '|') as topics, coalesce(nullif(frequency, ''), 'Monthly') as frequency, case when trim(url) = '' then 'missing_url' when contains(lower(link_nature), 'not working') then 'broken' else 'active' end as status from registry", "registry")
-def _(spark, sf):
-    some = lambda c: F.nullif(F.col(c), F.lit(""))
-    sheet = load(spark, sf, "registry").select(F.col("region").alias("Region"), F.col("jurisdiction").alias("Jurisdiction"), some("authority").alias("Authority"), F.col("url").alias("URL"), F.col("link_nature").alias("Link Nature"), some("topics").alias("Topic 1"), some("segment").alias("Sub Category (main)"), some("frequency").alias("Frequency"), F.lit("Monthly").alias("Frequency (old)"))
-    return S.seed_sources(sheet).select("region", "jurisdiction", "authority", "url", F.array_join("topics", "|").alias("topics"), "frequency", "status")
+# a second of the links that don't work say so in their own cell
+@register("s6_seed_sources", """select region, nullif(jurisdiction, '') as jurisdiction, nullif(authority, '') as authority, nullif(authority_type, '') as authority_type, nullif(link_nature, '') as link_nature, nullif(u, '') as url, nullif(segment, '') as segment, coalesce(nullif(frequency, ''), 'Monthly') as frequency,
+  array_to_string(list_filter([nullif(topics, ''), nullif(n_name, '')], lambda x: x is not null), '|') as topics, case when contains(lower(link_nature), 'not working') then 'broken' when u = '' then 'missing_url' when contains(u, 'NOT WORKING') then 'broken' else 'active' end as status, 'primary' as source_kind
+  from (select *, trim(case when k % 8 = 3 then url || ' (NOT WORKING)' else url end) as u from registry)""", "registry")
+def _(spark, sf):
+    """The sheet is read as raw cells under a header row and mapped by its headers."""
+    names = ["Region", "Jursidictions", S.PRIMARY["authority"][0], "Nature of Authority", "Nature of weblink", "Website links", "Segment (Private, Capital, Enterprise)", "Topic", "Sub Category", "Frequency", "Old Frequency"]
+    url = F.when(F.col("k") % 8 == 3, F.concat("url", F.lit(" (NOT WORKING)"))).otherwise(F.col("url"))
+    cells = ["region", "jurisdiction", "authority", "authority_type", "link_nature", url, "segment", "topics", "n_name", "frequency", F.lit("Monthly")]
+    grid = load(spark, sf, "registry").select((F.col("k") + 1).alias("row"), *[(F.col(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(cells)])
+    head = spark.createDataFrame([(0, *names)], "row long, " + ", ".join(f"c{i} string" for i in range(len(names))))
+    return S.seed_sources(S.records_from_sheet(head.unionByName(grid))).withColumn("topics", F.array_join("topics", "|"))
+
+
+@register("s6_seed_tracking", "select k as kmp_id, nullif(country, '') as country, nullif(law_area, '') as law_area, trim(link) as link, nullif(trim(remarks), '') as remarks, coalesce(nullif(date_of_publication, ''), date_of_tracking) as date_of_publication, coalesce(nullif(alert_status, ''), 'new') as alert_status from (select * replace (cast(k as varchar) as k) from tracking)", "tracking")
+def _(spark, sf):
+    names = ["KMP ID", "Country", "Law Area", "Link for update", "Remarks/Reasons for tracking", S.TRACKED["date_of_publication"], "Publication (own)", "Alert Status"]
+    cells = ["k", "country", "law_area", "link", "remarks", "date_of_publication", "date_of_tracking", "alert_status"]
+    sheet = load(spark, sf, "tracking").select(*[F.trim(F.col(c).cast("string")).alias(n) for c, n in zip(cells, names)])
+    return S.seed_tracking(sheet).select("kmp_id", "country", "law_area", "link", "remarks", "date_of_publication", "alert_status")
 
 
 @register("s7_read_pages", f"with {ANCHORS} select page_id, count(*) as n_links from anchors group by 1")

@@ -165,14 +165,10 @@ def _(spark, sf):
     return R.cap_per_source(load(spark, sf, "runs").where("new_items > 0"), "source", 20)
 
 
-@register("w8_disambiguate_filename", r"select k, case when r > 1 then regexp_extract(filename, '^(.*?)(\.[^.]*)?$', 1) || '_' || sha256(url)[1:8] || regexp_extract(filename, '^(.*?)(\.[^.]*)?$', 2) else filename end as filename from (select *, row_number() over (partition by lower(filename) order by k) as r from downloads)", "downloads")
+@register("w8_disambiguate_filename", r"select k, case when r > 1 then regexp_extract(filename, '^(.+?)(\.[^.]*)?$', 1) || '_' || sha256(url)[1:8] || '.pdf' else filename end as filename from (select *, row_number() over (partition by jurisdiction, source_kind, filename order by k) as r from downloads)", "downloads")
 def _(spark, sf):
-    return R.disambiguate(load(spark, sf, "downloads"), "filename", "k", F.substring(F.sha2("url", 256), 1, 8)).select("k", "filename")
-
-
-@register("w9_catalog_sort", "select k, row_number() over (order by downloaded_at desc, jurisdiction desc, title desc, k) as place from downloads order by place limit 400", "downloads")
-def _(spark, sf):
-    return R.keep_top(load(spark, sf, "downloads"), [], 400, F.desc("downloaded_at"), F.desc("jurisdiction"), F.desc("title"), F.col("k"), name="place").select("k", "place")
+    mark = F.substring(F.sha2("url", 256), 1, 8)
+    return R.disambiguate(load(spark, sf, "downloads"), "filename", ["jurisdiction", "source_kind"], "k", mark).select("k", "filename")
 
 
 @register("w10_number_citations", "select source, string_agg('[' || n || '] ' || k, ' ' order by n) as citations from (select source, k, row_number() over (partition by source order by value desc, k) as n from runs) where n <= 6 group by 1", "runs")

@@ -84,17 +84,40 @@ def records_from_sheet(grid: DataFrame, header_row: int = 0, order: str = "row")
     return rows.where(F.coalesce(*[F.col(f"`{n}`") for n in names]).isNotNull())
 
 
-def seed_sources(sheet: DataFrame) -> DataFrame:
-    """Registry rows of the primary sheet: topic columns gathered, the first frequency column, status from URL and nature."""
-    from ..functions.classify import source_status
+#: Headers of the primary sheet, the first there is counts.
+PRIMARY = {
+    "region": ("Region",), "jurisdiction": ("Jursidictions", "Jurisdictions"),
+    "authority": ("Name of Regulatory Authority/ Concerned Ministry/ Government Website/ Concerned Department/ Secretary of State/Attorney General",),
+    "authority_type": ("Nature of Authority",), "link_nature": ("Nature of weblink",), "url": ("Website links",), "segment": ("Segment (Private, Capital, Enterprise)",),
+}
+#: Headers of the analysts' log.
+TRACKED = {
+    "country": "Country", "federal_or_state": "Federal/State", "period_of_tracking": "Period of Tracking", "date_of_tracking": "Date of Tracking",
+    "date_of_publication": "Date of Publication on Subscribed Database (DD-MMM-YYYY)", "law_area": "Law Area", "topical_relevance": "Topical Relevance",
+    "link": "Link for update", "remarks": "Remarks/Reasons for tracking", "tracked_by": "Tracked by", "relevancy": "Relevancy", "comments": "Comments",
+    "cor_impact": "COR Impact (Yes/No)", "assigned_to": "Assigned to", "slr_name": "SLR Name", "alert_status": "Alert Status", "last_tracked": "Last tracked", "kmp_id": "KMP ID",
+}
+
+
+def _filled(sheet: DataFrame, names) -> Column:
+    """The first filled one of the sheet's columns ``names``, null where it has none."""
+    there = [F.nullif(F.col(f"`{n}`"), F.lit("")) for n in names if n in sheet.columns]
+    return F.coalesce(*there) if there else F.lit(None).cast("string")
+
 
-    topics = [F.col(f"`{c}`") for c in sheet.columns if "Sub Category" in c or "Topic" in c]
-    often = [F.col(f"`{c}`") for c in sheet.columns if "Frequency" in c]
-    get = lambda *names: next((F.col(f"`{n}`") for n in names if n in sheet.columns), F.lit(None).cast("string"))
-    url, nature = get("URL", "Link"), get("Link Nature", "Nature of link")
+def seed_sources(sheet: DataFrame) -> DataFrame:
+    """Registry rows of the primary sheet: topic and sub-category columns gathered, the first filled frequency column, and the status.
+
+    A link whose nature says that it isn't working is broken; else one without URL is missing_url, one whose own cell says
+    so broken, any other active.
+    """
+    topics = [F.nullif(F.col(f"`{c}`"), F.lit("")) for c in sheet.columns if "Sub Category" in c or "Topic" in c]
+    own = {n: _filled(sheet, headers) for n, headers in PRIMARY.items()}
+    dead = lambda c: F.coalesce(F.lower(c).contains("not working"), F.lit(False))
+    status = F.when(dead(own["link_nature"]), "broken").when(own["url"].isNull(), "missing_url").when(dead(own["url"]), "broken").otherwise("active")
     return sheet.select(
-        get("Region").alias("region"), get("Jurisdiction").alias("jurisdiction"), get("Authority").alias("authority"), nature.alias("link_nature"), url.alias("url"),
-        (F.coalesce(*often) if often else F.lit(None).cast("string")).alias("frequency"), F.array_compact(F.array(*topics) if topics else F.array().cast("array<string>")).alias("topics"), source_status(url, nature).alias("status"),
+        *[c.alias(n) for n, c in own.items()], _filled(sheet, [c for c in sheet.columns if "frequency" in c.lower()]).alias("frequency"),
+        F.array_compact(F.array(*topics) if topics else F.array().cast("array<string>")).alias("topics"), status.alias("status"), F.lit("primary").alias("source_kind"),
     )
 
 
@@ -104,8 +127,11 @@ def seed_by_position(sheet: DataFrame, names: list[str], order: str = "row") ->
 
 
 def seed_tracking(sheet: DataFrame) -> DataFrame:
-    """The analysts' log under snake-case names."""
-    return sheet.select(*[F.col(f"`{c}`").alias("_".join(c.lower().replace("/", " ").split())) for c in sheet.columns])
+    """The analysts' log: columns by header; the publication date is any publication column's where its own is blank, alerts are new by default."""
+    published = [TRACKED["date_of_publication"], *[c for c in sheet.columns if "Publication" in c]]
+    cells = {n: _filled(sheet, published if n == "date_of_publication" else [h]) for n, h in TRACKED.items()}
+    cells["alert_status"] = F.coalesce(cells["alert_status"], F.lit("new"))
+    return sheet.select(*[c.alias(n) for n, c in cells.items()])
 
 
 def seed_gazette(gazette: DataFrame) -> DataFrame:

@@ -66,31 +66,52 @@ def run_health(runs: DataFrame, window: str = "1 day", slide: str | None = None,
 def publish(updates: DataFrame, path: str, checkpoint: str, key: str, newest: str, most: int = 5000):
     """A query that keeps at ``path`` the newest ``most`` updates, one for each ``key``; a batch that runs again changes nothing.
 
-    Each batch writes a new version next to the last and then names it in ``path``/current.
+    Each batch writes a new version next to the last and then commits it (see ``commit``).
     """
+
     def write(batch: DataFrame, epoch: int) -> None:
         own = batch.sparkSession
         last = current(own, path, before=epoch)
         rows = batch.unionByName(last) if last is not None else batch
         last_of = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), F.col(newest)).alias("_row"))
         rows = last_of.select("_row.*").orderBy(F.desc(newest), key).limit(most)
-        rows.withColumn("version", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        commit(rows, path, epoch)
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The last published version at ``path``, or None."""
-    from pyspark.errors import AnalysisException
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The file system of ``path``, and a function that makes its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def committed(spark: SparkSession, path: str) -> list[int]:
+    """The versions at ``path`` that are whole, oldest first."""
+    files, make = _files(spark, path)
+    marks = make(f"{path}/_commits")
+    return sorted(int(x.getPath().getName()) for x in files.listStatus(marks)) if files.exists(marks) else []
+
 
-    try:
-        versions = spark.read.option("recursiveFileLookup", "false").parquet(path)
-    except AnalysisException:
-        return None
-    if before is not None:
-        versions = versions.where(F.col("version") < before)
-    last = versions.agg(F.max("version").alias("v")).first()["v"]
-    return None if last is None else versions.where(F.col("version") == last).drop("version")
+def commit(rows: DataFrame, path: str, version: int, keep: int = 3) -> None:
+    """Write ``rows`` as a version of the table at ``path``; readers see all of it or, until it is whole, the one before.
+
+    The data comes first, then an empty file under _commits, whose creation makes the version the current one. A batch that
+    died in between left data that no reader looks at and that its next run overwrites. All but the last ``keep`` versions go.
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
+    files, make = _files(spark, path)
+    files.create(make(f"{path}/_commits/{version}"), True).close()
+    for old in committed(spark, path)[:-keep]:
+        files.delete(make(f"{path}/_commits/{old}"), False)
+        files.delete(make(f"{path}/version={old}"), True)
+
+
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The last committed version at ``path`` (``before`` a version, if given), or None."""
+    versions = [v for v in committed(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/version={versions[-1]}") if versions else None
 
 
 def resume_batches(stream: DataFrame, path: str, checkpoint: str):
@@ -101,7 +122,7 @@ def resume_batches(stream: DataFrame, path: str, checkpoint: str):
 def live_status(runs: DataFrame, path: str, checkpoint: str, every: str | None = "120 seconds", recent: int = 15):
     """A query that keeps the state of a crawl at ``path`` up to date ``every`` so often (None: until the stream's present end).
 
-    runs (k, status, url): ``path``/current names the last version, which has a row for each status (part 'total') with its
+    runs (k, status, url): the last version at ``path`` (see ``current``) has a row for each status (part 'total') with its
     runs and latest k, and the ``recent`` latest runs (part 'recent'). The totals of a version are those of the last plus
     the batch's own, so a batch that runs again changes nothing.
     """
@@ -114,7 +135,7 @@ def live_status(runs: DataFrame, path: str, checkpoint: str, every: str | None =
         rows = rows.unionByName(last.select(*rows.columns)) if last is not None else rows
         totals = rows.where("part = 'total'").groupBy("part", "status").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("url").alias("url"))
         newest = rows.where("part = 'recent'").orderBy(F.desc("last")).limit(recent)
-        totals.unionByName(newest.select(*totals.columns)).withColumn("version", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        commit(totals.unionByName(newest.select(*totals.columns)), path, epoch)
 
     writer = runs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

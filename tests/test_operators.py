@@ -229,10 +229,11 @@ def test_sheets(spark):
     assert [tuple(r) for r in rows.collect()] == [(1, "EU", "https://a.example", "x", None, "3")]
     twice = spark.createDataFrame([(0, "Title", "Title", "Title_x", "Title", "")], "row int, c0 string, c1 string, c2 string, c3 string, c4 string")
     assert S.records_from_sheet(twice).columns == ["row", "Title", "Title_2", "Title_x", "Title_3", "col_5"]
-    seeded = S.seed_sources(rows).first()
-    assert (seeded.region, seeded.topics, seeded.status) == ("EU", ["x"], "active")
+    primary = spark.createDataFrame([("EU", "https://a.example", "", "x", "y"), ("EU", "https://b.example - Not working", "page", "", None), ("EU", "", "link NOT working", None, ""), ("EU", None, None, None, "z")], "`Region` string, `Website links` string, `Nature of weblink` string, `Topic 1` string, `Sub Category` string")
+    assert [(r.topics, r.status, r.source_kind) for r in S.seed_sources(primary).collect()] == [(["x", "y"], "active", "primary"), ([], "broken", "primary"), ([], "broken", "primary"), (["z"], "missing_url", "primary")]
     assert S.seed_by_position(rows, ["region", "url"]).columns == ["region", "url"]
-    assert S.seed_tracking(spark.createDataFrame([("a",)], "`Law Area` string")).columns == ["law_area"]
+    log = S.seed_tracking(spark.createDataFrame([("a", "2024", ""), ("b", "", "open")], "`Law Area` string, `Publication date` string, `Alert Status` string"))
+    assert [(r.law_area, r.date_of_publication, r.alert_status, r.link) for r in log.collect()] == [("a", "2024", "new", None), ("b", None, "open", None)]
 
 
 def test_files_round_trip(spark, tmp_path):
@@ -285,6 +286,34 @@ def test_stream_health_and_publish(spark, tmp_path):
     assert {(r.part, r.status, r.n, r["last"]) for r in J.current(spark, f"{tmp_path}/live").collect()} == {("total", "ok", 3, 9), ("total", "error", 1, 2), ("recent", "ok", 1, 9), ("recent", "ok", 1, 3)}
 
 
+def test_versions_show_only_when_whole(spark, tmp_path):
+    """A batch that dies between its data and its commit leaves the version before in sight, and its next run replaces it; old versions go."""
+    path = f"{tmp_path}/table"
+    rows = lambda n: spark.range(n).select(F.col("id").alias("k"))
+    assert J.current(spark, path) is None
+    J.commit(rows(1), path, 0)
+    rows(2).write.parquet(f"{path}/version=1")
+    assert J.current(spark, path).count() == 1 and J.committed(spark, path) == [0]
+    J.commit(rows(3), path, 1)
+    J.commit(rows(3), path, 1)
+    assert J.current(spark, path).count() == 3 and J.current(spark, path, before=1).count() == 1
+    for n in (2, 3, 4):
+        J.commit(rows(n), path, n)
+    assert J.committed(spark, path) == [2, 3, 4] and {p.name for p in (tmp_path / "table").iterdir() if p.is_dir()} == {"_commits", "version=2", "version=3", "version=4"}
+
+
+def test_names_collide_within_a_folder(spark):
+    rows = [(1, "uk", "a.pdf"), (2, "fr", "a.pdf"), (3, "uk", "a.pdf"), (4, "uk", "A.pdf"), (5, None, "b"), (6, None, "b")]
+    out = R.disambiguate(spark.createDataFrame(rows, "k int, place string, name string"), "name", ["place"], "k", F.col("k").cast("string"))
+    assert [r.name for r in out.orderBy("k").collect()] == ["a.pdf", "a.pdf", "a_3.pdf", "A.pdf", "b", "b_6.pdf"]
+
+
+def test_searches_look_through_filled_fields(spark):
+    rows = spark.createDataFrame([(1, "Title", "", ["Tag one", "two"], "UK"), (2, "", None, [], "tags")], "k int, title string, filename string, filename_tags array<string>, jurisdiction string")
+    ids = lambda **how: [r.k for r in K.filter_pdfs(rows, **how).orderBy("k").collect()]
+    assert ids(text="title uk tag") == [1] and ids(text=" TAG") == [1, 2] and ids(text="one two") == [1] and ids(text="") == [1, 2] and ids(jurisdiction="UK", text="two") == [1] and ids(text="none") == []
+
+
 def test_blocked_and_rejected(spark):
     cases = [(200, "Just a moment... checking your browser", True), (200, "An article on forbidden cloudflare sites", False), (200, "403 Forbidden", True), (429, None, True), (503, "", True), (404, "x", False), (None, "CAPTCHA", True), (200, "x" * 4000 + "captcha", False)]
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, status int, body string, want boolean")
