@@ -60,27 +60,25 @@ class Questions:
 
     def inside(self, word: str) -> tuple[int, ...]:
         """The tokens that a word contains, found by their first characters."""
-        n = 3 if word.isascii() else 2
-        if (found := self.known.get(word)) is None:
-            starts = self.starts
-            found = tuple({self.place[t] for i in range(len(word) - n + 1) if (own := starts.get(word[i : i + n])) for t in own if word.startswith(t, i)})
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        n, starts = 3 if word.isascii() else 2, self.starts
+        return tuple({self.place[t] for i in range(len(word) - n + 1) if (own := starts.get(word[i : i + n])) for t in own if word.startswith(t, i)})
 
     def points(self, title: str, place: str, summary: str) -> np.ndarray:
         """A document's points for each token."""
         held = [set(_RUNS.findall(x)) for x in (title, place, summary)]
-        row, once = np.zeros(len(self.place), np.float32), np.zeros(len(self.place), np.float32)
-        for words, weight, any_length in zip(held, (2, 2, 1), (False, True, False)):
-            contained = list(set().union(*map(self.inside, words)))
+        words, known, index = set().union(*held), self.known, self.place
+        if len(known) > 300_000:
+            known.clear()
+        for word in words.difference(known):
+            known[word] = self.inside(word)
+        row, once = np.zeros(len(index), np.float32), np.zeros(len(index), np.float32)
+        for own, weight, any_length in zip(held, (2, 2, 1), (False, True, False)):
+            contained = list(set().union(*map(known.__getitem__, own)))
             once[:] = 0
             once[contained] = weight
             row += once if any_length else once * self.long
-        index = self.place
-        row[[index[w] for w in held[0] | held[1] | held[2] if w in index]] += 1
-        row[[index[w] for w in held[0] if w in index]] += 4
+        row[[index[w] for w in words.intersection(index)]] += 1
+        row[[index[w] for w in held[0].intersection(index)]] += 4
         return row
 
     def headed(self, title: str) -> set[int]:
