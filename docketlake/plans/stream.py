@@ -71,17 +71,28 @@ RUN_STATUS = "case event_type when 'error' then 'error' when 'signup' then 'http
 
 @register("t4_run_health", f"select 'source-' || user_id % 40 as source, date_trunc('day', ts) as start, date_trunc('day', ts) + interval 1 day as \"end\", count(*) as n, cast(count_if({RUN_STATUS} = 'ok') as bigint) as ok from events group by 1, 2, 3")
 def _(spark, sf):
-    """Health by day, from the stream; a last row far ahead in time moves the watermark past every day, and is left out."""
+    return _health(spark, sf)
+
+
+def _health(spark: SparkSession, sf: str, *window: str) -> DataFrame:
+    """Health by window, from the stream; a last row far ahead in time moves the watermark past every window, and is left out."""
     runs = events(spark, sf).selectExpr("concat('source-', user_id % 40) as source", f"{RUN_STATUS} as status", "cast(ts as timestamp) as ts")
     at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     late = spark.createDataFrame([("end", "ok")], "source string, status string").withColumn("ts", F.lit("2999-01-01").cast("timestamp"))
     late.write.parquet(f"{at}/late")
     ahead = spark.readStream.schema(late.schema).load(f"{at}/late")
-    rows = drained(J.run_health(runs.unionByName(ahead)))
+    rows = drained(J.run_health(runs.unionByName(ahead), *window))
     day = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return rows.where("source <> 'end'").select("source", day("start"), day("end"), "n", "ok")
 
 
+# every run lies in the seven windows that began on its day or the six before
+@register("t4_success_rate_7_days", f"""select source, d - i * interval 1 day as start, d - i * interval 1 day + interval 7 day as "end", count(*) as n, cast(count_if(good) as bigint) as ok, round(100.0 * count_if(good) / count(*), 2)::double as rate
+  from (select 'source-' || user_id % 40 as source, date_trunc('day', ts) as d, {RUN_STATUS} = 'ok' as good from events) cross join range(7) t(i) group by 1, 2, 3""")
+def _(spark, sf):
+    return _health(spark, sf, "7 days", "1 day").withColumn("rate", F.round(100.0 * F.col("ok") / F.col("n"), 2))
+
+
 @register("t4_run_health_batch", f"select 'source-' || user_id % 40 as source, date_trunc('day', ts) as start, date_trunc('day', ts) + interval 1 day as \"end\", count(*) as n, cast(count_if({RUN_STATUS} = 'ok') as bigint) as ok from events group by 1, 2, 3")
 def _(spark, sf):
     runs = spark.read.schema(SCHEMA).parquet(f"{sf}/events.parquet").selectExpr("concat('source-', user_id % 40) as source", f"{RUN_STATUS} as status", "ts")
