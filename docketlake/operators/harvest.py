@@ -16,7 +16,12 @@ ANCHOR = rf"(?is)<a\b[^>]*?\bhref{ATTRIBUTE}[^>]*>(.*?)</a>"
 EMBED = r"(?is)<(?:iframe|embed|object|source)\b[^>]*?\b(?:src|data|data-src|href)\s*=\s*[\"']([^\"']+)[\"']"
 DATA_LINK = r"(?is)\bdata-(?:url|href)\s*=\s*[\"']([^\"']+)[\"']"
 SKIPPED = r"(?i)^\s*(?:javascript|mailto|tel|data|blob):|^\s*#"
-DOC_END = r"\.(?:pdf|doc|docx|xls|xlsx|ppt|pptx|csv)"
+#: A string of JSON with, if it is a key, its colon and the string that follows; possessive, so it takes no stack.
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+MEMBER = rf"(?s)({STRING})(?:\s*+(:)\s*+({STRING})?)?"
+#: Endings of documents, and of files that are part of a page.
+DOCUMENTS = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "csv", "rtf", "odt", "ods", "txt")
+ASSETS = ("css", "js", "png", "jpg", "jpeg", "gif", "svg", "ico", "woff", "woff2", "ttf", "map", "json", "xml")
 #: Character references that link texts and addresses are read without.
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 #: Words of news links, and anchors that are only navigation.
@@ -112,17 +117,33 @@ def _tagged(i: int, method: str):
     return lambda x: F.struct(F.lit(i).alias("i"), F.lit(method).alias("method"), x.alias("href"))
 
 
+def json_strings(payloads: DataFrame) -> DataFrame:
+    """(id, key, value): every string value in JSON bodies (id, body), at any depth, with its key if it has one, escapes read.
+
+    In JSON a quote only begins or ends a string, so one pass over the body finds all of them, each with the value after
+    its colon: no level is a round. Keys are no values. What is not JSON has none.
+    """
+    found = payloads.where(F.get_json_object("body", "$").isNotNull()).select("id", F.explode(F.regexp_extract_all("body", F.lit(MEMBER), 0)).alias("m"))
+    part = lambda i: F.regexp_extract("m", MEMBER.replace("(?s)", "(?s)^"), i)
+    rows = found.select("id", part(1).alias("first"), part(2).alias("colon"), part(3).alias("second")).where("colon = '' or second <> ''")
+    read = lambda c: F.when(c.contains("\\"), F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>")[0]).otherwise(F.substr(c, F.lit(2), F.length(c) - 2))
+    alone = F.col("colon") == ""
+    return rows.select("id", F.when(~alone, read(F.col("first"))).alias("key"), read(F.when(alone, F.col("first")).otherwise(F.col("second"))).alias("value"))
+
+
 def json_urls(payloads: DataFrame) -> DataFrame:
-    """(id, url) from JSON bodies: absolute URLs, documents and API paths, and deep page-like paths among all strings."""
-    strings = F.transform(F.regexp_extract_all("body", F.lit(r'"((?:[^"\\]|\\.)*)"'), 1), lambda s: F.replace(s, F.lit("\\/"), F.lit("/")))
-    rows = payloads.select("id", F.explode(F.array_distinct(strings)).alias("url"))
-    page = F.col("url").rlike("^/[^/]+/.+") & ~F.col("url").rlike(r"(?i)\.(js|css|png|jpe?g|gif|svg|ico|woff2?)$")
-    return rows.where(F.col("url").rlike("(?i)^https?://") | F.col("url").rlike(rf"(?i)^[^\s]*{DOC_END}$") | F.col("url").contains("/api/") | page)
+    """(id, url) of the string values in JSON bodies: absolute URLs, and paths to documents, APIs and, two levels down, pages."""
+    rows = json_strings(payloads).select("id", F.trim("value").alias("url")).distinct()
+    low = F.lower("url")
+    ends = lambda names: low.rlike(rf"\.({'|'.join(names)})$")
+    page = F.col("url").rlike("^/[^/]*/") & ~ends(ASSETS)
+    return rows.where(F.col("url").rlike("^https?://") | ((F.length("url") > 2) & F.col("url").startswith("/") & (ends(DOCUMENTS) | low.contains("/api/") | page)))
 
 
 def nav_urls(payloads: DataFrame) -> DataFrame:
-    """(id, url) of the url, href, link and path keys of JSON bodies."""
-    return payloads.select("id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r'(?i)"(?:url|href|link|path)"\s*:\s*"([^"]+)"'), 1))).alias("url"))
+    """(id, url): addresses and paths under the url, href, link and path keys of JSON bodies."""
+    rows = json_strings(payloads).where(F.lower("key").isin("url", "href", "link", "path")).select("id", F.col("value").alias("url"))
+    return rows.where(F.col("url").startswith("/") | F.col("url").startswith("http")).distinct()
 
 
 def api_hints(html: Column, most: int = 20) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from math import ceil
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -268,34 +269,71 @@ def corpus_status(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("jurisdiction").agg(F.count("*").alias("n"), F.count_if(F.length("summary") > 20).alias("with_summary"), F.min("url").alias("first_url"))
 
 
-def chunk_text(docs: DataFrame, size: int = 900) -> DataFrame:
-    """(id, n, chunk): texts cut at the last blank before ``size`` characters, else at a line end, else hard.
+#: Fixed value: the white space that goes after a cut.
+BLANKS = r"^[\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
-    Each cut depends on the one before, so this is sequential by nature and a text is cut in one pass inside its task.
+def chunks(text: Column, size: int = 900) -> Column:
+    """``text`` in pieces of at most ``size`` characters (code points), in order.
+
+    A piece ends at the last blank in the first ``size`` + 1 characters or, where that leaves under 40 % of ``size``, at the
+    last line end, or else after ``size``; white space after a cut goes. Each cut depends on the one before: the text is
+    taken apart into blocks of ``size`` characters once, and a fold goes from cut to cut, each time over the three blocks
+    in which the next cut lies, so the work is linear, and the state is a place and the pieces so far.
     """
-    import pyarrow as pa
+    least = ceil(0.4 * size)
+    last = lambda s, c: F.length(s) - F.instr(F.reverse(s), c)  # noqa: E731  (its length where c is not in s)
+    usable = lambda s, at: (at >= least) & (at < F.length(s))
 
-    def cut(text: str) -> list[str]:
-        out = []
-        while len(text) > size:
-            at = text.rfind(" ", 0, size)
-            if at < 0.4 * size:
-                at = text.rfind("\n", 0, size)
-            if at < 0.4 * size:
-                at = size
-            out.append(text[:at].strip())
-            text = text[at:].strip()
-        return out + [text] * bool(text)
+    def cut(head: Column) -> Column:
+        line = _let(last(head, "\n"), lambda at: F.when(usable(head, at), at).otherwise(size))
+        blank = _let(last(head, " "), lambda at: F.when(usable(head, at), at).otherwise(line))
+        return F.when(F.length(head) <= size, F.length(head)).otherwise(blank)
+
+    def step(blocks: Column, state: Column) -> Column:
+        window = F.substr(F.array_join(F.slice(blocks, F.floor(state["at"] / size).cast("int") + 1, 3), ""), state["at"] % size + 1)
+        moved = lambda by: (state["at"] + by).cast("int").alias("at")
+
+        def piece(w: Column, lead: Column) -> Column:
+            head = F.substr(w, lead + 1, F.lit(size + 1))
+            taken = _let(head, lambda h: _let(cut(h), lambda n: F.struct(moved(lead + n), F.array_append(state["out"], F.substr(h, F.lit(1), n)).alias("out"))))
+            return F.when((lead > size) | (lead == F.length(w)), F.struct(moved(lead), state["out"].alias("out"))).otherwise(taken)
+
+        return _let(window, lambda w: _let(F.when(state["at"] > 0, F.length(F.regexp_extract(w, BLANKS, 0))).otherwise(0), lambda lead: piece(w, lead)))
+
+    def fold(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        steps = F.sequence(F.lit(0), F.floor(F.size(blocks) * size / least).cast("int"))
+        return F.aggregate(steps, start, lambda state, _: step(blocks, state), lambda state: state["out"])
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), 0), fold)
+
+
+def chunk_text(docs: DataFrame, size: int = 900) -> DataFrame:
+    """(id, n, chunk): the texts (id, text) in pieces (see ``chunks``), numbered from 0; empty and null texts have none."""
+    return docs.select("id", F.posexplode(chunks(F.col("text"), size)).alias("n", "chunk"))
 
-    def run(batches):
-        for batch in batches:
-            rows = [(i, n, c) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()) for n, c in enumerate(cut(t or ""))]
-            ids, ns, chunks = (list(x) for x in zip(*rows)) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(chunks, pa.string())], ["id", "n", "chunk"])
 
-    return docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, n int, chunk string")
+#: The columns of published summaries.
+COMPACT = ["id", "title", "jurisdiction", "source_kind", "url", "open_url", "source_page", "summary", "key_points", "topics", "document_type", "method", "summarized_at"]
 
 
 def publish_summaries(summaries: DataFrame, most: int = 5000) -> DataFrame:
-    """The newest summaries in compact columns."""
-    return summaries.orderBy(F.desc("summarized_at"), "id").limit(most).select("id", "jurisdiction", "source_kind", "url", F.length("summary").alias("chars"), "summarized_at")
+    """The newest ``most`` summaries in the columns ``COMPACT``: absent ones are null, lists empty, open_url at least the url."""
+    kinds = dict(summaries.dtypes)
+    col = lambda c: F.col(c) if c in kinds else F.lit(None).cast("string")
+    lists = {c: F.coalesce(F.col(c) if kinds.get(c, "").startswith("array") else F.lit(None), F.array().cast("array<string>")) for c in ("key_points", "topics")}
+    made = {**lists, "open_url": F.coalesce(F.nullif(col("open_url"), F.lit("")), col("url"))}
+    newest = summaries.orderBy(F.desc(F.coalesce("summarized_at", F.lit(""))), "id").limit(most)
+    return newest.select(*[made.get(c, col(c)).alias(c) for c in COMPACT])
+
+
+def publish_meta(summaries: DataFrame, most: int = 5000) -> DataFrame:
+    """(count, total_indexed, updated_at): how many summaries are published, how many there are, and when the newest was made."""
+    total = F.count("*")
+    return summaries.agg(F.least(total, F.lit(most)).cast("long").alias("count"), total.alias("total_indexed"), F.max("summarized_at").alias("updated_at"))

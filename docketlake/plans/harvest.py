@@ -114,16 +114,19 @@ def _(spark, sf):
     return H.script_documents(_rich(spark, sf))
 
 
-JSON = """'{"items":[{"url":"https://h' || event_id % 9 || '.example.org/a","title":"T"},{"path":"/docs/' || event_id % 11 || '/x.pdf"},{"link":"/api/v2/' || event_id % 5 || '"},{"img":"/s/' || event_id || '.png"},{"href":"/deep/page/' || event_id % 3 || '"}],"n":' || event_id || '}'"""
+JSON = """'{"items":[{"url":"https://h' || event_id % 9 || '.example.org/a","title":"T"},{"path":"/docs/' || event_id % 11 || '/x.PDF"},{"link":"/api/v2/' || event_id % 5 || '"},{"img":"/s/' || event_id || '.png"},{"href":"/deep/page/' || event_id % 3 || '"},{"href":"mailto:x","/key/of/' || event_id || '":1}],"more":[["https://m.example.org/q?x=' || event_id % 4 || chr(92) || 'u0026y=2"],["file' || event_id || '.pdf",[{"Path":" ' || chr(92) || '/nested/' || event_id % 7 || chr(92) || '/x "}]]],"n":' || event_id || case when event_id % 10 > 0 then '}' else '' end"""
+_values = f"select event_id as id, t.key, json_extract_string(t.value, '$') as v from (select event_id, {JSON} as body from events where event_id % 10 > 0) e, json_tree(e.body) t where t.type = 'VARCHAR'"
 
 
-@register("e4_walk_json_urls", f"""select distinct id, url from (select event_id as id, unnest(regexp_extract_all({JSON}, '"((?:[^"\\\\]|\\\\.)*)"', 1)) as url from events)
-  where regexp_matches(url, '(?i)^https?://') or regexp_matches(url, '(?i)^[^\\s]*{H.DOC_END}$') or contains(url, '/api/') or (regexp_matches(url, '^/[^/]+/.+') and not regexp_matches(url, '(?i)\\.(js|css|png|jpe?g|gif|svg|ico|woff2?)$'))""")
+# a tenth of the bodies is cut off and has no values
+@register("e4_walk_json_urls", f"""select distinct id, url from (select id, trim(v) as url from ({_values})) where starts_with(url, 'http://') or starts_with(url, 'https://')
+  or (starts_with(url, '/') and length(url) > 2 and (regexp_matches(lower(url), '[.](pdf|docx?|xlsx?|pptx?|csv|rtf|od[ts]|txt)$') or contains(lower(url), '/api/')
+  or (length(url) - length(replace(url, '/', '')) >= 2 and not regexp_matches(lower(url), '[.](css|js|png|jpe?g|gif|svg|ico|woff2?|ttf|map|json|xml)$'))))""")
 def _(spark, sf):
     return H.json_urls(load(spark, sf, "events").selectExpr("event_id as id", f"{JSON} as body"))
 
 
-@register("e4_nav_urls", f"select distinct id, url from (select event_id as id, unnest(regexp_extract_all({JSON}, '(?i)\"(?:url|href|link|path)\"\\s*:\\s*\"([^\"]+)\"', 1)) as url from events)")
+@register("e4_nav_urls", f"select distinct id, v as url from ({_values}) where lower(key) in ('url', 'href', 'link', 'path') and (starts_with(v, '/') or starts_with(v, 'http'))")
 def _(spark, sf):
     return H.nav_urls(load(spark, sf, "events").selectExpr("event_id as id", f"{JSON} as body"))
 
@@ -347,9 +350,18 @@ def _(spark, sf):
     return Q.answers(questions, hits.join(best, ["qid", "id"], "left"), wanted.join(points, "id", "left"))
 
 
-@register("r6_publish_summaries", "select id, jurisdiction, source_kind, url, length(summary) as chars, summarized_at from corpus order by summarized_at desc, id limit 5000", "corpus")
+_shown = ("case when id % 4 = 0 then '' else url || '?open' end as open_url", "'law' as document_type", "case when id % 5 = 0 then 'llm' else 'extractive' end as method")
+
+
+@register("r6_publish_summaries", f"select id, title, jurisdiction, source_kind, url, coalesce(nullif(open_url, ''), url) as open_url, cast(null as varchar) as source_page, summary, case when id % 3 > 0 then title else '' end as key_points, '' as topics, document_type, method, summarized_at from (select *, {', '.join(_shown)} from corpus) order by summarized_at desc, id limit 5000", "corpus")
+def _(spark, sf):
+    rows = load(spark, sf, "corpus").selectExpr("*", *_shown, "case when id % 3 > 0 then array(title) end as key_points")
+    return Q.publish_summaries(rows).withColumns({c: F.array_join(c, ",") for c in ("key_points", "topics")})
+
+
+@register("r6_publish_meta", "select least(count(*), 5000) as count, count(*) as total_indexed, max(summarized_at) as updated_at from corpus", "corpus")
 def _(spark, sf):
-    return Q.publish_summaries(load(spark, sf, "corpus"))
+    return Q.publish_meta(load(spark, sf, "corpus"))
 
 
 @register("r7_corpus_answer", "select jurisdiction, count(*) as n, count_if(length(summary) > 20) as with_summary, min(url) as first_url from corpus group by 1", "corpus")
@@ -364,7 +376,7 @@ def _(spark, sf):
 
 # one cut after another, by recursion over the rest of each text
 @register("r8_chunk_text", r"""with recursive c as (select doc_id as id, -1 as n, cast(null as varchar) as chunk, coalesce(text, '') as rest from documents union all
-  select id, n + 1, case when length(rest) <= 900 then rest else trim(rest[1:cut], e' \t\n\r\x0b\x0c') end, case when length(rest) <= 900 then '' else trim(rest[cut + 1:], e' \t\n\r\x0b\x0c') end from (select *, case when sp >= 360 then sp when nl >= 360 then nl else 900 end as cut from (select *, 900 - strpos(reverse(rest[1:900]), ' ') - case when strpos(reverse(rest[1:900]), ' ') = 0 then 901 else 0 end as sp, 900 - strpos(reverse(rest[1:900]), chr(10)) - case when strpos(reverse(rest[1:900]), chr(10)) = 0 then 901 else 0 end as nl from c where rest <> '')))
+  select id, n + 1, case when length(rest) <= 900 then rest else rest[1:cut] end, case when length(rest) <= 900 then '' else ltrim(rest[cut + 1:], e' \t\n\r\x0b\x0c') end from (select *, case when sp between 360 and 900 then sp when nl between 360 and 900 then nl else 900 end as cut from (select *, 901 - strpos(reverse(rest[1:901]), ' ') as sp, 901 - strpos(reverse(rest[1:901]), chr(10)) as nl from c where rest <> '')))
   select id, n, chunk from c where n >= 0""")
 def _(spark, sf):
     return Q.chunk_text(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))

@@ -39,6 +39,7 @@ def register(name: str, oracle: str | None):
 SNAPSHOTS = (
     "concat('source-', user_id % 40) as source", "event_id as seq", "case when event_type in ('error', 'signup') then 503 else 200 end as http_status",
     "concat('hash-', floor(event_id / 3) % 4) as content_hash", "case when event_id % 5 = 0 then array() else array(concat('item-', event_id % 60)) end as items",
+    "ts",
 )
 
 
@@ -48,6 +49,15 @@ def _(spark, sf):
     return drained(J.detect_changes(events(spark, sf).selectExpr(*SNAPSHOTS)))
 
 
+# what the state holds after the stream's end, read from its checkpoint
+@register("t1_change_state", """with s as (select 'source-' || user_id % 40 as source, event_id as seq, ts, 'hash-' || cast(floor(event_id / 3) % 4 as bigint) as content_hash, event_id % 5 = 0 as bare, 'item-' || event_id % 60 as item from events where event_type not in ('error', 'signup'))
+  select source, count(distinct item) filter (not bare) as n, arg_max(content_hash, seq) as page_hash, max(seq) as last_seq, arg_max(ts, seq) as last_ok from s group by source""")
+def _(spark, sf):
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    J.resume_batches(J.detect_changes(events(spark, sf).selectExpr(*SNAPSHOTS)), f"{at}/rows", f"{at}/checkpoint").awaitTermination()
+    return J.change_state(spark, f"{at}/checkpoint").select("source", F.size("urls").cast("long").alias("n"), "page_hash", "last_seq", F.col("last_ok").cast("timestamp_ntz").alias("last_ok"))
+
+
 @register("t1_new_items_by_key", "select distinct 'source-' || user_id % 40 as source, 'item-' || event_id % 60 as item from events")
 def _(spark, sf):
     items = events(spark, sf).selectExpr("concat('source-', user_id % 40) as source", "concat('item-', event_id % 60) as item")
@@ -74,14 +84,18 @@ def _(spark, sf):
     return _health(spark, sf)
 
 
+def _with_end(spark: SparkSession, runs: DataFrame) -> DataFrame:
+    """The stream and, of a source named 'end', a row so far ahead in time that the watermark passes all others."""
+    late = spark.createDataFrame([("end", "ok")], "source string, status string").withColumn("ts", F.lit("2999-01-01").cast("timestamp"))
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    late.write.parquet(at)
+    return runs.unionByName(spark.readStream.schema(late.schema).load(at))
+
+
 def _health(spark: SparkSession, sf: str, *window: str) -> DataFrame:
-    """Health by window, from the stream; a last row far ahead in time moves the watermark past every window, and is left out."""
+    """Health by window, from the stream to its end."""
     runs = events(spark, sf).selectExpr("concat('source-', user_id % 40) as source", f"{RUN_STATUS} as status", "cast(ts as timestamp) as ts")
-    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    late = spark.createDataFrame([("end", "ok")], "source string, status string").withColumn("ts", F.lit("2999-01-01").cast("timestamp"))
-    late.write.parquet(f"{at}/late")
-    ahead = spark.readStream.schema(late.schema).load(f"{at}/late")
-    rows = drained(J.run_health(runs.unionByName(ahead), *window))
+    rows = drained(J.run_health(_with_end(spark, runs), *window))
     day = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return rows.where("source <> 'end'").select("source", day("start"), day("end"), "n", "ok")
 
@@ -93,6 +107,15 @@ def _(spark, sf):
     return _health(spark, sf, "7 days", "1 day").withColumn("rate", F.round(100.0 * F.col("ok") / F.col("n"), 2))
 
 
+# the last row of a source before nothing came from it for over a day, at the end of the table too
+@register("t4_silent_sources", """select source, ts as since from (select *, lead(ts) over (partition by source order by ts) as after from (select distinct 'user-' || user_id as source, ts from events))
+  where after is null or after - ts > interval 1 day""")
+def _(spark, sf):
+    runs = events(spark, sf).selectExpr("concat('user-', user_id) as source", "'ok' as status", "cast(ts as timestamp) as ts")
+    rows = drained(J.silent_sources(_with_end(spark, runs), "1 day"))
+    return rows.where("source <> 'end'").select("source", F.col("since").cast("timestamp_ntz").alias("since"))
+
+
 @register("t4_run_health_batch", f"select 'source-' || user_id % 40 as source, date_trunc('day', ts) as start, date_trunc('day', ts) + interval 1 day as \"end\", count(*) as n, cast(count_if({RUN_STATUS} = 'ok') as bigint) as ok from events group by 1, 2, 3")
 def _(spark, sf):
     runs = spark.read.schema(SCHEMA).parquet(f"{sf}/events.parquet").selectExpr("concat('source-', user_id % 40) as source", f"{RUN_STATUS} as status", "ts")

@@ -4,49 +4,114 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 UPDATES = "source string, item string, kind string"
-STATE = "urls array<string>, page_hash string"
+STATE = "urls array<string>, page_hash string, last_seq long, last_ok timestamp"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _on_disk(spark: SparkSession) -> None:
+    """Keep state in RocksDB, which the operators below need: it holds on disk what does not fit in memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+class _Changes(StatefulProcessor):
+    """What each source has shown: its latest items, the last page's hash, and when it last answered."""
+
+    def __init__(self, remember: int):
+        self.remember = remember
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        urls, before, last, when = self.seen.get() if self.seen.exists() else ([], None, None, None)
+        items = dict.fromkeys(urls or [])
+        waiting = [(r.seq, r.content_hash, r.items or [], r.ts) for r in rows if r.http_status is not None and 0 < r.http_status < 400]
+        for seq, digest, shown, ts in sorted(waiting, key=lambda r: (r[0], r[1] or "")):
+            for item in shown:
+                if item not in items:
+                    yield Row(source=key[0], item=item, kind="new")
+                items.pop(item, None)
+                items[item] = None
+            if not shown and before is not None and before != digest:
+                yield Row(source=key[0], item=digest, kind="changed")
+            before, last, when = digest, seq, ts if ts is not None else when
+        if waiting:
+            self.seen.update((list(items)[-self.remember :], before, last, when))
+
+    def close(self) -> None:
+        pass
 
 
 def detect_changes(snapshots: DataFrame, remember: int = 200) -> DataFrame:
-    """Updates of a stream of snapshots (source, seq, http_status, content_hash, items array<string>).
+    """Updates of a stream of snapshots (source, seq, http_status, content_hash, items array<string>, and ts if there is one).
 
     One row for each item that its source has not shown before (kind new), and one where a page without items has another
-    hash than last time (kind changed). Only responses below 400 touch the state; it keeps the last ``remember`` items.
-    Snapshots of a batch are taken in the order of ``seq``; between batches the stream's own order counts, so later files
-    should hold later snapshots. A source's snapshots are read frame by frame; of each only seq, hash and new items are held.
+    hash than last time (kind changed), in the order of ``seq``. Only responses from 1 to 399 touch the state, which is in
+    RocksDB, a row a source: its last ``remember`` items, page hash, seq and ``ts`` (see ``change_state``). Items beyond
+    ``remember`` are forgotten when a batch ends. Of a batch a task holds one source's good snapshots, so the stream's
+    ``maxFilesPerTrigger`` bounds memory; between batches the stream's own order counts: later files should hold later snapshots.
     """
+    _on_disk(snapshots.sparkSession)
+    ts = F.col("ts").cast("timestamp") if "ts" in snapshots.columns else F.lit(None).cast("timestamp")
+    rows = snapshots.select("source", F.col("seq").cast("long").alias("seq"), "http_status", "content_hash", "items", ts.alias("ts"))
+    return rows.groupBy("source").transformWithState(_Changes(remember), UPDATES, "append", "none")
+
+
+def change_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(source, urls, page_hash, last_seq, last_ok): what ``detect_changes`` with this checkpoint knows of each source."""
+    return spark.read.format("statestore").option("stateVarName", "seen").load(checkpoint).select("key.source", "value.*")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        urls, before = state.get if state.exists else ([], None)
-        seen = dict.fromkeys(urls or [])
-        shown: dict[str, tuple[int, int]] = {}  # item -> first and last seq of this batch
-        pages: list[tuple[int, str, bool]] = []
-        for frame in frames:
-            good = frame[(frame["http_status"] > 0) & (frame["http_status"] < 400)]
-            for seq, digest, items in zip(good["seq"].tolist(), good["content_hash"], good["items"]):
-                items = list(items) if items is not None else []
-                pages.append((seq, digest, not items))
-                for item in items:
-                    first, last = shown.get(item, (seq, seq))
-                    shown[item] = (min(first, seq), max(last, seq))
-        out = [(key[0], item, "new") for item in sorted(shown, key=lambda x: (shown[x], x)) if item not in seen]
-        for _, digest, bare in sorted(pages):
-            if bare and before is not None and before != digest:
-                out.append((key[0], digest, "changed"))
-            before = digest
-        for item in sorted(shown, key=lambda x: (shown[x][1], x)):
-            seen.pop(item, None)
-            seen[item] = None
-        state.update((list(seen)[-remember:], before))
-        yield pd.DataFrame(out, columns=["source", "item", "kind"])
-
-    return snapshots.groupBy("source").applyInPandasWithState(step, UPDATES, STATE, "append", GroupStateTimeout.NoTimeout)
+
+class _Silence(StatefulProcessor):
+    """The latest time of each source; a timer goes off when nothing has come for ``after`` microseconds since."""
+
+    def __init__(self, after: int):
+        self.after = after
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long, told boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last, told = self.last.get() if self.last.exists() else (None, False)
+        for at in sorted(r.at for r in rows if r.at is not None):
+            if last is not None and at <= last:
+                continue
+            if last is not None and at - last > self.after and not told:
+                yield Row(source=key[0], since=last)
+            last, told = at, False
+        if last is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.last.update((last, told))
+            if not told:
+                self.handle.registerTimer((last + self.after) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last, _ = self.last.get()
+        self.last.update((last, True))
+        yield Row(source=key[0], since=last)
+
+    def close(self) -> None:
+        pass
+
+
+def silent_sources(runs: DataFrame, after: str = "7 days", delay: str = "1 day") -> DataFrame:
+    """(source, since): each time that nothing came from a source for longer than ``after``, and its last row before that.
+
+    runs (source, ts). A silence that has not ended is told as soon as the watermark, ``delay`` behind the latest row of any
+    source, has passed its limit; one that a later row ends is told once. Rows without a time or later than the watermark do not count.
+    """
+    _on_disk(runs.sparkSession)
+    span = runs.sparkSession.sql(f"select unix_micros(timestamp_seconds(0) + interval {after})").first()[0]
+    rows = runs.select("source", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    told = rows.groupBy("source").transformWithState(_Silence(span), "source string, since long", "append", "eventTime")
+    return told.select("source", F.timestamp_micros("since").alias("since"))
 
 
 def new_items_stream(items: DataFrame, *keys: str, delay: str | None = None, time: str = "ts") -> DataFrame:

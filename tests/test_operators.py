@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from datetime import datetime
 
 import pytest
 from docketlake.functions import classify as C
@@ -189,11 +190,49 @@ def test_streaks_and_numbers(spark):
     assert all(r.n == 100 - r.id for r in out)
 
 
+def chunks_of(text: str, size: int = 900) -> list[str]:
+    out, rest = [], text
+    while rest:
+        cut = len(rest) if len(rest) <= size else max((rest.rfind(c, 0, size + 1) for c in " "), default=-1)
+        if len(rest) > size and cut < 0.4 * size:
+            cut = rest.rfind("\n", 0, size + 1)
+            cut = size if cut < 0.4 * size else cut
+        out.append(rest[:cut])
+        rest = rest[cut:].lstrip()
+    return out
+
+
 def test_chunks(spark):
-    text = "word " * 500 + "\n" + "x" * 2000
-    rows = Q.chunk_text(spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, text string")).orderBy("n").collect()
-    assert {r.id for r in rows} == {1} and all(len(r.chunk) <= 900 for r in rows)
-    assert "".join(r.chunk for r in rows).replace(" ", "") == text.replace(" ", "").replace("\n", "")
+    """Cuts equal a plain loop over texts of words, lines, long runs without either, long blanks, and one of 5 MB; all in the JVM."""
+    rng = random.Random(5)
+    make = lambda n, blanks: "".join("x" * rng.randint(1, 90 if blanks else 2000) + rng.choice(blanks or "\n") for _ in range(n))
+    texts = [None, "", " ", "a", "x" * 900, "x" * 901, "x" * 900 + " y", "x" * 899 + " y z", " " * 2000 + "é" * 1000, "x" * 359 + " " + "y" * 900, "x" * 360 + " " + "y" * 900]
+    texts += ["a b" + " " * n + "c" * 950 for n in (890, 900, 901, 1800, 5000)] + [make(n, b) for n in (5, 60, 300) for b in (" ", "\n", " \n\t\u00a0", "")] + ["\U0001f600 é" * 700]
+    texts.append(make(110_000, " \n"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    got = Q.chunk_text(docs)
+    assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
+    found = {}
+    for r in got.orderBy("id", "n").collect():
+        found.setdefault(r.id, []).append(r.chunk)
+    assert found == {i: chunks_of(t) for i, t in enumerate(texts) if t}
+    assert len(found[len(texts) - 1]) > 5000
+
+
+def test_json_leaves(spark):
+    """Values and not keys, escapes read, any depth; bodies that are no JSON have none."""
+    body = {
+        "https://key.example/a": "plain", "a": [["https://v.example/x?a=1&b=2", {"b": [" /api/v1 "]}], "/docs/A.PDF", "x.pdf", "/one", "/one/two", "/s/t.PNG", "/s/t.json"],
+        "q": 'say \\ "/quoted/path"', "Url": "/nav/1", "link": ["/nav/in/list"], "href": "mailto:x", "path": "httpx", "n": 3, "e": "",
+    }
+    text = json.dumps(body).replace("&", "\\u0026").replace("/docs", "\\/docs").replace('"Url"', '"\\u0055rl"')
+    deep = "[" * 60 + '"/deep/er"' + "]" * 60
+    rows = [(1, text), (2, "[" + text), (3, None), (4, ""), (5, '"https://bare.example/"'), (6, deep), (7, '{"url":"/nav/2","x":{"url":null,"path":"/nav/2"}}')]
+    df = spark.createDataFrame(rows, "id long, body string")
+    got = sorted((r.id, r.url) for r in H.json_urls(df).collect())
+    want = [(1, x) for x in ("https://v.example/x?a=1&b=2", "/api/v1", "/docs/A.PDF", "/one/two", "/nav/in/list", "/nav/1")]
+    assert got == sorted([*want, (5, "https://bare.example/"), (6, "/deep/er"), (7, "/nav/2")])
+    assert sorted((r.id, r.url) for r in H.nav_urls(df).collect()) == [(1, "/nav/1"), (1, "httpx"), (7, "/nav/2")]
 
 
 def test_extractive_summary_of_blank_text(spark):
@@ -265,6 +304,42 @@ def test_stream_changes_equal_the_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("changes").collect())) == [("s", "a", "new"), ("s", "b", "new"), ("s", "c", "new"), ("s", "h2", "changed")]
 
 
+def test_change_state_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Three batches, the last one in a second run: nothing is told twice, the state is read from the checkpoint."""
+    schema = "source string, seq long, http_status int, content_hash string, items array<string>, ts timestamp"
+    day = lambda n: datetime(2024, 1, n)
+    parts = [
+        [("s", 2, 200, "h2", ["b"], day(2)), ("s", 1, 200, "h1", ["a"], day(1)), ("t", 1, 404, "g", ["x"], day(1))],
+        [("s", 4, 200, "h4", [], day(4)), ("s", 3, 200, "h3", ["a", "c"], day(3)), ("s", 5, None, "h", ["q"], day(5))],
+        [("s", 6, 503, "h9", ["z"], day(6)), ("s", 7, 200, "h4", None, None), ("s", 8, 200, "h5", [], day(8)), ("t", 2, 200, "g", [], day(2))],
+    ]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    told = []
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/p{n}")
+        if n:
+            J.resume_batches(J.detect_changes(stream), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+            told.append(sorted((r.source, r.item, r.kind) for r in spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert told[0] == [("s", "a", "new"), ("s", "b", "new"), ("s", "c", "new"), ("s", "h4", "changed")]
+    assert told[1] == sorted([*told[0], ("s", "h5", "changed")])
+    state = {r.source: (r.urls, r.page_hash, r.last_seq, r.last_ok) for r in J.change_state(spark, f"{tmp_path}/c").collect()}
+    assert state == {"s": (["b", "a", "c"], "h5", 8, day(8)), "t": ([], "g", 2, day(2))}
+
+
+def test_silence_is_told_once(spark, tmp_path):
+    """A silence ended within a batch, one that a timer tells and a later row ends, and one at the end."""
+    at = lambda n: datetime(2024, 1, n)
+    parts = [[("a", at(5)), ("a", at(1)), ("b", at(1)), ("n", None)], [("b", at(8)), ("a", at(6))], [("a", at(9)), ("b", at(20))], [("b", at(21))]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("source string, ts timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, "source string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/p{n}")
+        J.resume_batches(J.silent_sources(stream, "3 days"), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    rows = sorted((r.source, r.since) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert rows == [("a", at(1)), ("a", at(9)), ("b", at(1)), ("b", at(8))]
+
+
 def test_stream_health_and_publish(spark, tmp_path):
     rows = [("a", "ok", "2024-01-01 01:00:00", 1), ("a", "error", "2024-01-01 02:00:00", 2), ("a", "ok", "2024-01-05 00:00:00", 3)]
     spark.createDataFrame(rows, "source string, status string, at string, k long").withColumn("ts", F.col("at").cast("timestamp")).write.parquet(f"{tmp_path}/in")
