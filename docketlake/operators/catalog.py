@@ -110,12 +110,22 @@ def prefer_subset(rows: DataFrame, wanted: Column) -> DataFrame:
     return rows if some.isEmpty() else some
 
 
-def todo_summaries(catalog: DataFrame, done: DataFrame, jurisdictions: list[str] | None, limit: int | None = None) -> DataFrame:
-    """Catalog rows with id and URL that have no summary, of these jurisdictions, Saudi ones first."""
-    todo = catalog.where((C.text_or_blank(F.col("id")) != "") & (C.text_or_blank(F.col("url")) != "")).join(done.select("id"), "id", "left_anti")
+def todo_summaries(catalog: DataFrame, done: DataFrame, jurisdictions: list[str] | None, limit: int | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Catalog rows with an id and a place to read them from that have no summary, of these jurisdictions.
+
+    Those whose local_path is one of ``files`` (path) come first (rank 0 and 1), and among these and the others Saudi ones.
+    """
+    places = [c for c in ("local_path", "open_url", "url") if c in catalog.columns]
+    somewhere = reduce(lambda a, b: a | b, [C.text_or_blank(F.col(c)) != "" for c in places])
+    todo = catalog.where((C.text_or_blank(F.col("id")) != "") & somewhere).join(done.select("id"), "id", "left_anti")
     if jurisdictions:
         todo = todo.where(reduce(lambda a, b: a | b, [F.lower("jurisdiction").contains(j.lower()) for j in jurisdictions]))
-    todo = todo.withColumn("rank", F.when(F.lower(C.text_or_blank(F.col("jurisdiction"))).contains("saudi"), 0).otherwise(1))
+    rank = F.when(F.lower(C.text_or_blank(F.col("jurisdiction"))).contains("saudi"), 0).otherwise(1)
+    if files is not None:
+        here = files.select(F.col("path").alias("local_path")).distinct().withColumn("_here", F.lit(True))
+        todo = todo.join(here, "local_path", "left").withColumn("rank", F.when(F.col("_here"), rank).otherwise(rank + 2)).drop("_here")
+    else:
+        todo = todo.withColumn("rank", rank)
     return todo.orderBy("rank", "id").limit(limit) if limit else todo
 
 
@@ -292,3 +302,14 @@ def laws_order(newest_first: bool = True) -> list[Column]:
     rank = F.when(F.col("source") == "collector", 0).when(F.col("source") == "tracking", 1).otherwise(2)
     date = C.text_or_blank(F.col("date"))
     return [rank, F.when(date == "", 1).otherwise(0), F.desc(date) if newest_first else F.asc(date), F.asc(C.text_or_blank(F.col("country"))), F.asc(C.text_or_blank(F.col("name"))), F.asc("k")]
+
+
+def catalog_order() -> list[Column]:
+    """Sort keys of the published catalog: newest download first, then place and title, both from the end of the alphabet."""
+    return [F.desc(C.text_or_blank(F.col(c))) for c in ("downloaded_at", "jurisdiction", "title")] + [F.asc("k")]
+
+
+def summaries_order() -> list[Column]:
+    """Sort keys of listed summaries: filled ones first, of these English ones (see ``script_language``), then by title."""
+    filled = C.text_or_blank(F.col("summary")) != ""
+    return [F.when(filled, 0).otherwise(1), F.when(filled & (C.script_language(F.col("summary")) == "en"), 0).otherwise(1), F.asc(C.text_or_blank(F.col("title"))), F.asc("id")]

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import previous
-from .storage import numbered
+from .scan import empty_streaks, previous
+from .storage import numbered, saved
 
 
 def dedupe_first(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -113,6 +113,29 @@ def run_stats(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count("*").alias("attempted"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.sum("new_items").alias("new_items"))
 
 
+def crawl_reports(visits: DataFrame, documents: DataFrame, streak: int = 8) -> DataFrame:
+    """A report on each source of a run, and one on all of them (source null, part 'total').
+
+    visits (source, seq, js, links, error): every fetch in order; documents (source, regulatory, downloaded): what was found. The error
+    of a source is its first where no document was found, else possible_rate_limit after ``streak`` pages without links in a row.
+    """
+    pages = visits.groupBy("source").agg(F.count("*").alias("pages"), F.count_if("js").alias("js_pages"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("first"))
+    found = documents.groupBy("source").agg(F.count("*").alias("candidates"), F.count_if("regulatory").alias("kept"), F.count_if(~F.col("regulatory")).alias("rejected"), F.count_if("downloaded").alias("downloaded"))
+    empty = empty_streaks(visits.where("error is null"), "source", "seq", "links", streak).select("source").distinct().withColumn("empty", F.lit(True))
+    counts = ["pages", "js_pages", "errors", "candidates", "kept", "rejected", "downloaded"]
+    rows = pages.join(found, "source", "full").join(empty, "source", "left").fillna(0, counts)
+    error = F.when(F.col("candidates") == 0, F.col("first"))
+    rows = saved(rows.select("source", *counts, F.coalesce(error, F.when(F.col("empty"), F.lit("possible_rate_limit"))).alias("error")))
+    total = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+    named = lambda part, r: r.select(F.lit(part).alias("part"), "source", *counts, "error")
+    return named("source", rows).unionByName(named("total", total.withColumns({c: F.lit(None).cast("string") for c in ("source", "error")})))
+
+
+def merge_counts(merged: DataFrame) -> DataFrame:
+    """(jurisdiction, n): rows that a merge (see ``merge_artifacts_into``) added or gave another label, by the label they have now."""
+    return merged.where("change <> 'kept'").groupBy("jurisdiction").agg(F.count("*").alias("n"))
+
+
 def source_reports(runs: DataFrame) -> DataFrame:
     """Pages, candidates, kept items, errors and HTTP errors of each source."""
     return runs.groupBy("source").agg(

@@ -284,7 +284,7 @@ def chunks(text: Column, size: int = 900) -> Column:
     A piece ends at the last blank in the first ``size`` + 1 characters or, where that leaves under 40 % of ``size``, at the
     last line end, or else after ``size``; white space after a cut goes. Each cut depends on the one before: the text is
     taken apart into blocks of ``size`` characters once, and a fold goes from cut to cut, each time over the three blocks
-    in which the next cut lies, so the work is linear, and the state is a place and the pieces so far.
+    in which the next cut lies. Its state is a place and where each piece so far begins and how long it is.
     """
     least = ceil(0.4 * size)
     last = lambda s, c: F.length(s) - F.instr(F.reverse(s), c)  # noqa: E731  (its length where c is not in s)
@@ -295,21 +295,25 @@ def chunks(text: Column, size: int = 900) -> Column:
         blank = _let(last(head, " "), lambda at: F.when(usable(head, at), at).otherwise(line))
         return F.when(F.length(head) <= size, F.length(head)).otherwise(blank)
 
+    def window(blocks: Column, at: Column) -> Column:
+        return F.substr(F.array_join(F.slice(blocks, F.floor(at / size).cast("int") + 1, 3), ""), at % size + 1)
+
     def step(blocks: Column, state: Column) -> Column:
-        window = F.substr(F.array_join(F.slice(blocks, F.floor(state["at"] / size).cast("int") + 1, 3), ""), state["at"] % size + 1)
         moved = lambda by: (state["at"] + by).cast("int").alias("at")
 
         def piece(w: Column, lead: Column) -> Column:
             head = F.substr(w, lead + 1, F.lit(size + 1))
-            taken = _let(head, lambda h: _let(cut(h), lambda n: F.struct(moved(lead + n), F.array_append(state["out"], F.substr(h, F.lit(1), n)).alias("out"))))
+            taken = _let(head, lambda h: _let(cut(h), lambda n: F.struct(moved(lead + n), F.concat(state["out"], F.array((state["at"] + lead).cast("int"), n)).alias("out"))))
             return F.when((lead > size) | (lead == F.length(w)), F.struct(moved(lead), state["out"].alias("out"))).otherwise(taken)
 
-        return _let(window, lambda w: _let(F.when(state["at"] > 0, F.length(F.regexp_extract(w, BLANKS, 0))).otherwise(0), lambda lead: piece(w, lead)))
+        return _let(window(blocks, state["at"]), lambda w: _let(F.when(state["at"] > 0, F.length(F.regexp_extract(w, BLANKS, 0))).otherwise(0), lambda lead: piece(w, lead)))
 
     def fold(blocks: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
         steps = F.sequence(F.lit(0), F.floor(F.size(blocks) * size / least).cast("int"))
-        return F.aggregate(steps, start, lambda state, _: step(blocks, state), lambda state: state["out"])
+        places = F.aggregate(steps, start, lambda state, _: step(blocks, state), lambda state: state["out"])
+        piece = lambda out, i: F.substr(window(blocks, F.get(out, 2 * i)), F.lit(1), F.get(out, 2 * i + 1))
+        return _let(places, lambda out: F.when(F.size(out) > 0, F.transform(F.sequence(F.lit(0), (F.size(out) / 2).cast("int") - 1), lambda i: piece(out, i))).otherwise(F.array().cast("array<string>")))
 
     return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), 0), fold)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import urls as U
 from ..operators import catalog as K
+from ..operators.search import search, write_index
+from ..operators.storage import shared_dir
 from . import sqlx as X
 from .inputs import load, projection, with_inputs
 
@@ -323,6 +326,17 @@ def _(spark, sf):
 _law_fields = "name summary country level level_detail law_area topic authority link authority_url region source"
 
 
+ASKED = ["law", "UK off", "PDF", "x", "2019", "Gazette_2", "no such text anywhere", " https://WWW.", ""]
+
+
+# the same fields by the index of short strings; a blank question finds nothing
+@register("c22_indexed_search", f"with e as ({ENRICHED}) " + " union all ".join(f"select k, {i} as qid from e where {_has(_pdf_fields, t.strip().lower())}" for i, t in enumerate(ASKED) if t), "downloads")
+def _(spark, sf):
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    write_index(K.enrich(load(spark, sf, "downloads")), "k", K.PDF_FIELDS, path)
+    return search(spark, path, spark.createDataFrame(list(enumerate(ASKED)), "qid int, text string")).select(F.col("id").alias("k"), "qid")
+
+
 @register("c23_filter_laws", f"with {TRACKING_LAWS} select k, 'state' as part from tlaws where level = 'State' and list_contains(list_transform(string_split(lower(law_area), ','), lambda x: trim(x)), 'tax') and {_has(_law_fields, 'a')} union all select k, 'country' from tlaws where country = 'Canada' and source = 'tracking' and {_has(_law_fields, 'example.org/u/1')}", "tracking", "registry")
 def _(spark, sf):
     laws = K.law_rows_from_tracking(load(spark, sf, "tracking"), load(spark, sf, "registry"))
@@ -362,10 +376,12 @@ def _(spark, sf):
     return K.prefer_subset(load(spark, sf, "registry"), F.col("jurisdiction").contains("Quebec")).select("k")
 
 
-@register("c26_todo_summaries", "select id, k, case when contains(lower(jurisdiction), 'saudi') then 0 else 1 end as rank from (select *, sha256 || k as id from downloads) where k % 3 <> 0 and (contains(lower(jurisdiction), 'saudi') or contains(lower(jurisdiction), 'uk')) order by rank, id limit 25", "downloads")
+@register("c26_todo_summaries", "select id, k, case when contains(lower(jurisdiction), 'saudi') then 0 else 1 end + case when k % 4 = 0 and k % 8 <> 0 then 0 else 2 end as rank from (select *, sha256 || k as id from downloads) where k % 3 <> 0 and (contains(lower(jurisdiction), 'saudi') or contains(lower(jurisdiction), 'uk')) order by rank, id limit 25", "downloads")
 def _(spark, sf):
-    catalog = load(spark, sf, "downloads").withColumn("id", F.concat("sha256", F.col("k").cast("string")))
-    return K.todo_summaries(catalog, catalog.where("k % 3 = 0"), ["saudi", "uk"], 25).select("id", "k", "rank")
+    """Every fourth download says that it lies in a local file; half of these files are there."""
+    catalog = load(spark, sf, "downloads").withColumn("id", F.concat("sha256", F.col("k").cast("string"))).withColumn("local_path", F.when(F.col("k") % 4 == 0, F.concat(F.lit("files/"), F.col("k").cast("string"))))
+    files = catalog.where("k % 8 <> 0").select(F.concat(F.lit("files/"), F.col("k").cast("string")).alias("path"))
+    return K.todo_summaries(catalog, catalog.where("k % 3 = 0"), ["saudi", "uk"], 25, files).select("id", "k", "rank")
 
 
 @register("c27_normalize_law_row", "select k, coalesce(nullif(trim(title), ''), 'Untitled') as name, coalesce(nullif(trim(country), ''), '') as country, 'Federal' as level, '' as level_detail, coalesce(nullif(trim(law_area), ''), '') as law_area, coalesce(nullif(trim(link), ''), '') as link, 'source' as source from updates", "updates")
@@ -432,3 +448,21 @@ def _(spark, sf):
 
     laws = K.law_rows_from_tracking(load(spark, sf, "tracking"), load(spark, sf, "registry"))
     return keep_top(laws, [], 300, *K.laws_order(), name="place").select("k", "place")
+
+
+@register("w9_catalog_sort", "select k, row_number() over (order by coalesce(downloaded_at, '') desc, coalesce(jurisdiction, '') desc, coalesce(title, '') desc, k) as place from downloads order by place limit 300", "downloads")
+def _(spark, sf):
+    from ..operators.rank import keep_top
+
+    return keep_top(load(spark, sf, "downloads"), [], 300, *K.catalog_order(), name="place").select("k", "place")
+
+
+_told = "case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then repeat('نظام ', length(text)) else text end"
+
+
+@register("w9_summary_sort", f"select id, row_number() over (order by case when summary = '' then 1 else 0 end, case when summary = '' or contains(summary, 'نظام') then 1 else 0 end, title, id) as place from (select doc_id as id, left(text, 12) as title, {_told} as summary from documents) order by place limit 300")
+def _(spark, sf):
+    from ..operators.rank import keep_top
+
+    rows = load(spark, sf, "documents").selectExpr("doc_id as id", "left(text, 12) as title", f"{_told} as summary")
+    return keep_top(rows, [], 300, *K.summaries_order(), name="place").select("id", "place")

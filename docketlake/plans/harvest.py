@@ -314,6 +314,14 @@ def _(spark, sf):
     return Q.passages(Q.retrieve(questions, corpus), questions, corpus)
 
 
+# the best passages of every document for one question
+@register("w4_top_passages", f"with q as (select 1 as qid, {_tok(chr(39) + 'Which data are held by the large shard server table' + chr(39))} as qt), hits as (select 1 as qid, id, 1 as rank from corpus), {_passages_sql(500, 650, 50)} select id, passage, score, start, nth from passages", "corpus")
+def _(spark, sf):
+    corpus = load(spark, sf, "corpus")
+    question = spark.createDataFrame([(1, "Which data are held by the large shard server table")], "qid int, question string")
+    return Q.passages(corpus.select(F.lit(1).alias("qid"), "id", F.lit(1).alias("rank")), question, corpus).drop("qid")
+
+
 @register("r3_passages_client", f"with {_retrieved}, {_passages_sql(400, 550, 40, 80)} select * from passages", "corpus")
 def _(spark, sf):
     corpus, questions = load(spark, sf, "corpus"), _questions(spark, sf)
@@ -476,7 +484,7 @@ def _(spark, sf):
     path = _written(spark, lambda p: arrays.repartition(4).write.option("lineSep", "\n").text(p))
     schema = "k long, title string, jurisdiction string, bytes long"
     missing = S.read_json_table(spark, f"{path}-not-there", schema)
-    return S.read_json_table(spark, path, schema).where("k is not null").unionByName(missing).unionByName(missing.agg(F.count("*").alias("bytes")).selectExpr("cast(-1 as bigint) as k", "cast(null as string) as title", "cast(null as string) as jurisdiction", "bytes"))
+    return S.read_json_table(spark, f"{path}-not-there", schema, path).where("k is not null").unionByName(missing).unionByName(missing.agg(F.count("*").alias("bytes")).selectExpr("cast(-1 as bigint) as k", "cast(null as string) as title", "cast(null as string) as jurisdiction", "bytes"))
 
 
 @register("s2_read_jsonl_latest", "select id, summary, summarized_at from (select *, row_number() over (partition by id order by summarized_at desc) as r from (select k % 300 as id, case when k % 11 = 0 then '  ' else 'Summary ' || k end as summary, '2024-' || lpad(cast(k as varchar), 9, '0') as summarized_at from downloads where k % 13 <> 5)) where r = 1 and trim(summary) <> ''", "downloads")
@@ -614,6 +622,13 @@ def _(spark, sf):
     return S.load_for_browse(d).select("k", "open_url", "bytes")
 
 
+# the first source of the catalog has no rows, the second has some
+@register("s14_fallback_chain", "select k, url from downloads where status = 'downloaded' and url is not null", "downloads")
+def _(spark, sf):
+    d = load(spark, sf, "downloads").select("k", "url", "status")
+    return S.load_for_browse(S.first_non_empty(d.where("status = 'remote'"), d.where("status = 'downloaded'"), d)).select("k", "url")
+
+
 @register("s15_catalog_from_manifest", "select coalesce(nullif(s, ''), 'pdf_' || row_number() over (order by k)) as id, coalesce(nullif(trim(title), ''), nullif(trim(filename), ''), 'Untitled') as title, jurisdiction, source_kind, url, url as open_url from (select *, case when k % 3 = 0 then '' else sha256 end as s from downloads)", "downloads")
 def _(spark, sf):
     d = load(spark, sf, "downloads").withColumn("sha256", F.when(F.col("k") % 3 == 0, F.lit("")).otherwise(F.col("sha256")))

@@ -92,6 +92,21 @@ def _(spark, sf):
     return load(spark, sf, "downloads").where("status = 'download_failed'").groupBy("jurisdiction").agg(F.count("*").alias("n"))
 
 
+@register("a14_crawl_reports", """with v as (select source, event_id as seq, user_id % 7 = 0 as js, case when event_id % 400 < 90 then 0 else 3 end as links, case when status <> 'ok' then status || event_id end as error from runs),
+  d as (select 'source-' || k % 55 as source, k % 3 > 0 as regulatory, status = 'downloaded' as downloaded from downloads where k % 55 > 3),
+  p as (select source, count(*) as pages, count_if(js) as js_pages, count(error) as errors, arg_min(error, seq) filter (error is not null) as first from v group by 1),
+  f as (select source, count(*) as candidates, count_if(regulatory) as kept, count_if(not regulatory) as rejected, count_if(downloaded) as downloaded from d group by 1),
+  z as (select distinct source from (select source, sum(links) over (partition by source order by seq rows between 7 preceding and current row) as s, row_number() over (partition by source order by seq) as n from v where error is null) where s = 0 and n >= 8),
+  r as (select coalesce(p.source, f.source) as source, coalesce(pages, 0) as pages, coalesce(js_pages, 0) as js_pages, coalesce(errors, 0) as errors, coalesce(candidates, 0) as candidates, coalesce(kept, 0) as kept, coalesce(rejected, 0) as rejected, coalesce(downloaded, 0) as downloaded, coalesce(case when candidates is null then first end, case when z.source is not null then 'possible_rate_limit' end) as error
+    from p full join f on p.source = f.source left join z on z.source = coalesce(p.source, f.source))
+  select 'source' as part, * from r union all select 'total', null, sum(pages)::bigint, sum(js_pages)::bigint, sum(errors)::bigint, sum(candidates)::bigint, sum(kept)::bigint, sum(rejected)::bigint, sum(downloaded)::bigint, null from r""", "runs", "downloads")
+def _(spark, sf):
+    """Sources 0 to 3 have visits only, and those from 40 on documents only."""
+    visits = load(spark, sf, "runs").selectExpr("source", "event_id as seq", "user_id % 7 = 0 as js", "case when event_id % 400 < 90 then 0 else 3 end as links", "case when status <> 'ok' then concat(status, event_id) end as error")
+    documents = load(spark, sf, "downloads").where("k % 55 > 3").selectExpr("concat('source-', k % 55) as source", "k % 3 > 0 as regulatory", "status = 'downloaded' as downloaded")
+    return R.crawl_reports(visits, documents)
+
+
 @register("a12_facet_values", "select distinct trim(x) as value from (select unnest(string_split(segment, ',')) as x from registry) where trim(x) <> '' union all select distinct trim(jurisdiction) from registry where trim(jurisdiction) <> ''", "registry")
 def _(spark, sf):
     r = load(spark, sf, "registry")
@@ -256,6 +271,11 @@ def _(spark, sf):
     return R.merge_artifacts_into(old, new, "Saudi Arabia - ", "nth")
 
 
+@register("a11_merge_counts", f"select jurisdiction, count(*) as n from ({SQL['j5_merge_artifacts']}) where change <> 'kept' group by 1")
+def _(spark, sf):
+    return R.merge_counts(QUERIES["j5_merge_artifacts"](spark, sf))
+
+
 # a gazette row for each jurisdiction of the registry, two that have no documents and one without any source
 GAZETTE = "select jurisdiction, case when n % 3 = 0 then null else 'https://p.example/' end as parliamentary_bills, case when n % 2 = 0 then ' ' else 'https://g.example/' end as official_gazette, 'https://l.example/' as legal_databases from (select jurisdiction, min(k) as n from registry group by jurisdiction union all select 'Nowhere', 1 union all select 'Atlantis', 5)"
 _coverage = f"""with c as ({ENRICHED}), b as (select case when trim(jurisdiction) = '' then 'Unknown' else trim(jurisdiction) end as j, * replace (case when jurisdiction = 'France' and source_kind = 'official_gazette' then 'site' else source_kind end as source_kind) from c),

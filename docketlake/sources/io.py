@@ -11,15 +11,15 @@ from ..functions import urls as U
 from ..operators.storage import discard, numbered, saved
 
 
-def read_json_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A JSON array of records; a missing file is an empty table, blank strings are null."""
-    try:
-        df = spark.read.schema(schema).option("multiLine", True).json(path)
-        return _blank_to_null(df)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+def read_json_table(spark: SparkSession, path: str, schema: StructType | str, *others: str) -> DataFrame:
+    """A JSON array of records at the first of the paths that exists; without one an empty table. Blank strings are null."""
+    for place in (path, *others):
+        try:
+            return _blank_to_null(spark.read.schema(schema).option("multiLine", True).json(place))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    return spark.createDataFrame([], schema)
 
 
 def _blank_to_null(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from docketlake.operators import harvest as H
 from docketlake.operators import rank as R
 from docketlake.operators import retrieval as Q
 from docketlake.operators import scan as W
+from docketlake.operators import search as SE
 from docketlake.operators.storage import numbered
 from docketlake.sources import io as S
 from docketlake.streaming import jobs as J
@@ -389,6 +390,38 @@ def test_searches_look_through_filled_fields(spark):
     assert ids(text="title uk tag") == [1] and ids(text=" TAG") == [1, 2] and ids(text="one two") == [1] and ids(text="") == [1, 2] and ids(jurisdiction="UK", text="two") == [1] and ids(text="none") == []
 
 
+@pytest.mark.parametrize("rarest", [1, 8])
+def test_index_finds_what_a_scan_finds(spark, tmp_path, rarest):
+    """Every part of up to six characters of some rows, and parts that no row has, however few strings pick the candidates."""
+    rows = [(1, "Bank Act", "2019", ["Tax", None]), (2, None, None, None), (3, "bank  notes é\U0001f600z", "", []), (4, "aaaa", "a", ["aa"]), (5, "BANK ACT", "2019", ["tax"]), (6, "100%_[x](y)", "\\n", ["q"]), (None, "Bank Act", "x", None)]
+    table = spark.createDataFrame(rows, "id int, text string, part string, gram array<string>")
+    fields = ["text", "part", "gram"]
+    SE.write_index(table, "id", fields, f"{tmp_path}/index", buckets=3)
+    held = {r.id: r.b for r in table.where("id is not null").select("id", K.blob(table, fields).alias("b")).collect()}
+    asked = sorted({t[i : i + n] for t in held.values() for i in range(len(t)) for n in (1, 2, 3, 6)} | {"bank act 2020", "zz", "q ", "%", "AaA", " Bank "})
+    found = SE.search(spark, f"{tmp_path}/index", spark.createDataFrame(list(enumerate([*asked, "", None])), "qid int, text string"), rarest)
+    want = {(q, i) for q, t in enumerate(asked) for i, b in held.items() if t.strip(" ") and t.strip(" ").lower() in b}
+    got = [(r.qid, r.id) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_todo_puts_local_files_first(spark):
+    rows = [("a", "UK", "f/a", ""), ("b", "Saudi Arabia", None, "https://b"), ("c", None, "f/c", None), ("d", "Saudi Arabia", "f/gone", ""), ("e", "Saudi Arabia", "f/e", ""), ("f", "UK", None, ""), (None, "UK", "f/a", ""), ("g", "UK", "f/a", "")]
+    catalog = spark.createDataFrame(rows, "id string, jurisdiction string, local_path string, url string")
+    todo = K.todo_summaries(catalog, catalog.where("id = 'g'"), None, 10, spark.createDataFrame([("f/a",), ("f/c",), ("f/e",), ("f/e",)], "path string"))
+    assert [(r.id, r.rank) for r in todo.collect()] == [("e", 0), ("a", 1), ("c", 1), ("b", 2), ("d", 2)]
+
+
+def test_crawl_reports_of_odd_sources(spark):
+    """A source without documents tells its first error, one whose pages stop giving links that, and nulls and an empty run hold."""
+    visits = spark.createDataFrame([("a", 2, True, 0, "late"), ("a", 1, False, 0, "early"), *[("b", i, False, 0, None) for i in range(8)], ("c", 1, False, 0, "x")], "source string, seq int, js boolean, links int, error string")
+    documents = spark.createDataFrame([("c", True, False), ("d", False, False), ("d", True, True)], "source string, regulatory boolean, downloaded boolean")
+    rows = {r.source: tuple(r)[2:] for r in R.crawl_reports(visits, documents).collect()}
+    assert rows == {"a": (2, 1, 2, 0, 0, 0, 0, "early"), "b": (8, 0, 0, 0, 0, 0, 0, "possible_rate_limit"), "c": (1, 0, 1, 1, 1, 0, 0, None), "d": (0, 0, 0, 2, 1, 1, 1, None), None: (11, 1, 3, 3, 2, 1, 1, None)}
+    empty = R.crawl_reports(visits.limit(0), documents.limit(0)).collect()
+    assert [tuple(r) for r in empty] == [("total", None, 0, 0, 0, 0, 0, 0, 0, None)]
+
+
 def test_blocked_and_rejected(spark):
     cases = [(200, "Just a moment... checking your browser", True), (200, "An article on forbidden cloudflare sites", False), (200, "403 Forbidden", True), (429, None, True), (503, "", True), (404, "x", False), (None, "CAPTCHA", True), (200, "x" * 4000 + "captcha", False)]
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, status int, body string, want boolean")
