@@ -309,7 +309,12 @@ def catalog_order() -> list[Column]:
     return [F.desc(C.text_or_blank(F.col(c))) for c in ("downloaded_at", "jurisdiction", "title")] + [F.asc("k")]
 
 
+def ranked_summaries(rows: DataFrame) -> DataFrame:
+    """``rows`` with rank: 0 for an English summary (see ``script_language``), 1 for one in another script, 2 for none."""
+    summary = C.text_or_blank(F.col("summary"))
+    return rows.withColumn("rank", F.when(summary == "", 2).when(C.script_language(summary) == "en", 0).otherwise(1))
+
+
 def summaries_order() -> list[Column]:
-    """Sort keys of listed summaries: filled ones first, of these English ones (see ``script_language``), then by title."""
-    filled = C.text_or_blank(F.col("summary")) != ""
-    return [F.when(filled, 0).otherwise(1), F.when(filled & (C.script_language(F.col("summary")) == "en"), 0).otherwise(1), F.asc(C.text_or_blank(F.col("title"))), F.asc("id")]
+    """Sort keys of ``ranked_summaries``: by rank, then title. The rank is a column, as a sort works its keys out at each comparison."""
+    return [F.asc("rank"), F.asc(C.text_or_blank(F.col("title"))), F.asc("id")]

@@ -27,7 +27,7 @@ def write_index(rows: DataFrame, key: str, columns: list[str], path: str, bucket
     ranges of (string, key), so a string that a third of the rows have is many tasks' work.
     """
     texts = rows.select(F.col(key).alias("id"), blob(rows, columns).alias("text")).where(F.col("id").isNotNull())
-    texts.withColumn("part", _bucket("id", buckets)).repartitionByRange("part", "id").sortWithinPartitions("part", "id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/texts")
+    texts.withColumn("part", _bucket("id", buckets)).repartition("part").sortWithinPartitions("part", "id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/texts")
     spark = rows.sparkSession
     postings = spark.read.parquet(f"{path}/texts").select("id", F.explode(F.concat(*[grams(F.col("text"), n) for n in SIZES])).alias("gram")).withColumn("bucket", _bucket("gram", buckets))
     postings.repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")

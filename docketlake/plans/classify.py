@@ -333,7 +333,7 @@ ASKED = ["law", "UK off", "PDF", "x", "2019", "Gazette_2", "no such text anywher
 @register("c22_indexed_search", f"with e as ({ENRICHED}) " + " union all ".join(f"select k, {i} as qid from e where {_has(_pdf_fields, t.strip().lower())}" for i, t in enumerate(ASKED) if t), "downloads")
 def _(spark, sf):
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    write_index(K.enrich(load(spark, sf, "downloads")), "k", K.PDF_FIELDS, path)
+    write_index(K.enrich(load(spark, sf, "downloads")), "k", K.PDF_FIELDS, path, buckets=16)
     return search(spark, path, spark.createDataFrame(list(enumerate(ASKED)), "qid int, text string")).select(F.col("id").alias("k"), "qid")
 
 
@@ -465,4 +465,4 @@ def _(spark, sf):
     from ..operators.rank import keep_top
 
     rows = load(spark, sf, "documents").selectExpr("doc_id as id", "left(text, 12) as title", f"{_told} as summary")
-    return keep_top(rows, [], 300, *K.summaries_order(), name="place").select("id", "place")
+    return keep_top(K.ranked_summaries(rows), [], 300, *K.summaries_order(), name="place").select("id", "place")

@@ -315,10 +315,10 @@ def _(spark, sf):
 
 
 # the best passages of every document for one question
-@register("w4_top_passages", f"with q as (select 1 as qid, {_tok(chr(39) + 'Which data are held by the large shard server table' + chr(39))} as qt), hits as (select 1 as qid, id, 1 as rank from corpus), {_passages_sql(500, 650, 50)} select id, passage, score, start, nth from passages", "corpus")
+@register("w4_top_passages", f"with q as (select 1 as qid, {_tok(chr(39) + 'What do tion ther thon thre thnt thes thhe and thha say' + chr(39))} as qt), hits as (select 1 as qid, id, 1 as rank from corpus), {_passages_sql(500, 650, 50)} select id, passage, score, start, nth from passages", "corpus")
 def _(spark, sf):
     corpus = load(spark, sf, "corpus")
-    question = spark.createDataFrame([(1, "Which data are held by the large shard server table")], "qid int, question string")
+    question = spark.createDataFrame([(1, "What do tion ther thon thre thnt thes thhe and thha say")], "qid int, question string")
     return Q.passages(corpus.select(F.lit(1).alias("qid"), "id", F.lit(1).alias("rank")), question, corpus).drop("qid")
 
 
