@@ -11,6 +11,7 @@ from ..operators import graph as G
 from ..operators import harvest as H
 from ..operators import rank as R
 from ..operators import retrieval as Q
+from ..operators import routing as T
 from ..operators.storage import saved, shared_dir
 from ..sources import io as S
 from . import sqlx as X
@@ -238,6 +239,53 @@ def _(spark, sf):
     return H.route_seeds(load(spark, sf, "registry"), spark.createDataFrame(RULES, "marker string, path string"))
 
 
+# hosts that hold the markers of the groups, alone, below another name or inside a longer one
+_marked = "case k % 4 when 0 then 'https://' || host when 1 then 'https://www.' || host || '/en/x' when 2 then 'http://docs.' || host || ':8080/y' else 'https://not' || host || '.example/z' end"
+MARKERS = [m for marks, _, _ in T.GROUPS.values() for m in marks]
+_hosts = f"list_extract([{', '.join(f"'{m}'" for m in [*MARKERS, 'other.example'])}], cast(k % {len(MARKERS) + 1} + 1 as int))"
+
+
+def marked_sources(spark, sf):
+    """The registry (k, url) with the groups' hosts."""
+    hosts = F.array(*[F.lit(m) for m in [*MARKERS, "other.example"]])
+    return load(spark, sf, "registry").select("k", F.get(hosts, F.col("k") % (len(MARKERS) + 1)).alias("host")).selectExpr("k", f"{_marked} as url")
+
+
+_listed = ", ".join(f"('{m}', '{g}', '{page}')" for g, (marks, pages, _) in T.GROUPS.items() for m in marks for page in pages)
+
+
+@register("e13_listing_seeds", f"""select distinct k, "group", seed from (select k, {_marked} as url from (select k, {_hosts} as host from registry)) join (values {_listed}) r(marker, "group", seed) on contains({X.host('url')}, marker)""", "registry")
+def _(spark, sf):
+    return T.listing_seeds(marked_sources(spark, sf))
+
+
+DEEP = [("example.org", "https://example.org/Documents/"), ("gov.example", "https://gov.example/laws/en.pdf"), ("beta.example.org", "https://rules.beta.example.org/en"), ("sansad.in", "https://sansad.in/ls/rules")]
+
+
+@register("e13_legal_seeds", f"""select distinct k, seed from (select k, {_site} || p as seed from s cross join (values {', '.join(f"('{p}')" for p in T.LEGAL_PATHS)}) v(p) where {_site} <> ''
+  union all select k, seed from s join (values {', '.join(map(str, DEEP))}) d(marker, seed) on {X.host('url')} = marker or ends_with({X.host('url')}, '.' || marker))""".replace("select distinct", f"with s as (select k, {_marked} as url from (select k, {_hosts} as host from registry) union all select -1 - k, url from registry) select distinct", 1), "registry")
+def _(spark, sf):
+    sources = marked_sources(spark, sf).unionByName(load(spark, sf, "registry").selectExpr("-1 - k as k", "url"))
+    return T.legal_seeds(sources, spark.createDataFrame(DEEP, "marker string, seed string"))
+
+
+_names = list(T.GROUPS)
+_links = """select k, "group", case k % 5 when 0 then url || '/act/public/' || k || '/whole.html' when 1 then 'https://x.example/PDF/' || k when 2 then 'https://x.example/t/' || k else url end as url,
+  case k % 7 when 0 then 'Download' when 1 then 'as PDF' when 2 then null else title end as text from (select k, url, title, list_extract([{}], cast(k % {} + 1 as int)) as "group" from downloads)""".format(", ".join(f"'{g}'" for g in [*_names, "none"]), len(_names) + 1)
+
+
+@register("e13_group_links", f"""with l as ({_links}), t as (select k, "group", url, coalesce(text, '') as text, lower(url) as u, lower(coalesce(text, '')) as x, regexp_matches(lower(url || ' ' || coalesce(text, '')), 'bill|amend|act|law|gazette|regulation|statut|pdf') as bill from l where "group" <> 'none')
+  select distinct k, "group", url, text from t where contains(u, '.pdf') or case "group" when 'germany' then false when 'japan' then false when 'eu' then contains(x, 'pdf') when 'spain' then contains(u, '/pdf') or contains(x, 'pdf') when 'australia' then bill or contains(text, 'Download') else bill end
+  union select k, "group", replace(url, '/whole.html', '') || '/latest/whole.pdf', text from t where "group" = 'new zealand' and (contains(url, '/act/') or contains(url, '/bill/'))""", "downloads")
+def _(spark, sf):
+    group = F.get(F.array(*[F.lit(g) for g in [*_names, "none"]]), F.col("k") % (len(_names) + 1)).alias("group")
+    links = load(spark, sf, "downloads").select(
+        "k", group, F.expr("case k % 5 when 0 then url || '/act/public/' || k || '/whole.html' when 1 then 'https://x.example/PDF/' || k when 2 then 'https://x.example/t/' || k else url end as url"),
+        F.expr("case k % 7 when 0 then 'Download' when 1 then 'as PDF' when 2 then null else title end as text"),
+    )
+    return T.group_links(links)
+
+
 @register("e14_clean_text", r"select id, trim(regexp_replace(regexp_replace(string_agg(text, chr(10) || chr(10) order by page), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) as text from (select floor(doc_id / 4)::bigint as id, doc_id % 4 as page, replace(text, '. ', '.   ' || chr(10) || chr(10) || chr(10)) as text from documents) group by id")
 def _(spark, sf):
     pages = load(spark, sf, "documents").selectExpr("cast(floor(doc_id / 4) as bigint) as id", "doc_id % 4 as page", "replace(text, '. ', concat('.   ', char(10), char(10), char(10))) as text")

@@ -129,3 +129,18 @@ def _(spark, sf):
     runs = events(spark, sf).selectExpr("event_id as k", f"{RUN_STATUS} as status", "concat('https://h', user_id % 17, '.example.org/') as url")
     J.live_status(runs, f"{at}/rows", f"{at}/checkpoint", None).awaitTermination()
     return J.current(spark, f"{at}/rows")
+
+
+_page = f"(select event_id as k, {RUN_STATUS} as status, 'https://h' || user_id % 17 || '.example.org/' as url, case when user_id % 60 > 0 then 'place-' || user_id % 60 end as jurisdiction, event_type as source_kind from events)"
+
+
+@register("t5_status_page", f"""with r as {_page}, j as (select coalesce(jurisdiction, 'Unknown') as name, count(*) as n, max(k) as last from r group by 1 order by n desc, name limit 40)
+  select 'phase' as part, 'done' as name, count(*) as n, max(k) as last, cast(null as varchar) as url from r union all select 'total', status, count(*), max(k), null from r group by status union all select 'jurisdiction', name, n, last, null from j
+  union all select 'source_kind', source_kind, count(*), max(k), null from r group by source_kind union all select * from (select 'recent', status, cast(1 as bigint), k, url from r order by k desc limit 15)""")
+def _(spark, sf):
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    runs = events(spark, sf).selectExpr(
+        "event_id as k", f"{RUN_STATUS} as status", "concat('https://h', user_id % 17, '.example.org/') as url", "case when user_id % 60 > 0 then concat('place-', user_id % 60) end as jurisdiction", "event_type as source_kind"
+    )
+    J.finish(spark, J.live_status(runs, f"{at}/rows", f"{at}/checkpoint", None, by=("jurisdiction", "source_kind")), f"{at}/rows")
+    return J.status_page(spark, f"{at}/rows")

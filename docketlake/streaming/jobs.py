@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -184,23 +184,70 @@ def resume_batches(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def live_status(runs: DataFrame, path: str, checkpoint: str, every: str | None = "120 seconds", recent: int = 15):
+def set_phase(spark: SparkSession, path: str, phase: str) -> None:
+    """Note that the crawl whose state is at ``path`` is in ``phase`` (a word); a phase that it is in already is not noted again."""
+    files, make = _files(spark, path)
+    told = _phases(spark, path)
+    if not told or told[-1][1] != phase:
+        files.create(make(f"{path}/_phases/{len(told):06d}_{phase}"), True).close()
+
+
+def _phases(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(number, phase) of all phases at ``path``, oldest first."""
+    files, make = _files(spark, path)
+    marks = make(f"{path}/_phases")
+    return [tuple(n.split("_", 1)) for n in sorted(x.getPath().getName() for x in files.listStatus(marks))] if files.exists(marks) else []
+
+
+def live_status(runs: DataFrame, path: str, checkpoint: str, every: str | None = "120 seconds", recent: int = 15, by: tuple[str, ...] = ()):
     """A query that keeps the state of a crawl at ``path`` up to date ``every`` so often (None: until the stream's present end).
 
-    runs (k, status, url): the last version at ``path`` (see ``current``) has a row for each status (part 'total') with its
-    runs and latest k, and the ``recent`` latest runs (part 'recent'). The totals of a version are those of the last plus
-    the batch's own, so a batch that runs again changes nothing.
+    runs (k, status, url and the columns ``by``): the last version at ``path`` (see ``current``) has a row for each status (part
+    'total') with its runs and latest k, one for each value of a column of ``by`` (part: the column's name; status: the value, or
+    Unknown), and the ``recent`` latest runs (part 'recent'). The totals of a version are those of the last plus the batch's own, so
+    a batch that runs again changes nothing. The phase is 'running' from the first batch on; ``finish`` notes its end.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        last = current(batch.sparkSession, path, before=epoch)
-        own = batch.groupBy("status").agg(F.count("*").alias("n"), F.max("k").alias("last")).select(F.lit("total").alias("part"), "status", "n", "last", F.lit(None).cast("string").alias("url"))
+        own = batch.sparkSession
+        set_phase(own, path, "running")
+        last = current(own, path, before=epoch)
+        names = [F.struct(F.lit("total").alias("part"), "status"), *[F.struct(F.lit(c).alias("part"), F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias("status")) for c in by]]
+        counts = batch.select("k", F.explode(F.array(*names)).alias("v")).groupBy("v.part", "v.status").agg(F.count("*").alias("n"), F.max("k").alias("last"))
         late = batch.orderBy(F.desc("k")).limit(recent).select(F.lit("recent").alias("part"), "status", F.lit(1).cast("long").alias("n"), F.col("k").alias("last"), "url")
-        rows = own.unionByName(late)
+        rows = counts.withColumn("url", F.lit(None).cast("string")).unionByName(late)
         rows = rows.unionByName(last.select(*rows.columns)) if last is not None else rows
-        totals = rows.where("part = 'total'").groupBy("part", "status").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("url").alias("url"))
+        totals = rows.where("part <> 'recent'").groupBy("part", "status").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("url").alias("url"))
         newest = rows.where("part = 'recent'").orderBy(F.desc("last")).limit(recent)
         commit(totals.unionByName(newest.select(*totals.columns)), path, epoch)
 
     writer = runs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def finish(spark: SparkSession, query, path: str) -> None:
+    """Wait for a query of ``live_status`` and note its end: phase 'done', or 'failed' if it failed, which is raised."""
+    try:
+        query.awaitTermination()
+    except Exception:
+        set_phase(spark, path, "failed")
+        raise
+    set_phase(spark, path, "done")
+
+
+def status_page(spark: SparkSession, path: str, most: int = 40) -> DataFrame:
+    """(part, name, n, last, url): the state at ``path`` for a page.
+
+    It is what ``live_status`` keeps, of every column counted by the ``most`` frequent values (ties: by name), and a row with
+    part 'phase': the phase with the runs so far and the latest k. Before the first version it is that row alone, with 0 runs.
+    """
+    told = _phases(spark, path)
+    state = F.lit(told[-1][1] if told else None).cast("string").alias("name")
+    rows = current(spark, path)
+    if rows is None:
+        return spark.range(1).select(F.lit("phase").alias("part"), state, F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("string").alias("url"))
+    rows = rows.withColumnRenamed("status", "name")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "name"))
+    counted = rows.where("part not in ('total', 'recent')").withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+    phase = rows.where("part = 'total'").agg(F.sum("n").alias("n"), F.max("last").alias("last")).select(F.lit("phase").alias("part"), state, "n", "last", F.lit(None).cast("string").alias("url"))
+    return rows.where("part in ('total', 'recent')").unionByName(counted).unionByName(phase)

@@ -13,6 +13,7 @@ from docketlake.operators import graph as G
 from docketlake.operators import harvest as H
 from docketlake.operators import rank as R
 from docketlake.operators import retrieval as Q
+from docketlake.operators import routing as T
 from docketlake.operators import scan as W
 from docketlake.operators import search as SE
 from docketlake.operators.storage import numbered
@@ -527,3 +528,46 @@ def test_crawl_documents_and_give_up(spark):
     assert [r.url for r in G.crawl_documents(seeds.withColumn("depth", F.lit(0)), links, seeds).collect()] == [f"{H1}/d.pdf"]
     visits = spark.createDataFrame([("s", i, i >= 3, 0) for i in range(40)] + [("t", i, i >= 3, int(i == 0)) for i in range(40)], "s string, i int, bad boolean, found int")
     assert [tuple(r) for r in W.failed_runs(visits, "s", "i", "bad", "found").collect()] == [("s", 22)]
+
+
+def test_listing_seeds_and_legal_seeds(spark):
+    rows = [(1, "https://www.BOE.es/x"), (2, "https://docs.boe.es:8080/"), (3, "https://notboe.es.example/"), (4, "nowhere"), (5, None), (6, "https://www.govinfo.gov"), (1, "https://www.BOE.es/x")]
+    sources = spark.createDataFrame(rows, "k long, url string")
+    listed = {(r.k, r.group) for r in T.listing_seeds(sources).collect()}
+    assert listed == {(1, "spain"), (2, "spain"), (3, "spain"), (6, "us")}  # a marker may stand anywhere in a host
+    deep = spark.createDataFrame([("boe.es", "https://boe.es/deep")], "marker string, seed string")
+    seeds = [(r.k, r.seed) for r in T.legal_seeds(sources, deep, ["/laws", "/en/rules"]).collect()]
+    assert len(seeds) == len(set(seeds)) and {k for k, s in seeds if s == "https://boe.es/deep"} == {1, 2}
+    assert (2, "https://docs.boe.es:8080/laws") in seeds and {k for k, s in seeds if s.endswith("/en/rules")} == {1, 2, 3, 6}
+    assert T.listing_seeds(sources.limit(0)).count() == T.legal_seeds(sources.limit(0), deep).count() == 0
+
+
+def test_group_links(spark):
+    rows = [
+        (1, "japan", "https://a/Law", "as PDF"), (2, "japan", "https://a/x.PDF?v", None), (3, "eu", "https://a/x", "as pdf"), (4, "eu", "https://a/law", "Law"), (5, "spain", "https://a/PDF/1", None),
+        (6, "australia", "https://a/x", "Download"), (7, "australia", "https://a/x", "download"), (8, "us", "https://a/x", "Amended"), (9, "new zealand", "https://a/act/1/whole.html", "x"),
+        (10, "elsewhere", "https://a/x.pdf", "x"), (11, "us", None, "law"), (12, None, "https://a/x.pdf", "law"), (9, "new zealand", "https://a/act/1/whole.html", "x"),
+    ]
+    out = sorted((r.k, r.url) for r in T.group_links(spark.createDataFrame(rows, "k long, group string, url string, text string")).collect())
+    assert out == [(2, "https://a/x.PDF?v"), (3, "https://a/x"), (5, "https://a/PDF/1"), (6, "https://a/x"), (8, "https://a/x"), (9, "https://a/act/1/latest/whole.pdf"), (9, "https://a/act/1/whole.html")]
+
+
+def test_live_status_phases(spark, tmp_path):
+    at = str(tmp_path / "state")
+    assert [(r.part, r.name, r.n) for r in J.status_page(spark, at).collect()] == [("phase", None, 0)]
+    J.set_phase(spark, at, "starting")
+    schema = "k long, status string, url string, place string"
+    source = str(tmp_path / "in")
+    for rows in ([(1, "ok", "u1", "b"), (2, "error", "u2", None)], [(3, "ok", "u3", "b"), (4, "ok", "u4", "a")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        J.finish(spark, J.live_status(spark.readStream.schema(schema).parquet(source), at, str(tmp_path / "checkpoint"), None, 3, ("place",)), at)
+    page = {(r.part, r.name, r.n, r.last, r.url) for r in J.status_page(spark, at, 2).collect()}
+    assert page == {
+        ("phase", "done", 4, 4, None), ("total", "ok", 3, 4, None), ("total", "error", 1, 2, None), ("place", "b", 2, 3, None), ("place", "Unknown", 1, 2, None),
+        ("recent", "ok", 1, 4, "u4"), ("recent", "ok", 1, 3, "u3"), ("recent", "error", 1, 2, "u2"),
+    }
+    assert [p for _, p in J._phases(spark, at)] == ["starting", "running", "done", "running", "done"]
+    bad = spark.readStream.schema(schema).parquet(source).withColumn("k", F.expr("cast(raise_error('broken') as long)"))
+    with pytest.raises(Exception):
+        J.finish(spark, J.live_status(bad, at, str(tmp_path / "other"), None), at)
+    assert J.status_page(spark, at).where("part = 'phase'").first().name == "failed"
