@@ -69,6 +69,15 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+#: Stands in an element's names where its attributes hide it.
+HIDDEN = "\0hidden"
+_UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
+
+
+def _is_hidden(own: dict[str, str]) -> bool:
+    return "hidden" in own and own["hidden"].lower() != "until-found" or own.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(own.get("style", "")))
+
+
 @dataclass
 class Page:
     """Elements 0, 1, ... (0 is the page) with tag, parent and words of class, id and role; blocks (element, text, link chars)."""
@@ -134,8 +143,9 @@ def parse(html: str | None) -> Page:
                     pop_to(CLOSES[tag], FENCES)
                 page.tags.append(tag)
                 page.parents.append(stack[-1])
-                own = attributes(m[5]) if "=" in m[5] else {}
-                page.names.append(" ".join(own[n] for n in ("class", "id", "role") if n in own).lower())
+                own = attributes(m[5]) if "=" in m[5] or "hidden" in m[5].lower() else {}
+                names = " ".join(own[n] for n in ("class", "id", "role") if n in own).lower().replace(HIDDEN, " ")
+                page.names.append(names + HIDDEN if _is_hidden(own) else names)
                 if tag != "hr":
                     stack.append(len(page.tags) - 1)
             elif tag == "br":
