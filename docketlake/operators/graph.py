@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from .harvest import anchors, api_hints, document_urls, embeds
+from .harvest import ANCHOR, SKIPPED, anchor_href, anchor_text, api_hints, document_hrefs, embed_hrefs
 from .scan import empty_streaks
 from .storage import discard, numbered, saved
 
@@ -19,20 +19,23 @@ def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, kind, method, text): every link of every page, by anchors, embedded media, named documents and API paths.
 
     kind is document, same_site or off_site; a link that a page has twice keeps its first method and, of that, its text.
+    Each page is read once: what all ways find in it is one array, whose entries are resolved after they are told apart, and
+    links meet once, by page and URL, so snapshots that share an id keep their own links.
     """
-    blank = F.lit("")
-    # each URL's page stands in for its id, so snapshots that share an id keep their own links
-    own = pages.select(F.col("url").alias("page_id"), "url", "html")
-    apis = own.select("page_id", F.explode(api_hints(F.col("html"), 40)).alias("path"))
-    found = (
-        anchors(own).select("page_id", "url", F.lit("href").alias("method"), F.substring("text", 1, 300).alias("text"))
-        .union(embeds(own).select("page_id", "url", F.lit("embed"), blank))
-        .union(document_urls(own).select("page_id", "url", "method", blank))
-        .union(apis.select("page_id", U.resolve_url(F.col("page_id"), F.col("path")), F.lit("api"), blank))
-    )
-    order = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method"))
-    rows = found.select(F.col("page_id").alias("src"), "url", "method", "text").where(F.col("url").rlike("(?i)^https?://"))
-    kept = rows.groupBy("src", F.col("url").alias("dst")).agg(F.min(F.struct(order.alias("o"), "method", "text")).alias("m")).select("src", "dst", "m.method", "m.text")
+    html, place = F.col("html"), {m: i for i, m in enumerate(METHODS)}
+    tagged = lambda found, m: F.transform(found, lambda x: F.struct(F.lit(place[m]).alias("o"), F.lit(m).alias("method"), x.alias("raw")))
+    order = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
+    named = F.transform(document_hrefs(html), lambda x: F.struct(order[x["method"]].alias("o"), x["method"].alias("method"), x["href"].alias("raw")))
+    found = F.concat(tagged(F.regexp_extract_all(html, F.lit(ANCHOR), 0), "href"), tagged(embed_hrefs(html), "embed"), named, tagged(api_hints(html, 40), "api"))
+    rows = pages.select(F.col("url").alias("src"), F.posexplode(found).alias("pos", "l")).select("src", "pos", "l.*")
+    raw, by = F.col("raw"), F.col("method")
+    href = F.when(by == "href", anchor_href(raw)).when(by.isin("embed", "api"), raw).otherwise(F.trim(F.replace(raw, F.lit("&amp;"), F.lit("&"))))
+    text = F.when(by == "href", F.substring(anchor_text(raw), 1, 300)).otherwise("")
+    rows = rows.select("src", "pos", "o", "method", href.alias("href"), text.alias("text"))
+    rows = rows.where(~by.isin("href", "embed") | (~F.col("href").rlike(SKIPPED) & ((F.col("href") != "") | (by != "href"))))
+    url = U.resolve_url(F.col("src"), F.col("href"))
+    rows = rows.withColumn("dst", F.when(by == "api", url).otherwise(F.regexp_replace(url, "#.*$", ""))).where(F.col("dst").rlike("(?i)^https?://"))
+    kept = rows.groupBy("src", "dst").agg(F.min(F.struct("o", "pos", "method", "text")).alias("m")).select("src", "dst", "m.method", "m.text")
     kind = F.when(U.looks_like_doc(F.col("dst")), "document").when(U.is_same_site(U.host_of(F.col("dst")), U.host_of(F.col("src"))), "same_site").otherwise("off_site")
     return kept.select("src", "dst", kind.alias("kind"), "method", "text")
 

@@ -67,13 +67,22 @@ def _decoded(text: Column) -> Column:
     return reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), REFERENCES, text)
 
 
+def anchor_href(match: Column) -> Column:
+    """Where a link points to, from the whole of it (a match of ANCHOR)."""
+    return F.trim(_decoded(F.concat(*[F.regexp_extract(match, ANCHOR, i) for i in (1, 2, 3)])))
+
+
+def anchor_text(match: Column) -> Column:
+    return F.trim(F.regexp_replace(_decoded(F.regexp_replace(F.regexp_extract(match, ANCHOR, 4), "<[^>]*>", " ")), r"\s+", " "))
+
+
 def anchor_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, href, text, url): every link of each page in order, absolute, without fragment; a URL may come again."""
-    groups = [F.regexp_extract_all("html", F.lit(ANCHOR), i) for i in (1, 2, 3, 4)]
-    found = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)])).alias("pos", "a"))
-    text = F.trim(F.regexp_replace(_decoded(F.regexp_replace("a.g3", "<[^>]*>", " ")), r"\s+", " "))
-    href = F.trim(_decoded(F.concat("a.g0", "a.g1", "a.g2")))
-    rows = found.select("page_id", "pos", "base", href.alias("href"), text.alias("text")).where((F.col("href") != "") & ~F.col("href").rlike(SKIPPED))
+    """(page_id, pos, href, text, url): every link of each page in order, absolute, without fragment; a URL may come again.
+
+    The page is searched once; a link's parts are read from the link.
+    """
+    found = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), 0)).alias("pos", "a"))
+    rows = found.select("page_id", "pos", "base", anchor_href(F.col("a")).alias("href"), anchor_text(F.col("a")).alias("text")).where((F.col("href") != "") & ~F.col("href").rlike(SKIPPED))
     rows = rows.withColumn("url", F.regexp_replace(U.resolve_url(F.col("base"), F.col("href")), "#.*$", ""))
     return rows.where(F.col("url").rlike("(?i)^https?://")).drop("base")
 
@@ -84,21 +93,29 @@ def anchors(pages: DataFrame) -> DataFrame:
     return first.select("page_id", "url", "a.pos", "a.href", "a.text")
 
 
+def embed_hrefs(html: Column) -> Column:
+    return F.array_distinct(F.concat(F.regexp_extract_all(html, F.lit(EMBED), 1), F.regexp_extract_all(html, F.lit(DATA_LINK), 1)))
+
+
 def embeds(pages: DataFrame) -> DataFrame:
     """(page_id, url): what iframes, objects, sources and data attributes point to."""
-    links = F.array_distinct(F.concat(F.regexp_extract_all("html", F.lit(EMBED), 1), F.regexp_extract_all("html", F.lit(DATA_LINK), 1)))
-    rows = pages.select("page_id", F.col("url").alias("base"), F.explode(links).alias("href")).where(~F.col("href").rlike(SKIPPED))
+    rows = pages.select("page_id", F.col("url").alias("base"), F.explode(embed_hrefs(F.col("html"))).alias("href")).where(~F.col("href").rlike(SKIPPED))
     return rows.select("page_id", F.regexp_replace(U.resolve_url(F.col("base"), F.col("href")), "#.*$", "").alias("url")).distinct()
 
 
+def document_hrefs(html: Column, data_source: bool = False) -> Column:
+    """Array of (i, method, href): what each document pattern finds in a page's source."""
+    named = [("datasource" if data_source else m, p) for m, p in DOCUMENT_PATTERNS if not data_source or m == "script" or m == "quoted-path"]
+    found = lambda p: F.filter(F.regexp_extract_all(html, F.lit(p), 1), lambda x: x.rlike("(?i)^/|^https?://")) if "FileRef" in p else F.regexp_extract_all(html, F.lit(p), 1)
+    return F.flatten(F.array(*[F.transform(found(p), _tagged(i, m)) for i, (m, p) in enumerate(named)]))
+
+
 def document_urls(pages: DataFrame, data_source: bool = False) -> DataFrame:
     """(page_id, url, method): documents named anywhere in a page's source, with the first method that finds each.
 
     ``data_source`` marks bodies of a site's data services instead of pages: what the text patterns find is 'datasource'.
     """
-    named = [("datasource" if data_source else m, p) for m, p in DOCUMENT_PATTERNS if not data_source or m == "script" or m == "quoted-path"]
-    found = lambda p: F.filter(F.regexp_extract_all("html", F.lit(p), 1), lambda x: x.rlike("(?i)^/|^https?://")) if "FileRef" in p else F.regexp_extract_all("html", F.lit(p), 1)
-    pairs = F.flatten(F.array(*[F.transform(found(p), _tagged(i, m)) for i, (m, p) in enumerate(named)]))
+    pairs = document_hrefs(F.col("html"), data_source)
     rows = pages.select("page_id", F.col("url").alias("base"), F.explode(pairs).alias("p"))
     href = F.trim(F.replace(F.col("p.href"), F.lit("&amp;"), F.lit("&")))
     rows = rows.select("page_id", F.regexp_replace(U.resolve_url(F.col("base"), href), "#.*$", "").alias("url"), "p.i", "p.method").where(F.col("url").rlike("(?i)^https?://"))
