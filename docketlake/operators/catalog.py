@@ -258,7 +258,9 @@ def match_authority_by_name(hints: DataFrame, registry: DataFrame) -> DataFrame:
 
     hints (k, hint, country); hints of under four characters match nothing, and a row's country must be blank, equal or
     contain the hint's, if that has one. A text that lies in another has its first four characters there, so equal
-    four-character pieces (shorter ones for shorter names) find the candidates, and no pair is tried without one.
+    four-character pieces (shorter ones for shorter names) find the candidates, and no pair is tried without one. Each
+    different (hint, country) is answered once, from the first row of each different (name, country), so neither hints nor
+    names that repeat multiply the pairs.
     """
     pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(n)))
     names = registry.where((F.trim("authority") != "") & F.trim("url").startswith("http")).select(
@@ -269,9 +271,11 @@ def match_authority_by_name(hints: DataFrame, registry: DataFrame) -> DataFrame:
     in_hint = distinct.select("hl", F.explode(F.array_distinct(F.flatten(F.array(*[pieces("hl", n) for n in (1, 2, 3, 4)])))).alias("piece")).join(names.select("nl", F.substring("nl", 1, 4).alias("piece")).distinct(), "piece")
     in_name = names.select("nl").distinct().select("nl", F.explode(F.array_distinct(pieces("nl", 4))).alias("piece")).join(distinct.withColumn("piece", F.substring("hl", 1, 4)), "piece")
     pairs = in_hint.select("hl", "nl").unionByName(in_name.select("hl", "nl")).where(F.contains("hl", "nl") | F.contains("nl", "hl")).distinct()
-    found = asked.join(pairs, "hl").join(names, "nl").where("cl = '' or jc = '' or jc = cl or contains(jc, cl)")
-    best = found.groupBy("k").agg(F.min_by(F.struct("name", "url", "jurisdiction", "region"), "rk").alias("a"))
-    return best.select("k", "a.*")
+    row = F.struct("name", "url", "jurisdiction", "region")
+    first = names.groupBy("nl", "jc").agg(F.min("rk").alias("rk"), F.min_by(row, "rk").alias("a"))
+    found = asked.select("hl", "cl").distinct().join(pairs, "hl").join(first, "nl").where("cl = '' or jc = '' or jc = cl or contains(jc, cl)")
+    best = found.groupBy("hl", "cl").agg(F.min_by("a", "rk").alias("a"))
+    return asked.join(best, ["hl", "cl"]).select("k", "a.*")
 
 
 def legacy_laws(updates: DataFrame, tracking: DataFrame, registry: DataFrame) -> DataFrame:
