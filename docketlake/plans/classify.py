@@ -326,15 +326,15 @@ def _(spark, sf):
 _law_fields = "name summary country level level_detail law_area topic authority link authority_url region source"
 
 
-ASKED = ["law", "UK off", "PDF", "x", "2019", "Gazette_2", "no such text anywhere", " https://WWW.", ""]
+SEARCHED = ["law", "UK off", "PDF", "x", "2019", "Gazette_2", "no such text anywhere", " https://WWW.", ""]
 
 
 # the same fields by the index of short strings; a blank question finds nothing
-@register("c22_indexed_search", f"with e as ({ENRICHED}) " + " union all ".join(f"select k, {i} as qid from e where {_has(_pdf_fields, t.strip().lower())}" for i, t in enumerate(ASKED) if t), "downloads")
+@register("c22_indexed_search", f"with e as ({ENRICHED}) " + " union all ".join(f"select k, {i} as qid from e where {_has(_pdf_fields, t.strip().lower())}" for i, t in enumerate(SEARCHED) if t), "downloads")
 def _(spark, sf):
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     write_index(K.enrich(load(spark, sf, "downloads")), "k", K.PDF_FIELDS, path, buckets=16)
-    return search(spark, path, spark.createDataFrame(list(enumerate(ASKED)), "qid int, text string")).select(F.col("id").alias("k"), "qid")
+    return search(spark, path, spark.createDataFrame(list(enumerate(SEARCHED)), "qid int, text string")).select(F.col("id").alias("k"), "qid")
 
 
 @register("c23_filter_laws", f"with {TRACKING_LAWS} select k, 'state' as part from tlaws where level = 'State' and list_contains(list_transform(string_split(lower(law_area), ','), lambda x: trim(x)), 'tax') and {_has(_law_fields, 'a')} union all select k, 'country' from tlaws where country = 'Canada' and source = 'tracking' and {_has(_law_fields, 'example.org/u/1')}", "tracking", "registry")
