@@ -12,7 +12,7 @@ from ..functions import classify as C
 from ..functions import urls as U
 from ..operators import catalog as K
 from ..operators.search import search, write_index
-from ..operators.storage import shared_dir
+from ..operators.storage import numbered, shared_dir
 from . import sqlx as X
 from .inputs import load, projection, with_inputs
 
@@ -450,11 +450,10 @@ def _(spark, sf):
     return keep_top(laws, [], 300, *K.laws_order(), name="place").select("k", "place")
 
 
-@register("w9_catalog_sort", "select k, row_number() over (order by coalesce(downloaded_at, '') desc, coalesce(jurisdiction, '') desc, coalesce(title, '') desc, k) as place from downloads order by place limit 300", "downloads")
+@register("w9_catalog_sort", "select k, row_number() over (order by coalesce(downloaded_at, '') desc, coalesce(jurisdiction, '') desc, coalesce(title, '') desc, k) as place from downloads", "downloads")
 def _(spark, sf):
-    from ..operators.rank import keep_top
-
-    return keep_top(load(spark, sf, "downloads"), [], 300, *K.catalog_order(), name="place").select("k", "place")
+    rows = load(spark, sf, "downloads").select("k", "downloaded_at", "jurisdiction", "title")
+    return numbered(rows, "place", *K.catalog_order()).select("k", "place")
 
 
 _told = "case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then repeat('نظام ', length(text)) else text end"
