@@ -225,7 +225,7 @@ def display_url(url: Column, most: int = 48) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    kb, mb = F.round(n / 1024).cast("long").cast("string"), F.format_string("%.1f", n / 1048576)
+    kb, mb = F.round(n / 1024).cast("long").cast("string"), F.format_string("%.1f", F.bround(n / 1048576, 1))
     return F.when(n.isNull() | (n <= 0), F.lit("")).when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.concat(kb, F.lit(" KB"))).otherwise(F.concat(mb, F.lit(" MB")))
 
 
