@@ -526,10 +526,10 @@ def _written(spark, write) -> str:
 
 @register("s1_read_json_table", "select k, nullif(trim(title), '') as title, nullif(trim(jurisdiction), '') as jurisdiction, bytes from downloads union all select -1, null, null, count(*) from downloads where false", "downloads")
 def _(spark, sf):
-    """A JSON array for every thousand downloads, read back together; a missing file is an empty table."""
+    """A JSON array for every thousand downloads, each in a file of its own, read back together; a missing file is an empty table."""
     d = load(spark, sf, "downloads").select("k", F.to_json(F.struct("k", "title", "jurisdiction", "bytes")).alias("j"))
     arrays = d.groupBy(F.floor(F.col("k") / 1000)).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value")).select("value")
-    path = _written(spark, lambda p: arrays.repartition(4).write.option("lineSep", "\n").text(p))
+    path = _written(spark, lambda p: arrays.write.option("maxRecordsPerFile", 1).text(p))
     schema = "k long, title string, jurisdiction string, bytes long"
     missing = S.read_json_table(spark, f"{path}-not-there", schema)
     return S.read_json_table(spark, f"{path}-not-there", schema, path).where("k is not null").unionByName(missing).unionByName(missing.agg(F.count("*").alias("bytes")).selectExpr("cast(-1 as bigint) as k", "cast(null as string) as title", "cast(null as string) as jurisdiction", "bytes"))
