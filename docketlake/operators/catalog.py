@@ -13,8 +13,8 @@ from .storage import saved
 
 
 def split_regulatory(docs: DataFrame, min_score: int = 15) -> tuple[DataFrame, DataFrame]:
-    """(kept, rejected), both with score; docs (url, title, ...)."""
-    scored = docs.withColumn("score", C.regulatory_score(F.col("url"), F.col("title"), F.lit(None), F.col("title")))
+    """(kept, rejected), both with score; docs (url, title, ...). Both read one scored table, written once."""
+    scored = saved(docs.withColumn("score", C.regulatory_score(F.col("url"), F.col("title"), F.lit(None), F.col("title"))))
     return scored.where(F.col("score") >= min_score), scored.where(F.col("score") < min_score)
 
 

@@ -12,7 +12,7 @@ from ..functions import classify as C
 from ..functions import urls as U
 from ..operators import catalog as K
 from ..operators.search import search, write_index
-from ..operators.storage import numbered, shared_dir
+from ..operators.storage import numbered, saved, shared_dir
 from . import sqlx as X
 from .inputs import load, projection, with_inputs
 
@@ -60,7 +60,7 @@ query("c2_regulatory_score", "downloads", lambda url, title: {"score": C.regulat
 
 @register("c3_split_regulatory", f"select k, {score(chr(39) * 2, 'title')} as score, {score(chr(39) * 2, 'title')} >= 15 as kept from downloads", "downloads")
 def _(spark, sf):
-    kept, rejected = K.split_regulatory(load(spark, sf, "downloads"))
+    kept, rejected = K.split_regulatory(load(spark, sf, "downloads").select("k", "url", "title"))
     return kept.select("k", "score", F.lit(True).alias("kept")).unionByName(rejected.select("k", "score", F.lit(False).alias("kept")))
 
 
@@ -318,7 +318,7 @@ _pdf_fields = "title filename jurisdiction source_kind law_type year language ho
 
 @register("c22_filter_pdfs", f"with e as ({ENRICHED}) select k, 'facets' as part from e where jurisdiction = 'UK' and source_kind = 'official_gazette' and {_has(_pdf_fields, 'law')} union all select k, 'type' from e where law_type = 'Bill' and year >= 0 and {_has(_pdf_fields, '20')} union all select k, 'year' from e where year = 2019 union all select k, 'across' from e where {_has(_pdf_fields, 'pdf uk off')}", "downloads")
 def _(spark, sf):
-    rows = K.enrich(load(spark, sf, "downloads"))
+    rows = saved(K.enrich(load(spark, sf, "downloads")))
     found = {"facets": K.filter_pdfs(rows, "UK", kind="official_gazette", text=" Law "), "type": K.filter_pdfs(rows, law_type="Bill", text="20").where("year >= 0"), "year": K.filter_pdfs(rows, year=2019), "across": K.filter_pdfs(rows, text="PDF UK off")}
     return reduce(DataFrame.unionByName, [r.select("k", F.lit(p).alias("part")) for p, r in found.items()])
 

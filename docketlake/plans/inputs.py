@@ -99,13 +99,27 @@ from documents
 DERIVED = {"downloads": DOWNLOADS, "registry": REGISTRY, "updates": UPDATES, "tracking": TRACKING, "runs": RUNS, "corpus": CORPUS}
 
 
+#: Narrow tables whose few files hold many rows, by key.
+KEYS = {"part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "events": "event_id"}
+
+
+def dealt(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A driver table; a narrow one in fewer pieces than there are cores is dealt out by its key, as a row of it is little to read and much work.
+
+    The number of pieces is given, as Spark would join small ones again.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(3 * cores, KEYS[table]) if table in KEYS and rows.rdd.getNumPartitions() < cores else rows
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a derived table."""
     if name not in DERIVED:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return dealt(spark, sf_dir, name)
     for table in TABLES:
         if f" {table} " in f"{DERIVED[name]} ".replace("\n", " "):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            dealt(spark, sf_dir, table).createOrReplaceTempView(table)
     return spark.sql(DERIVED[name])
 
 
