@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.classify import bound
 from .rank import keep_top
 from .storage import saved
 
@@ -350,17 +351,19 @@ def fenced_json(reply: Column) -> Column:
     """The JSON object of a model's reply, as text: without its code fence, else the first braces; null if none parses."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(reply), "^```(?:json)?\\s*", ""), "\\s*```$", "")
     braces = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
-    is_object = lambda x: F.coalesce(F.typeof(F.try_parse_json(x)) == "variant", F.lit(False)) & F.try_parse_json(x).isNotNull() & F.trim(x).startswith("{")
-    return F.when(is_object(bare), bare).when(is_object(braces), braces)
+    is_object = lambda x: F.trim(x).startswith("{") & F.try_parse_json(x).isNotNull()
+    return bound(bare, lambda x: F.when(is_object(x), x).otherwise(bound(braces, lambda y: F.when(is_object(y), y))))
 
 
 def coerced_reply(reply: Column, most_points: int = 10, most_topics: int = 8) -> Column:
     """struct(summary, key_points, topics, document_type) of a model's reply: trimmed, blanks out, lists cut; null without object."""
-    data = F.from_json(fenced_json(reply), "struct<summary:string,key_points:array<string>,topics:array<string>,document_type:string>")
     some = lambda c, n: F.slice(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), 1, n)
-    kind = F.coalesce(F.nullif(data["document_type"], F.lit("")), F.lit("other"))
-    made = F.struct(
-        F.trim(F.coalesce(data["summary"], F.lit(""))).alias("summary"), some(data["key_points"], most_points).alias("key_points"),
-        some(data["topics"], most_topics).alias("topics"), F.lower(F.trim(kind)).alias("document_type"),
-    )
-    return F.when(data.isNotNull(), made)
+
+    def made(data: Column) -> Column:
+        kind = F.coalesce(F.nullif(data["document_type"], F.lit("")), F.lit("other"))
+        return F.when(data.isNotNull(), F.struct(
+            F.trim(F.coalesce(data["summary"], F.lit(""))).alias("summary"), some(data["key_points"], most_points).alias("key_points"),
+            some(data["topics"], most_topics).alias("topics"), F.lower(F.trim(kind)).alias("document_type"),
+        ))
+
+    return bound(F.from_json(fenced_json(reply), "struct<summary:string,key_points:array<string>,topics:array<string>,document_type:string>"), made)
