@@ -186,20 +186,26 @@ def _scorer(sent, k: int, qid_type: T.DataType, rows: int = 256):
     return run
 
 
+def _windows(text: Column, step: int, width: int) -> Column:
+    """The trimmed windows of ``width`` characters that start every ``step``, put together from blocks of ``step`` characters: a text is gone through once."""
+    near = lambda blocks, i: F.array_join(F.slice(blocks, i + 1, -(-width // step)), "")
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), 0), lambda blocks: F.transform(blocks, lambda _, i: F.trim(F.substring(near(blocks, i), 1, width))))
+
+
 def passages(hits: DataFrame, questions: DataFrame, texts: DataFrame, step: int = 500, width: int = 650, top: int = 3, docs: int = 3, least: int = 50, once: int | None = None) -> DataFrame:
     """(qid, id, passage, score, start, nth): the best windows of each question's best documents.
 
     hits (qid, id, rank), texts (id, text). Windows start every ``step`` characters of the whole text. Of passages that
     start with the same ``once`` characters the best counts alone. The client's profile is step 400, width 550, least 40,
-    once 80.
+    once 80. The questions' tokens are written first, so Spark knows their size: few questions go to the windows, which are
+    made once, and not the windows to each part of the questions.
     """
     wanted = hits.where(F.col("rank") <= docs).select("qid", "id")
-    q = questions.select("qid", tokens(F.col("question")).alias("qt"))
-    cut = wanted.select("id").distinct().join(texts.select("id", "text"), "id")
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(step))
-    windows = cut.select("id", "text", F.explode(starts).alias("start")).select("id", "start", F.trim(F.substr("text", F.col("start") + 1, F.lit(width))).alias("passage")).where(F.length("passage") >= least)
-    windows = windows.withColumn("wt", tokens(F.col("passage")))
-    scored = wanted.join(windows, "id").join(q, "qid").withColumn("score", F.size(F.array_intersect("qt", "wt"))).where("score >= 1")
+    q = saved(questions.select("qid", tokens(F.col("question")).alias("qt")))
+    cut = wanted.groupBy("id").agg(F.collect_list("qid").alias("qids")).join(texts.select("id", "text"), "id")
+    windows = cut.select("id", "qids", F.posexplode(_windows(F.col("text"), step, width)).alias("nth", "passage")).where(F.length("passage") >= least)
+    windows = windows.select("id", "qids", (F.col("nth") * step).alias("start"), "passage", tokens(F.col("passage")).alias("wt"))
+    scored = windows.withColumn("qid", F.explode("qids")).join(q, "qid").withColumn("score", F.size(F.array_intersect("qt", "wt"))).where("score >= 1")
     if once:
         first = F.min_by(F.struct("passage", "score", "start"), F.struct(-F.col("score"), F.col("start"))).alias("p")
         scored = scored.groupBy("qid", "id", F.substring("passage", 1, once)).agg(first).select("qid", "id", "p.*")
