@@ -388,8 +388,8 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64, batches:
         edge = saved(partial_strings(table, key_bits(many_keys, depth, width), length, gram, depth, width))
         known.append(edge.where("runs is not null").select("doc_id", "spot", "runs"))
         single = edge.where("runs is null")
-        twice = single.groupBy("c1", "c2").agg(F.count("*").alias("m")).where("m > 1").toDF("d1", "d2", "m")
-        found.append(single.join(twice, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))).select("doc_id", "spot", "n"))
+        more = F.count("*").over(Window.partitionBy("c1", "c2")) > 1
+        found.append(single.select("doc_id", "spot", "n", more.alias("more")).where("more").drop("more"))
     starts = _union(found).select(
         "doc_id", F.shiftright("spot", 32).alias("own"), (F.col("spot").bitwiseAND(F.lit((1 << 31) - 1)) * F.lit(1 << 31) + F.col("n")).alias("start"), F.lit(None).cast("binary").alias("runs")
     )
