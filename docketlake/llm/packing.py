@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import gapless, map_arrow, saved, small, text_table
+from .common import gapless, map_arrow, saved, sized, small, text_table
 from .tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
@@ -197,17 +197,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1
     Rows: doc_id, piece, start, length, ids_crc32, row (a number of its own once the table is written), and with ``with_ids`` the ids themselves, as little-endian unsigned
     16-bit (vocabularies of up to 65,536) or 32-bit bytes in ``ids``.
     """
-    step, end = 4 * capacity, end_id.to_bytes(4, "little")
 
     def batch_rows(batch: pa.RecordBatch, first: int) -> pa.RecordBatch:
         encoder, out = Encoder.of(tokenizer), []
         short = with_ids and encoder.full.get_vocab_size() <= 1 << 16
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            raw = encoder.encode(text) + end
-            for i in range(0, len(raw), step):
-                part = raw[i : i + step]
-                ids = (np.frombuffer(part, "<u4").astype("<u2").tobytes() if short else part) if with_ids else None
-                out.append((doc_id, i // step, i // 4, len(part) // 4, zlib.crc32(part), ids))
+        for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text"))):
+            raw = np.append(found, np.uint32(end_id))
+            kept = raw.astype("<u2") if short else raw
+            for i in range(0, len(raw), capacity):
+                part = raw[i : i + capacity]
+                out.append((doc_id, i // capacity, i, len(part), zlib.crc32(part), kept[i : i + capacity].tobytes() if with_ids else None))
         doc_ids, piece, start, length, crc, ids = (list(x) for x in zip(*out))
         arrays = [pa.array(doc_ids, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
         arrays.append(pa.array(range(first, first + len(out)), pa.int64()))
@@ -219,7 +218,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in small(batches, keep=True):
+        for batch in sized(small(batches, 4096, keep=True), "text", 8 << 20):
             out = batch_rows(batch, row)
             row += out.num_rows
             yield out

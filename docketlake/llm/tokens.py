@@ -11,7 +11,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from .common import KEPT
@@ -59,6 +63,34 @@ class Encoder:
             return b"".join(map(self.chunks.__getitem__, found))
         except KeyError:
             pass
+        once = self._learn(found)
+        out = b"".join(map(self.chunks.__getitem__, found))
+        for chunk in once:
+            del self.chunks[chunk]
+        return out
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each of these texts in turn, as ``encode`` has them; a chunk is looked up once, however often it comes in them."""
+        cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = cut.flatten().dictionary_encode()
+        listed = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        # chunks hold no blank, so they come apart as they were; an empty one stands for white space at an end
+        names = pc.binary_join(listed, pa.scalar(" ", pa.large_string()))[0].as_py().encode().split(b" ")
+        once = self._learn([n for n in names if n])
+        ids = [self.chunks[n] if n else b"" for n in names]
+        for chunk in once:
+            del self.chunks[chunk]
+        table, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts, codes, ends = np.cumsum(sizes) - sizes, coded.indices.to_numpy(), cut.offsets.to_numpy()
+        for first, last in zip(ends, ends[1:]):
+            own = codes[first:last]
+            n = sizes[own]
+            upto = np.cumsum(n)
+            # a chunk's ids stand together in the table: from its start there, counted on from its place in the text
+            yield table[np.repeat(starts[own] - upto + n, n) + np.arange(n.sum())]
+
+    def _learn(self, found: list[bytes]) -> list[bytes]:
+        """Put the chunks ``found`` into ``chunks``; those that were never met before are returned, to be taken out after use."""
         if len(self.chunks) > self.half:
             self.chunks, self.older, self.met = {}, (self.chunks, self.older[1]), bytearray(len(self.met))
         if len(self.pieces) > self.half:
@@ -74,10 +106,7 @@ class Encoder:
                     met[slot] = 1
                     once.append(chunk)
             chunks[chunk] = ids
-        out = b"".join(map(chunks.__getitem__, found))
-        for chunk in once:
-            del chunks[chunk]
-        return out
+        return once
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii():

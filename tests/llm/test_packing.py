@@ -5,9 +5,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from docketlake.llm import packing
+from docketlake.llm.common import sized
 from docketlake.llm.queries import word_bpe
 from docketlake.llm.tokens import Encoder
 from tokenizers import Tokenizer
@@ -26,6 +28,21 @@ def test_chunked_ids_equal_the_tokenizers(full, corpus):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == full.encode(t, add_special_tokens=False).ids
 
 
+def test_words_of_many_texts_are_encoded_once(full, corpus):
+    texts = [None, "", " \t", "\x0b a  a ", "a\x1cb\x85c"] + [t for _, t, *_ in corpus]
+    encoder, asked = Encoder(word_bpe(), keep=50), []
+    learn = encoder._learn
+    encoder._learn = lambda found: asked.extend(found) or learn(found)
+    for t, ids in zip(texts, encoder.encode_all(pa.array(texts, pa.string())), strict=True):
+        assert ids.tolist() == full.encode(t or "", add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) == len({w for t in texts for w in (t or "").encode().split()})
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": ["aa", None, "é", "x" * 9, "", "b"]})
+    assert [b.column("text").to_pylist() for b in sized(iter([batch]), "text", 4)] == [["aa", None, "é"], ["x" * 9], ["", "b"]]
+
+
 def replay(plan, sizes):
     """Every piece's place by the plan's lines; checks that sequences are gapless and within capacity."""
     bins, used = defaultdict(list), Counter()
