@@ -172,14 +172,21 @@ def sitemap(body: DataFrame, site: str | None = None) -> DataFrame:
     """(id, url, kind) of sitemaps and robots files (id, body): document, sitemap or page.
 
     Addresses are those in loc elements, bare ones anywhere, and what Sitemap lines name, which is a sitemap. With
-    ``site`` pages and sitemaps of other sites than this host's go.
+    ``site`` pages and sitemaps of other sites than this host's go. Only the addresses of ids with several bodies are grouped.
     """
     links = F.concat(F.regexp_extract_all("body", F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), 1), F.regexp_extract_all("body", F.lit(r"""https?://[^\s"'<>]+"""), 0))
-    rows = body.select("id", F.explode(F.array_distinct(links)).alias("url"))
-    kind = F.when(U.looks_like_doc(F.col("url")), "document").when(F.lower("url").contains("sitemap"), "sitemap").otherwise("page")
     lines = F.regexp_extract_all("body", F.lit(r"(?im)^[ \t]*sitemap:[ \t]*(\S+)"), 1)
-    rows = rows.select("id", "url", kind.alias("kind")).union(body.select("id", F.explode(F.array_distinct(lines)).alias("url"), F.lit("sitemap")))
-    rows = rows.groupBy("id", "url").agg(F.max("kind").alias("kind"))
+    kind = F.when(F.array_contains("lines", F.col("url")), "sitemap").when(U.looks_like_doc(F.col("url")), "document").when(F.lower("url").contains("sitemap"), "sitemap").otherwise("page")
+    several = saved(body.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+
+    def found(bodies: DataFrame) -> DataFrame:
+        rows = bodies.select("id", links.alias("links"), lines.alias("lines"))
+        return rows.select("id", "lines", F.explode(F.array_distinct(F.concat("links", "lines"))).alias("url")).select("id", "url", kind.alias("kind"))
+
+    same = body["id"].eqNullSafe(several["id"])
+    rows = found(body.join(several, same, "left_anti"))
+    if not several.isEmpty():
+        rows = rows.unionByName(found(body.join(several, same, "left_semi")).groupBy("id", "url").agg(F.max("kind").alias("kind")))
     return rows if site is None else rows.where((F.col("kind") == "document") | U.is_same_site(U.host_of(F.col("url")), F.lit(site)))
 
 
