@@ -103,14 +103,20 @@ DERIVED = {"downloads": DOWNLOADS, "registry": REGISTRY, "updates": UPDATES, "tr
 KEYS = {"part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "events": "event_id"}
 
 
+#: Rows of a narrow table in a piece of it, at most some so many: what a task sorts or holds of them does not grow with the table.
+PIECE_ROWS = 100_000
+
+
 def dealt(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A driver table; a narrow one in fewer pieces than there are cores is dealt out by its key, as a row of it is little to read and much work.
+    """A driver table; a narrow one in fewer pieces than there are cores, or of over ``PIECE_ROWS`` rows each, is dealt out by its key, as a row of it is little to read and much work.
 
     The number of pieces is given, as Spark would join small ones again.
     """
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(3 * cores, KEYS[table]) if table in KEYS and rows.rdd.getNumPartitions() < cores else rows
+    if table not in KEYS:
+        return rows
+    cores, least = spark.sparkContext.defaultParallelism, -(-rows.count() // PIECE_ROWS)
+    return rows.repartition(max(3 * cores, least), KEYS[table]) if rows.rdd.getNumPartitions() < max(cores, least) else rows
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
