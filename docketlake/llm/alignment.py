@@ -16,10 +16,8 @@ import hashlib
 import json
 import os
 import re
-from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,59 +26,74 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import KEPT, discard, map_arrow, saved, small, text_table
+from .common import KEPT, discard, map_arrow, saved, sized, small, text_table
 from .tokens import byte_letters
 
 #: Characters that no rule of either tokenizer takes for white space: printable ASCII and Latin letters.
 _SOLID = "!-~À-ÖØ-öø-ɏ"
 _CUT = re.compile(rf"(?<=[{_SOLID}])(?=[ \n])")
-_ENDS_SOLID = re.compile(rf"[{_SOLID}]\Z")
+_SOLIDS = frozenset(re.findall(f"[{_SOLID}]", "".join(map(chr, range(0x250)))))
+_MARKS = frozenset(".,;:!?")
 _MARKED = re.compile(r".*[A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?]", re.DOTALL)
 
 
-def leaves(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Leaf groups of two rising lists of ends with the same last value: (first, end of a's tokens, first, end of b's), in order.
+def leaves(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Leaf groups of two rising lists of ends with the same last value: (first, end of a's tokens, first, end of b's), in order."""
+    return list(zip(*(x.tolist() for x in _divided(np.asarray(a, np.int64), np.asarray(b, np.int64)))))
+
+
+def _divided(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The four columns of ``leaves``; all intervals of a level are divided together.
 
     ``low`` to ``high`` is where an interval of ``a`` may still hold a common end; what a search has passed over is left out
     of it, so every end is looked at once and bisected a logarithmic number of times.
     """
-    found = []
-    todo = [(0, len(a), 0, len(b), 0, len(a) - 1)]
-    while todo:
-        i, i_end, j, j_end, low, high = todo.pop()
-        while low < high:
-            middle = (low + high) // 2
-            cut = _common_end(a, b, middle, high, j, j_end - 1)
-            if cut is not None:
-                x, y = cut
-                todo.append((x + 1, i_end, y + 1, j_end, x + 1, high))
-                todo.append((i, x + 1, j, y + 1, low, middle))
-                break
-            high = middle
-        else:
-            found.append((i, i_end, j, j_end))
-    return found
-
-
-def _common_end(a: list[int], b: list[int], x: int, x_end: int, y: int, y_end: int) -> tuple[int, int] | None:
-    """The first place from ``x`` on, before ``x_end``, whose end ``b`` has too, and its place there."""
-    while x < x_end:
-        y = bisect_left(b, a[x], y, y_end)
-        if y == y_end:
-            return None
-        if b[y] == a[x]:
-            return x, y
-        x = bisect_left(a, b[y], x + 1, x_end)
-    return None
-
-
-def links(a: list[int], b: list[int], leaf: tuple[int, int, int, int]) -> Iterator[tuple[int, int]]:
+    done = []
+    i, i_end, j, j_end, low, high = np.array([[0], [len(a)], [0], [len(b)], [0], [len(a) - 1]])
+    while len(i):
+        open_ = low < high
+        if not open_.all():
+            done.append([x[~open_] for x in (i, i_end, j, j_end)])
+            i, i_end, j, j_end, low, high = (x[open_] for x in (i, i_end, j, j_end, low, high))
+        middle = (low + high) // 2
+        found, x, y = _common_ends(a, b, middle, high, j_end - 1)
+        x, y = x[found] + 1, y[found] + 1
+        parts = (
+            (i, i[found], x), (i_end, x, i_end[found]), (j, j[found], y), (j_end, y, j_end[found]), (low, low[found], x), (middle, middle[found], high[found]),
+        )
+        i, i_end, j, j_end, low, high = (np.concatenate([kept[~found], left, right]) for kept, left, right in parts)
+    columns = [np.concatenate(x) for x in zip(*done)]
+    order = np.argsort(columns[0])
+    return tuple(x[order] for x in columns)
+
+
+def _common_ends(a: np.ndarray, b: np.ndarray, x: np.ndarray, x_end: np.ndarray, y_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each interval the first place from ``x`` on, before ``x_end``, whose end ``b`` has too, and its place there: (is there one, x, y)."""
+    x, y, found = x.copy(), np.zeros_like(x), np.zeros(len(x), bool)
+    todo = np.arange(len(x))
+    while len(todo):
+        at = np.searchsorted(b, a[x[todo]])
+        todo, at = todo[at < y_end[todo]], at[at < y_end[todo]]
+        same = b[at] == a[x[todo]]
+        y[todo], found[todo[same]] = at, True
+        todo, at = todo[~same], np.searchsorted(a, b[at[~same]])
+        x[todo] = at
+        todo = todo[at < x_end[todo]]
+    return found, x, y
+
+
+def links(a: np.ndarray, b: np.ndarray, leaf: tuple[int, int, int, int]) -> Iterator[tuple[int, int]]:
     """Places of the tokens of a leaf whose byte ranges overlap."""
     i, i_end, j, j_end = leaf
-    while i < i_end and j < j_end:
-        yield i, j
-        x, y = a[i], b[j]
-        i, j = i + (x <= y), j + (y <= x)
+    _, x, y = _overlaps(np.asarray(a[i:i_end]), np.asarray(b[j:j_end]))
+    return zip((x + i).tolist(), (y + j).tolist())
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ends of both, and the tokens of a and of b that hold the bytes before each; every overlap is met once."""
+    ends = np.sort(np.concatenate([a, b]), kind="stable")
+    ends = ends[np.append(True, ends[1:] != ends[:-1])]
+    return ends, np.searchsorted(a, ends), np.searchsorted(b, ends)
 
 
 #: The alignment of a stretch of text: tokens of A, groups as `a1,a2|b1;a3|b2`, and the linked pairs' codes. Kept by the
@@ -91,12 +104,13 @@ Piece = tuple[int, bytes, bytes]
 class Aligner:
     """Aligns texts, remembering stretches from the second time that one is met (by a table of hash bytes).
 
-    Up to ``keep`` are kept, in two generations; the older one goes when the younger is full.
+    Up to ``keep`` are kept, in two generations; the older one goes when the younger is full. Stretches that are not known
+    are encoded and divided ``block`` at a time.
     """
 
     _own: dict[tuple, "Aligner"] = {}
 
-    def __init__(self, byte_bpe: str, piece_bpe: str, keep: int = 500_000) -> None:
+    def __init__(self, byte_bpe: str, piece_bpe: str, keep: int = 500_000, block: int = 8192) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = Tokenizer.from_file(byte_bpe), sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
         self.a.encode_special_tokens = True
@@ -108,13 +122,15 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.shift = (len(pieces) - 1).bit_length()
-        self.decimal = list(map(str, range(max(len(self.bytes_a), len(pieces)))))
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.shown = [f"{i}{sign}" for i in range(max(len(self.bytes_a), len(pieces))) for sign in ",|;\n"]
         whole = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         rule = json.loads(self.a.to_str())["pre_tokenizer"]
         split = (rule or {}).get("type") == "ByteLevel" and rule["use_regex"] and not rule["add_prefix_space"]
         self.parts = split and not any("\n" in p or "▁" in p.lstrip("▁") for p in whole)
         self.marks = self.parts and not any(map(_MARKED.match, whole))
         self.lead = self.b.encode("a")
+        self.block = block
         self.half, self.young, self.old, self.met = max(1, keep // 2), {}, {}, bytearray(1 << 22)
 
     @classmethod
@@ -134,7 +150,7 @@ class Aligner:
             self.young, self.old, self.met = {}, self.young, bytearray(len(self.met))
         young = self.young
         missing = set().union(*asked).difference(young)
-        odd = {p for p in missing if not _ENDS_SOLID.search(p)}
+        odd = {p for p in missing if p[-1:] not in _SOLIDS}
         if odd or not self.parts:
             asked = [self._cut(t) if t and (not p or not odd.isdisjoint(p)) else p for t, p in zip(texts, asked)]
             missing = set().union(*asked).difference(young)
@@ -147,8 +163,8 @@ class Aligner:
         self._learn(new)
         out = []
         for text, parts in zip(texts, asked):
-            got = [young[p] for p in parts]
-            if None in got:
+            got = list(map(young.__getitem__, parts))
+            if not all(got):
                 got = self._encoded([" " + text])
             if not got or got[0] is None:
                 out.append(None)
@@ -176,7 +192,7 @@ class Aligner:
         """Put the alignment of ``parts`` into the young generation."""
         young, stems, ask = self.young, {}, []
         for part in parts:
-            if self.marks and len(part) > 2 and part[-1] in ".,;:!?" and part[-2].isalpha() and _ENDS_SOLID.search(part[-2]):
+            if self.marks and part[-1:] in _MARKS and len(part) > 2 and part[-2].isalpha() and part[-2] in _SOLIDS:
                 stems[part] = part[:-1]
             else:
                 ask.append(part)
@@ -199,35 +215,66 @@ class Aligner:
 
     def _encoded(self, stretches: list[str]) -> list[Piece | None]:
         """Alignments of stretches that both tokenizers encode on their own; None where bytes are not given back."""
-        if not stretches:
-            return []
-        all_a = [e.ids for e in self.a.encode_batch(stretches, add_special_tokens=False)]
+        out: list[Piece | None] = [None] * len(stretches)
+        joint = [k for k, s in enumerate(stretches) if self.parts and s[0] in " \n" and s[-1] in _SOLIDS]
+        for own, joined in ((joint, True), (sorted(set(range(len(stretches))).difference(joint)), False)):
+            for at in range(0, len(own), self.block):
+                places = own[at : at + self.block]
+                for k, piece in zip(places, self._block([stretches[k] for k in places], joined)):
+                    out[k] = piece
+        return out
+
+    def _block(self, stretches: list[str], joined: bool) -> list[Piece | None]:
+        """``_encoded`` of stretches that A takes in one go (``joined``: each begins with a cut and ends with a solid character) or one by one."""
+        raws = [s.encode() for s in stretches]
+        a, n_a = self._ids_a(stretches, raws, joined)
         # B puts a blank before what it gets: a stretch without one follows a letter that is taken off again
-        all_b = self.b.encode([s[1:] if s[0] == " " else "a" + s for s in stretches])
-        out = []
-        for stretch, a, b in zip(stretches, all_a, all_b):
-            if stretch[0] != " ":
-                if b[: len(self.lead)] != self.lead:
-                    out.append(None)
-                    continue
-                b = b[len(self.lead) :]
-            out.append(self._aligned(stretch.encode(), a, b))
+        found = self.b.encode([s[1:] if s[0] == " " else "a" + s for s in stretches])
+        for k, s in enumerate(stretches):
+            if s[0] != " ":
+                found[k] = found[k][len(self.lead) :] if found[k][: len(self.lead)] == self.lead else []
+        n_b = np.fromiter(map(len, found), np.int64, len(found))
+        b = np.fromiter(chain.from_iterable(found), np.int64, n_b.sum())
+        good = np.ones(len(raws), bool)
+        for ids, n, texts, sizes in ((a, n_a, self.bytes_a, self.sizes_a), (b, n_b, self.bytes_b, self.sizes_b)):
+            given = b"".join(map(texts.__getitem__, ids.tolist()))
+            ends = np.cumsum(np.append(0, sizes[ids]))[np.cumsum(np.append(0, n))].tolist()
+            good &= [given[x:y] == raw for x, y, raw in zip(ends, ends[1:], raws)]
+        out: list[Piece | None] = [None] * len(raws)
+        if good.any():
+            own = self._aligned(a[np.repeat(good, n_a)], n_a[good], b[np.repeat(good, n_b)], n_b[good])
+            for k, piece in zip(np.flatnonzero(good).tolist(), own):
+                out[k] = piece
         return out
 
-    def _aligned(self, raw: bytes, a: list[int], b: list[int]) -> Piece | None:
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-        shift, shown, groups, codes = self.shift, self.decimal, [], []
-        for i, i_end, j, j_end in leaves(ends_a, ends_b):
-            if i_end - i == 1 == j_end - j:
-                groups.append(shown[a[i]] + "|" + shown[b[j]])
-                codes.append(a[i] << shift | b[j])
-            else:
-                groups.append(",".join([shown[x] for x in a[i:i_end]]) + "|" + ",".join([shown[y] for y in b[j:j_end]]))
-                codes += [a[x] << shift | b[y] for x, y in links(ends_a, ends_b, (i, i_end, j, j_end))]
-        return len(a), ";".join(groups).encode(), array("Q", codes).tobytes()
+    def _ids_a(self, stretches: list[str], raws: list[bytes], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all stretches in a row, and how many each has."""
+        if joined:
+            found = self.a.encode_batch_fast(["".join(stretches)], add_special_tokens=False)[0].ids
+            ids = np.array(found, np.int64)
+            ends, wanted = np.cumsum(self.sizes_a[ids]), np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+            at = np.searchsorted(ends, wanted)
+            if len(ends) and at[-1] + 1 == len(ends) and (ends[at] == wanted).all():
+                return ids, np.diff(at, prepend=-1)
+        each = [e.ids for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
+        n = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.int64, n.sum()), n
+
+    def _aligned(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> list[Piece]:
+        """Alignments of stretches, given the ids of all in a row and how many each has. Their ends are cuts too."""
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        i, i_end, j, j_end = _divided(ends_a, ends_b)
+        # a group's ids of A, then its ids of B, each with the sign that follows it
+        sign_a, sign_b = np.zeros_like(a), np.zeros_like(b)
+        sign_a[i_end - 1], sign_b[j_end - 1], sign_b[np.cumsum(n_b) - 1] = 1, 2, 3
+        row = np.empty(len(a) + len(b), np.int64)
+        row[np.arange(len(a)) + np.repeat(j, i_end - i)] = a * 4 + sign_a
+        row[np.arange(len(b)) + np.repeat(i_end, j_end - j)] = b * 4 + sign_b
+        groups = "".join(map(self.shown.__getitem__, row.tolist())).encode().split(b"\n")
+        ends, x, y = _overlaps(ends_a, ends_b)
+        codes = (a[x] << self.shift | b[y]).astype("<u8").tobytes()
+        upto = (8 * np.searchsorted(ends, ends_a[np.cumsum(n_a) - 1], "right")).tolist()
+        return list(zip(n_a.tolist(), groups, [codes[s:e] for s, e in zip([0, *upto], upto)]))
 
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
@@ -271,11 +318,11 @@ def aligned(table: DataFrame, byte_bpe: str, piece_bpe: str) -> DataFrame:
     return _kept_worker(table, run, ALIGNED)
 
 
-def _kept_worker(table: DataFrame, fn, schema: str, rows: int = 256) -> DataFrame:
-    """``map_arrow`` over small batches, by workers that keep what earlier tasks learnt."""
+def _kept_worker(table: DataFrame, fn, schema: str, most: int = 4 << 20) -> DataFrame:
+    """``map_arrow`` over batches of up to ``most`` bytes of text, by workers that keep what earlier tasks learnt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, rows, keep=True):
+        for batch in sized(small(batches, 2048, keep=True), "text", most):
             yield fn(batch)
 
     return table.mapInArrow(run, schema)

@@ -129,3 +129,15 @@ def test_tasks_send_counts_on_when_full(spark, docs):
     shift = 15
     table = alignment.saved(alignment.aligned(alignment.text_table(docs), A, B))
     assert sorted(alignment.pair_counts(table, shift, 50).collect()) == sorted(alignment.pair_counts(table, shift).collect())
+
+
+@pytest.mark.parametrize("block", (3, 8192))
+def test_stretches_are_divided_together(models, corpus, monkeypatch, block):
+    texts = [*ODD, *[t for _, t, *_ in corpus[:40] if t and len(t) < 20_000]]
+    own, asked, divided = alignment.Aligner(A, B, block=block), [], alignment._divided
+    monkeypatch.setattr(alignment, "_divided", lambda a, b: asked.append(len(a)) or divided(a, b))
+    for text, got in zip(texts, own.align(texts), strict=True):
+        want = brute(models, text)
+        assert (got and (got[0], got[1].decode(), len(got[2]) // 8)) == (want and (want[2], spelt(want[0]), len(want[1]))), text
+    if block > 3:
+        assert len(asked) < 20 + len(ODD) and max(asked) > 1000
