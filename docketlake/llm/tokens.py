@@ -2,8 +2,8 @@
 
 Texts are cut at ASCII white space first. The tokenizer drops white space, folds case character by character and never
 joins across it, so a text's ids are its chunks' ids in a row; chunks repeat heavily, so each task keeps those it has
-seen. A chunk of plain letters, digits and signs is cut by the tokenizer's own split pattern and given to its merge
-model piece by piece; any other chunk goes through the whole tokenizer.
+seen. A chunk of plain letters, digits and signs is cut by the tokenizer's own split pattern, with all others of its kind at
+once, and its different pieces are given to the merge model; any other chunk goes through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -21,8 +21,13 @@ from tokenizers import Tokenizer
 from .common import KEPT
 
 #: The split pattern of the vocabulary file over lower-case text of ASCII and the letters U+00DF to U+017F.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
+#: The blank between two chunks is a piece of its own.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+| ")
+_BETWEEN = b"\xff" * 4
+#: Chunks that are cut into pieces at a time.
+BLOCK = 65_536
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ňŊ-ſ]+")
+_PLAINS = re.compile(r"[ !-~À-ÖØ-öø-įı-ňŊ-ſ]+")
 
 
 class Encoder:
@@ -63,11 +68,8 @@ class Encoder:
             return b"".join(map(self.chunks.__getitem__, found))
         except KeyError:
             pass
-        once = self._learn(found)
-        out = b"".join(map(self.chunks.__getitem__, found))
-        for chunk in once:
-            del self.chunks[chunk]
-        return out
+        own = list(dict.fromkeys(found))
+        return b"".join(map(dict(zip(own, self._learn(own))).__getitem__, found))
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each of these texts in turn, as ``encode`` has them; a chunk is looked up once, however often it comes in them."""
@@ -76,10 +78,9 @@ class Encoder:
         listed = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
         # chunks hold no blank, so they come apart as they were; an empty one stands for white space at an end
         names = pc.binary_join(listed, pa.scalar(" ", pa.large_string()))[0].as_py().encode().split(b" ")
-        once = self._learn([n for n in names if n])
-        ids = [self.chunks[n] if n else b"" for n in names]
-        for chunk in once:
-            del self.chunks[chunk]
+        blank = names.index(b"") if b"" in names else len(names)
+        ids = self._learn(names[:blank] + names[blank + 1 :])
+        ids[blank:blank] = [b""] * (blank < len(names))
         table, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts, codes, ends = np.cumsum(sizes) - sizes, coded.indices.to_numpy(), cut.offsets.to_numpy()
         for first, last in zip(ends, ends[1:]):
@@ -90,47 +91,82 @@ class Encoder:
             yield table[np.repeat(starts[own] - upto + n, n) + np.arange(n.sum())]
 
     def _learn(self, found: list[bytes]) -> list[bytes]:
-        """Put the chunks ``found`` into ``chunks``; those that were never met before are returned, to be taken out after use."""
+        """The ids of each of the different chunks ``found``; those that were met before are put into ``chunks``."""
         if len(self.chunks) > self.half:
             self.chunks, self.older, self.met = {}, (self.chunks, self.older[1]), bytearray(len(self.met))
         if len(self.pieces) > self.half:
             self.pieces, self.older = {}, (self.older[0], self.pieces)
         chunks, older, met, mask = self.chunks, self.older[0], self.met, len(self.met) - 1
-        once = []
-        for chunk in set(found).difference(chunks):
-            ids = older.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk.decode())
+        out = list(map(chunks.get, found))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        if older:
+            for k in new:
+                if (ids := older.get(found[k])) is not None:
+                    chunks[found[k]] = out[k] = ids
+            new = [k for k in new if out[k] is None]
+        for at in range(0, len(new), BLOCK):
+            places = new[at : at + BLOCK]
+            own = [found[k] for k in places]
+            for k, chunk, ids in zip(places, own, self._new_ids(own)):
+                out[k] = ids
                 slot = hash(chunk) & mask
-                if not met[slot]:
+                if met[slot]:
+                    chunks[chunk] = ids
+                else:
                     met[slot] = 1
-                    once.append(chunk)
-            chunks[chunk] = ids
-        return once
-
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            if chunk.isalpha():
-                return self._piece(chunk.lower())
-            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-                return self._piece(chunk[:-1].lower()) + self._piece(chunk[-1])
-        if not _PLAIN.fullmatch(chunk) or self.marks.search(chunk):
-            return array("I", self.full.encode(chunk, add_special_tokens=False).ids).tobytes()
-        return b"".join([self._piece(x) for x in _PIECES.findall(chunk.lower())])
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.older[1].get(piece)
+        return out
+
+    def _new_ids(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of chunks: the plain ones are cut into pieces together, and each different piece goes to the merge model once."""
+        joined = b" ".join(chunks).decode()
+        if _PLAINS.fullmatch(joined) and not self.marks.search(joined):
+            return self._plain_ids(joined)
+        words = joined.split(" ")
+        plain = [bool(_PLAIN.fullmatch(w)) and not self.marks.search(w) for w in words]
+        known = iter(self._plain_ids(" ".join([w for w, p in zip(words, plain) if p])))
+        return [next(known) if p else array("I", self.full.encode(w, add_special_tokens=False).ids).tobytes() for w, p in zip(words, plain)]
+
+    def _plain_ids(self, joined: str) -> list[bytes]:
+        """The ids of plain chunks, which a blank divides."""
+        cut = _PIECES.findall(joined.lower())
+        known: dict[str, bytes | None] = dict.fromkeys(cut)
+        known[" "] = _BETWEEN
+        pieces, older, met, mask = self.pieces, self.older[1], self.met, len(self.met) - 1
+        new = []
+        for piece, ids in known.items():
             if ids is None:
-                shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-                ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-                slot = hash(piece) & (len(self.met) - 1)
-                if not self.met[slot]:
-                    self.met[slot] = 1
-                    return ids
-            self.pieces[piece] = ids
-        return ids
+                ids = pieces.get(piece)
+                if ids is None:
+                    ids = older.get(piece)
+                    if ids is None:
+                        new.append(piece)
+                        continue
+                    pieces[piece] = ids
+                known[piece] = ids
+        for piece, ids in zip(new, self._merged(new)):
+            known[piece] = ids
+            slot = hash(piece) & mask
+            if met[slot]:
+                pieces[piece] = ids
+            else:
+                met[slot] = 1
+        return _parts(b"".join(map(known.__getitem__, cut)))
+
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """The merge model's ids of each piece."""
+        tokenize, letters = self.model.tokenize, self.letters
+        shown = [p if p.isascii() else "".join(map(letters.__getitem__, p.encode())) for p in pieces]
+        ids = array("I")
+        for piece in shown:
+            ids.extend([t.id for t in tokenize(piece)])
+            ids.append(0xFFFFFFFF)
+        return _parts(ids.tobytes())[:-1]
+
+
+def _parts(flat: bytes) -> list[bytes]:
+    """``flat`` without the marks ``_BETWEEN``, cut at them."""
+    ends = (4 * np.flatnonzero(np.frombuffer(flat, "<u4") == 0xFFFFFFFF)).tolist()
+    return [flat[s:e] for s, e in zip([0, *[e + 4 for e in ends]], [*ends, len(flat)])]
 
 
 def byte_letters() -> dict[int, str]:

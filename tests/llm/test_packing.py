@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,16 @@ def test_words_of_many_texts_are_encoded_once(full, corpus):
     assert len(asked) == len(set(asked)) == len({w for t in texts for w in (t or "").encode().split()})
 
 
+def test_pieces_of_many_words_are_merged_once(full):
+    texts = ["zorble Zorble. (zorble) ZORBLE,", "zörble's zorble <|endoftext|> 日zorble", "Zörble! zorble-zorble"]
+    encoder, asked = Encoder(word_bpe()), []
+    model = encoder.model
+    encoder.model = SimpleNamespace(tokenize=lambda piece: asked.append(piece) or model.tokenize(piece))
+    for t, ids in zip(texts, encoder.encode_all(pa.array(texts)), strict=True):
+        assert ids.tolist() == full.encode(t, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) and "zorble" in asked
+
+
 def test_batches_are_cut_by_bytes():
     batch = pa.RecordBatch.from_pydict({"text": ["aa", None, "é", "x" * 9, "", "b"]})
     assert [b.column("text").to_pylist() for b in sized(iter([batch]), "text", 4)] == [["aa", None, "é"], ["x" * 9], ["", "b"]]
