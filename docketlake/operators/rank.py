@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .scan import empty_streaks, previous
 from .storage import numbered, saved
@@ -319,8 +324,40 @@ def catalog_with_summaries(catalog: DataFrame, summaries: DataFrame) -> DataFram
 
 
 def topic_terms(docs: DataFrame, n: int = 6) -> DataFrame:
-    """(id, topics): the ``n`` most frequent words of five Latin letters or more, without stop words; ties by first place."""
-    words = docs.select("id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0)).alias("pos", "word")).where(~F.col("word").isin(*TOPIC_STOP))
+    """(id, topics): the ``n`` most frequent words of five Latin letters or more, without stop words; ties by first place.
+
+    A document's words are counted in the task that reads it; those of ids with several rows meet by id.
+    """
+    several = saved(docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id")))
+    low, same = docs.select("id", F.lower("text").alias("text")), F.col("id").eqNullSafe(F.col("_id"))
+    kinds = StructType([docs.schema["id"], StructField("topics", StringType())])
+    alone = low.join(several, same, "left_anti").select("id", F.col("text").cast("binary").alias("text"))
+    found = alone.mapInArrow(_topic_counter(n), kinds).where("topics is not null")
+    return found.unionByName(_shared_topics(low.join(several, same, "left_semi"), n))
+
+
+def _topic_counter(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    words, stop = re.compile(rb"[a-z]{5,}"), [w.encode() for w in TOPIC_STOP]
+
+    def topics(text: bytes | None) -> str | None:
+        counts = Counter(words.findall(text or b""))
+        for word in stop:
+            counts.pop(word, None)
+        return b",".join([word for word, _ in counts.most_common(n)]).decode() or None  # ties stay in order of first place
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = pa.array([topics(text.as_py()) for text in part.column("text")], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("id"), found], ["id", "topics"])
+
+    return run
+
+
+def _shared_topics(low: DataFrame, n: int) -> DataFrame:
+    """``topic_terms`` of lower-case texts, several of which may share an id."""
+    words = low.select("id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), 0)).alias("pos", "word")).where(~F.col("word").isin(*TOPIC_STOP))
     counted = words.groupBy("id", "word").agg(F.count("*").alias("c"), F.min("pos").alias("p"))
     top = keep_top(counted, ["id"], n, F.desc("c"), F.col("p"))
     return top.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ",").alias("topics"))
